@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from .plans import content, phrases
 
-def oracle_sql():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_PARTS = (phrases, content)
+
+
+def queries() -> dict[str, Query]:
+    return {name: q for part in _PARTS for name, q in part.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
