@@ -42,7 +42,7 @@ def review(docs: DataFrame, keyword: str | None = None) -> DataFrame:
     x = x.withColumn("grade", F.round(N.reading_grade(F.col("words"), F.col("sentences"), syll), 1))
     x = x.withColumn("mean_sentence", F.round(F.col("words") / F.col("sentences"), 1))
     x = x.withColumn("long_pct", F.round(F.size(F.filter("_n", lambda n: n > LIMITS["long_sentence"])) * 100.0 / F.col("sentences"), 1))
-    passive = F.filter("_s", lambda s: F.rlike(s, F.lit(_whole(r"is|are|was|were|be|been|being)\s+(\w+ed|made|given|known|shown|done|sent|kept"))))
+    passive = F.filter("_s", lambda s: F.rlike(s, F.lit(_whole(r"(?:is|are|was|were|be|been|being)\s+(?:[a-z]+ed|made|given|known|shown|done|sent|kept)"))))
     x = x.withColumn("passive_pct", F.round(F.size(passive) * 100.0 / F.col("sentences"), 1))
     unsupported = F.filter("_s", lambda s: F.rlike(s, F.lit(r"[0-9]+(\.[0-9]+)?\s?(%|percent|million|billion)")) & ~F.rlike(s, F.lit(r"(?i)according to|source|survey|study|report")))
     x = x.withColumn("unsupported", F.size(unsupported)).withColumn("cliches", F.size(F.regexp_extract_all(F.lower("_b"), F.lit(CLICHES), 0)))
