@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import content, phrases
+from .plans import content, phrases, planned
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (phrases, content)
+_PARTS = (phrases, content, planned)
 
 
 def queries() -> dict[str, Query]:
