@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import contamination, jaccard, lines, packing, quality, sharding, substrings, suffixes, urls, warc
+from . import contamination, jaccard, lines, packing, quality, sharding, sql, substrings, suffixes, urls, warc
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,52 +66,6 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-_ASCII_UPPER, _ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-_OP2 = f"""
-WITH p AS (
-  SELECT CAST(page_id AS BIGINT) AS page_id,
-         CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
-  FROM pages
-), h AS (
-  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_ASCII_UPPER}', '{_ASCII_LOWER}') AS host,
-         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
-  FROM p
-), r(verdict, rhost, rpath) AS (
-  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
-), m AS (
-  SELECT h.*, r.rhost || r.rpath AS rule, r.verdict,
-         row_number() OVER (PARTITION BY h.page_id ORDER BY length(r.rhost || r.rpath) DESC NULLS LAST) AS k
-  FROM h LEFT JOIN r ON (h.host = r.rhost OR ends_with(h.host, '.' || r.rhost)) AND starts_with(h.path, r.rpath)
-)
-SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict,
-       CASE WHEN verdict IS NULL THEN 'default' ELSE 'rule' END AS decided_by
-FROM m WHERE k = 1
-"""
-
-_OP5 = """
-WITH d AS (
-  SELECT CAST(doc_id AS BIGINT) AS doc_id, text, string_split(text, chr(10)) AS l FROM documents
-), w AS (
-  SELECT doc_id, i, l[i + 1] || chr(10) || l[i + 2] || chr(10) || l[i + 3] AS win
-  FROM (SELECT doc_id, l, unnest(range(0, len(l) - 2)) AS i FROM d WHERE len(l) >= 3)
-), s AS (
-  SELECT doc_id, i, md5(win) AS win FROM w WHERE regexp_matches(win, '[^\\x20\\x09-\\x0D]')
-), k AS (
-  SELECT doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS n FROM s
-), c AS (
-  SELECT doc_id, list_distinct(flatten(list(range(i, i + 3)))) AS gone FROM k WHERE n > 1 GROUP BY doc_id
-)
-SELECT d.doc_id, CAST(coalesce(len(d.l), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(c.gone), 0) AS BIGINT) AS n_lines_removed,
-       sha256(CASE WHEN c.gone IS NULL THEN d.text ELSE
-              coalesce(array_to_string(list_transform(list_filter(range(0, len(d.l)), lambda j: NOT list_contains(c.gone, j)), lambda j: d.l[j + 1]), chr(10)), '') END) AS kept_sha256
-FROM d LEFT JOIN c USING (doc_id)
-"""
-
-_SCORE = "-1.0 / ln((CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || {s}), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
-_SCORES = ", ".join(_SCORE.format(s=f"'{s}'") for s in range(SHARDS + 1))
-
-
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
@@ -132,4 +86,4 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can state the same result; the other queries are tested against brute force."""
-    return {"op2_url_filters": _OP2, "op5_line_windows": _OP5}
+    return dict(sql.ORACLE)
