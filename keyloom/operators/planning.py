@@ -183,3 +183,66 @@ def briefs(posts: DataFrame, links: DataFrame) -> DataFrame:
         F.concat(F.lit("## Keywords\n"), F.array_join(F.transform("secondary", lambda s: F.concat(F.lit("- "), s)), "\n")), F.concat(F.lit("## Internal links\n"), F.array_join(F.coalesce("_l", F.array().cast("array<string>")), "\n")),
     ]
     return x.select("slug", F.concat_ws("\n\n", *lines).alias("brief"))
+
+
+def post_titles(keyword: Column, kind: Column, market: Column) -> Column:
+    """Working title of a pillar or post by its type; British spelling of "personalised" in the uk market."""
+    name = F.initcap(keyword)
+    title = (
+        F.when(kind == "pillar_hub", F.concat(name, F.lit(": The Complete Guide"))).when(kind == "how_to", F.concat(F.lit("How To: "), name)).when(kind == "gift_guide", F.concat(name, F.lit(" They Will Love")))
+        .when(kind == "copy_ideas", F.concat(name, F.lit(": What To Write"))).when(kind.isin("choose_guide", "ideas_list"), F.concat(name, F.lit(": Ideas And How To Choose"))).otherwise(F.concat(name, F.lit(" Explained")))
+    )
+    return F.when(market == "uk", F.regexp_replace(title, "ersonaliz", "ersonalis")).otherwise(title)
+
+
+def template_sections(texts: DataFrame) -> DataFrame:
+    """(post_type, position, section): the second-level headings of Markdown templates, in order."""
+    return texts.select("post_type", F.posexplode(F.regexp_extract_all("text", F.lit(r"(?m)^## +(.+?)\s*$"), 1)).alias("position", "section"))
+
+
+def review_rows(posts: DataFrame, members: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row a post: its keywords, owned volume, greatest keyword, share verified, and its open issues."""
+    owned = members.groupBy("slug").agg(F.count("*").alias("keyword_count"), F.sum("volume").alias("owned_volume"), F.max_by("keyword", F.struct("volume", "keyword")).alias("biggest_keyword"))
+    found = members.select("slug", "market", F.col("keyword").alias("k")).join(issues.select("market", F.col("keyword").alias("k"), "issue_id", "check"), ["market", "k"])
+    listed = found.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "issue_id", "check"))), "; ").alias("issues"))  # a post has dozens of keywords
+    return posts.join(owned, "slug", "left").join(listed, "slug", "left").na.fill({"keyword_count": 0, "owned_volume": 0, "issues": ""})
+
+
+def issue_status(issues: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Issues with the decision that answers them: by issue id, else by keyword and target, else by keyword and action."""
+    d = decisions.select("decision_id", "source_issue", "market", F.col("keyword").alias("dk"), F.col("target").alias("dt"), F.col("action").alias("da"), "status")
+    one = issues.join(d.filter("coalesce(source_issue, '') <> ''").select(F.col("source_issue").alias("issue_id"), F.lit(1).alias("by"), "decision_id", "status"), "issue_id").select("issue_id", "by", "decision_id", "status")
+    base = issues.select("issue_id", "market", F.col("keyword").alias("dk"), F.col("other").alias("dt"), F.col("action").alias("da"))
+    two = base.join(d, ["market", "dk", "dt"]).select("issue_id", F.lit(2).alias("by"), "decision_id", "status")
+    three = base.join(d, ["market", "dk", "da"]).select("issue_id", F.lit(3).alias("by"), "decision_id", "status")
+    best = one.unionByName(two).unionByName(three).groupBy("issue_id").agg(F.min_by(F.struct("decision_id", "status"), F.struct("by", "decision_id")).alias("d"))
+    return issues.join(best, "issue_id", "left").select(*issues.columns, F.coalesce("d.status", F.lit("open")).alias("state"), F.col("d.decision_id").alias("decision_id"))
+
+
+def left_out(clusters: DataFrame, scope: DataFrame, posts: DataFrame, most: int = 300) -> DataFrame:
+    """Clusters that are not planned with the nearest post, the greatest ``most`` (a report), and one row for what scope excluded."""
+    out = clusters.filter(F.col("role").isin("backlog", "skip"))
+    near = S.nearest(out, "name", posts, "slug", "words", ["market"]).select(F.col("a").alias("name"), F.col("b").alias("nearest"))
+    listed = out.join(near, "name", "left").select("market", "name", "volume", F.col("role").alias("reason"), "nearest").orderBy(F.desc("volume"), "name").limit(most)
+    reasons = scope.groupBy("reason").agg(F.count("*").alias("n"), F.sum("volume").alias("v"))  # as many rows as there are reasons
+    total = reasons.agg(F.sum("n").alias("n"), F.sum("v").alias("volume"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason"))), 1, 4), lambda x: x["reason"]), ", ").alias("reason"))
+    return listed.unionByName(total.select(F.lit("").alias("market"), F.format_string("%d keywords out of scope", "n").alias("name"), "volume", "reason", F.lit(None).cast("string").alias("nearest")))
+
+
+def given_pillars(clusters: DataFrame, least: int = 1, switch: float = 1.5) -> DataFrame:
+    """Pillars taken over from a grouped file: the given hub leads, unless another cluster of the pillar wins 1.5 times as much."""
+    w = Window.partitionBy("market", "pillar")
+    given = F.max(F.when(F.col("is_given_hub"), F.col("winnable"))).over(w)
+    best = F.row_number().over(w.orderBy(F.desc("winnable"), "name"))
+    x = clusters.filter("coalesce(pillar, '') <> ''").withColumn("_g", given).withColumn("_k", best).withColumn("_n", F.count("*").over(w)).filter(F.col("_n") >= least)
+    top = F.max(F.when(F.col("_k") == 1, F.col("winnable"))).over(w)
+    x = x.withColumn("_top", top)
+    lead = F.when(F.col("_g").isNull() | (F.col("_top") >= switch * F.col("_g")), F.col("_k") == 1).otherwise(F.col("is_given_hub"))
+    return x.withColumn("is_hub", lead).drop("_g", "_k", "_n", "_top")
+
+
+def keep_groups_apart(posts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Merges undone where results told the two apart: a merged post comes back when its target is on its list (a, b)."""
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    hit = posts.join(both, (F.col("slug") == F.col("a")) & (F.col("merged_into") == F.col("b")), "left")
+    return hit.withColumn("merged_into", F.when(F.col("a").isNotNull(), None).otherwise(F.col("merged_into"))).withColumn("kept_apart", F.col("a").isNotNull()).drop("a", "b")

@@ -131,3 +131,25 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest.into(ingest.distinct_rows(stream), str(tmp_path / "out"), str(tmp_path / "ck"), lambda b: b)
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_review_sheets(spark):
+    posts = spark.createDataFrame([("us", "s1", ["dad", "gift"], None), ("us", "s2", ["mom"], "s1")], "market string, slug string, words array<string>, merged_into string")
+    kw = spark.createDataFrame([("s1", "us", "dad gifts", 10), ("s1", "us", "gift dad", 30)], "slug string, market string, keyword string, volume long")
+    issues = spark.createDataFrame([("BC-1", "weak_member", "us", "dad gifts", "x", "merge"), ("BC-2", "no_data", "us", "zz", "", "")], "issue_id string, check string, market string, keyword string, other string, action string")
+    r = {x["slug"]: x for x in P.review_rows(posts, kw, issues).collect()}
+    assert (r["s1"]["owned_volume"], r["s1"]["biggest_keyword"], r["s1"]["issues"], r["s2"]["issues"]) == (40, "gift dad", "BC-1 weak_member", "")
+    d = spark.createDataFrame([("d1", "merge", "us", "dad gifts", "y", "", "applied")], "decision_id string, action string, market string, keyword string, target string, source_issue string, status string")
+    assert {x["issue_id"]: x["state"] for x in P.issue_status(issues, d).collect()} == {"BC-1": "applied", "BC-2": "open"}
+    clusters = spark.createDataFrame([("us", "dad mug", 9, "backlog", ["dad", "mug"]), ("us", "in", 5, "cluster", ["in"])], "market string, name string, volume long, role string, words array<string>")
+    scope = spark.createDataFrame([("url", 3), ("url", 4), ("local", 1)], "reason string, volume long")
+    got = [(x["name"], x["reason"], x["nearest"]) for x in P.left_out(clusters, scope, posts).collect()]
+    assert got == [("dad mug", "backlog", "s1"), ("3 keywords out of scope", "url, local", None)]
+    hubs = spark.createDataFrame([("us", "p", "a", 10.0, True), ("us", "p", "b", 20.0, False), ("us", "q", "c", 10.0, True), ("us", "q", "d", 12.0, False)], "market string, pillar string, name string, winnable double, is_given_hub boolean")
+    assert {x["name"] for x in P.given_pillars(hubs).filter("is_hub").collect()} == {"b", "c"}
+    apart = spark.createDataFrame([("s1", "s2")], "a string, b string")
+    assert {x["slug"]: x["merged_into"] for x in P.keep_groups_apart(posts, apart).collect()} == {"s1": None, "s2": None}
+    texts = spark.createDataFrame([("how_to", "# T\n## One \nx\n## Two")], "post_type string, text string")
+    assert [x["section"] for x in P.template_sections(texts).orderBy("position").collect()] == ["One", "Two"]
+    t = spark.createDataFrame([("personalized mugs", "gift_guide", "uk")], "k string, t string, m string")
+    assert t.select(P.post_titles(F.col("k"), F.col("t"), F.col("m"))).first()[0] == "Personalised Mugs They Will Love"
