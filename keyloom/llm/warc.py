@@ -5,7 +5,7 @@ an equal payload is archived elsewhere) and metadata.  Request and metadata name
 the response by ``WARC-Concurrent-To``; a revisit names the record it repeats by
 ``WARC-Refers-To``.
 
-Archives are written by Spark's text writer, whose line separator is the
+Archives are gzip files written by Spark's text writer, whose line separator is the
 record separator of the format, so executors write straight to any file system
 that Spark reaches.  Reading back parses each archive by the records' content
 lengths; archives are bounded in size, so a task holds one at a time.  Records
@@ -23,6 +23,7 @@ extra columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -75,6 +76,14 @@ def _clean(value: str | None) -> str:
     return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
+def _fields(page: int | None, size: int, first_key: str | None) -> bytes:
+    """Metadata: the page, its payload's full length, and for a revisit the page that holds the payload."""
+    rows = [("page-id", "" if page is None else str(page)), ("payload-length", str(size))]
+    if first_key is not None:
+        rows.append(("refers-to-page-id", first_key.partition("/")[0]))
+    return "".join(f"{k}: {v}\r\n" for k, v in rows).encode()
+
+
 def _writer(a: Archive):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,7 +104,7 @@ def _writer(a: Archive):
                 records = [
                     _record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
                     _record([("WARC-Type", kind), ("WARC-Record-ID", own), *common, proof, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), *extra, ("Content-Type", "application/http; msgtype=response")], block),
-                    _record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], f"page-id: {'' if page is None else page}\r\npayload-length: {size}\r\n".encode()),
+                    _record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], _fields(page, size, None if kind == "response" else first_key)),
                 ]
                 out += [r.decode() for r in records]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
@@ -121,7 +130,7 @@ def write(pages: DataFrame, path: str, archive: Archive | None = None) -> None:
     rows = captures(pages, a)
     text = rows.mapInArrow(_writer(a), "value string")
     # a file ends when it holds so many records; html pages of a few kB make archives of some MB
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * 64 * a.archive_mb).text(path)
+    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * 64 * a.archive_mb).option("compression", "gzip").text(path)
 
 
 RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, block binary"
@@ -149,7 +158,8 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
             rows, size = [], 0
-            for h, block in parse(content.as_py()):
+            raw = content.as_py()
+            for h, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                 proof = h.get("warc-payload-digest")
                 rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), proof, block))
                 size += len(block)
@@ -170,30 +180,38 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.select("content").mapInArrow(_reader, RECORDS)
 
 
-def _payload(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _payload(with_blocks: bool):
     """Check the payloads of responses against their digests; keep sizes and digests."""
-    for batch in batches:
-        sizes, digests = [], []
-        for kind, proof, block in zip(*(batch.column(c).to_pylist() for c in ("type", "digest", "block"))):
-            if kind == "response":
-                payload = block.partition(b"\r\n\r\n")[2]
-                sizes.append(len(payload))
-                digests.append(digest32(payload))
-                if proof != f"sha1:{digests[-1]}":
-                    raise ValueError("a payload differs from its digest")
-            else:
-                sizes.append(None)
-                digests.append(proof.removeprefix("sha1:") if proof else None)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(c) for c in ("record_id", "type", "refers_to", "uri")] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column("block")],
-            ["record_id", "type", "refers_to", "uri", "bytes", "digest", "block"],
-        )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, digests = [], []
+            for kind, proof, block in zip(*(batch.column(c).to_pylist() for c in ("type", "digest", "block"))):
+                if kind == "response":
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    sizes.append(len(payload))
+                    digests.append(digest32(payload))
+                    if proof != f"sha1:{digests[-1]}":
+                        raise ValueError("a payload differs from its digest")
+                else:
+                    sizes.append(None)
+                    digests.append(proof.removeprefix("sha1:") if proof else None)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("record_id", "type", "refers_to", "uri")] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column("block") if with_blocks else pa.nulls(len(sizes), pa.binary())],
+                ["record_id", "type", "refers_to", "uri", "bytes", "digest", "block"],
+            )
+
+    return run
+
+
+def assemble(records: DataFrame, with_blocks: bool = True) -> DataFrame:
+    """One nested row per capture: its response or revisit, request and metadata.
 
-def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: its response or revisit, request and metadata."""
+    Payloads are checked against their digests where they are read; without
+    blocks they don't travel to the join.
+    """
     captured = records.filter(F.col("type").isin("response", "revisit")).select("type", "record_id", "refers_to", "uri", "digest", "block")
-    captured = captured.mapInArrow(_payload, "record_id string, type string, refers_to string, uri string, bytes long, digest string, block binary")
+    captured = captured.mapInArrow(_payload(with_blocks), "record_id string, type string, refers_to string, uri string, bytes long, digest string, block binary")
     sides = records.filter(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
     sides = sides.select(F.col("concurrent_to").alias("record_id"), "type", F.struct(F.col("record_id").alias("id"), F.decode("block", "UTF-8").alias("fields")).alias("r"))
     by_capture = sides.groupBy("record_id").agg(F.min(F.when(F.col("type") == "request", F.col("r"))).alias("request"), F.min(F.when(F.col("type") == "metadata", F.col("r"))).alias("metadata"))
@@ -207,21 +225,15 @@ def _field(name: str):
 
 
 def describe(transactions: DataFrame) -> DataFrame:
-    """Page, size, digest and kind of each capture; a revisit's page comes from the record it refers to."""
-    flat = transactions.select(
-        "record_id",
-        F.nullif(_field("page-id"), F.lit("")).cast("long").alias("page_id"),
-        _field("payload-length").cast("long").alias("payload_bytes"),
-        F.col("response.digest").alias("payload_digest"),
-        F.col("response.type").alias("record_type"),
-        F.col("response.refers_to").alias("to"),
+    """Page, size, digest and kind of each capture, and for a revisit the page of the record it refers to."""
+    number = lambda name: F.nullif(_field(name), F.lit("")).cast("long")
+    return transactions.select(
+        number("page-id").alias("page_id"), number("payload-length").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers-to-page-id").alias("refers_to")
     )
-    firsts = flat.filter("record_type = 'response'").select(F.col("record_id").alias("to"), F.col("page_id").alias("refers_to"))
-    return flat.join(firsts, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def round_trip(pages: DataFrame, archive: Archive | None = None) -> DataFrame:
     """Write archives to the shared folder, read them back, assemble the transactions."""
     path = work_dir(pages.sparkSession, "warc")
     write(pages, path, archive)
-    return describe(assemble(read(pages.sparkSession, path)))
+    return describe(assemble(read(pages.sparkSession, path), with_blocks=False))
