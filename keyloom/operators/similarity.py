@@ -32,15 +32,23 @@ def prefixes(rows: DataFrame, row_id: str, words: str, keys: list[str], least: f
     rarest = by_row.orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("w").over(rarest), F.lit(0))
     total = F.sum("w").over(by_row)
-    return listed.withColumn("before", before).withColumn("total", total).filter(F.col("total") - F.col("before") >= F.col("total") * F.lit(least) - 1e-9).select(row_id, *keys, "word")
+    placed = listed.withColumn("before", before).withColumn("total", total)
+    return placed.filter(F.col("total") - F.col("before") >= F.col("total") * F.lit(least) - 1e-9).select(row_id, *keys, "word", (F.col("total") - F.col("before")).alias("rest"), "total")
 
 
 def similar_pairs(rows: DataFrame, row_id: str, words: str, keys: list[str], least: float, weak: list[str] | None = None, below: float | None = None) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of rows with equal ``keys`` and weighted Jaccard in [least, below)."""
+    """Pairs (a, b, similarity), a < b, of rows with equal ``keys`` and weighted Jaccard in [least, below).
+
+    A pair's first shared word, in the order of frequency, bounds its overlap by
+    what either row has from there on; pairs that cannot reach ``least`` go
+    before they are shuffled.
+    """
     weak = weak or []
     index = prefixes(rows, row_id, words, keys, least, weak)
-    left, right = index.withColumnRenamed(row_id, "a"), index.withColumnRenamed(row_id, "b")
-    pairs = left.join(right, [*keys, "word"]).filter("a < b").select(*keys, "a", "b").distinct()
+    left = index.select(*keys, "word", F.col(row_id).alias("a"), F.col("rest").alias("ra"), F.col("total").alias("ta"))
+    right = index.select(*keys, "word", F.col(row_id).alias("b"), F.col("rest").alias("rb"), F.col("total").alias("tb"))
+    able = F.least("ra", "rb") * (1 + least) >= (F.col("ta") + F.col("tb")) * least - 1e-6
+    pairs = left.join(right, [*keys, "word"]).filter("a < b").filter(able).select("a", "b").distinct()
     sets = rows.select(row_id, F.col(words).alias("s"))
     both = pairs.join(sets.select(F.col(row_id).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(row_id).alias("b"), F.col("s").alias("sb")), "b")
     scored = both.withColumn("similarity", N.weighted_jaccard(F.col("sa"), F.col("sb"), weak)).filter(F.col("similarity") >= least)

@@ -37,14 +37,12 @@ def generated_keywords(spark: SparkSession, n: int, seed: int = 42) -> DataFrame
 
 
 def cluster_keywords(rows: DataFrame, least: float = 0.6) -> DataFrame:
-    """Normalise, merge variants, join similar phrases, cluster by leaders: (id, seed, tier, score)."""
+    """Normalise, merge variants, join similar phrases, cluster by leaders: (id, seed, tier, score) by rank of volume."""
     norm = T.normal_form(F.col("keyword"))
     words = rows.select("id", "market", norm.alias("norm"), T.canonical_tokens(norm).alias("t"), "volume")
     variants = words.groupBy("market", T.variant_key(F.col("t")).alias("vkey")).agg(F.max_by("norm", F.struct("volume", "norm")).alias("id"), F.sum("volume").alias("volume"), F.first("t").alias("t"))
     named = C.checkpointed(variants.select("market", "id", "volume", T.word_set(F.col("t")).alias("words"), F.array_join(F.array_sort(F.array_distinct(F.filter("t", lambda x: x.isin(*OCCASIONS)))), "|").alias("guard")))
-    ranked = C.global_rank(named, [F.desc("volume"), F.asc("id")], "rank").select("id", "rank")
-    pairs = S.similar_pairs(named, "id", "words", ["market", "guard"], least, WEAK)
-    placed = pairs.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
-    first, later = F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a"))
-    edges = placed.select(first.alias("a"), later.alias("b"), F.lit(1).alias("tier"), F.round("similarity", 6).alias("score"))
-    return C.leaders(ranked, edges)
+    ranked = C.checkpointed(C.global_rank(named, [F.desc("volume"), F.asc("id")], "rank").select("rank", "market", "guard", "words"))
+    pairs = S.similar_pairs(ranked, "rank", "words", ["market", "guard"], least, WEAK)
+    edges = pairs.select("a", "b", F.lit(1).alias("tier"), F.round("similarity", 6).alias("score"))
+    return C.leaders(ranked.select(F.col("rank").alias("id"), "rank"), edges)
