@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +39,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage at a Parquet table in the shared folder: smaller than a checkpoint, and columns are pruned on rereading."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def buckets(spark: SparkSession) -> int:
     """Partitions that hashes are dealt to: the session's shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -49,7 +55,3 @@ def dealt(df: DataFrame, n: int, key: str = "bucket") -> DataFrame:
     """Send row ``key`` = b to partition b, one bucket a partition."""
     return df.repartitionById(n, F.col(key).cast("int"))
 
-
-def stored(df: DataFrame) -> DataFrame:
-    """Keep on disk with two copies: survives the loss of an executor without recomputation."""
-    return df.persist(StorageLevel.DISK_ONLY_2)

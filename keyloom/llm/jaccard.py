@@ -16,11 +16,14 @@ bound their overlap, so a pair whose bound is too small is never verified.
 * *First round.*  Each class is verified against one document: the pivot (least
   member) that it shares most cells with.  Verified links are joined into
   components.  A group of thousands of near copies costs one verification each.
-* *Second round.*  Cells that still hold several components index their members'
-  count vectors in an R-tree (sort-tile-recursive packing, boxes with the
-  greatest count per coordinate).  A query descends only into boxes whose summed
-  minima reach the required overlap; pairs of different components that survive
-  are verified.
+* *Further rounds.*  Cells that still hold several components index their
+  members' count vectors in an R-tree (sort-tile-recursive packing, boxes with
+  the greatest count per coordinate).  A query descends only into boxes whose
+  summed minima reach the required overlap.  Every member outside its cell's
+  commonest component takes its best surviving partner of each other component
+  to verification, then the best four, sixteen and so on, until no untried pair
+  of different components survives the bound: no link is lost, and a group is
+  not compared pair by pair unless its pairs all but link.
 
 Verification compares whole shingle sets.  Documents with equal sets are one
 class from the start, so exact copies are never compared.
@@ -44,7 +47,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .common import buckets, cut, dealt
+from .common import buckets, cut, dealt, written
 from .components import components
 
 U64 = np.uint64
@@ -58,7 +61,7 @@ class Join:
 
     shingle: int = 3
     percent: int = 90
-    groups: int = 64
+    groups: int = 512
     leaf: int = 16
     held_mb: int = 64
 
@@ -339,51 +342,98 @@ def _vectors(join: Join) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Rec
                 values, bounds = shingle_sets(chunk, join)
                 points = count_vectors(values, bounds, join.groups)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("fp").slice(chunk.first, chunk.n), pa.array(np.diff(bounds)), pa.array([p.tobytes() for p in points], pa.binary())], ["fp", "n", "point"]
+                    [batch.column("fp").slice(chunk.first, chunk.n), pa.array(np.diff(bounds)), pa.array([_thin(p) for p in points], pa.binary())], ["fp", "n", "point"]
                 )
 
     return run
 
 
-def _searcher(join: Join) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Members of cells (signature, fp, label, n, point) to pairs of different labels that the bound leaves."""
+def _thin(point: np.ndarray) -> bytes:
+    """Two bytes a group, four where a count needs them."""
+    return point.astype(np.uint16 if point.max(initial=0) < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(raw: bytes, groups: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint16 if len(raw) == 2 * groups else np.uint32).astype(np.int32)
+
+
+def _searcher(join: Join, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Members of cells (signature, fp, label, n, point, tried) to the next pairs to verify.
+
+    A member looks for the ``most`` best partners of every other label that the
+    bound leaves and that it has not been compared with; members of the
+    commonest label of a cell are looked up only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [pa.Table.from_batches([b]) for b in batches]
-        if not tables:
-            return
-        t = pa.concat_tables(tables)
-        if not len(t):
+        t = pa.concat_tables(tables) if tables else None
+        if t is None or not len(t):
             return
+        # a class is held once, however many cells of this task it is in
+        fps = t["fp"].combine_chunks().dictionary_encode()
+        who = fps.indices.to_numpy().astype(np.int64)
+        names = fps.dictionary.to_pylist()
+        _, first = np.unique(who, return_index=True)
+        points = np.stack([_wide(t["point"][i].as_py(), join.groups) for i in first.tolist()])
+        sizes = t["n"].to_numpy()[first]
+        label = t["label"].combine_chunks().dictionary_encode().indices.to_numpy()[first].astype(np.int64)
+        common = np.bincount(label)
+        place = {name: k for k, name in enumerate(names)}
+        past = [k * len(names) + place[x] for k, i in enumerate(first.tolist()) for x in t["tried"][i].as_py() or () if x in place]
+
         sig = t["signature"].to_numpy()
         order = np.argsort(sig, kind="stable")
-        fps, labels = t["fp"].to_pylist(), t["label"].to_pylist()
-        n = t["n"].to_numpy()
-        points = np.frombuffer(b"".join(t["point"].to_pylist()), np.int32).reshape(-1, join.groups)
-        seen: set[tuple[bytes, bytes]] = set()
-        edge = np.append(np.flatnonzero(np.concatenate(([True], sig[order][1:] != sig[order][:-1]))), len(order))
-        for s, e in zip(edge[:-1].tolist(), edge[1:].tolist()):
-            cell = order[s:e]
-            tree = RTree(points[cell], n[cell], join.leaf)
-            names = [labels[i] for i in cell.tolist()]
-            # the members of the commonest label are looked up by all others, never by each other
-            common = max(set(names), key=lambda x: (names.count(x), x)) if len(set(names)) < 50 else None
-            for k, i in enumerate(cell.tolist()):
-                if names[k] == common:
-                    continue
-                for j in tree.query(points[i], int(n[i]), join).tolist():
-                    if names[j] != names[k]:
-                        a, b = fps[i], fps[cell[j]]
-                        seen.add((a, b) if a < b else (b, a))
-            if len(seen) >= 200_000:
-                yield _pairs(seen)
-                seen.clear()
-        if seen:
-            yield _pairs(seen)
+        who, edge = who[order], np.append(np.flatnonzero(np.concatenate(([True], np.diff(sig[order]) != 0))), len(order))
+        size = np.diff(edge)
+        found = [np.zeros(0, np.int64)]
+        # a cell of one leaf: all its members stand in the leaf's box
+        for m in range(2, join.leaf + 1):
+            cells = edge[:-1][size == m]
+            for i in range(m - 1):
+                for j in range(i + 1, m):
+                    found.append(_coded(who[cells + i], who[cells + j], len(names)))
+            if len(found) > 64:
+                found = [np.unique(np.concatenate(found))]
+        for s, e in zip(edge[:-1][size > join.leaf].tolist(), edge[1:][size > join.leaf].tolist()):
+            cell = who[s:e]
+            counts = np.bincount(label[cell])
+            top = int(counts.argmax())
+            tree = RTree(points[cell], sizes[cell], join.leaf)
+            for k in cell[(label[cell] != top) | (counts[top] == 1)].tolist():
+                near = cell[tree.query(points[k], int(sizes[k]), join)]
+                near = near[label[near] != label[k]]
+                found.append(_coded(np.full(len(near), k), near, len(names)))
+            if len(found) > 4096:
+                found = [np.unique(np.concatenate(found))]
+        pairs = np.unique(np.concatenate(found))
+        a, b = pairs // len(names), pairs % len(names)
+        on = (label[a] != label[b]) & (100 * np.minimum(sizes[a], sizes[b]) >= join.percent * np.maximum(sizes[a], sizes[b]))
+        on &= ~np.isin(pairs, np.array(past, np.int64)) & ~np.isin(b * len(names) + a, np.array(past, np.int64))
+        a, b = a[on], b[on]
+        overlap = np.concatenate([np.zeros(0, np.int64), *(np.minimum(points[a[i : i + 4096]], points[b[i : i + 4096]]).sum(1) for i in range(0, len(a), 4096))])
+        on = overlap >= join.needed(sizes[a], sizes[b])
+        a, b, overlap = a[on], b[on], overlap[on]
+        # the one of the rarer component asks; of its candidates in the other component the best go on
+        swap = common[label[a]] > common[label[b]]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        asked = a * (int(label.max()) + 1) + label[b]
+        score = overlap / (sizes[a] + sizes[b] - overlap)
+        order = np.lexsort((b, -score, asked))
+        start = np.concatenate(([True], np.diff(asked[order]) != 0)) if len(order) else np.zeros(0, bool)
+        rank = np.arange(len(order)) - np.maximum.accumulate(np.where(start, np.arange(len(order)), 0)) if len(order) else order
+        chosen = order[rank < most]
+        if len(chosen):
+            yield _pairs({tuple(sorted((names[x], names[y]))) for x, y in zip(a[chosen].tolist(), b[chosen].tolist())})
 
     return run
 
 
+def _coded(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Unordered pairs as one number."""
+    return np.minimum(a, b) * n + np.maximum(a, b)
+
+
 def _pairs(seen: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
     a, b = zip(*seen)
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
@@ -393,24 +443,34 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """(documents with n and class fingerprint, verified links between classes that connect all that are linked)."""
     n = buckets(docs.sparkSession)
     texts = R.keyed(docs)
-    found = cut(dealt(texts.mapInArrow(_pass(join, n), _PASS), n).mapInArrow(_cells, _FOUND))
+    found = written(dealt(texts.mapInArrow(_pass(join, n), _PASS), n).mapInArrow(_cells, _FOUND), "cells")
     rows = found.filter("kind = 0").select("doc_id", "key", "n", "fp")
     cells = found.filter("kind = 1").select("signature", "fp", "pivot")
     shared = cells.filter("fp <> pivot").groupBy("fp", "pivot").agg(F.count("*").alias("cells"))
     first = shared.groupBy("fp").agg(F.max_by("pivot", F.struct("cells", "pivot")).alias("pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    tried = cut(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     wanted = cells.select("fp").distinct()
     holders = rows.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key")).join(wanted, "fp")
-    text = cut(texts.select("key", "text").join(holders, "key").groupBy("fp").agg(F.first("text").alias("text")))
-    one = cut(verified(first, text, join))
-    parts = components(one)
-    labelled = cells.join(parts.select(F.col("node").alias("fp"), "component"), "fp", "left").select("signature", "fp", F.coalesce("component", "fp").alias("label"))
-    mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("signature")
-    points = text.mapInArrow(_vectors(join), "fp binary, n long, point binary")
-    members = labelled.join(mixed, "signature").join(points, "fp").select("signature", "fp", "label", "n", "point")
-    again = members.repartition(n, "signature").mapInArrow(_searcher(join), "a binary, b binary").distinct()
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    two = verified(again.join(tried, ["a", "b"], "left_anti"), text, join)
-    return rows, cut(one.unionByName(two))
+    text = written(texts.select("key", "text").join(holders, "key").groupBy("fp").agg(F.first("text").alias("text")), "texts")
+    linked = cut(verified(tried, text, join))
+    points, most = None, 1
+    while True:
+        # cells that hold several components; what is one component stays one
+        label = components(linked).select(F.col("node").alias("fp"), "component")
+        labelled = cells.select("signature", "fp").join(label, "fp", "left").select("signature", "fp", F.coalesce("component", "fp").alias("label"))
+        mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("signature")
+        open_cells = written(labelled.join(mixed, "signature"), "open")
+        if points is None:
+            points = written(text.join(open_cells.select("fp").distinct(), "fp").mapInArrow(_vectors(join), "fp binary, n long, point binary"), "points")
+        both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        past = both.join(open_cells.select(F.col("fp").alias("a")).distinct(), "a").groupBy("a").agg(F.collect_set("b").alias("tried"))
+        members = open_cells.join(points, "fp").join(past.withColumnRenamed("a", "fp"), "fp", "left").select("signature", "fp", "label", "n", "point", "tried")
+        again = cut(members.repartition(n, "signature").mapInArrow(_searcher(join, most), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"))
+        if again.isEmpty():
+            return rows, linked
+        linked = cut(linked.unionByName(verified(again, text, join)))
+        tried = cut(tried.unionByName(again))
+        cells, most = open_cells, 4 * most
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
