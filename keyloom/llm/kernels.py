@@ -168,6 +168,17 @@ def byte_codes(data: np.ndarray, seed: int = 0) -> np.ndarray:
     return _CODES[seed][data]
 
 
+def ragged_hashes(data: np.ndarray, bounds: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of the stretches between bounds, some MB at a time."""
+    out, at, n = np.empty(len(bounds) - 1, U64), 0, len(bounds) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + CHUNK_BYTES, "right")) - 1)
+        b = bounds[at : to + 1] - bounds[at]
+        out[at:to] = span_hashes(prefix_sums(byte_codes(data[bounds[at] : bounds[to]], seed), seed), b[:-1], b[1:], seed)
+        at = to
+    return out
+
+
 def rolling(sums: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
     """Hashes of all stretches of ``width`` units; the caller drops those that cross documents."""
     n = len(sums) - width
