@@ -21,7 +21,7 @@ bound their overlap, so a pair whose bound is too small is never verified.
   the greatest count per coordinate).  A query descends only into boxes whose
   summed minima reach the required overlap.  Every member outside its cell's
   commonest component takes its best surviving partner of each other component
-  to verification, then the best four, sixteen and so on, until no untried pair
+  to verification, then the best sixteen and so on, until no untried pair
   of different components survives the bound: no link is lost, and a group is
   not compared pair by pair unless its pairs all but link.
 
@@ -63,7 +63,7 @@ class Join:
     percent: int = 90
     groups: int = 512
     leaf: int = 16
-    held_mb: int = 64
+    held_mb: int = 32
 
     def differences(self, larger: int) -> int:
         """Most shingles in which linked sets differ, the larger having ``larger``."""
@@ -195,7 +195,7 @@ def _pass(join: Join, n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], It
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for chunk in K.chunks(batch.column("text")):
+            for chunk in K.chunks(batch.column("text"), K.CHUNK_BYTES // 2):
                 values, bounds = shingle_sets(chunk, join)
                 fp = fingerprints(values, bounds)
                 doc, sig = blocks_of(values, bounds, sizes)
@@ -404,7 +404,7 @@ def _searcher(join: Join, most: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                 near = cell[tree.query(points[k], int(sizes[k]), join)]
                 near = near[label[near] != label[k]]
                 found.append(_coded(np.full(len(near), k), near, len(names)))
-            if len(found) > 4096:
+            if len(found) > 256:
                 found = [np.unique(np.concatenate(found))]
         pairs = np.unique(np.concatenate(found))
         a, b = pairs // len(names), pairs % len(names)
@@ -439,8 +439,8 @@ def _pairs(seen: set[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
-def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
-    """(documents with n and class fingerprint, verified links between classes that connect all that are linked)."""
+def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents with n and class fingerprint; verified links that connect all that are linked; (fp, component) of linked classes."""
     n = buckets(docs.sparkSession)
     texts = R.keyed(docs)
     found = written(dealt(texts.mapInArrow(_pass(join, n), _PASS), n).mapInArrow(_cells, _FOUND), "cells")
@@ -453,31 +453,41 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     holders = rows.filter("n > 0").groupBy("fp").agg(F.min("key").alias("key")).join(wanted, "fp")
     text = written(texts.select("key", "text").join(holders, "key").groupBy("fp").agg(F.first("text").alias("text")), "texts")
     linked = cut(verified(tried, text, join))
-    points, most = None, 1
+    labels = components(linked).withColumnRenamed("node", "fp")
+    points, most, cells = None, 1, cells.select("signature", "fp")
     while True:
         # cells that hold several components; what is one component stays one
-        label = components(linked).select(F.col("node").alias("fp"), "component")
-        labelled = cells.select("signature", "fp").join(label, "fp", "left").select("signature", "fp", F.coalesce("component", "fp").alias("label"))
+        labelled = cells.join(labels, "fp", "left").select("signature", "fp", F.coalesce("component", "fp").alias("label"))
         mixed = labelled.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("signature")
         open_cells = written(labelled.join(mixed, "signature"), "open")
         if points is None:
             points = written(text.join(open_cells.select("fp").distinct(), "fp").mapInArrow(_vectors(join), "fp binary, n long, point binary"), "points")
         both = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        past = both.join(open_cells.select(F.col("fp").alias("a")).distinct(), "a").groupBy("a").agg(F.collect_set("b").alias("tried"))
-        members = open_cells.join(points, "fp").join(past.withColumnRenamed("a", "fp"), "fp", "left").select("signature", "fp", "label", "n", "point", "tried")
-        again = cut(members.repartition(n, "signature").mapInArrow(_searcher(join, most), "a binary, b binary").distinct().join(tried, ["a", "b"], "left_anti"))
+        past = both.groupBy(F.col("a").alias("fp")).agg(F.collect_set("b").alias("tried"))
+        members = open_cells.join(points.join(past, "fp", "left"), "fp").select("signature", "fp", "label", "n", "point", "tried")
+        again = cut(members.repartition(n, "signature").mapInArrow(_searcher(join, most), "a binary, b binary").distinct())
         if again.isEmpty():
-            return rows, linked
-        linked = cut(linked.unionByName(verified(again, text, join)))
-        tried = cut(tried.unionByName(again))
-        cells, most = open_cells, 4 * most
+            return rows, linked, labels
+        new = cut(verified(again, text, join))
+        tried = tried.unionByName(again)
+        cells, most = open_cells.select("signature", "fp"), 16 * most
+        if new.isEmpty():
+            continue
+        linked = linked.unionByName(new)
+        # only the components that new links join are labelled anew
+        name = lambda c: labels.select(F.col("fp").alias(c), F.col("component").alias(f"{c}_c"))
+        joins = new.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("a_c", "a").alias("a"), F.coalesce("b_c", "b").alias("b"))
+        moved = components(joins)
+        alone = moved.join(labels.select(F.col("component").alias("node")).distinct(), "node", "left_anti").select(F.col("node").alias("fp"), "component")
+        old = labels.join(moved.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("fp", F.coalesce("to", "component").alias("component"))
+        labels = cut(old.unionByName(alone))
 
 
 def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     """doc_id, n_shingles, class_id (least doc_id with the same set), component_id (least doc_id reachable), key, for every row."""
-    rows, linked = links(docs, join or Join())
+    rows, _, labels = links(docs, join or Join())
     classes = rows.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
-    placed = classes.join(components(linked).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "class_id", F.coalesce("component", "fp").alias("component"))
+    placed = classes.join(labels, "fp", "left").select("fp", "class_id", F.coalesce("component", "fp").alias("component"))
     least = placed.groupBy("component").agg(F.min("class_id").alias("component_id"))
     ids = placed.join(least, "component").select("fp", "class_id", "component_id")
     out = rows.join(ids, "fp", "left")
