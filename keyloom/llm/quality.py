@@ -1,4 +1,4 @@
-"""Quality rules: tokeniser fertility with rejection bands per script, and plain counts.
+"""Quality rules: tokeniser fertility with rejection bands per language, and plain counts.
 
 For every document a public vocabulary measures
 
@@ -7,9 +7,12 @@ For every document a public vocabulary measures
 * the entropy of the document's token distribution, in bits, and relative to
   the greatest that its number of tokens allows.
 
-Each script has a band of its own.  A document is rejected when it fails the
-base rules (too few words, too many words in repeated windows) or leaves its
-script's band.
+Each language (column ``lang``) has a band of its own, fitted on labels by
+:func:`fit`: limits of fertility, and the least entropy for the number of
+tokens, as entropy grows with length.  Where a language has none, or the column
+is missing, the dominant script's wide band stands.  A document is rejected
+when it fails the base rules (too few words, too many words in repeated
+windows) or leaves its band.
 
 Words are encoded one by one (the vocabulary never merges across white space),
 so each distinct word of a chunk is encoded once.
@@ -37,14 +40,19 @@ from .coder import PieceCoder
 
 @dataclass(frozen=True)
 class Band:
-    """Limits of one script; a document is rejected outside them."""
+    """Limits of one language or script; a document is rejected outside them."""
 
     min_chars_per_token: float
     max_chars_per_token: float
     max_byte_share: float
     min_relative_entropy: float
+    #: Least entropy in bits of a text of 2^KNOTS tokens, linear between them; empty for no such limit.
+    min_entropy_bits: tuple[float, ...] = ()
 
 
+KNOTS = tuple(range(5, 14))
+#: A limit lies so many standard deviations under what quality 1 has; texts of up to 2^6 tokens are few and vary more.
+DEVIATIONS = (10, 10, 5, 5, 5, 5, 5, 5, 5)
 #: Limits by dominant script.  Bytes fall back more often where the vocabulary has few letters of a script.
 BANDS = {
     "latin": Band(1.4, 9.0, 0.10, 0.35),
@@ -55,6 +63,14 @@ BANDS = {
     "none": Band(0.30, 9.0, 0.50, 0.20),
 }
 
+#: Limits by language, the outcome of :func:`fit` on documents and labels of sf0.1.
+LANGUAGE_BANDS = {
+    "de": Band(1.54, 3.65, 0.10, 0.35, (3.78, 4.27, 5.24, 5.62, 5.94, 6.21, 6.4, 6.48, 6.51)),
+    "en": Band(1.33, 3.7, 0.10, 0.35, (3.72, 4.27, 5.29, 5.72, 6.08, 6.38, 6.6, 6.69, 6.73)),
+    "es": Band(1.33, 3.12, 0.10, 0.35, (3.78, 4.28, 5.25, 5.64, 5.98, 6.26, 6.46, 6.55, 6.58)),
+    "fr": Band(1.24, 3.29, 0.10, 0.35, (3.87, 4.31, 5.23, 5.59, 5.89, 6.14, 6.33, 6.41, 6.45)),
+}
+
 
 @dataclass(frozen=True)
 class Rules:
@@ -65,6 +81,7 @@ class Rules:
     max_repeat_percent: int = 30
     window: int = 8
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
+    language_bands: dict[str, Band] = field(default_factory=lambda: dict(LANGUAGE_BANDS))
     #: Distinct words whose tokens a worker remembers before it starts afresh.
     remembered: int = 600_000
 
@@ -166,8 +183,18 @@ def _per_doc(flags: np.ndarray, chunk: K.Chunk) -> np.ndarray:
     return K.grouped_sum(flags.astype(np.int64), chunk.offsets)
 
 
-def measure(chunk: K.Chunk, rules: Rules, vocab: Vocabulary) -> dict[str, np.ndarray]:
-    """All measures of one chunk, an array a column."""
+def least_bits(bands: list[Band], n_tokens: np.ndarray) -> np.ndarray:
+    """The least entropy that each text's band allows for its number of tokens."""
+    out = np.zeros(len(bands), np.float64)
+    at = np.log2(np.maximum(n_tokens, 1))
+    for b in {id(b): b for b in bands if b.min_entropy_bits}.values():
+        own = np.array([x is b for x in bands], bool)
+        out[own] = np.interp(at[own], KNOTS, b.min_entropy_bits)
+    return out
+
+
+def measure(chunk: K.Chunk, rules: Rules, vocab: Vocabulary, langs: list[str | None] | None = None) -> dict[str, np.ndarray]:
+    """All measures of one chunk, an array a column; ``langs`` are the texts' languages."""
     words = K.Words(chunk, K.SPACED)
     hashes = words.hashes()
     n_words = words.counts.astype(np.int64)
@@ -205,10 +232,11 @@ def measure(chunk: K.Chunk, rules: Rules, vocab: Vocabulary) -> dict[str, np.nda
         "script": script,
     }
     base = (n_words < rules.min_words) | (100 * out["n_repeat_words"] > rules.max_repeat_percent * n_words)
-    limit = {f: np.array([getattr(rules.bands[s], f) for s in script.tolist()], np.float64) for f in Band.__dataclass_fields__}
+    bands = [rules.language_bands.get(lang) or rules.bands[s] for lang, s in zip(langs or [None] * chunk.n, script.tolist())]
+    limit = {f: np.array([getattr(b, f) for b in bands], np.float64) for f in Band.__dataclass_fields__ if f != "min_entropy_bits"}
     reason = np.full(chunk.n, "", object)
     for name, failed in (
-        ("entropy", out["relative_entropy"] < limit["min_relative_entropy"]),
+        ("entropy", (out["relative_entropy"] < limit["min_relative_entropy"]) | (entropy < least_bits(bands, n_tokens))),
         ("byte fallback", out["byte_share"] > limit["max_byte_share"]),
         ("fertility", (out["chars_per_token"] < limit["min_chars_per_token"]) | (out["chars_per_token"] > limit["max_chars_per_token"])),
         ("base", base),
@@ -219,13 +247,13 @@ def measure(chunk: K.Chunk, rules: Rules, vocab: Vocabulary) -> dict[str, np.nda
 
 
 def measurer(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For ``mapInArrow``: (doc_id, text) to :data:`SCHEMA`."""
+    """For ``mapInArrow``: (doc_id, text, lang) to :data:`SCHEMA`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(rules.vocabulary, rules.remembered)
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
-                got = measure(chunk, rules, vocab)
+                got = measure(chunk, rules, vocab, batch.column("lang").slice(chunk.first, chunk.n).to_pylist())
                 ids = batch.column("doc_id").slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(v) for v in got.values())], ["doc_id", *got])
 
@@ -233,8 +261,9 @@ def measurer(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
 
 
 def quality(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
-    """Measures, reason and verdict of every row of ``docs`` (doc_id, text); no shuffle."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    """Measures, reason and verdict of every row of ``docs`` (doc_id, text and, if known, lang); no shuffle."""
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), lang.cast("string").alias("lang"))
     return text.mapInArrow(measurer(rules or Rules()), SCHEMA)
 
 
@@ -246,6 +275,37 @@ def kept_rows(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
         vocab = vocabulary(rules.vocabulary, rules.remembered)
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
-                yield batch.slice(chunk.first, chunk.n).filter(pa.array(measure(chunk, rules, vocab)["kept"]))
+                part = batch.slice(chunk.first, chunk.n)
+                langs = part.column("lang").to_pylist() if "lang" in part.schema.names else None
+                yield part.filter(pa.array(measure(chunk, rules, vocab, langs)["kept"]))
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> dict[str, Band]:
+    """Bands by language from labels (doc_id, quality) on at most ``most`` documents, those with the least hashes.
+
+    Only quality 1 that passes the base rules counts.  The entropy limit is a
+    parabola over the logarithm of the number of tokens, less
+    :data:`DEVIATIONS` of the spread of all languages near that length; the
+    fertility limits leave a quarter below the least and a half above the greatest.
+    """
+    sample = docs.join(labels.select("doc_id", "quality"), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    good = quality(sample.filter("quality = 1")).filter("not base_failed").select("doc_id", "n_tokens", "chars_per_token", "entropy_bits")
+    rows = good.join(sample.select("doc_id", "lang"), "doc_id").filter("lang is not null").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()  # at most ``most``
+    lang = np.array([r["lang"] for r in rows])
+    size, chars, bits = (np.array([r[c] for r in rows], np.float64) for c in ("n_tokens", "chars_per_token", "entropy_bits"))
+    size, knots = np.log2(size), np.array(KNOTS, np.float64)
+    curves, rest = {}, np.zeros(len(rows))
+    for k in sorted(set(lang.tolist())):
+        own = lang == k
+        if own.sum() < 50:  # too few for a curve; the script's band stands
+            continue
+        curves[k] = np.polyval(np.polyfit(np.minimum(size[own], 12), bits[own], 2), np.minimum(knots, 12))
+        rest[own] = bits[own] - np.interp(size[own], knots, curves[k])
+    spread = np.array([rest[near].std() if (near := abs(size - k) < 1).sum() > 20 else np.nan for k in knots])
+    spread = np.interp(knots, knots[~np.isnan(spread)], spread[~np.isnan(spread)])
+    return {
+        k: Band(round(0.75 * chars[lang == k].min(), 2), round(1.5 * chars[lang == k].max(), 2), 0.10, 0.35, tuple(np.round(c - np.array(DEVIATIONS) * spread, 2).tolist()))
+        for k, c in curves.items()
+    }

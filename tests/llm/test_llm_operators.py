@@ -95,6 +95,20 @@ def test_fertility_by_plain_encoding(docs, cases):
             assert r["entropy_bits"] == pytest.approx(max(h, 0), abs=1e-9)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_bands_reject_junk_and_no_good_text(spark):
+    fitted = "/root/testdata/sf0.1"
+    read = lambda t: spark.read.parquet(f"{fitted}/{t}.parquet")
+    assert quality.fit(read("documents"), read("labels")) == quality.LANGUAGE_BANDS
+    judged = quality.quality(read("documents")).join(read("labels"), "doc_id").filter("not base_failed")
+    beyond = {r["quality"]: (r["rejected"], r["n"]) for r in judged.groupBy("quality").agg(F.sum((~F.col("kept")).cast("int")).alias("rejected"), F.count("*").alias("n")).collect()}
+    assert beyond[1][0] == 0 and 10 * beyond[0][0] > 8 * beyond[0][1]
+    # an unknown language has its script's wide band
+    other = quality.quality(read("documents").withColumn("lang", F.lit("xx")))
+    assert other.filter("not kept and not base_failed").count() == 0
+    assert quality.quality(read("documents").drop("lang")).filter("not kept and not base_failed").count() == 0
+
+
 def test_suffixes(docs, cases, none):
     got = suffixes.without_substrings(docs)
     assert rows(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op4(cases)
