@@ -65,8 +65,7 @@ def ingest(rows: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
     keyed = rows.withColumn("join_key", T.join_key(F.col("keyword"))).withColumn("idx", F.monotonically_increasing_id())
     merged = C.checkpointed(M.merge_sources(keyed, ["market", "join_key"]).withColumn("id", F.xxhash64("market", "join_key")))
     words = merged.withColumn("words", T.tokens(T.normal_form(F.col("join_key"))))
-    fixes = Sp.typos(words, "words", c.spelling)
-    spelt = words.join(Sp.respell(words, "id", "words", fixes), "id", "left")
+    spelt = words.join(Sp.respell_all(words, "id", "words", c.spelling), "id", "left")
     x = spelt.withColumn("norm", F.coalesce("respelled", F.lit("")))
     rules = [
         ("empty", F.col("norm") == ""),

@@ -145,6 +145,19 @@ def test_spelling(spark):
     assert Sp.respell(df.filter("id = 100"), "id", "words", fixes).first()["respelled"] == "personal blanket"
 
 
+def test_all_spelling_maps(spark):
+    texts = ["thanksgiving day"] * 60 + ["when is thanksgiving"] * 50 + ["thanksgiving costume"] * 40
+    odd = {
+        "thnksgving day": "thanksgiving day", "thanks giving day": "thanksgiving day", "thanksgivi g costume": "thanksgiving costume", "whenis thanksgiving": "when is thanksgiving",
+        "thanksgiving da": "thanksgiving day", "thanksgivng da": "thanksgiving day", "thanksgving": "thanksgiving", "thanksgivign costme": "thanksgiving costume", "day": "day", "is real": "is real",
+    }
+    rows = [(i, t.split()) for i, t in enumerate([*texts, *odd, ""])]
+    df = spark.createDataFrame(rows, "id long, words array<string>")
+    got = {r["id"]: (r["respelled"], r["fixed"]) for r in Sp.respell_all(df, "id", "words").collect()}
+    assert {t: got[len(texts) + i] for i, t in enumerate(odd)} == {t: (w, t != w) for t, w in odd.items()}
+    assert all(got[i] == (t, False) for i, t in enumerate(texts))
+
+
 def test_osa(spark):
     assert T.osa("abcd", "abdc", 2) == 1 and T.osa("abc", "xyz", 1) == 2 and T.osa("a", "abcd", 2) == 3
 
