@@ -19,6 +19,9 @@ end of a block of documents is cut at powers of two, which need no padding.
 Documents never leave the partition that the scan gives them: there is no
 shuffle, each task packs its own blocks, and a block is bounded in tokens.
 
+Added tokens of the tokenizer (``<|endoftext|>``) that a text holds get their
+own ids, as the tokenizer gives them.
+
 Nulls and edge cases: a null text counts as empty; an empty text is its end
 token alone; a very long text spans several blocks' worth of tokens and is cut
 like any other; repeated rows are packed as often as they occur; extra columns
@@ -27,6 +30,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import deque
 from collections.abc import Callable, Iterator
@@ -45,9 +49,10 @@ from .coder import PieceCoder, segments
 
 @dataclass(frozen=True)
 class Packer:
-    """Parameters; ``ranks`` holds the same vocabulary as the byte_bpe_50k.json tokenizer, as merge ranks."""
+    """Parameters; ``ranks`` holds the same vocabulary as ``tokenizer``, as merge ranks."""
 
     ranks: str = field(default_factory=lambda: public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokenizer: str = field(default_factory=lambda: public_tokenizers.path("byte_bpe_50k.json"))
     pattern: str = public_tokenizers.PATTERN
     end_id: int = 0
     length: int = 1024
@@ -58,8 +63,19 @@ class Packer:
     remembered: int = 600_000
 
 
+def added_tokens(tokenizer: str) -> dict[str, int]:
+    """The tokenizer's added tokens; in plain text, too, it matches them before all else."""
+    import json
+
+    with open(tokenizer, encoding="utf-8") as f:
+        added = json.load(f)["added_tokens"]
+    if any(t[k] for t in added for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that take in what is beside them are not supported")
+    return {t["content"]: t["id"] for t in added}
+
+
 @lru_cache(maxsize=2)
-def byte_coder(ranks: str, pattern: str, most: int) -> PieceCoder:
+def byte_coder(ranks: str, pattern: str, most: int, tokenizer: str) -> PieceCoder:
     """One a worker process, shared by its tasks."""
     import base64
 
@@ -68,16 +84,26 @@ def byte_coder(ranks: str, pattern: str, most: int) -> PieceCoder:
     with open(ranks, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     own = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=table, special_tokens={})
+    added = added_tokens(tokenizer)
+    literal = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))) or r"(?!)")
     widths = np.zeros(max(table.values()) + 1, np.int64)
     widths[list(table.values())] = [len(k) for k in table]
 
+    def split_at_added(text: str) -> list[int]:
+        """What is between added tokens is encoded by itself; none holds white space, so a segment has them whole."""
+        out, at = [], 0
+        for m in literal.finditer(text):
+            out += [*own.encode_ordinary(text[at : m.start()]), added[m[0]]]
+            at = m.end()
+        return out + own.encode_ordinary(text[at:])
+
     def encode(texts: list[str]) -> list[list[int]]:
         """All parts in one call where they begin with a blank or a newline and end in what is none.
 
         Such parts are tokenised alike alone and side by side; the tokens'
-        widths tell where each part ends.
+        widths tell where each part ends.  Parts with added tokens are split there.
         """
-        joint = [i for i, t in enumerate(texts) if t[0] in " \n" and t[-1].isprintable() and not t[-1].isspace()]
+        joint = [i for i, t in enumerate(texts) if t[0] in " \n" and t[-1].isprintable() and not t[-1].isspace() and not literal.search(t)]
         out: list[list[int]] = [[]] * len(texts)
         ids = np.array(own.encode_ordinary("".join(texts[i] for i in joint)), np.int64)
         ends = np.searchsorted(np.cumsum(widths[ids]), np.cumsum([len(texts[i].encode()) for i in joint])) + 1 if joint else []
@@ -86,7 +112,7 @@ def byte_coder(ranks: str, pattern: str, most: int) -> PieceCoder:
             out[i] = flat[at:end]
             at = end
         for i in set(range(len(texts))).difference(joint):
-            out[i] = own.encode_ordinary(texts[i])
+            out[i] = split_at_added(texts[i])
         return out
 
     return PieceCoder(encode, most)
@@ -189,7 +215,7 @@ def _packer(p: Packer, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        coder = byte_coder(p.ranks, p.pattern, p.remembered)
+        coder = byte_coder(p.ranks, p.pattern, p.remembered, p.tokenizer)
         number = TaskContext.get().partitionId() << 40  # sequences of a task are numbered within its own range
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0

@@ -167,6 +167,21 @@ def test_packing(docs, cases, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_ids_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"hi {end} there", end, f"{end}{end}", f"a{end}b", f"a  {end}  b", f"x\n\n{end}\n\ny. {end}", f"\t{end}\t z {end}é", "<|endof text|> <|endoftext|", f"\u3000{end}\u3000 q", f" {end}" * 400, f"<{end}>", f"<|endoftext{end}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in packing.pack(docs).collect():
+        got.setdefault(r["doc_id"], []).append((r["start"], r["ids"]))
+    for i, t in enumerate(texts):
+        assert [x for _, ids in sorted(got[i]) for x in ids] == [*contract.encode(t, add_special_tokens=False).ids, 0], t
+
+
 def test_cuts_are_optimal():
     rng = random.Random(4)
     p = packing.Packer(length=16, stride=5, stride_penalty=4)
