@@ -18,7 +18,8 @@ in blocks of at most ``block_windows``, so a broadcast never outgrows its bound
 however large the benchmark is; documents are never shuffled.
 
 Nulls and edge cases: a null or wordless text has no words and is clean; a null
-or wordless item has no windows; repeated items count once per item_id; repeated
+or wordless item has no windows; the windows of an item without item_id hit like
+any other but add nothing to the items found; repeated items count once per item_id; repeated
 document rows give repeated result rows; extra columns are ignored.
 """
 
@@ -175,10 +176,12 @@ def _blocks(benchmark: DataFrame, rules: Windows) -> Iterator[dict[tuple[bytes,
     block: dict[tuple[bytes, ...], set[str]] = {}
     given = False
     for r in rows.dropDuplicates().toLocalIterator():  # one partition of the query set at a time
-        if r["text"] is None or r["item_id"] is None:
+        if r["text"] is None:
             continue
         for w in item_windows(r["text"].encode(), rules.width):
-            block.setdefault(w, set()).add(r["item_id"])
+            owners = block.setdefault(w, set())
+            if r["item_id"] is not None:
+                owners.add(r["item_id"])
         if len(block) >= rules.block_windows:
             yield block
             block, given = {}, True

@@ -212,6 +212,16 @@ def test_contamination(spark, docs, cases, none):
     assert contamination.digest(contamination.matches(none, benchmark)).count() == 0
 
 
+def test_items_without_id_contaminate(spark):
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"head {passage} tail"), (2, "clean text"), (3, "short item here")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, passage), (7, "short item"), (None, "short item"), (None, None)], "item_id long, text string")
+    for rules in (contamination.Windows(), contamination.Windows(block_windows=1)):
+        found = contamination.digest(contamination.matches(docs, benchmark, rules))
+        assert rows(found, "doc_id", "n_hit", "n_items", "items_sha256", "contaminated") == [(1, 11, 0, brute.sha(b""), True), (2, 0, 0, brute.sha(b""), False), (3, 2, 1, brute.sha(b"7"), True)]
+        assert [r["doc_id"] for r in contamination.clean_rows(docs, benchmark, rules).collect()] == [2]
+
+
 def test_sharding(docs, cases, none):
     got = sharding.shard(docs, [1.0] * 24)
     assert rows(got, "doc_id", "size", "text_crc32", "shard", "grown_shard") == brute.op8(cases)
