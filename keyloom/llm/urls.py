@@ -7,7 +7,8 @@ or redirect target form components, found distributedly, and a block in the
 component reaches every alias, unless an alias is explicitly allowed.  With no
 decision in reach the default stands.
 
-Only DataFrame functions are used.
+Only DataFrame functions are used.  Attribute values are unescaped and relative
+targets resolved at the page's folder; a ``base`` element is not read.
 
 Nulls and edge cases: a null url or one without ``://`` has an empty host and
 path, fits no rule and takes the default; a null or empty html has no links;
@@ -17,7 +18,9 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,27 +72,67 @@ def matched(host: Column, path: Column, rules: list[Rule]) -> Column:
     return out
 
 
+def unescaped(text: Column) -> Column:
+    """The text with its character references (those that end in a semicolon) replaced, each once."""
+    names = F.from_json(F.lit(json.dumps({k[:-1]: v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+    parts = F.regexp_extract_all(text, F.lit(r"(?s)(&#?[A-Za-z0-9]{1,32};|&|[^&]+)"), 1)
+
+    def plain(x: Column) -> Column:
+        number = F.regexp_extract(x, r"^&#([0-9]{1,7});$", 1)
+        digits = F.when(number != "", F.conv(number, 10, 16)).otherwise(F.regexp_extract(x, r"^&#[xX]([0-9A-Fa-f]{1,6});$", 1))
+        code = F.conv(digits, 16, 10).cast("long")
+        named = F.element_at(names, F.regexp_extract(x, r"^&([A-Za-z0-9]+);$", 1))
+        valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(~F.startswith(x, F.lit("&")), x).when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(F.coalesce(named, x))
+
+    return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(parts, plain), "")).otherwise(text)
+
+
 def _attribute(tag: Column, name: str) -> Column:
-    return F.regexp_extract(tag, rf"""(?is)\b{name}\s*=\s*["']?([^"'\s>]+)""", 1)
+    pattern = rf"""(?is)(?<![\w-]){name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
+    return F.trim(unescaped(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
 
 
 def link_targets(html: Column) -> Column:
     """Urls that a page names as its canonical address or redirects to."""
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), 1), lambda t: F.lower(_attribute(t, "rel")) == "canonical")
+    canonical_rel = lambda t: F.array_contains(F.split(ascii_lower(_attribute(t, "rel")), r"\s+"), "canonical")
+    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), 1), canonical_rel)
     canonical = F.transform(links, lambda t: _attribute(t, "href"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda t: F.lower(_attribute(t, "http-equiv")) == "refresh")
-    redirects = F.transform(metas, lambda t: F.regexp_extract(t, r"""(?is)url\s*=\s*["']?([^"'\s>]+)""", 1))
+    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda t: ascii_lower(_attribute(t, "http-equiv")) == "refresh")
+    redirects = F.transform(metas, lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"""(?is)url\s*=\s*["']?([^"']+)""", 1)))
     some = F.instr(F.lower(html), "canonical") + F.instr(F.lower(html), "refresh") > 0
     return F.when(some, F.concat(canonical, redirects)).otherwise(F.array().cast("array<string>"))
 
 
+def without_dots(path: Column) -> Column:
+    """An absolute path without ``.`` and ``..`` segments."""
+    parts = F.split(path, "/", -1)
+    none = F.array().cast("array<string>")
+    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    # a dot segment at the end stands for the folder
+    return F.concat(F.lit("/"), F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
+def resolved(url: Column, target: Column) -> Column:
+    """The target as an absolute address, seen from the page at ``url``; null where it is none (``mailto:`` and the like)."""
+    root = F.concat(F.regexp_extract(url, r"(?s)^(.*?://)", 1), host_of(url))
+    path, query = F.regexp_extract(target, r"(?s)^([^?#]*)", 1), F.regexp_extract(target, r"(?s)^[^?#]*(\?[^#]*)?", 1)
+    folder = F.concat(F.lit("/"), F.regexp_extract(path_of(url), r"(?s)^/(.*/)", 1))
+    return (
+        F.when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*://")), target)
+        .when(F.startswith(target, F.lit("//")), F.concat(F.lit("http:"), target))
+        .when(F.rlike(target, F.lit(r"^[A-Za-z][A-Za-z0-9+.\-]*:")), F.lit(None))
+        .when((target == "") | F.startswith(target, F.lit("#")), url)
+        .when(F.startswith(target, F.lit("?")), F.concat(root, path_of(url), query))
+        .when(F.startswith(target, F.lit("/")), F.concat(root, without_dots(path), query))
+        .otherwise(F.concat(root, without_dots(F.concat(folder, path)), query))
+    )
+
+
 def edges(pages: DataFrame) -> DataFrame:
-    """(a, b): the alias keys of a page and of a target it names; addresses without host stay on the page's."""
+    """(a, b): the alias keys of a page and of a target it names, relative targets seen from the page."""
     found = pages.select(F.col("url"), F.explode(link_targets(F.col("html"))).alias("target"))
-    scheme = F.regexp_extract("url", r"(?s)^(.*?://)", 1)
-    full = F.when(F.instr("target", "://") > 0, F.col("target")).when(F.startswith("target", F.lit("//")), F.concat(F.lit("http:"), "target")).otherwise(
-        F.concat(scheme, host_of(F.col("url")), F.when(F.startswith("target", F.lit("/")), "").otherwise("/"), F.col("target"))
-    )
+    full = resolved(F.col("url"), F.col("target"))
     return found.select(alias_key(F.col("url")).alias("a"), alias_key(full).alias("b")).filter("a <> '' and b <> '' and a <> b")
 
 

@@ -279,6 +279,28 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), registry.URL_RULES).count() == 0
 
 
+def test_url_targets_against_the_standard_library(spark):
+    from html import unescape
+    from urllib.parse import urldefrag, urljoin
+
+    page = "http://h.org/a/b/c?q=1"
+    hrefs = ["http://h/x?page=2&amp;ref=x", "d", "../d?x", "./", "..", "../../../e", "/f/../g", "?z=1&amp;y", "#top", "", "/r?u=http://k.org/", "//k.org/p", "&#x2f;n&#47;m", "a&amp;lt;b", "caf&eacute;", "&#x1F600;", "x&nope;y", "http://h.org/x#f"]
+    df = spark.createDataFrame([(i, page, h) for i, h in enumerate(hrefs)], "i long, url string, target string")
+    got = {r["i"]: r["t"] for r in df.select("i", urls.resolved(F.col("url"), urls.unescaped(F.col("target"))).alias("t")).collect()}
+    assert {h: urldefrag(got[i])[0] for i, h in enumerate(hrefs)} == {h: urldefrag(urljoin(page, unescape(h)))[0] for h in hrefs}
+
+
+def test_blocks_reach_aliases_of_ordinary_html(spark):
+    block = "http://s.net/es/"
+    pages = [
+        (1, "http://h.org/x?page=2&ref=x", f'<link rel="canonical" href="{block}1">'), (2, "http://i.org/y", '<link rel="canonical" href="http://h.org/x?page=2&amp;ref=x">'),
+        (3, "http://j.org/a/b", "<link rel='nofollow Canonical' href='c'>"), (4, "http://j.org/a/c", f'<link rel="canonical" href="{block}2">'), (5, "http://j.org/c", None),
+        (6, "http://k.org/a", f"<meta http-equiv=refresh content=\"0; URL='{block}3'\">"), (7, "http://l.org/a", '<link rel="canonical" data-href="http://s.net/es/" href="mailto:x">'),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["decided_by"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES).collect()}
+    assert got == {i: ("block", "alias") for i in (1, 2, 3, 4, 6)} | {5: ("allow", "default"), 7: ("allow", "default")}
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(60)]
