@@ -59,7 +59,7 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     joined = b" ".join(words)
     off = np.cumsum([0] + [len(w) + 1 for w in words])
     data = np.frombuffer(joined, np.uint8)
-    return K.span_hashes(K.prefix_sums(K.byte_codes(data)), off[:-1], off[:-1] + np.array([len(w) for w in words], np.int64))
+    return K.stretch_hashes(data, off[:-1], off[:-1] + np.array([len(w) for w in words], np.int64))
 
 
 def item_windows(text: bytes, width: int) -> list[tuple[bytes, ...]]:

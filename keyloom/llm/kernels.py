@@ -4,11 +4,15 @@ All of them work on one chunk of texts at a time: the UTF-8 bytes of several
 documents laid end to end plus the offsets between them.  Nothing ever crosses
 a document boundary.  Hashes are polynomial hashes modulo 2**64 over randomised
 byte codes, finished by a 64-bit mixer, so any stretch costs O(1) after one
-prefix sum.
+prefix sum.  Such a hash takes strings for equal that are built to agree modulo
+a power of two (Thue-Morse strings and their complements, from a thousand units
+on), so stretches of more than :data:`LONG` bytes are named by BLAKE2b instead,
+and what must be exact uses two hashes with bases and codes of their own.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +21,8 @@ import pyarrow as pa
 U64 = np.uint64
 #: Bytes of text in one chunk; a longer single document is a chunk of its own.
 CHUNK_BYTES = 2 << 20
+#: Stretches of more bytes are hashed by BLAKE2b.
+LONG = 64
 
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1)
 _SEEDS = (0x1234567, 0x89ABCDE)
@@ -146,7 +152,7 @@ class Words:
         return len(self.start)
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        return span_hashes(prefix_sums(_CODES[seed][self.data], seed), self.start, self.end, seed)
+        return stretch_hashes(self.data, self.start, self.end, seed)
 
 
 def prefix_sums(codes: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -164,6 +170,15 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int
     return mix((sums[end] - sums[start]) * down[start])
 
 
+def stretch_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """Hashes of byte stretches of any length, long ones by BLAKE2b."""
+    out = span_hashes(prefix_sums(byte_codes(data, seed), seed), start, end, seed)
+    for i in np.flatnonzero(end - start > LONG).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, salt=bytes([seed]))
+        out[i] = int.from_bytes(digest.digest(), "little")
+    return out
+
+
 def byte_codes(data: np.ndarray, seed: int = 0) -> np.ndarray:
     return _CODES[seed][data]
 

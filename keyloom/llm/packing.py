@@ -121,7 +121,7 @@ def byte_coder(ranks: str, pattern: str, most: int, tokenizer: str) -> PieceCode
 def tokenise(chunk: K.Chunk, coder: PieceCoder, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all documents with their end ids, document bounds, and the positions after sentence ends."""
     start, end, bounds = segments(chunk)
-    hashes = K.span_hashes(K.prefix_sums(K.byte_codes(chunk.data)), start, end) if len(start) else np.zeros(0, np.uint64)
+    hashes = K.stretch_hashes(chunk.data, start, end) if len(start) else np.zeros(0, np.uint64)
     ids, counts = coder.ids(chunk.data, start, end, hashes) if len(start) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     per_doc = K.grouped_sum(counts, bounds)
     doc_bounds = np.concatenate(([0], np.cumsum(per_doc + 1)))

@@ -171,7 +171,7 @@ def _dup_lines(chunk: K.Chunk, words: K.Words) -> np.ndarray:
     starts, ends, docs = starts[has], ends[has], docs[has]
     if not len(starts):
         return np.zeros(chunk.n, np.int64)
-    h = K.span_hashes(K.prefix_sums(K.byte_codes(chunk.data)), starts, ends)
+    h = K.stretch_hashes(chunk.data, starts, ends)
     keys = h ^ K.mix(docs.astype(np.uint64) + np.uint64(1))
     _, first = np.unique(keys, return_index=True)
     later = np.ones(len(keys), np.int64)

@@ -16,8 +16,10 @@ e AS (SELECT doc_id, unnest(s) AS g FROM s),
 p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
 r(a, b) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a)
-SELECT n.doc_id, n.n AS n_shingles, c.component_id, CASE WHEN n.n > 0 THEN n.first ELSE n.doc_id END AS class_id FROM n JOIN c ON c.a = n.doc_id
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+m AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT n.doc_id, n.n AS n_shingles, c.component_id, CASE WHEN n.n > 0 THEN n.first ELSE n.doc_id END AS class_id, CAST(coalesce(m.n_links, 0) AS BIGINT) AS n_links
+FROM n JOIN c ON c.a = n.doc_id LEFT JOIN m ON m.a = n.doc_id
 """
 
 OP2 = f"""

@@ -4,7 +4,7 @@ A window is ``width`` consecutive words.  First pass: every partition sketches
 how often its windows' anchors occur (:mod:`keyloom.llm.repeats`); the merged
 count-min sketch overestimates, so a window that occurs twice is never lost.
 Second pass: only windows estimated repeated are grouped, exactly, by a 96-bit
-digest of their word sequence; of each group the document with the smallest id
+digest of their word sequence (two hashes of independent word hashes); of each group the document with the smallest id
 keeps its words and all others lose them.
 
 Within a chunk equal runs of windows are reduced to that of the smallest
@@ -63,7 +63,7 @@ def _sender(p: Passages, bits: int, bitmap, n_buckets: int) -> Callable[[Iterato
         later = x["doc"] > least[cls]
         # of each class, the runs of its least document go on; the others are copies of them
         s, e = x["start"][later], (x["start"] + x["many"] + p.width - 1)[later]
-        keys, s, e = R.doc_spans(x["key"][later], s, e)
+        docs, keys, s, e = R.row_spans(x["doc"][later], x["key"][later], s, e)
         bucket = (x["anchor"] % U64(n_buckets)).astype(np.int64)
         order = np.flatnonzero(~later)
         order = order[np.argsort(bucket[order], kind="stable")]
@@ -74,7 +74,7 @@ def _sender(p: Passages, bits: int, bitmap, n_buckets: int) -> Callable[[Iterato
             w = R.ragged(offsets[r], x["many"][r])
             rows.append((b, x["key"][r].tobytes(), x["doc"][r].tobytes(), x["start"][r].astype(np.uint32).tobytes(), x["many"][r].astype(np.uint16).tobytes(), x["w1"][w].tobytes(), x["w2"][w].tobytes()))
         if len(keys):
-            rows.append((int(abs(int(keys[0]))) % n_buckets, keys.tobytes(), b"", s.tobytes(), e.tobytes(), b"", b""))
+            rows.append((int(keys[0]) % n_buckets, keys.tobytes(), docs.tobytes(), s.tobytes(), e.tobytes(), b"", b""))
         columns = list(zip(*rows)) if rows else [()] * 7
         return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "key", "doc", "start", "many", "w1", "w2"])
 
@@ -92,7 +92,7 @@ def _sender(p: Passages, bits: int, bitmap, n_buckets: int) -> Callable[[Iterato
                     continue
                 w = R.ragged(runs.start[on], runs.many[on])
                 one = K.span_hashes(K.prefix_sums(h), w, w + p.width)
-                two = K.span_hashes(K.prefix_sums(K.mix(h), 1), w, w + p.width, 1)
+                two = K.span_hashes(K.prefix_sums(words.hashes(1), 1), w, w + p.width, 1)
                 row = runs.doc[on]
                 held.add(key=keys[chunk.first + row], doc=docs[chunk.first + row], start=runs.start[on] - words.bounds[row], many=runs.many[on], anchor=runs.anchor[on])
                 held.add(w1=one, w2=(two >> U64(32)).astype(np.uint32))
@@ -112,8 +112,8 @@ def _grouper(p: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         for batch in batches:
             for key, doc, start, many, w1, w2 in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "start", "many", "w1", "w2"))):
                 keys = np.frombuffer(key, np.int64)
-                if not doc:
-                    yield R.spans_frame(keys, np.frombuffer(start, np.int64), np.frombuffer(many, np.int64), ("key", "start", "end"))
+                if not w1:
+                    yield R.spans_frame(np.frombuffer(doc, np.int64), keys, np.frombuffer(start, np.int64), np.frombuffer(many, np.int64))
                     continue
                 n = np.frombuffer(many, np.uint16).astype(np.int64)
                 pos = R.ragged(np.frombuffer(start, np.uint32).astype(np.int64), n)
@@ -122,14 +122,13 @@ def _grouper(p: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
             x = held.take()
             cls, least = R.first_of_class(x["doc"], x["w2"], x["w1"])
             on = x["doc"] > least[cls]
-            key, s, e = R.doc_spans(x["key"][on], x["pos"][on], x["pos"][on] + p.width)
-            yield R.spans_frame(key, s, e, ("key", "start", "end"))
+            yield R.spans_frame(*R.row_spans(x["doc"][on], x["key"][on], x["pos"][on], x["pos"][on] + p.width))
 
     return run
 
 
 def repeated_passages(docs: DataFrame, passages: Passages | None = None) -> DataFrame:
-    """Word spans (key, start, end) that a document with a smaller id holds too; ``key`` is that of :func:`repeats.keyed`."""
+    """Word spans (doc_id, key, start, end) that a document with a smaller id holds too; rows are named as in :func:`repeats.keyed`."""
     p = passages or Passages()
     texts = R.keyed(docs)
     entries = R.estimate_entries(texts, 3.0 * (p.width - p.gram + 2) / 2)
@@ -137,7 +136,7 @@ def repeated_passages(docs: DataFrame, passages: Passages | None = None) -> Data
     n = buckets(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # rows * 2**bits / 8 bytes, bounded by Sketch.most_bits
     records = texts.mapInArrow(_sender(p, bits, sent, n), "bucket long, key binary, doc binary, start binary, many binary, w1 binary, w2 binary")
-    return dealt(records, n).mapInArrow(_grouper(p), "key long, start long, end long")
+    return dealt(records, n).mapInArrow(_grouper(p), R.SPANS)
 
 
 def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,7 @@ def op1(docs, shingle=3, percent=90):
             i = parent[i]
         return i
 
+    links = [0] * len(docs)
     for i in range(len(docs)):
         for j in range(i):
             a, b = sets[i], sets[j]
@@ -40,10 +41,12 @@ def op1(docs, shingle=3, percent=90):
                 inter = len(a & b)
                 if 100 * inter >= percent * (len(a) + len(b) - inter):
                     parent[root(i)] = root(j)
+                    links[i] += 1
+                    links[j] += 1
     least = {}
     for i, (d, _) in enumerate(docs):
         least[root(i)] = min(least.get(root(i), LAST), LAST if d is None else d)
-    return sorted(((d, len(sets[i]), least[root(i)] if least[root(i)] != LAST else None) for i, (d, _) in enumerate(docs)), key=str)
+    return sorted(((d, len(sets[i]), least[root(i)] if least[root(i)] != LAST else None, links[i]) for i, (d, _) in enumerate(docs)), key=str)
 
 
 def op3(docs):

@@ -61,11 +61,87 @@ def rows(df, *columns):
     return sorted((tuple(r) for r in df.select(*columns).collect()), key=str)
 
 
-def test_jaccard(docs, cases, none):
-    for join in (jaccard.Join(), jaccard.Join(shingle=5, percent=80)):
+JOINS = [
+    jaccard.Join(),
+    jaccard.Join(shingle=5, percent=80),
+    # families dealt to tiles, with and without a count of links
+    jaccard.Join(shingle=2, percent=70, tile=200),
+    jaccard.Join(shingle=2, percent=70, tile=200, count_links=False),
+    jaccard.Join(count_links=False, most_bits=12, leaf=4, groups=32),
+]
+
+
+@pytest.mark.parametrize("join", JOINS)
+def test_jaccard(docs, cases, none, join):
+    got = jaccard.near_duplicates(docs, join)
+    want = brute.op1(cases, join.shingle, join.percent)
+    if join.count_links:
+        assert rows(got, "doc_id", "n_shingles", "component_id", "n_links") == want
+    else:
+        assert rows(got, "doc_id", "n_shingles", "component_id") == sorted((r[:3] for r in want), key=str)
+    assert jaccard.near_duplicates(none, join).count() == 0
+
+
+def test_tree_discards_what_cannot_link():
+    """Of members of two far groups a query reaches its own group alone, and all that link."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 2**63, 120, dtype=np.uint64) for _ in range(2)]
+    sets = [np.unique(np.concatenate((b[rng.permutation(120)[:114]], rng.integers(0, 2**63, 6, dtype=np.uint64)))) for b in base for _ in range(100)]
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    one = np.concatenate(sets)
+    join = jaccard.Join(percent=80)
+    members = jaccard.Members(one, one, bounds, join)
+    for x in range(0, 200, 7):
+        near = set(members.tree.query(members.points[x], len(sets[x]), join).tolist())
+        linked = {y for y in range(200) if 100 * (i := len(np.intersect1d(sets[x], sets[y]))) >= 80 * (len(sets[x]) + len(sets[y]) - i)}
+        assert linked <= near and {y // 100 for y in near} == {x // 100}
+
+
+def test_near_copies_leave_one_row_a_class(spark):
+    """A group of near copies around the threshold: rows between the steps stay in proportion."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(400):
+        t = list(base)
+        for _ in range(i % 6):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        texts.append((i, " ".join(t)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for count in (True, False):
+        join = jaccard.Join(shingle=3, percent=90, count_links=count)
+        _, found = jaccard.links(docs, join)
+        assert found.count() <= 400
         got = jaccard.near_duplicates(docs, join)
-        assert rows(got, "doc_id", "n_shingles", "component_id") == brute.op1(cases, join.shingle, join.percent)
-    assert jaccard.near_duplicates(none).count() == 0
+        want = brute.op1(texts, 3, 90)
+        assert rows(got, "doc_id", "n_shingles", "component_id", *(["n_links"] if count else [])) == sorted((r[: 4 if count else 3] for r in want), key=str)
+
+
+def thue_morse(n):
+    s = "a"
+    while len(s) < n:
+        s += s.translate(str.maketrans("ab", "ba"))
+    return s
+
+
+A, B = thue_morse(2048), thue_morse(2048).translate(str.maketrans("ab", "ba"))
+
+
+def test_strings_built_to_collide(spark):
+    """Words, lines and passages that agree modulo 2**64 under any odd base."""
+    docs = spark.createDataFrame([(1, f"x y {A}"), (2, f"x y {B}")], "doc_id long, text string")
+    assert rows(jaccard.near_duplicates(docs), "doc_id", "component_id", "class_id") == [(1, 1, 1), (2, 2, 2)]
+    assert {r["n_dup_lines"] for r in quality.quality(spark.createDataFrame([(1, f"{A}\n{B}")], "doc_id long, text string")).collect()} == {0}
+    words = [f"w{i}" for i in range(60)]
+    passages = [(i, " ".join([*words[:30], x, *words[30:]])) for i, x in enumerate((A, B))]
+    got = substrings.without_passages(spark.createDataFrame(passages, "doc_id long, text string"))
+    assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op9(passages)
+    packed = [(0, f"x {A} {B}")]
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    ids = [t for r in sorted(packing.pack(spark.createDataFrame(packed, "doc_id long, text string")).collect(), key=lambda r: r["start"]) for t in r["ids"]]
+    assert ids == [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(packed[0][1], add_special_tokens=False).ids, 0]
 
 
 def test_quality(docs, cases, none):
