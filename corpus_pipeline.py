@@ -39,11 +39,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @shipped
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the least doc_id, of every group of near duplicates; documents without words stay."""
-    found = jaccard.near_duplicates(docs.select("doc_id", "text"), jaccard.Join(shingle=5, percent=80))
-    gone = found.filter("not (component_id <=> doc_id)").select("key").distinct()
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("_row_key", F.xxhash64(F.col("doc_id").cast("long"), text))
-    return keyed.join(gone.withColumnRenamed("key", "_row_key"), "_row_key", "left_anti").dropDuplicates(["_row_key"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return jaccard.without_near_duplicates(docs, jaccard.Join(shingle=5, percent=80, count_links=False))
 
 
 @shipped
