@@ -34,9 +34,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Paths made by :func:`work_dir`, for :func:`release`.
+_made: list[str] = []
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession, since: int = 0, but: str | None = None) -> None:
+    """Delete the working tables made since the ``since``-th, except one; for when nothing reads them any more."""
+    jvm = spark.sparkContext._jvm
+    for path in [p for p in _made[since:] if p != but]:
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        _made.remove(path)
+
+
+def made() -> int:
+    """How many working tables there are; see :func:`release`."""
+    return len(_made)
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -46,12 +66,24 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def buckets(spark: SparkSession) -> int:
-    """Partitions that hashes are dealt to: the session's shuffle partitions."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def buckets(spark: SparkSession, size: int = 0, most: int = 128 << 20) -> int:
+    """Partitions that hashes are dealt to: the session's shuffle partitions, or more where ``size`` bytes would give one over ``most``."""
+    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // most))
+
+
+def text_bytes(texts: DataFrame) -> int:
+    """UTF-8 bytes of all texts, by a column aggregate."""
+    return texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """The name, with underscores after it while a column has it."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
 
 
 def dealt(df: DataFrame, n: int, key: str = "bucket") -> DataFrame:
     """Send row ``key`` = b to partition b, one bucket a partition."""
     return df.repartitionById(n, F.col(key).cast("int"))
-

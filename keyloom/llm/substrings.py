@@ -21,6 +21,7 @@ empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from . import kernels as K
 from . import repeats as R
-from .common import buckets, dealt
+from .common import buckets, dealt, text_bytes
 
 U64 = np.uint64
 
@@ -131,9 +132,9 @@ def repeated_passages(docs: DataFrame, passages: Passages | None = None) -> Data
     """Word spans (doc_id, key, start, end) that a document with a smaller id holds too; rows are named as in :func:`repeats.keyed`."""
     p = passages or Passages()
     texts = R.keyed(docs)
-    entries = R.estimate_entries(texts, 3.0 * (p.width - p.gram + 2) / 2)
-    bits, bitmap = R.merged_sketch(texts, _windows(p), entries, p.sketch)
-    n = buckets(docs.sparkSession)
+    size = text_bytes(texts)
+    bits, bitmap = R.merged_sketch(texts, _windows(p), math.ceil(size / (3.0 * (p.width - p.gram + 2) / 2)), p.sketch)
+    n = buckets(docs.sparkSession, size)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap)  # rows * 2**bits / 8 bytes, bounded by Sketch.most_bits
     records = texts.mapInArrow(_sender(p, bits, sent, n), "bucket long, key binary, doc binary, start binary, many binary, w1 binary, w2 binary")
     return dealt(records, n).mapInArrow(_grouper(p), R.SPANS)
