@@ -14,19 +14,23 @@ rarest one makes the shortest candidate lists.  The steps:
    rest, and the words themselves confirm what is left.
 
 The benchmark is the stated query set.  Its windows are sent to the executors
-in blocks of at most ``block_windows``, so a broadcast never outgrows its bound
-however large the benchmark is; documents are never shuffled.
+in blocks of at most ``block_windows``, each in a pass of its own, so neither a
+broadcast nor what a task holds outgrows its bound however large the benchmark
+is.  Documents are not shuffled for one block; for several, only those without a
+hit have to be told from the others by (doc_id, text hash).
 
 Nulls and edge cases: a null or wordless text has no words and is clean; a null
 or wordless item has no windows; the windows of an item without item_id hit like
 any other but add nothing to the items found; repeated items count once per item_id; repeated
-document rows give repeated result rows; extra columns are ignored.
+document rows give repeated result rows; extra columns are ignored; an empty
+benchmark hits nothing and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +38,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import repeats as R
+from .common import written
 
 
 @dataclass(frozen=True)
@@ -44,7 +50,7 @@ class Windows:
     block_windows: int = 1_000_000
 
 
-SCHEMA = "doc_id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+SCHEMA = "doc_id long, key long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
 
 
 def _words(text: bytes) -> list[bytes]:
@@ -142,30 +148,28 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 _ITEMS = pa.list_(pa.string())
 
 
-def _finder(index: Index, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Add one block's findings to those of the blocks before; the last drops the texts."""
+def _finder(index: Index, hit_only: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(doc_id, key, text) to each row's words, spans and items, or to those of rows that are hit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in K.chunks(batch.column("text")):
                 words = K.Words(chunk, K.ALNUM, lower=True)
                 start, entry = index.hits(words, words.hashes())
+                spans: list[list] = [[] for _ in range(chunk.n)]
+                items: list[list] = [[] for _ in range(chunk.n)]
+                doc = words.doc[start]
+                edge = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
+                for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
+                    d, base = int(doc[a]), int(words.bounds[doc[a]])
+                    s, e = K.merge_spans(start[a:b] - base, start[a:b] - base + index.size[entry[a:b]])
+                    spans[d] = [{"start": x, "end": y} for x, y in zip(s.tolist(), e.tolist())]
+                    items[d] = sorted({x for w in np.unique(index.which[entry[a:b]]).tolist() for x in index.owners[w]})
                 part = batch.slice(chunk.first, chunk.n)
-                spans, items = part.column("spans").to_pylist(), part.column("items").to_pylist()
-                if len(start):
-                    doc = words.doc[start]
-                    edge = np.append(np.flatnonzero(np.diff(doc, prepend=-1)), len(doc))
-                    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                        d, base = int(doc[a]), int(words.bounds[doc[a]])
-                        had = np.array([[s["start"], s["end"]] for s in spans[d]], np.int64).reshape(-1, 2)
-                        s = np.concatenate((had[:, 0], start[a:b] - base))
-                        e = np.concatenate((had[:, 1], start[a:b] - base + index.size[entry[a:b]]))
-                        spans[d] = [{"start": x, "end": y} for x, y in zip(*(v.tolist() for v in K.merge_spans(s, e)))]
-                        items[d] = sorted({*items[d], *(x for w in np.unique(index.which[entry[a:b]]).tolist() for x in index.owners[w])})
-                columns = {"doc_id": part.column("doc_id").cast(pa.int64()), "n_words": pa.array(words.counts.astype(np.int64)), "spans": pa.array(spans, _SPANS), "items": pa.array(items, _ITEMS)}
-                if not last:
-                    columns["text"] = part.column("text")
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+                out = pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("key"), pa.array(words.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], ["doc_id", "key", "n_words", "spans", "items"]
+                )
+                yield out.filter(pa.array([bool(x) for x in spans])) if hit_only else out
 
     return run
 
@@ -199,20 +203,42 @@ def _indexes(texts: DataFrame, benchmark: DataFrame, rules: Windows) -> Iterator
         yield Index(list(block), [sorted(v) for v in block.values()], hashes, {w: counts[h] for w, h in hashes.items()})
 
 
+def _hits(texts: DataFrame, index: Index, hit_only: bool) -> DataFrame:
+    sent = texts.sparkSession.sparkContext.broadcast(index)  # a block of at most block_windows windows
+    return texts.mapInArrow(lambda it: _finder(sent.value, hit_only)(it), SCHEMA)
+
+
+def _further(texts: DataFrame, indexes: list[Index], following: Iterator[Index]) -> DataFrame:
+    """Rows hit by the windows of several blocks: one pass and one small table a block, so a task holds one index at a time."""
+    found = [written(_hits(texts, i, True), "hits") for i in indexes]
+    found += [written(_hits(texts, i, True), "hits") for i in following]
+    return reduce(DataFrame.unionByName, found)
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, rules: Windows | None = None) -> DataFrame:
-    """Per row of ``docs``: its number of words, the merged spans (word numbers) hit, and the items found."""
+    """Per row of ``docs``: its number of words, the merged spans (word numbers) hit, and the items found.
+
+    One block needs no shuffle.  Of several, each is read against all documents
+    by itself; the rows' findings meet by (doc_id, text hash), without texts.
+    """
     rules = rules or Windows()
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    none = F.array().cast("array<struct<start:long,end:long>>")
-    found = text.select("doc_id", F.lit(0).cast("long").alias("n_words"), none.alias("spans"), F.array().cast("array<string>").alias("items"), "text")
-    indexes = _indexes(text.select("text"), benchmark, rules)
-    index, following = next(indexes), next(indexes, None)
-    while index is not None:
-        sent = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most block_windows windows
-        last = following is None
-        found = found.mapInArrow(lambda it, sent=sent, last=last: _finder(sent.value, last)(it), SCHEMA + ("" if last else ", text string"))
-        index, following = following, next(indexes, None)
-    return found
+    texts = R.keyed(docs)
+    own = F.nullif(F.col("doc_id"), F.lit(R.NO_ID)).alias("doc_id")
+    indexes = _indexes(texts.select("text"), benchmark, rules)
+    index, second = next(indexes), next(indexes, None)
+    if second is None:
+        return _hits(texts, index, False).select(own, "n_words", "spans", "items")
+    # rows alike in doc_id and text have the same findings
+    hits = _further(texts, [index, second], indexes).dropDuplicates()
+    by_row = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    rows = _hits(texts, Index([], [], {}, {}), False).select("doc_id", "key", "n_words")
+    none, no_items = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
+    # spans in order of their starts, joined where they meet
+    last = lambda out: F.element_at(out, -1)
+    meet = lambda out, x: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], x["end"]).alias("end"))))
+    spans = F.aggregate(F.array_sort("s"), none, lambda out, x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]), meet(out, x)).otherwise(F.concat(out, F.array(x))))
+    joined = rows.join(by_row.withColumn("spans", spans), ["doc_id", "key"], "left")
+    return joined.select(own, "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", no_items).alias("items"))
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -229,20 +255,25 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def clean_rows(docs: DataFrame, benchmark: DataFrame, rules: Windows | None = None) -> DataFrame:
-    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs; no shuffle."""
+    """The rows of ``docs``, with all their columns, in which no window of the benchmark occurs; no shuffle for one block."""
     rules = rules or Windows()
     left = docs.withColumn("text", F.col("text").cast("string"))
-    for index in _indexes(left.select("text"), benchmark, rules):
-        sent = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most block_windows windows
-
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for chunk in K.chunks(batch.column("text")):
-                    words = K.Words(chunk, K.ALNUM, lower=True)
-                    start, _ = sent.value.hits(words, words.hashes())
-                    clean = np.ones(chunk.n, bool)
-                    clean[words.doc[start]] = False
-                    yield batch.slice(chunk.first, chunk.n).filter(pa.array(clean))
-
-        left = left.mapInArrow(run, left.schema)
-    return left
+    texts = R.keyed(docs)
+    indexes = _indexes(texts.select("text"), benchmark, rules)
+    index, second = next(indexes), next(indexes, None)
+    if second is not None:
+        hit = _further(texts, [index, second], indexes).select("doc_id", "key").distinct()
+        named = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"))
+        return named.join(hit, ["doc_id", "key"], "left_anti").select("own.*")
+    sent = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most block_windows windows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in K.chunks(batch.column("text")):
+                words = K.Words(chunk, K.ALNUM, lower=True)
+                start, _ = sent.value.hits(words, words.hashes())
+                clean = np.ones(chunk.n, bool)
+                clean[words.doc[start]] = False
+                yield batch.slice(chunk.first, chunk.n).filter(pa.array(clean))
+
+    return left.mapInArrow(run, left.schema)
