@@ -5,19 +5,23 @@ an equal payload is archived elsewhere) and metadata.  Request and metadata name
 the response by ``WARC-Concurrent-To``; a revisit names the record it repeats by
 ``WARC-Refers-To``.
 
-Archives are gzip files written by Spark's text writer, whose line separator is the
-record separator of the format, so executors write straight to any file system
-that Spark reaches.  Reading back parses each archive by the records' content
-lengths; archives are bounded in size, so a task holds one at a time.  Records
-meet through their concurrent-to identifiers in an ordinary join and one nested
-row per capture comes out.
+Archives are gzip files written by Spark's text writer, so executors write
+straight to any file system that Spark reaches.  Each row of text is one whole
+archive: a task joins records with the format's record separator until they
+have ``archive_mb`` MB, and a file holds one row.  Reading back parses each
+archive by the records' content lengths, one archive at a time.  Records meet
+through their concurrent-to identifiers in an ordinary join and one nested row
+per capture comes out; a revisit finds what it repeats by the identifier that it
+refers to.
 
 Nulls and edge cases: a null html is an empty payload; a null url is an empty
 target; empty payloads are equal payloads like any others; payloads may hold
 blank lines, record separators and text that looks like a header; repeated rows
-(the same page_id) give one capture each, of which the first in order of
-payload digest is the representative; a null page_id comes after all others;
-extra columns are ignored; an empty table gives an empty result.
+(the same page_id) give one capture each, of which the first in order of the
+hash of url and html is the representative; rows alike in all three are numbered
+and the first of them is; a null page_id comes after all others; extra columns
+are ignored; a page larger than an archive is an archive of its own; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,13 +34,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import work_dir
 
 _SPACE = uuid.UUID("6f0f2b52-3f0c-5c07-9a3e-1c7b1b7f7c11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+SEPARATOR = b"\r\n\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 
@@ -45,7 +50,7 @@ class Archive:
     """Parameters: least payload size that is deduplicated, MB of payload in an archive, and the capture date."""
 
     dedup_from: int = 0
-    archive_mb: int = 16
+    archive_mb: int = 8
     date: str = "2026-01-01T00:00:00Z"
 
 
@@ -76,61 +81,81 @@ def _clean(value: str | None) -> str:
     return (value or "").replace("\r", "%0D").replace("\n", "%0A")
 
 
-def _fields(page: int | None, size: int, first_key: str | None) -> bytes:
-    """Metadata: the page, its payload's full length, and for a revisit the page that holds the payload."""
+def _fields(page: int | None, size: int) -> bytes:
+    """Metadata: the page and its payload's full length."""
     rows = [("page-id", "" if page is None else str(page)), ("payload-length", str(size))]
-    if first_key is not None:
-        rows.append(("refers-to-page-id", first_key.partition("/")[0]))
     return "".join(f"{k}: {v}\r\n" for k, v in rows).encode()
 
 
 def _writer(a: Archive):
+    """Captures to archives, a row of text each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        size = 0
         for batch in batches:
-            out: list[str] = []
-            for page, copy, digest, size, url, html, first_key in zip(*(batch.column(c).to_pylist() for c in ("page_id", "copy", "digest", "bytes", "url", "html", "first_key"))):
-                key = f"{'' if page is None else page}/{copy}"
-                kind = "response" if first_key is None or first_key == key else "revisit"
-                own = record_id("capture", key)
-                uri = _clean(url)
-                common = [("WARC-Date", a.date), ("WARC-Target-URI", uri)]
-                proof = ("WARC-Payload-Digest", f"sha1:{digest}")
-                if kind == "response":
-                    block = HTTP_HEAD + (html or "").encode()
-                    extra: list[tuple[str, str]] = []
-                else:
-                    block = HTTP_HEAD
-                    extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("capture", first_key)), ("WARC-Truncated", "length")]
-                records = [
-                    _record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
-                    _record([("WARC-Type", kind), ("WARC-Record-ID", own), *common, proof, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), *extra, ("Content-Type", "application/http; msgtype=response")], block),
-                    _record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], _fields(page, size, None if kind == "response" else first_key)),
-                ]
-                out += [r.decode() for r in records]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+            for page, copy, digest, n, url, html, first_key in zip(*(batch.column(c) for c in ("page_id", "copy", "digest", "bytes", "url", "html", "first_key"))):
+                records = _capture(a, page.as_py(), copy.as_py(), digest.as_py(), n.as_py(), url.as_py(), html.as_py(), first_key.as_py())
+                more = sum(map(len, records)) + 4 * len(records)
+                if held and size + more > a.archive_mb << 20:
+                    yield _archive(held)
+                    held, size = [], 0
+                held += records
+                size += more
+        if held:
+            yield _archive(held)
 
     return run
 
 
+def _archive(records: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(records).decode()], pa.string())], ["value"])
+
+
+def _capture(a: Archive, page: int | None, copy: str, digest: str, size: int, url: str | None, html: str | None, first_key: str | None) -> list[bytes]:
+    """Request, response or revisit, and metadata of one page."""
+    key = f"{'' if page is None else page}/{copy}"
+    own, uri = record_id("capture", key), _clean(url)
+    common = [("WARC-Date", a.date), ("WARC-Target-URI", uri)]
+    proof = ("WARC-Payload-Digest", f"sha1:{digest}")
+    if first_key is None or first_key == key:
+        kind, block, extra = "response", HTTP_HEAD + (html or "").encode(), []
+    else:
+        kind, block = "revisit", HTTP_HEAD
+        extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("capture", first_key)), ("WARC-Truncated", "length")]
+    return [
+        _record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
+        _record([("WARC-Type", kind), ("WARC-Record-ID", own), *common, proof, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), *extra, ("Content-Type", "application/http; msgtype=response")], block),
+        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], _fields(page, size)),
+    ]
+
+
+def numbered(pages: DataFrame) -> DataFrame:
+    """(page_id, copy, url, html); ``copy`` tells rows of one page_id apart: the hash of url and html, and a number where all three are alike."""
+    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    base = base.withColumn("hash", F.xxhash64("url", "html"))
+    number = F.lit(0)
+    if not base.groupBy("page_id", "hash").count().filter("count > 1").isEmpty():  # rows alike are rare; only then are pages moved to be numbered
+        number = F.row_number().over(Window.partitionBy("page_id", "hash").orderBy("url", F.length("html"))) - 1
+    copy = F.concat_ws("-", F.lpad(F.hex("hash"), 16, "0"), F.lpad(number.cast("string"), 10, "0"))  # text that sorts as the numbers do
+    return base.select("page_id", copy.alias("copy"), "url", "html")
+
+
 def captures(pages: DataFrame, archive: Archive) -> DataFrame:
     """Pages with payload digest and, of equal payloads, the one that is archived in full."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    base = base.withColumn("copy", F.xxhash64("url", "html"))
-    found = base.select("page_id", "copy", "url", "html").mapInArrow(_digests, "page_id long, copy long, digest string, bytes long, url string, html string")
+    found = numbered(pages).mapInArrow(_digests, "page_id long, copy string, digest string, bytes long, url string, html string")
     order = F.struct(F.coalesce("page_id", F.lit(2**63 - 1)).alias("o"), F.col("copy").alias("c"))
     first = found.filter(F.col("bytes") >= archive.dedup_from).groupBy("digest", "bytes").agg(F.min(order).alias("m"))
     joined = found.join(first, ["digest", "bytes"], "left")
     page = F.when(F.col("m.o") == 2**63 - 1, "").otherwise(F.col("m.o").cast("string"))
-    return joined.select("page_id", "copy", "digest", "bytes", "url", "html", F.concat(page, F.lit("/"), F.col("m.c").cast("string")).alias("first_key"))
+    return joined.select("page_id", "copy", "digest", "bytes", "url", "html", F.concat(page, F.lit("/"), F.col("m.c")).alias("first_key"))
 
 
 def write(pages: DataFrame, path: str, archive: Archive | None = None) -> None:
-    """Write archives of ``pages`` (page_id, url, html) under ``path``."""
+    """Write archives of ``pages`` (page_id, url, html) under ``path``, each of ``archive_mb`` MB at most or of one page."""
     a = archive or Archive()
-    rows = captures(pages, a)
-    text = rows.mapInArrow(_writer(a), "value string")
-    # a file ends when it holds so many records; html pages of a few kB make archives of some MB
-    text.write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 3 * 64 * a.archive_mb).option("compression", "gzip").text(path)
+    text = captures(pages, a).mapInArrow(_writer(a), "value string")
+    text.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, block binary"
@@ -221,14 +246,21 @@ def assemble(records: DataFrame, with_blocks: bool = True) -> DataFrame:
 
 
 def _field(name: str):
-    return F.regexp_extract("metadata.fields", rf"(?m)^{name}: (-?\d+)\r?$", 1)
+    return F.nullif(F.regexp_extract("metadata.fields", rf"(?m)^{name}: (-?\d+)\r?$", 1), F.lit("")).cast("long")
 
 
 def describe(transactions: DataFrame) -> DataFrame:
-    """Page, size, digest and kind of each capture, and for a revisit the page of the record it refers to."""
-    number = lambda name: F.nullif(_field(name), F.lit("")).cast("long")
-    return transactions.select(
-        number("page-id").alias("page_id"), number("payload-length").alias("payload_bytes"), F.col("response.digest").alias("payload_digest"), F.col("response.type").alias("record_type"), number("refers-to-page-id").alias("refers_to")
+    """Page, payload size, digest and kind of each capture, and for a revisit the page of the record it refers to.
+
+    A response's size is that of the payload read back; a revisit has the size of
+    the response it refers to, found by its record identifier, or what its
+    metadata say where that response is in none of the archives read.
+    """
+    own = transactions.select("record_id", _field("page-id").alias("page_id"), _field("payload-length").alias("said"), "response.type", "response.refers_to", "response.bytes", "response.digest")
+    full = own.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("bytes").alias("of_bytes"))
+    joined = own.join(full, "refers_to", "left")
+    return joined.select(
+        "page_id", F.coalesce("bytes", "of_bytes", "said").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("of_page").alias("refers_to")
     )
 
 
