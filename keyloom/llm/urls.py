@@ -8,7 +8,9 @@ component reaches every alias, unless an alias is explicitly allowed.  With no
 decision in reach the default stands.
 
 Only DataFrame functions are used.  Attribute values are unescaped and relative
-targets resolved at the page's folder; a ``base`` element is not read.
+targets resolved as RFC 3986 says, against the page's first ``base`` element with
+a href if there is one, else against its url.  What stands in comments, scripts
+and styles names nothing.
 
 Nulls and edge cases: a null url or one without ``://`` has an empty host and
 path, fits no rule and takes the default; a null or empty html has no links;
@@ -93,15 +95,30 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.trim(unescaped(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)])))
 
 
+def _tags(html: Column, name: str) -> Column:
+    return F.regexp_extract_all(html, F.lit(rf"(?is)(<{name}\b[^>]*>)"), 1)
+
+
+def markup(html: Column) -> Column:
+    """The page without comments, scripts and styles, or empty where it cannot name an alias."""
+    some = F.rlike(html, F.lit("(?i)canonical|refresh"))
+    return F.when(some, F.regexp_replace(html, r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)", " ")).otherwise("")
+
+
+def base_target(html: Column) -> Column:
+    """The href of the first ``base`` element that has one, or null."""
+    hrefs = F.transform(F.filter(_tags(html, "base"), lambda t: F.rlike(t, F.lit(r"(?is)(?<![\w-])href\s*="))), lambda t: _attribute(t, "href"))
+    return F.get(hrefs, F.lit(0))
+
+
 def link_targets(html: Column) -> Column:
-    """Urls that a page names as its canonical address or redirects to."""
+    """Urls that a page names as its canonical address or redirects to, as they are written."""
     canonical_rel = lambda t: F.array_contains(F.split(ascii_lower(_attribute(t, "rel")), r"\s+"), "canonical")
-    links = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<link\b[^>]*>)"), 1), canonical_rel)
+    links = F.filter(_tags(html, "link"), canonical_rel)
     canonical = F.transform(links, lambda t: _attribute(t, "href"))
-    metas = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)(<meta\b[^>]*>)"), 1), lambda t: ascii_lower(_attribute(t, "http-equiv")) == "refresh")
+    metas = F.filter(_tags(html, "meta"), lambda t: ascii_lower(_attribute(t, "http-equiv")) == "refresh")
     redirects = F.transform(metas, lambda t: F.trim(F.regexp_extract(_attribute(t, "content"), r"""(?is)url\s*=\s*["']?([^"']+)""", 1)))
-    some = F.instr(F.lower(html), "canonical") + F.instr(F.lower(html), "refresh") > 0
-    return F.when(some, F.concat(canonical, redirects)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.concat(canonical, redirects), lambda t: t.isNotNull())
 
 
 def without_dots(path: Column) -> Column:
@@ -131,8 +148,12 @@ def resolved(url: Column, target: Column) -> Column:
 
 def edges(pages: DataFrame) -> DataFrame:
     """(a, b): the alias keys of a page and of a target it names, relative targets seen from the page."""
-    found = pages.select(F.col("url"), F.explode(link_targets(F.col("html"))).alias("target"))
-    full = resolved(F.col("url"), F.col("target"))
+    marked = pages.select("url", markup(F.col("html")).alias("m")).filter("m <> ''")
+    based = marked.select("url", "m", base_target(F.col("m")).alias("base"))
+    # a column of its own, so that the address is not spelt out wherever a target is resolved against it
+    placed = based.select("url", "m", F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))).alias("page"))
+    found = placed.select("url", "page", F.explode(link_targets(F.col("m"))).alias("target"))
+    full = resolved(F.col("page"), F.col("target"))
     return found.select(alias_key(F.col("url")).alias("a"), alias_key(full).alias("b")).filter("a <> '' and b <> '' and a <> b")
 
 
