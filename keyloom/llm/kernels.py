@@ -20,7 +20,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 #: Bytes of text in one chunk; a longer single document is a chunk of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Stretches of more bytes are hashed by BLAKE2b.
 LONG = 64
 

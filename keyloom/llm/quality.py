@@ -19,7 +19,8 @@ so each distinct word of a chunk is encoded once.
 
 Nulls and edge cases: a null text counts as empty; an empty text has all counts
 0, fails the base rules and is rejected; very long texts are measured whole;
-repeated rows give repeated result rows; extra columns are ignored.
+repeated rows give repeated result rows; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ class Rules:
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
     language_bands: dict[str, Band] = field(default_factory=lambda: dict(LANGUAGE_BANDS))
     #: Distinct words whose tokens a worker remembers before it starts afresh.
-    remembered: int = 600_000
+    remembered: int = 150_000
 
 
 SCHEMA = (
@@ -96,7 +97,7 @@ _SCRIPTS = ("latin", "greek", "cyrillic", "cjk", "other")
 
 
 def _script_table() -> np.ndarray:
-    """Script of a letter by its first byte; 255 for no letter."""
+    """Script of a letter by its first byte; 255 for no letter, as for punctuation and symbols (E2) and for pictographs (:func:`scripts`)."""
     t = np.full(256, 255, np.uint8)
     t[65:91] = t[97:123] = 0
     t[0xC3:0xCA] = 0
@@ -104,12 +105,24 @@ def _script_table() -> np.ndarray:
     t[0xD0:0xD4] = 2
     t[0xE3:0xEE] = 3
     t[0xD4:0xE1] = 4
-    t[0xE1] = t[0xE2] = 4
+    t[0xE1] = 4
     t[0xF0:0xF5] = 4
     return t
 
 
 _SCRIPT = _script_table()
+
+
+def scripts(data: np.ndarray) -> np.ndarray:
+    """Script of each byte that begins a letter, 255 for all others; pictographs (F0 9F) are no letters."""
+    if not len(data):
+        return np.zeros(0, np.uint8)
+    out = _SCRIPT[data]
+    four = np.flatnonzero(data == 0xF0)
+    out[four[data[np.minimum(four + 1, len(data) - 1)] == 0x9F]] = 255
+    return out
+
+
 _SYMBOL = np.zeros(256, np.uint8)
 _SYMBOL[list(b"#*$%&|<>")] = 1
 
@@ -214,7 +227,7 @@ def measure(chunk: K.Chunk, rules: Rules, vocab: Vocabulary, langs: list[str | N
     entropy = np.log2(total) - np.bincount(owner, weights=times * np.log2(times), minlength=chunk.n)[: chunk.n] / total
     entropy = np.where(n_tokens > 0, np.maximum(entropy, 0.0), 0.0)
     most = np.log2(np.minimum(np.maximum(n_tokens, 2), vocab.size))
-    kinds = _SCRIPT[chunk.data] if len(chunk.data) else np.zeros(0, np.uint8)
+    kinds = scripts(chunk.data)
     by_script = np.stack([_per_doc(kinds == k, chunk) for k in range(len(_SCRIPTS))])
     script = np.where(by_script.sum(0) > 0, np.array(_SCRIPTS)[by_script.argmax(0)], "none")
     out = {
