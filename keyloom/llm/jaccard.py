@@ -48,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from . import repeats as R
-from .common import buckets, dealt, written
+from .common import buckets, dealt, text_bytes, written
 from .components import components
 
 U64 = np.uint64
@@ -120,15 +120,14 @@ def _places(values: np.ndarray, bits: int) -> np.ndarray:
     return (K.mix(values ^ U64(0x2545F4914F6CDD1D)) >> U64(64 - bits)).astype(np.int64)
 
 
-def rarity(texts: DataFrame, join: Join) -> tuple[int, np.ndarray]:
-    """Bits of the sketch, and its levels: the whole logarithm of each counter, two to a byte.
+def rarity(texts: DataFrame, size: int, join: Join) -> tuple[int, np.ndarray]:
+    """Bits of the sketch of texts of ``size`` bytes, and its levels: the whole logarithm of each counter, two to a byte.
 
     Partitions send the places of their shingles by shard, as steps between
     sorted places; a shard adds them up.  Counters are shared when there are more
     shingles than places: levels then only rise, which changes the order and
     which shingles count as single, but loses no link.
     """
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(max(math.ceil(math.log2(max(size / 5, 2))), 12), join.most_bits)
     shards = min(join.shards, 1 << (bits - 6))
     each = (1 << bits) // shards
@@ -144,7 +143,7 @@ def rarity(texts: DataFrame, join: Join) -> tuple[int, np.ndarray]:
             return pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array([R._packed(places[cut[s] : cut[s + 1]] - s * each) for s in on], pa.binary())], ["shard", "places"])
 
         for batch in batches:
-            for chunk in K.chunks(batch.column(0), K.CHUNK_BYTES // 2):
+            for chunk in K.chunks(batch.column(0)):
                 held.append(_places(shingle_sets(chunk, join)[0], bits))
                 size += len(held[-1])
                 if size >= 1 << 20:
@@ -222,7 +221,7 @@ def _pass(join: Join, bits: int, levels, n_buckets: int) -> Callable[[Iterator[p
         for batch in batches:
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for chunk in K.chunks(batch.column("text"), K.CHUNK_BYTES // 2):
+            for chunk in K.chunks(batch.column("text")):
                 one, two, bounds = shingle_sets(chunk, join)
                 fp = fingerprints(one, two, bounds)
                 doc, shingle = prefix_shingles(one, bounds, bits, levels.value, join)
@@ -490,7 +489,8 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _resolved(texts: DataFrame, units: DataFrame, join: Join, count: bool) -> DataFrame:
     """``units``: (doc_id, key, fp, copies, places: array of (unit, side, asks), label); see :class:`Members`."""
-    found = units.join(texts, ["doc_id", "key"]).select("fp", "copies", "places", "label", "text")
+    # merged at every size: the wanted rows grow with the texts, so a broadcast would hold for small tables alone
+    found = texts.join(units.hint("merge"), ["doc_id", "key"]).select("fp", "copies", "places", "label", "text")
     once = found.mapInArrow(_once, found.schema)
     rows = once.select(F.explode("places").alias("p"), "fp", "copies", "label", "text").select("p.unit", "fp", "copies", "p.side", "p.asks", "label", "text")
     n = buckets(texts.sparkSession)
@@ -503,9 +503,10 @@ def _place(unit, side, asks):
 
 def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """Documents (doc_id, key, n, fp), and (fp, root, links) of all classes that may link: equal roots are one component."""
-    spark, n = docs.sparkSession, buckets(docs.sparkSession)
-    texts = R.keyed(docs)
-    bits, levels = rarity(texts, join)
+    spark, texts = docs.sparkSession, R.keyed(docs)
+    size = text_bytes(texts)
+    n = buckets(spark, size)
+    bits, levels = rarity(texts, size, join)
     sent = spark.sparkContext.broadcast(levels)  # 2**bits / 2 bytes, bounded by Join.most_bits
     found = written(dealt(texts.mapInArrow(_pass(join, bits, sent, n), _PASS), n).mapInArrow(_cells(join), _FOUND), "classes")
     rows = found.filter("kind = 0").select("doc_id", "key", "n", "fp")
