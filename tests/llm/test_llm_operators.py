@@ -171,6 +171,24 @@ def test_fertility_by_plain_encoding(docs, cases):
             assert r["entropy_bits"] == pytest.approx(max(h, 0), abs=1e-9)
 
 
+def test_verdicts_by_plain_statement(spark, cases):
+    """Scripts, bands and reasons against a text-by-text statement, on hard cases and texts that some band rejects."""
+    import sentencepiece
+
+    rules = quality.Rules()
+    sp = sentencepiece.SentencePieceProcessor(model_file=rules.vocabulary)
+    rng = random.Random(8)
+    blob = " ".join("".join(rng.choices("ABCDEFabcdef0123456789+/", k=60)) for _ in range(60))
+    texts = [(d, t, ("en", "de", None, "xx")[i % 4]) for i, (d, t) in enumerate(cases)]
+    texts += [(1000, blob, "en"), (1001, " ".join(f"a{i % 3}" for i in range(400)), "fr"), (1002, " ".join(rng.choices("αβγδε ζηθικ", k=900)), None), (1003, "漢字かな交じり文 " * 30, "ja"), (1004, "“quoted” – text… " * 40, None), (1005, "😀 😀😀 " * 40, None), (1006, "Привет мир " * 15, "ru"), (1007, "𐌰𐌱𐌲 " * 30, None)]
+    if os.path.isdir(DATA):
+        texts += [(r["doc_id"] + 10_000, r["text"], r["lang"]) for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()]
+    got = quality.quality(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
+    want = brute.quality(texts, rules, sp)
+    assert rows(got, "doc_id", "script", "reason", "kept") == want
+    assert {r[2] for r in want} >= {"", "base", "entropy", "fertility"}
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_bands_reject_junk_and_no_good_text(spark):
     fitted = "/root/testdata/sf0.1"
@@ -210,7 +228,9 @@ def test_longest_previous_factors_agree_with_the_segments():
 
 def test_lines(docs, cases, none):
     got = lines.without_repeated_lines(docs)
-    assert rows(got.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256)), "doc_id", "n_lines", "n_lines_removed", "sha") == brute.op5(cases)
+    assert got.columns == [*docs.columns, "n_lines_", "n_lines_removed"] and got.filter("n_lines <> 8").count() == 0
+    assert rows(got.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256)), "doc_id", "n_lines_", "n_lines_removed", "sha") == brute.op5(cases)
+    assert lines.without_repeated_lines(docs, counts=False).columns == docs.columns
     assert lines.without_repeated_lines(none).count() == 0
 
 
@@ -321,6 +341,12 @@ def test_substrings(docs, cases, none):
     assert substrings.without_passages(none).count() == 0
 
 
+def test_many_repeated_lines(spark):
+    long = [(1, "\n".join(["one line", "two"] * 100_000)), (2, "one line\ntwo\none line\nnew")]
+    got = lines.without_repeated_lines(spark.createDataFrame(long, "doc_id long, text string"))
+    assert rows(got.withColumn("sha", F.sha2(F.encode("text", "UTF-8"), 256)), "doc_id", "n_lines", "n_lines_removed", "sha") == brute.op5(long)
+
+
 def test_saturated_sketch_loses_nothing(docs, cases):
     from keyloom.llm.repeats import Sketch
 
@@ -330,13 +356,18 @@ def test_saturated_sketch_loses_nothing(docs, cases):
 
 def test_warc(spark, tmp_path):
     odd = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nhello é"
-    pages = [(1, "http://a.com/\r\nX: y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (5, "u", odd), (6, "u", odd), (7, "u", "x" * 3_000_000)]
+    pages = [(1, "http://a.com/\r\nX: y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (5, "u", odd), (6, "u", odd), (7, "u", "x" * 3_000_000), (None, "v", "<p>"), (None, "v", "alone"), (8, "u", "twice"), (8, "u", "twice"), (8, "w", "twice"), (9, "u", "twice")]
     df = spark.createDataFrame([(*p, "extra", "d") for p in pages], "page_id long, url string, html string, record_type string, digest string")
     assert rows(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.op10(pages)
-    path = str(tmp_path / "w")
-    warc.write(df, path)
-    t = {r["request"]["id"] for r in warc.assemble(warc.read(spark, path)).collect()}
-    assert len(t) == len(pages)
+    for mb in (0, 8):
+        path = str(tmp_path / f"w{mb}")
+        warc.write(df, path, warc.Archive(archive_mb=mb))
+        found = warc.assemble(warc.read(spark, path)).collect()
+        assert len({r["request"]["id"] for r in found}) == len({r["record_id"] for r in found}) == len(pages)
+        held = sorted(r["response"]["block"].partition(b"\r\n\r\n")[2] for r in found if r["response"]["type"] == "response")
+        assert held == sorted({(h or "").encode() for _, _, h in pages})
+        archives = len([f for f in os.listdir(path) if f.startswith("part-")])
+        assert archives == len(pages) if mb == 0 else archives < len(pages)
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
@@ -377,6 +408,46 @@ def test_blocks_reach_aliases_of_ordinary_html(spark):
     assert got == {i: ("block", "alias") for i in (1, 2, 3, 4, 6)} | {5: ("allow", "default"), 7: ("allow", "default")}
 
 
+def web(n, seed):
+    """Pages that name each other by ordinary and odd markup."""
+    rng = random.Random(seed)
+    hosts = ["a.org", "b.org", "www.example.com", "example.com", "s.net", "c.net"]
+    address = lambda: f"http://{rng.choice(hosts)}{rng.choice(['/', '/en/', '/es/', '/fr/', '/x/y/'])}{rng.randrange(12)}{rng.choice(['', '', '?q=1&r=2'])}"
+    target = lambda: rng.choice([address(), address().replace("&", "&amp;"), "/en/3", "../4", "5", "//c.net/es/6", "?q=1", "#top", "mailto:x@y"])
+    pages = []
+    for i in range(n):
+        t = target()
+        html = rng.choice([
+            "", "<p>canonical refresh</p>", f'<link rel="canonical" href="{t}">', f"<LINK href='{t}' rel='alternate canonical'>", f'<!-- <link rel="canonical" href="http://s.net/es/1"> -->', f'<base href="http://b.org/en/z/"><link rel=canonical href="{t}">',
+            f'<meta http-equiv="Refresh" content="0; url={t}">', f'<script>var x = \'<link rel="canonical" href="http://s.net/fr/9">\';</script>', f'<link rel="canonical" href="{t}"><link rel="canonical" href="{target()}">', f'<link rel="stylesheet" href="{t}">',
+        ])
+        pages.append((i, rng.choice([address(), address(), address(), None, "nothing"]), html))
+    return pages
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_aliases_against_the_standard_library(spark, seed):
+    pages = web(150, seed)
+    got = urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES)
+    want = brute.urls(pages, registry.URL_RULES)
+    assert rows(got, "page_id", "verdict", "decided_by") == want
+    assert {r[2] for r in want} == {"rule", "alias", "default"}
+
+
+def test_alias_sql(spark, tmp_path):
+    """The SQL states the equivalence too, on pages without ``base`` elements and dot segments."""
+    import duckdb
+
+    pages = [p for p in web(300, 9) if "base" not in p[2] and "../" not in p[2]]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    df.write.parquet(str(tmp_path / "pages"))
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from read_parquet('{tmp_path}/pages/*.parquet')")
+    want = con.execute(registry.oracle_sql()["op2_url_filters"]).fetchall()
+    got = urls.judge(df, registry.URL_RULES).select("page_id", "host", "path", "rule", "verdict", "decided_by").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str) and any(r[-1] == "alias" for r in want)
+
+
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(60)]
@@ -397,6 +468,27 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_previous_factors_by_hand():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 50, 400):
+        doc, common = rng.integers(0, 12, n), rng.integers(0, 6, n)
+        common[0] = 0
+        for least in (1, 3):
+            want = []
+            for i in range(n):
+                best = 0
+                for step in (-1, 1):
+                    j, m = i, 9
+                    while 0 <= j + step < n:
+                        m = min(m, common[j] if step < 0 else common[j + 1])
+                        j += step
+                        if doc[j] < doc[i]:
+                            best = max(best, m)
+                            break
+                want.append(best if best >= least else 0)
+            assert suffixes.previous_factors(doc, common, least).tolist() == want
+
+
 def test_words_equal_regular_expressions(cases):
     import pyarrow as pa
 
@@ -425,6 +517,42 @@ def test_sql(spark, name):
     assert rows(df, *sorted(df.columns)) == want and sorted(columns) == sorted(df.columns)
 
 
+def test_pipeline_stages_on_hard_cases(spark, docs, none, cases, tmp_path):
+    """Every stage by itself on nulls, ties, repeated rows, long texts and clashing columns, and on an empty table."""
+    import corpus_pipeline as C
+
+    items = [(1, "again and again again and again again and again"), (None, "One two"), (3, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = docs.withColumn("_row_key", F.lit("mine")).withColumn("N_LINES_REMOVED", F.lit(5)).withColumn("own", F.lit(1))
+    stages = dict(C.STAGES)
+    lang = [(d, t, "en") for d, t in cases]
+    import sentencepiece
+
+    rules = quality.Rules()
+    good = {(r[0], i) for i, r in enumerate(brute.quality(lang, rules, sentencepiece.SentencePieceProcessor(model_file=rules.vocabulary))) if r[3]}
+    want = {
+        "quality_rules": sorted((str(d) for d, _ in good)),
+        "line_dedup": sorted(str(d) for d, _ in cases),
+        "decontamination": sorted(str(r[0]) for r in brute.op7(cases, items) if not r[5]),
+    }
+    for name, stage in C.STAGES:
+        got = stage(spark, clash, str(tmp_path))
+        if name in want:
+            assert got.columns == clash.columns and sorted(str(r["doc_id"]) for r in got.collect()) == want[name], name
+        if name != "packing":
+            assert got.filter("_row_key <> 'mine' or N_LINES_REMOVED <> 5 or own <> 1 or n_lines <> 8").count() == 0
+        assert stage(spark, none.withColumn("own", F.lit(1)), str(tmp_path)).count() == 0, name
+    after = stages["line_dedup"](spark, clash, str(tmp_path))
+    assert rows(after.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("s")), "doc_id", "s") == sorted(((r[0], r[3]) for r in brute.op5(cases)), key=str)
+    left = stages["near_duplicates"](spark, clash, str(tmp_path))
+    one = brute.op1(cases, 5, 80)
+    # a document of each component, and all without words, rows alike once
+    assert len({(r["doc_id"], r["text"]) for r in left.collect()}) == left.count()
+    assert {r["doc_id"] for r in left.collect() if r["doc_id"] is not None} == {r[0] for r in one if r[0] is not None and (r[0] == r[2] or r[1] == 0)}
+    packed = stages["packing"](spark, clash, str(tmp_path))
+    assert packed.filter("start = 0").count() == len(cases)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
