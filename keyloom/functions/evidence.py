@@ -29,6 +29,54 @@ def result_features(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(_table(FEATURES), x), F.concat(F.lit("other:"), x)))))
 
 
+#: Months as headers write them, three letters or more.
+_MONTH = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+
+
+def month_number(name: Column) -> Column:
+    """1-12 of a month's name or its first three letters; null for anything else."""
+    at = F.array_position(F.array(*[F.lit(m) for m in _MONTH.split("|")]), F.substring(F.lower(F.trim(name)), 1, 3))
+    return F.when(at > 0, at.cast("int"))
+
+
+def monthly_header(header: Column) -> Column:
+    """``2025-05`` for a header like ``Searches: May 2025``; null for any other."""
+    pattern = rf"(?i)^\s*searches:\s*({_MONTH})[a-z]*\s+((?:19|20)[0-9]{{2}})\s*$"
+    number = month_number(F.regexp_extract(header, pattern, 1))
+    return F.when(number.isNotNull(), F.concat_ws("-", F.regexp_extract(header, pattern, 2), F.lpad(number.cast("string"), 2, "0")))
+
+
+def header_range(header: Column) -> Column:
+    """(first, last) month of a header like ``SV trend (09-2024 - 08-2026)``; null where it names none."""
+    pattern = r"([0-9]{1,2})-((?:19|20)[0-9]{2})\s*[-–]\s*([0-9]{1,2})-((?:19|20)[0-9]{2})"
+    part = lambda m, y: F.concat_ws("-", F.regexp_extract(header, pattern, y), F.lpad(F.regexp_extract(header, pattern, m), 2, "0"))
+    return F.when(F.rlike(header, F.lit(pattern)), F.struct(part(1, 2).alias("first"), part(3, 4).alias("last")))
+
+
+def month_shift(month: Column, n: Column) -> Column:
+    """A month ``2025-05`` so many months on."""
+    return F.date_format(F.add_months(F.to_date(F.concat(month, F.lit("-01"))), n), "yyyy-MM")
+
+
+def read_trend(monthly: Column, months: list[str], cell: Column, header: Column) -> Column:
+    """(values, scale, last month): exact monthly columns first, else the trend cell.
+
+    ``monthly`` is a map from month to volume; its series counts when every month
+    of the file has a value, and whatever it has keeps the trend cell out.  A
+    trend cell is anchored in time only where its length is that of the months
+    that its header names.
+    """
+    listed = F.filter(F.transform(F.array(*[F.lit(m) for m in months]), lambda m: F.try_element_at(monthly, m).cast("double")), lambda v: v.isNotNull())
+    whole = F.size(listed) == len(months)
+    got, span = trend(cell), header_range(header)
+    ends = F.when((got["scale"] == "absolute") & (month_shift(span["first"], F.size(got["values"]) - 1) == span["last"]), span["last"])
+    none = F.array().cast("array<double>")
+    row = lambda v, s, e: F.struct(v.alias("values"), s.alias("scale"), e.alias("last"))
+    nothing = row(none, F.lit(""), F.lit(None).cast("string"))
+    by_month = F.when(whole, row(listed, F.lit("absolute"), F.lit(months[-1]))).otherwise(nothing) if months else nothing
+    return F.when(F.coalesce(F.size(F.map_keys(monthly)), F.lit(0)) > 0, by_month).otherwise(F.when(F.coalesce(cell, F.lit("")) != "", row(got["values"], got["scale"], ends)).otherwise(nothing))
+
+
 def trend(c: Column) -> Column:
     """(values, scale) of a trend cell: bracketed series are 0-100, values up to 1 relative, others absolute."""
     text = F.coalesce(c, F.lit(""))

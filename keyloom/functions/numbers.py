@@ -33,7 +33,7 @@ def _plain(x: Column, integer: bool) -> Column:
     return F.struct((number * times).alias("value"), estimate.alias("estimate"))
 
 
-def parse_number(c: Column, integer: bool = False, range_mode: str = "mid") -> Column:
+def parse_number(c: Column, integer: bool = False, range_mode: str = "low") -> Column:
     """(value, estimate) of a cell as export tools write numbers; null value where there is none.
 
     A range takes its ``low``, ``mid`` or ``high`` end and is an estimate; so is a bound such as ``<10``.
@@ -112,3 +112,19 @@ def issue_id(check: Column, market_: Column, keyword: Column, other: Column, key
 def reading_grade(words: Column, sentence_count: Column, syllable_count: Column) -> Column:
     """Flesch-Kincaid grade."""
     return 0.39 * words / F.greatest(sentence_count, F.lit(1)) + 11.8 * syllable_count / F.greatest(words, F.lit(1)) - 15.59
+
+
+def narrower_facets(own: Column, facets: dict[str, Column], counted: tuple[str, ...] = ("occasion", "recipient", "interest", "product", "craft"), audiences: tuple[str, ...] | None = ("occasion", "recipient", "interest")) -> Column:
+    """How many facets a cluster names beyond its group's own; none counts in a group that no audience keys (``audiences`` None: counted anywhere)."""
+    n = sum(((F.lit(f) != own) & (F.coalesce(facets[f], F.lit("")) != "")).cast("int") for f in counted if f in facets)
+    return n if audiences is None else F.when(own.isin(*audiences), n).otherwise(0)
+
+
+def shared_facets(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """How many facets two rows have in common."""
+    return sum(((F.coalesce(a[f], F.lit("")) != "") & (a[f] == b[f])).cast("int") for f in a if f in b)
+
+
+def specificity(words: Column, modifiers: tuple[str, ...]) -> Column:
+    """(subject words, words) of a topic; structs of it compare in that order."""
+    return F.struct(F.size(F.filter(words, lambda w: ~w.isin(*modifiers))).alias("subject"), F.size(words).alias("words"))

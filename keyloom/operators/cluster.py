@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import os
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,42 +20,73 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def leaders(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds and members of leader clustering: (id, seed, joined_by, score).
+def leaders(nodes: DataFrame, edges: DataFrame, topic: str | None = None) -> DataFrame:
+    """Seeds and members of leader clustering: (id, seed, tier, score).
 
     ``nodes`` (id, rank) are taken in order of rank; ``edges`` (a, b, tier,
     score), a before b in rank, name the pairs that may join.  A node joins the
     earlier seed with the best (tier, score), the earliest on ties, and is a
     seed where no earlier seed may take it.  The seeds are the lexicographically
     first maximal independent set, so rounds settle all nodes whose earlier
-    neighbours are settled, not one node at a time; each round is checkpointed.
+    neighbours are settled, not one node at a time.  Each round keeps only the
+    edges whose two ends are still open, and is checkpointed.
+
+    ``topic`` names a column of a trusted parent topic: a node joins its topic's
+    seed before all else (tier 3).  A topic has one seed, the first of its nodes
+    that nothing else takes, so a round needs the first open node of each topic
+    and no pairs inside it.
     """
-    state = checkpointed(nodes.select("id", "rank", F.lit(0).alias("state")))  # 0 open, 1 seed, 2 member
     pairs = checkpointed(edges.select("a", "b", "tier", "score"))
+    named = F.col(topic) if topic else F.lit(None).cast("string")
+    waiting = checkpointed(nodes.select("id", "rank", named.alias("topic")))
+    open_, settled = pairs.select("a", "b"), []
     while True:
-        near = pairs.select("a", "b").join(state.select(F.col("id").alias("a"), F.col("state").alias("sa")), "a")
-        seen = near.groupBy("b").agg(F.max((F.col("sa") == 1).cast("int")).alias("seeded"), F.max((F.col("sa") == 0).cast("int")).alias("waiting"))
-        new = F.when(F.col("state") != 0, F.col("state")).when(F.col("seeded") == 1, 2).when(F.coalesce("waiting", F.lit(0)) == 0, 1).otherwise(0)
-        state = checkpointed(state.join(seen.withColumnRenamed("b", "id"), "id", "left").select("id", "rank", new.alias("state")))
-        if state.filter("state = 0").limit(1).count() == 0:
+        # all ends of open edges wait: a node without an earlier one is a seed, its later neighbours are members
+        first = waiting.join(open_.select(F.col("b").alias("id")).distinct(), "id", "left_anti")
+        if topic:
+            heads = waiting.filter("topic is not null").groupBy("topic").agg(F.min_by("id", "rank").alias("id")).select("id")
+            first = first.filter("topic is null").unionByName(first.join(heads, "id", "left_semi"))
+        first = checkpointed(first)
+        taken = open_.join(first.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id"))
+        if topic:
+            own = waiting.join(first.filter("topic is not null").select("topic", F.col("id").alias("seed")), "topic").filter("id <> seed")
+            taken = taken.unionByName(own.select("id"))
+        taken = checkpointed(taken.distinct())
+        settled.append(first.withColumn("state", F.lit(1)))
+        settled.append(waiting.join(taken, "id", "left_semi").withColumn("state", F.lit(2)))
+        waiting = checkpointed(waiting.join(first.select("id").unionByName(taken), "id", "left_anti"))
+        if waiting.isEmpty():
             break
+        # edges with a settled end say nothing more: members take nobody, seeds have spoken
+        left = waiting.select("id")
+        open_ = checkpointed(open_.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+    state = reduce(DataFrame.unionByName, settled)
     seeds = state.filter("state = 1").select(F.col("id").alias("a"), F.col("rank").alias("seed_rank"))
-    best = pairs.join(seeds, "a").groupBy("b").agg(F.max_by(F.struct("a", "tier", "score"), F.struct("tier", "score", -F.col("seed_rank"))).alias("m"))
+    options = pairs.select("a", "b", "tier", "score")
+    if topic:
+        heads = state.filter("state = 1 and topic is not null").select("topic", F.col("id").alias("a"), F.col("rank").alias("r"))
+        by_topic = state.filter("state = 2").join(heads, "topic").filter("r < rank")
+        options = options.unionByName(by_topic.select("a", F.col("id").alias("b"), F.lit(3).alias("tier"), F.lit(1.0).alias("score")))
+    best = options.join(seeds, "a").groupBy("b").agg(F.max_by(F.struct("a", "tier", "score"), F.struct("tier", "score", -F.col("seed_rank"))).alias("m"))
     members = state.filter("state = 2").join(best, state["id"] == best["b"]).select("id", F.col("m.a").alias("seed"), F.col("m.tier").alias("tier"), F.col("m.score").alias("score"))
     own = seeds.select(F.col("a").alias("id"), F.col("a").alias("seed"), F.lit(9).alias("tier"), F.lit(1.0).alias("score"))
     return own.unionByName(members)
 
 
-def leaders_by_loop(ids: list, edges: list[tuple]) -> dict:
+def leaders_by_loop(ids: list, edges: list[tuple], topics: dict | None = None) -> dict:
     """The same by a plain loop over ids in order of rank; for tests."""
     before: dict = {}
     for a, b, tier, score in edges:
         before.setdefault(b, []).append((tier, score, a))
     place = {x: i for i, x in enumerate(ids)}
     seed: dict = {}
+    of_topic: dict = {}
     for x in ids:
-        options = [(t, s, -place[a], a) for t, s, a in before.get(x, []) if seed.get(a) == a]
-        seed[x] = max(options)[3] if options else x
+        t = (topics or {}).get(x)
+        options = [(k, s, -place[a], a) for k, s, a in before.get(x, []) if seed.get(a) == a]
+        seed[x] = of_topic[t] if t in of_topic else max(options)[3] if options else x
+        if seed[x] == x and t is not None:
+            of_topic[t] = x
     return seed
 
 
@@ -156,50 +187,6 @@ def reach(points: DataFrame, kd: str, position: str, least: int = 20) -> DataFra
     return upto.filter((F.col("total") >= least) & (F.col("upto") >= index)).agg(F.min("v").alias("reach"), F.max("total").alias("measured"))
 
 
-def greedy_cover(rows: DataFrame, group: str, least: int = 300, share: float = 0.02, most_floor: int = 2000) -> DataFrame:
-    """Posts of a pillar by greedy weighted coverage; (group, id, node, kept).
-
-    Columns id, words (array), volume.  A node is a word or a whole core; its
-    gain is the volume of the members that contain it and whose owner is less
-    specific.  Picking is sequential inside a pillar, whose size the pillar
-    stages bound; pillars run in parallel.
-    """
-    schema = f"{group} string, id long, node string, kept boolean"
-
-    def cover(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf[group].iloc[0]
-        members = [(int(i), frozenset(w), int(v)) for i, w, v in zip(pdf["id"], pdf["words"], pdf["volume"])]
-        total = sum(v for _, _, v in members)
-        threshold = max(least, min(max(least, share * total), most_floor))
-        nodes = {frozenset(w) for _, w, _ in members if w} | {frozenset([x]) for _, w, _ in members for x in w}
-        owner: dict[int, frozenset] = {}
-        chosen: list[frozenset] = []
-        while True:
-            best = None
-            for node in nodes - set(chosen):
-                gain = sum(v for i, w, v in members if node <= w and len(owner.get(i, ())) < len(node))
-                if gain >= threshold:
-                    key = (gain, -len(node), tuple(sorted(node)))
-                    best = max(best, (key, node)) if best else (key, node)
-            if best is None:
-                break
-            node = best[1]
-            if not chosen:
-                threshold = max(least, min(max(threshold, 0.1 * best[0][0]), most_floor))
-            chosen.append(node)
-            for i, w, _ in members:
-                if node <= w and len(owner.get(i, ())) < len(node):
-                    owner[i] = node
-        owned: dict[frozenset, int] = {}
-        for i, _, v in members:
-            if i in owner:
-                owned[owner[i]] = owned.get(owner[i], 0) + v
-        rows_ = [(name, i, " ".join(sorted(owner.get(i, ()))), owner.get(i) is not None and owned[owner[i]] * 2 >= threshold) for i, _, _ in members]
-        return pd.DataFrame(rows_, columns=[group, "id", "node", "kept"])
-
-    return rows.select(group, "id", "words", "volume").groupBy(group).applyInPandas(cover, schema)
-
-
 def staged_groups(rows: DataFrame, row_id: str, stages: list[tuple[str, list[str]]], least: int) -> DataFrame:
     """(id, stage, group_key): each stage takes the groups of enough members; all others fall through to the next."""
     left, taken = rows, []

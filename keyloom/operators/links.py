@@ -132,7 +132,17 @@ def plan(posts: DataFrame, budget: int = 12, related: int = 3) -> DataFrame:
 
 
 def unique_slugs(rows: DataFrame, slug: str, order: list[Column], out: str = "slug") -> DataFrame:
-    """Repeated slugs get -2, -3 .. in plan order; a natural slug of that form keeps its name and the others move on."""
-    k = F.row_number().over(Window.partitionBy("_base").orderBy(*order))
-    x = rows.withColumn("_base", F.col(slug)).withColumn("_k", k)
-    return x.withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", F.col("_k").cast("string")))).drop("_base", "_k")
+    """Repeated slugs get -2, -3 .. in plan order; a natural slug of that form keeps its name and the others move on.
+
+    The first row of each slug has it as it is.  The k-th further one takes the
+    k-th number from 2 on that no natural slug of the same base has.  A name
+    ``base-number`` names its base, so names of different bases never meet.
+    """
+    x = rows.withColumn("_base", F.col(slug)).withColumn("_k", F.row_number().over(Window.partitionBy(slug).orderBy(*order)))
+    # numbers that natural slugs take from a base, and how many rows want one
+    natural = x.filter("_k = 1").select(F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 2).alias("_no"))
+    natural = natural.filter("_base <> '' and _no not like '0%'").groupBy("_base").agg(F.array_sort(F.collect_set(F.col("_no").cast("int"))).alias("_used"))
+    x = x.join(natural.hint("shuffle_merge"), "_base", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
+    # the k-th free number: k plus as many used ones as lie at or below it, used ones in ascending order
+    number = F.aggregate("_used", F.col("_k"), lambda n, u: F.when((u >= 2) & (u <= n), n + 1).otherwise(n))
+    return x.withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string")))).drop("_base", "_k", "_used")

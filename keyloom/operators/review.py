@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,39 +83,121 @@ def proposals(issues: DataFrame) -> DataFrame:
     return issues.filter("action <> ''").select(F.concat(F.lit("P-"), "issue_id").alias("decision_id"), "action", "market", "keyword", F.col("other").alias("target"), F.lit("").alias("value"), F.lit("proposed").alias("reason"), F.col("check").alias("evidence"), F.col("issue_id").alias("source_issue"), F.lit("proposal").alias("author"))
 
 
-def audit_grouping(members: DataFrame, close: float = 0.6) -> DataFrame:
-    """(market, keyword, group, finding, other): what an existing grouping gets wrong, from its mains and members.
+#: The audit's findings, with what each does.
+FINDINGS = {
+    "same_query": "merged", "serp_apart": "kept_apart", "duplicate": "removed", "shop_member": "split", "main_changed": "main_changed", "segment_modifier": "kept_apart", "tone_variant": "merged",
+    "possible_duplicate": "check_serp", "same_question": "merged", "export_topic": "added", "noise_flag": "kept",
+}
+_YEAR = r"\b(19|20)[0-9]{2}\b"
 
-    Findings: same_query (two mains with one variant key), duplicate (a keyword
-    in two groups), possible (close mains), shop_member, main_changed (a plain
-    member with twice the main's volume).
+
+def _finding(df: DataFrame, name: str, other: str = "''") -> DataFrame:
+    return df.select("market", "keyword", "group", F.lit(name).alias("finding"), F.lit(FINDINGS[name]).alias("action"), F.expr(other).cast("string").alias("other"))
+
+
+def better_mains(members: DataFrame, volume_ratio: float = 2.0, win_ratio: float = 1.25, win_least: float = 50.0, year_share: float = 0.2, reach: float = 30.0) -> DataFrame:
+    """Groups whose main another member should be: (market, keyword, group, other), keyword the present main.
+
+    A main with a year gives way to a member that holds all its other words
+    without one, from a fifth of its volume on.  Else the first by winnable
+    volume of the plain members that ask the same thing (its words hold the
+    main's, in the same order, eight at most) with twice the volume, or, where the
+    main is hard to rank for, an easier one that wins a quarter more and 50 at least.
     """
-    m = members.withColumn("vkey", T.variant_key(F.col("words")))
+    mains = members.filter("is_main").select("market", "group", F.struct("keyword", "volume", "kd", F.col("words").alias("words")).alias("m"))
+    x = members.filter("not is_main").join(mains, ["market", "group"])
+    words, own = F.col("words"), F.col("m.words")
+    undated = lambda w: F.filter(w, lambda t: ~F.rlike(t, F.lit("^(19|20)[0-9]{2}$")))
+    dated = F.rlike("m.keyword", F.lit(_YEAR))
+    volume, top = F.col("volume"), F.col("m.volume")
+    holds = F.size(F.array_except(undated(own), words)) == 0
+    plain = ~F.rlike("keyword", F.lit(r"[0-9]")) & (F.size(F.split("keyword", " ")) <= 8)
+    evergreen = dated & ~F.rlike("keyword", F.lit(_YEAR)) & holds & (volume >= top * year_share)
+    win, won = N.winnable(volume.cast("double"), F.col("kd"), reach), N.winnable(top.cast("double"), F.col("m.kd"), reach)
+    larger = volume >= F.greatest(top, F.lit(1)) * volume_ratio
+    hard = N.fit_label(F.col("m.kd"), reach) != "easy"
+    easier = hard & (N.fit(F.col("kd"), reach) > N.fit(F.col("m.kd"), reach)) & (win >= won * win_ratio) & (win - won >= win_least)
+    asks = ~dated & plain & holds & S.shared_order(words, own)
+    able = x.withColumn("_win", win).filter(evergreen | (asks & (larger | easier)))
+    first = F.row_number().over(Window.partitionBy("market", "group").orderBy(F.desc("_win"), F.desc("volume"), "keyword"))
+    return able.withColumn("_k", first).filter("_k = 1").select("market", F.col("m.keyword").alias("keyword"), "group", F.col("keyword").alias("other"))
+
+
+def closest_groups(mains: DataFrame, close: float) -> DataFrame:
+    """For each group that is close to a greater one, the closest (the greater on ties): (market, keyword, group, words, other, other_words, similarity)."""
+    ids = mains.withColumn("id", F.concat_ws("|", "market", "group"))
+    pairs = S.similar_pairs(ids.select("id", "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close).filter("similarity < 1").select("a", "b", "similarity")
+    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity").select("p.a", "p.b", "similarity")
+    side = lambda c, p: ids.select(F.col("id").alias(c), F.struct("market", "keyword", "group", "words", "volume").alias(p))
+    x = both.join(side("a", "x"), "a").join(side("b", "y"), "b").filter("x.volume < y.volume or (x.volume = y.volume and x.group > y.group)")
+    first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), F.desc("y.volume"), "y.group"))
+    return x.withColumn("_k", first).filter("_k = 1").select("x.market", "x.keyword", "x.group", "x.words", F.col("y.keyword").alias("other"), F.col("y.words").alias("other_words"), "similarity")
+
+
+def audit_grouping(members: DataFrame, close: float = 0.6, results: DataFrame | None = None, free: DataFrame | None = None, least: int = 4, tones: tuple[str, ...] = (), lists: tuple[str, ...] = (), noise: str | None = None, most_topics: int = 30) -> DataFrame:
+    """(market, keyword, group, finding, action, other): what an existing grouping gets wrong, from its mains and members.
+
+    Columns of ``members``: market, group, keyword, is_main, volume, kd, need,
+    words.  Findings: same_query (two mains with one variant key, or that share
+    ``least`` results), serp_apart (mains close in words whose results differ),
+    duplicate (a keyword in two groups), shop_member, main_changed
+    (:func:`better_mains`), the closest greater group of each as segment_modifier,
+    tone_variant or possible_duplicate by what sets them apart, noise_flag (a
+    member that the pattern ``noise`` matches), and for keywords in no group
+    (``free``: market, keyword, volume, need, words) same_question or, the
+    greatest of the rest, export_topic.  ``results`` holds (market, keyword, url).
+    """
+    m = members.filter("coalesce(group, '') <> ''").withColumn("vkey", T.variant_key(F.col("words")))
     mains = m.filter("is_main")
-    w = Window.partitionBy("market", "vkey").orderBy(F.desc("volume"), "keyword")
-    ranked = mains.withColumn("_k", F.row_number().over(w)).withColumn("other", F.first("keyword").over(w))
-    same = ranked.filter("_k > 1").select("market", "keyword", "group", F.lit("same_query").alias("finding"), "other")
+    w = Window.partitionBy("market", "vkey").orderBy(F.desc("volume"), "keyword", "group")
+    ranked = mains.withColumn("_k", F.row_number().over(w)).withColumn("_first", F.first("keyword").over(w))
+    out = [_finding(ranked.filter("_k > 1"), "same_query", "_first")]
+    lost = ranked.filter("_k > 1").select("market", "group")
+    if results is not None:
+        urls = results.select("market", "keyword", T.canonical_url(F.col("url")).alias("url")).distinct()
+        own = mains.join(urls, ["market", "keyword"]).select("market", "group", "url").distinct()
+        ids = own.withColumn("id", F.concat_ws("|", "market", "group"))
+        shared = S.overlap_pairs(ids, "id", "url", 1, ["market"]).select("a", "b", "shared")
+        side = lambda c, p: mains.select(F.concat_ws("|", "market", "group").alias(c), F.struct("market", "keyword", "group", "volume", "words").alias(p))
+        has = ids.select("id").distinct()
+        near = S.similar_pairs(mains.withColumn("id", F.concat_ws("|", "market", "group")).join(has, "id", "left_semi").select("id", "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close).select("a", "b")
+        pairs = near.join(shared, ["a", "b"], "full").withColumn("shared", F.coalesce("shared", F.lit(0))).join(side("a", "x"), "a").join(side("b", "y"), "b")
+        smaller = F.when((F.col("x.volume") < F.col("y.volume")) | ((F.col("x.volume") == F.col("y.volume")) & (F.col("x.group") > F.col("y.group"))), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
+        told = pairs.select("shared", smaller.alias("p"), N.close_words(F.col("x.words"), F.col("y.words")).alias("close")).select("shared", "close", "p.x.market", "p.x.keyword", "p.x.group", F.col("p.y.keyword").alias("with"), F.col("p.y.volume").alias("v"))
+        merged = told.filter(F.col("shared") >= least).withColumn("_k", F.row_number().over(Window.partitionBy("market", "group").orderBy(F.desc("shared"), F.desc("v"), "with"))).filter("_k = 1").join(lost, ["market", "group"], "left_anti")
+        out.append(_finding(merged, "same_query", "with"))
+        out.append(_finding(told.filter((F.col("shared") < least) & F.col("close")), "serp_apart", "with"))
+        lost = lost.unionByName(merged.select("market", "group"))
     v = Window.partitionBy("market", "vkey").orderBy(F.desc("is_main"), F.desc("volume"), "group", "keyword")
-    dup = m.withColumn("_k", F.row_number().over(v)).withColumn("other", F.first("group").over(v)).filter("_k > 1 and group <> other").join(ranked.filter("_k > 1").select("market", "keyword", "group"), ["market", "keyword", "group"], "left_anti")
-    dup = dup.select("market", "keyword", "group", F.lit("duplicate").alias("finding"), "other")
-    pairs = S.similar_pairs(mains.select(F.concat_ws("|", "market", "group").alias("id"), "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close)
-    names = mains.select(F.concat_ws("|", "market", "group").alias("id"), "keyword", "group")
-    near = pairs.filter("similarity < 1").join(names.withColumnRenamed("id", "b"), "b").join(names.select(F.col("id").alias("a"), F.col("keyword").alias("other")), "a")
-    possible = near.select("market", "keyword", "group", F.lit("possible").alias("finding"), "other")
-    shop = m.filter("need = 'shop' and not is_main").select("market", "keyword", "group", F.lit("shop_member").alias("finding"), F.lit("").alias("other"))
-    g = Window.partitionBy("market", "group")
-    top = m.withColumn("mainvol", F.max(F.when(F.col("is_main"), F.col("volume"))).over(g)).withColumn("main", F.max(F.when(F.col("is_main"), F.col("keyword"))).over(g))
-    better = top.filter("not is_main and volume >= 2 * mainvol and mainvol is not null and not keyword rlike '[0-9]'").withColumn("_k", F.row_number().over(g.orderBy(F.desc("volume"), "keyword"))).filter("_k = 1")
-    changed = better.select("market", F.col("main").alias("keyword"), "group", F.lit("main_changed").alias("finding"), F.col("keyword").alias("other"))
-    return same.unionByName(dup).unionByName(possible).unionByName(shop).unionByName(changed)
+    dup = m.withColumn("_k", F.row_number().over(v)).withColumn("_first", F.first("group").over(v)).filter(F.col("_k") > 1).filter(F.col("group") != F.col("_first"))
+    out.append(_finding(dup.filter("not is_main"), "duplicate", "_first"))
+    out.append(_finding(m.filter("need = 'shop' and not is_main"), "shop_member"))
+    out.append(_finding(better_mains(m), "main_changed", "other"))
+    near = closest_groups(mains.join(lost, ["market", "group"], "left_anti").filter("need <> 'shop'"), close)
+    near = near.withColumn("kind", N.modifier_kind(F.col("words"), F.col("other_words"), list(tones), list(lists)))
+    is_list = F.size(F.array_intersect(F.array_intersect("words", "other_words"), F.array(*[F.lit(x) for x in lists]).cast("array<string>"))) > 0
+    tone = (F.col("kind") == "list_tone") | ((F.col("kind") == "tone") & is_list)
+    out.append(_finding(near.filter("kind = 'segment'"), "segment_modifier", "other"))
+    out.append(_finding(near.filter((F.col("kind") != "segment") & tone), "tone_variant", "other"))
+    out.append(_finding(near.filter((F.col("kind") != "segment") & ~tone), "possible_duplicate", "other"))
+    if noise:
+        out.append(_finding(m.filter(F.rlike("keyword", F.lit(noise))), "noise_flag"))
+    if free is not None:
+        asks = mains.groupBy("market", "need", "vkey").agg(F.min_by(F.struct("group", "keyword"), F.struct(-F.col("volume"), F.col("group"))).alias("g"))
+        apart = free.filter("need <> 'shop'").withColumn("vkey", T.variant_key(F.col("words"))).join(asks, ["market", "need", "vkey"], "left")
+        out.append(_finding(apart.filter("g is not null").select("market", "keyword", F.col("g.group").alias("group"), F.col("g.keyword").alias("main")), "same_question", "main"))
+        topics = apart.filter("g is null").withColumn("group", F.lit(None).cast("string")).orderBy(F.desc("volume"), "market", "keyword").limit(most_topics)  # the report's feature
+        out.append(_finding(topics, "export_topic"))
+    return reduce(DataFrame.unionByName, out)
 
 
+#: What a decision on a grouping can do, in the order of application.
 ACTIONS = ("merge", "move_keyword", "split", "keep_apart", "rename_main", "set_need")
 LOG = "decision_id string, action string, market string, keyword string, target string, status string, detail string"
 
 
 def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000) -> tuple[DataFrame, DataFrame]:
-    """Members after the decisions, and a log (status applied, stale, invalid, conflict).
+    """Members after the decisions, and a log (status applied, already_true, stale, invalid, conflict).
 
     Decisions are a few dozen rows that people write; they are read on the
     driver behind a checked bound, ordered and checked against each other.
@@ -128,7 +211,9 @@ def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000
     m = members.withColumn("_key", T.decision_key(F.col("keyword")))
     spark = members.sparkSession
     wanted = spark.createDataFrame([(str(r["market"] or ""), str(n)) for r in listed for n in (r["keyword"], r["target"]) if n] or [("", "")], "market string, name string").withColumn("_key", T.decision_key(F.col("name")))
-    found = m.join(F.broadcast(wanted.select(F.col("market").alias("dm"), "_key", "name")), "_key").filter("dm = '' or dm = market").select("name", "dm", "market", "group", "keyword", "is_main").distinct().limit(20 * most).collect()
+    found = m.join(F.broadcast(wanted.select(F.col("market").alias("dm"), "_key", "name")), "_key").filter("dm = '' or dm = market").select("name", "dm", "market", "group", "keyword", "is_main").distinct().limit(20 * most + 1).collect()
+    if len(found) > 20 * most:
+        raise ValueError(f"the decisions name more than {20 * most} rows")
     at: dict[tuple[str, str], list] = {}
     for f in found:
         at.setdefault((f["dm"], f["name"]), []).append(f)
@@ -150,8 +235,14 @@ def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000
             status, detail = "stale", "keyword not found"
         elif len({h["market"] for h in hits}) > 1:
             status, detail = "invalid", "market is not unique"
-        elif r["action"] in ("merge", "move_keyword") and not target:
+        elif r["action"] in ("merge", "move_keyword", "keep_apart") and not target:
             status, detail = "stale", "target not found"
+        elif r["action"] == "keep_apart" and (hits[0]["market"], hits[0]["keyword"]) == (target[0]["market"], target[0]["keyword"]):
+            status, detail = "invalid", "keyword and target are one"
+        elif r["action"] == "keep_apart" and hits[0]["group"] != target[0]["group"]:
+            status, detail = "already_true", "they are in different groups"
+        elif r["action"] in ("merge", "move_keyword") and hits[0]["group"] == target[0]["group"]:
+            status, detail = "already_true", "they are in one group"
         elif key in used:
             status, detail = "conflict", f"with {used[key]}"
         else:
@@ -163,6 +254,10 @@ def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000
                 keyword_to[h["market"], h["keyword"]] = target[0]["group"]
             elif r["action"] == "split":
                 keyword_to[h["market"], h["keyword"]] = f"{h['group']}/{plain_key(h['keyword'])}"
+            elif r["action"] == "keep_apart":
+                leaver = h if not h["is_main"] else target[0]  # the group keeps its main
+                keyword_to[h["market"], leaver["keyword"]] = f"{leaver['group']}/{plain_key(leaver['keyword'])}"
+                main_of[h["market"], f"{leaver['group']}/{plain_key(leaver['keyword'])}"] = leaver["keyword"]
             elif r["action"] == "rename_main":
                 main_of[h["market"], h["group"]] = h["keyword"]
             elif r["action"] == "set_need":
@@ -214,3 +309,91 @@ def follow_targets(rows: DataFrame, node: str, target: str, rounds: int = 32) ->
         if not changed:
             return x.select(F.col("n").alias(node), F.col("t").alias(target))
     raise ValueError("merge targets form a circle")
+
+
+#: The cell of a plan that each action fills.
+CELLS = {"set_title": "title", "set_note": "note", "set_owner": "owner", "set_status": "status", "set_angle": "angle"}
+
+
+def fill_cells(plan: DataFrame, decisions: DataFrame, previous: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(cells, log) of decisions on single cells of a plan: only empty cells are filled, and only what a decision wrote is replaced.
+
+    ``plan`` has a row a cell (market, keyword, cell, value; value empty where
+    the team wrote nothing).  A decision names keyword and value; of several that
+    differ on one cell none holds.  ``previous`` (decision_id, market, keyword,
+    cell, value) is what the last run wrote: such a value may be replaced, and is
+    cleared when its decision is gone and nobody has edited it since.
+    """
+    names = F.create_map(*[F.lit(x) for kv in CELLS.items() for x in kv])
+    keyed = plan.withColumn("_key", T.decision_key(F.col("keyword"))).withColumn("now", F.trim(F.coalesce("value", F.lit(""))))
+    d = decisions.withColumn("cell", F.try_element_at(names, F.lower(F.trim("action")))).withColumn("_key", T.decision_key(F.col("keyword"))).withColumn("want", F.trim(F.coalesce("value", F.lit(""))))
+    blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    invalid = F.when(F.col("cell").isNull(), "unknown action").when(F.lower(F.coalesce("author", F.lit(""))) == "proposal", "a proposal needs an author").when(blank("reason") | blank("evidence"), "no reason or evidence").when(F.col("want") == "", "value is empty")
+    d = d.withColumn("why", invalid).select("decision_id", "market", "keyword", "_key", "cell", "want", "why")
+    target = keyed.select(F.col("market").alias("tm"), "_key", "cell", "now")
+    found = d.filter("why is null").join(target, ["_key", "cell"], "left").filter("tm is null or coalesce(market, '') = '' or tm = market or tm = 'all'")
+    per = Window.partitionBy("decision_id")
+    found = found.withColumn("n", F.count("tm").over(per))
+    per_cell = Window.partitionBy("tm", "_key", "cell")
+    one = found.filter("n = 1").withColumn("differ", F.size(F.collect_set("want").over(per_cell)) > 1).withColumn("k", F.row_number().over(per_cell.orderBy("decision_id")))
+    if previous is not None:
+        mine = previous.select("decision_id", "cell", F.trim("value").alias("mine"))
+        one = one.join(mine, ["decision_id", "cell"], "left")
+    else:
+        one = one.withColumn("mine", F.lit(None).cast("string"))
+    status = F.when(F.col("differ"), "conflict").when((F.col("now") == F.col("want")) | (F.col("k") > 1), "already_true").when((F.col("now") != "") & ~F.col("now").eqNullSafe(F.col("mine")), "team_value_kept").otherwise("applied")
+    one = one.withColumn("status", status)
+    # a decision that names a keyword in no market, or in several, says so once
+    found_log = d.join(one.select("decision_id", "status"), "decision_id", "left").join(found.groupBy("decision_id").agg(F.max("n").alias("n")), "decision_id", "left")
+    log = found_log.select("decision_id", "keyword", "cell", F.when(F.col("why").isNotNull(), "invalid").when(F.coalesce("n", F.lit(0)) == 0, "stale").when(F.col("n") > 1, "invalid").otherwise(F.col("status")).alias("status"))
+    writes = one.filter("status = 'applied'").select(F.col("tm").alias("market"), "_key", "cell", F.col("want").alias("new"))
+    if previous is not None:
+        gone = previous.join(decisions.select("decision_id"), "decision_id", "left_anti").filter("coalesce(value, '') <> ''").withColumn("_key", T.decision_key(F.col("keyword")))
+        cleared = gone.join(keyed.select("market", "_key", "cell", "now"), ["market", "_key", "cell"]).filter(F.col("now") == F.trim("value"))
+        log = log.unionByName(cleared.select("decision_id", "keyword", "cell", F.lit("withdrawn").alias("status")))
+        writes = writes.unionByName(cleared.select("market", "_key", "cell", F.lit("").alias("new")).join(writes.select("market", "_key", "cell"), ["market", "_key", "cell"], "left_anti"))
+    cells = keyed.join(writes, ["market", "_key", "cell"], "left").select("market", "keyword", "cell", F.coalesce("new", "now").alias("value"))
+    return cells, log
+
+
+def outline_seeds(posts: DataFrame, light: tuple[str, ...], most: int = 8) -> DataFrame:
+    """(post, keyword, place): a post's own keywords that ask something new, the greatest first, at most ``most``.
+
+    New are words beyond the main's and the light ones, or a question where the
+    main is none; of keywords with one signature the greatest stands.  Columns
+    post, keyword, main, volume, fixed.
+    """
+    question = lambda c: F.rlike(F.lower(c), F.lit(r"^(what|when|where|who|why|how|which|is|are|do|does|did|can|should)\b"))
+    words = lambda c: F.split(T.signature(T.normal_form(c)), " ")
+    x = posts.filter((F.col("keyword") != F.col("main")) & ~F.col("fixed")).withColumn("sig", T.signature(T.normal_form(F.col("keyword")))).withColumn("main_sig", T.signature(T.normal_form(F.col("main"))))
+    new = F.size(F.array_except(F.array_except(words(F.col("keyword")), F.array(*[F.lit(w) for w in light]).cast("array<string>")), words(F.col("main")))) > 0
+    asks = new | (question(F.col("keyword")) & ~question(F.col("main")))
+    able = x.filter((F.col("sig") != "") & (F.col("sig") != F.col("main_sig")) & asks)
+    once = able.withColumn("_s", F.row_number().over(Window.partitionBy("post", "sig").orderBy(F.desc("volume"), "keyword"))).filter("_s = 1")
+    place = F.row_number().over(Window.partitionBy("post").orderBy(F.desc("volume"), "keyword"))
+    return once.withColumn("place", place).filter(F.col("place") <= most).select("post", "keyword", "place")
+
+
+def placed_keywords(keywords: DataFrame, topics: DataFrame, posts: DataFrame) -> DataFrame:
+    """(market, keyword, stt, post, why): where a keyword is in the plan, through its cluster and what that is merged into.
+
+    Keywords (market, keyword, cluster), topics (cluster, role, slug,
+    merged_into), posts (slug, stt, main).  What has no post says why.
+    """
+    at = topics.select("cluster", "role", F.coalesce(F.nullif("slug", F.lit("")), F.nullif("merged_into", F.lit(""))).alias("slug"))
+    x = keywords.join(at, "cluster", "left").join(posts.select("slug", "stt", F.col("main").alias("post")), "slug", "left")
+    why = F.when(F.col("stt").isNotNull(), "").when(F.col("role") == "skip", "shop pages answer it").when(F.col("role") == "backlog", "backlog").otherwise("not in the plan")
+    return x.select("market", "keyword", "stt", "post", why.alias("why"))
+
+
+def checked_pairs(pairs: DataFrame, placed: DataFrame, least: int = 4) -> DataFrame:
+    """(market, a, b, shared, verdict, follows): whether the plan does what the results of two keywords say.
+
+    ``pairs`` (market, a, b, shared) are those compared, close in words or
+    overlapping; one post from ``least`` shared results on.
+    """
+    side = lambda c, s: placed.select("market", F.col("keyword").alias(c), F.col("stt").alias(s))
+    x = pairs.join(side("a", "sa"), ["market", "a"], "left").join(side("b", "sb"), ["market", "b"], "left")
+    one, together = F.col("shared") >= least, F.col("sa") == F.col("sb")
+    follows = F.when(F.col("sa").isNull() | F.col("sb").isNull(), "not in plan").when(one == together, "yes").when(together, "no: merged").otherwise("no: apart")
+    return x.select("market", "a", "b", "shared", F.when(one, "one post").otherwise("two posts").alias("verdict"), follows.alias("follows"))

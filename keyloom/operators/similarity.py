@@ -19,42 +19,48 @@ def document_frequency(rows: DataFrame, words: str, keys: list[str]) -> DataFram
 
 
 def prefixes(rows: DataFrame, row_id: str, words: str, keys: list[str], least: float, weak: list[str]) -> DataFrame:
-    """Index entries of each row: its rarest words, as many as one pair at ``least`` must share one of.
+    """Index entries (row id, keys, word, seen, rest, total, ids, set) of each row: its rarest words.
 
     Words are ordered by frequency; a prefix ends where the weight of what
-    follows can no longer reach ``least`` of the whole.
+    follows can no longer reach ``least`` of the whole, so two rows at ``least``
+    share a prefix word.  ``seen`` names the words before, ``rest`` is the weight
+    from the word on; ``ids`` are the set's words as numbers, ``set`` itself
+    travels along so that no second join is needed.
     """
+    distinct = rows.select(row_id, *keys, F.array_compact(F.array_distinct(words)).alias("set"))
     df = document_frequency(rows, words, keys)
-    each = rows.select(row_id, *keys, F.explode(F.array_distinct(words)).alias("word"))
+    listed = distinct.select(row_id, *keys, F.explode("set").alias("word")).join(df, [*keys, "word"])
     weight = F.when(F.col("word").isin(*weak), 3).otherwise(10) if weak else F.lit(10)
-    listed = each.join(df, [*keys, "word"]).withColumn("w", weight)
-    by_row = Window.partitionBy(row_id)
-    rarest = by_row.orderBy("df", "word").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum("w").over(rarest), F.lit(0))
-    total = F.sum("w").over(by_row)
-    placed = listed.withColumn("before", before).withColumn("total", total)
-    return placed.filter(F.col("total") - F.col("before") >= F.col("total") * F.lit(least) - 1e-9).select(row_id, *keys, "word", (F.col("total") - F.col("before")).alias("rest"), "total")
+    entry = F.struct("df", "word", weight.alias("w"), F.xxhash64("word").alias("id"))
+    ordered = listed.groupBy(row_id, *keys).agg(F.array_sort(F.collect_list(entry)).alias("e"))
+    total = F.aggregate("e", F.lit(0), lambda t, x: t + x["w"])
+    before = F.aggregate("e", F.array().cast("array<int>"), lambda t, x: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)) + x["w"])))
+    x = ordered.withColumn("total", total).withColumn("upto", before).withColumn("ids", F.transform("e", lambda v: v["id"]))
+    places = F.transform("e", lambda v, i: F.struct(v["word"].alias("word"), (F.col("total") - F.element_at("upto", i + 1) + v["w"]).alias("rest"), F.slice("ids", F.lit(1), i).alias("seen")))
+    kept = F.filter(places, lambda v: v["rest"] >= F.col("total") * F.lit(least) - 1e-9)
+    return x.select(row_id, *keys, "total", "ids", F.transform("e", lambda v: v["word"]).alias("set"), F.explode(kept).alias("p")).select(row_id, *keys, "p.word", "p.seen", "p.rest", "total", "ids", "set")
 
 
 def similar_pairs(rows: DataFrame, row_id: str, words: str, keys: list[str], least: float, weak: list[str] | None = None, below: float | None = None) -> DataFrame:
-    """Pairs (a, b, similarity), a < b, of rows with equal ``keys`` and weighted Jaccard in [least, below).
+    """Pairs (keys, a, b, similarity), a < b, of rows with equal ``keys`` and weighted Jaccard in [least, below).
 
-    A pair's first shared word, in the order of frequency, bounds its overlap by
-    what either row has from there on; pairs that cannot reach ``least`` go
-    before they are shuffled.
+    A pair is made at its first shared word alone, in the order of frequency, so
+    pairs need no ``distinct``; what either row has from there on bounds its
+    overlap.  Survivors are scored in the join itself, by their words' hashes
+    first and, where those reach ``least``, by the words.
     """
     weak = weak or []
     index = prefixes(rows, row_id, words, keys, least, weak)
-    left = index.select(*keys, "word", F.col(row_id).alias("a"), F.col("rest").alias("ra"), F.col("total").alias("ta"))
-    right = index.select(*keys, "word", F.col(row_id).alias("b"), F.col("rest").alias("rb"), F.col("total").alias("tb"))
-    able = F.least("ra", "rb") * (1 + least) >= (F.col("ta") + F.col("tb")) * least - 1e-6
-    pairs = left.join(right, [*keys, "word"]).filter("a < b").filter(able).select("a", "b").distinct()
-    sets = rows.select(row_id, F.col(words).alias("s"))
-    both = pairs.join(sets.select(F.col(row_id).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(row_id).alias("b"), F.col("s").alias("sb")), "b")
-    scored = both.withColumn("similarity", N.weighted_jaccard(F.col("sa"), F.col("sb"), weak)).filter(F.col("similarity") >= least)
+    side = lambda i: index.select(*keys, "word", F.col(row_id).alias(i), *[F.col(c).alias(c + i) for c in ("seen", "rest", "total", "ids", "set")])
+    both = side("a").join(side("b"), [*keys, "word"]).filter("a < b")
+    both = both.filter(F.least("resta", "restb") * (1 + least) >= (F.col("totala") + F.col("totalb")) * least - 1e-6)
+    both = both.filter(~F.arrays_overlap("seena", "seenb"))
+    shared = F.size(F.array_intersect("idsa", "idsb")) * 10  # what they share weighs no more than this
+    both = both.filter(shared * (1 + least) >= (F.col("totala") + F.col("totalb")) * least - 1e-6)
+    scored = both.select(*keys, "a", "b", N.weighted_jaccard(F.col("seta"), F.col("setb"), weak).alias("similarity")).filter(F.col("similarity") >= least)
     if below is not None:
         scored = scored.filter(F.col("similarity") < below)
-    return scored.drop("sa", "sb")
+    return scored
 
 
 def overlap_pairs(items: DataFrame, row_id: str, item: str, least: int, keys: list[str] | None = None) -> DataFrame:
@@ -66,10 +72,15 @@ def overlap_pairs(items: DataFrame, row_id: str, item: str, least: int, keys: li
 
 
 def keep_apart(rows: DataFrame, row_id: str, words: str, keys: list[str], items: DataFrame, item: str, least: int, close: float = 0.6) -> DataFrame:
-    """Pairs with close words whose results differ: both have items, fewer than ``least`` shared (none counts)."""
-    with_items = rows.join(items.select(row_id).distinct(), row_id, "left_semi")
+    """Pairs with close words whose results differ: both have items, fewer than ``least`` shared (none counts).
+
+    Shared items are counted for the close pairs alone, not for all that meet in some item.
+    """
+    held = items.select(row_id, item).distinct()
+    with_items = rows.join(held.select(row_id).distinct(), row_id, "left_semi")
     near = similar_pairs(with_items, row_id, words, keys, close)
-    shared = overlap_pairs(items, row_id, item, 1)
+    common = near.select("a", "b").join(held.withColumnRenamed(row_id, "a"), "a").join(held.withColumnRenamed(row_id, "b"), ["b", item])
+    shared = common.groupBy("a", "b").agg(F.count("*").alias("shared"))
     return near.join(shared, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0))).filter(F.col("shared") < least)
 
 

@@ -227,7 +227,7 @@ def number_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 NUMBER_PARSING = """
 WITH p AS (SELECT p_partkey, CAST(floor(p_retailprice) AS DOUBLE) AS n FROM part)
-SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 THEN n + 5 WHEN 3 THEN n + 0.5 WHEN 4 THEN NULL ELSE n END AS value, p_partkey % 6 IN (0, 2) AS estimate FROM p
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 THEN n WHEN 3 THEN n + 0.5 WHEN 4 THEN NULL ELSE n END AS value, p_partkey % 6 IN (0, 2) AS estimate FROM p
 """
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import text as T
 from ..operators import cluster as C
+from ..operators import cover as V
 from ..operators import merge as M
 from ..operators import similarity as S
 
@@ -363,7 +364,7 @@ SELECT market, type, members, volume, CASE WHEN size <= 30 THEN 'whole' WHEN fit
 def greedy_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts of each brand by greedy coverage of words; tested for its invariants."""
     kw = _phrases(spark, sf_dir)
-    return C.greedy_cover(kw.select(F.col("market").alias("pillar"), "id", "words", "volume"), "pillar")
+    return V.greedy_cover(kw.select(F.col("market").alias("pillar"), "id", "words", "volume"), "pillar")
 
 
 def document_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -115,8 +115,37 @@ def back_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grouping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit of the same grouping: findings by kind."""
-    return R.audit_grouping(_grouped(spark, sf_dir)).groupBy("finding").agg(F.count("*").alias("findings"))
+    """Audit of the same grouping: every finding, its keyword and group, and what it points to."""
+    return R.audit_grouping(_grouped(spark, sf_dir), close=0.5, tones=("small", "large"), lists=("red", "blue"))
+
+
+_GROUPED = (
+    _KW
+    + """, gr AS (SELECT *, norm || ' ' || lower(type) AS kwd FROM kw), g AS (SELECT id, market, type AS grp, norm || ' ' || type AS keyword, row_number() OVER (PARTITION BY market, type ORDER BY volume DESC, id) = 1 AS is_main, volume, kd, ['choose', 'shop', 'info'][id % 3 + 1] AS need, words,
+  array_to_string(list_sort(words), ' ') AS vkey FROM kw)"""
+)
+GROUPING_AUDIT = (
+    _GROUPED
+    + r""", mains AS (SELECT * FROM g WHERE is_main), rk AS (SELECT *, row_number() OVER w AS k, first_value(keyword) OVER w AS other FROM mains WINDOW w AS (PARTITION BY market, vkey ORDER BY volume DESC, keyword, grp)),
+dp AS (SELECT *, row_number() OVER w AS k, first_value(grp) OVER w AS other FROM g WINDOW w AS (PARTITION BY market, vkey ORDER BY is_main DESC, volume DESC, grp, keyword)),
+bm AS (SELECT x.market, m.keyword, x.grp, x.keyword AS other, row_number() OVER (PARTITION BY x.market, x.grp ORDER BY x.volume * CASE WHEN x.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (x.kd - 30) / 30.0) END DESC, x.volume DESC, x.keyword) AS k
+  FROM g x JOIN mains m ON m.market = x.market AND m.grp = x.grp WHERE NOT x.is_main AND NOT regexp_matches(x.keyword, '[0-9]') AND len(string_split(x.keyword, ' ')) <= 8 AND len(list_filter(m.words, lambda t: NOT list_contains(x.words, t))) = 0
+  AND (x.volume >= greatest(m.volume, 1) * 2.0 OR (m.kd > 30 AND (CASE WHEN x.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (x.kd - 30) / 30.0) END) > (CASE WHEN m.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (m.kd - 30) / 30.0) END)
+    AND x.volume * (CASE WHEN x.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (x.kd - 30) / 30.0) END) >= 1.25 * m.volume * (CASE WHEN m.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (m.kd - 30) / 30.0) END)
+    AND x.volume * (CASE WHEN x.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (x.kd - 30) / 30.0) END) - m.volume * (CASE WHEN m.kd <= 30 THEN 1.0 ELSE greatest(0.05, 1.0 - (m.kd - 30) / 30.0) END) >= 50))),
+lv AS (SELECT * FROM rk WHERE k = 1 AND need <> 'shop'),
+cl AS (SELECT x.market, x.keyword, x.grp, x.words AS a, y.keyword AS other, y.words AS b, row_number() OVER (PARTITION BY x.market, x.grp ORDER BY round(s, 9) DESC, y.volume DESC, y.grp) AS k FROM
+  (SELECT x, y, len(list_intersect(x.words, y.words)) / CAST(len(list_distinct(list_concat(x.words, y.words))) AS DOUBLE) AS s FROM lv x JOIN lv y ON x.market = y.market AND x.grp <> y.grp) p WHERE s >= 0.5 AND s < 1 AND (x.volume < y.volume OR (x.volume = y.volume AND x.grp > y.grp))),
+kd AS (SELECT *, list_concat(list_filter(a, lambda t: NOT list_contains(b, t)), list_filter(b, lambda t: NOT list_contains(a, t))) AS apart, len(list_filter(a, lambda t: list_contains(b, t) AND t IN ('red', 'blue'))) > 0 AS islist FROM cl WHERE k = 1),
+kk AS (SELECT *, len(list_filter(apart, lambda t: t NOT IN ('small', 'large'))) = 0 AS tone, len(list_filter(apart, lambda t: t NOT IN ('small', 'large', 'red', 'blue'))) = 0 AS lists FROM kd)
+SELECT market, keyword, grp AS "group", 'same_query' AS finding, 'merged' AS action, other FROM rk WHERE k > 1
+UNION ALL SELECT market, keyword, grp, 'duplicate', 'removed', other FROM dp WHERE k > 1 AND grp <> other AND NOT is_main
+UNION ALL SELECT market, keyword, grp, 'shop_member', 'split', '' FROM g WHERE need = 'shop' AND NOT is_main
+UNION ALL SELECT market, keyword, grp, 'main_changed', 'main_changed', other FROM bm WHERE k = 1
+UNION ALL SELECT market, keyword, grp, CASE WHEN len(apart) > 0 AND NOT lists THEN 'segment_modifier' WHEN len(apart) > 0 AND (NOT tone OR islist) THEN 'tone_variant' ELSE 'possible_duplicate' END,
+  CASE WHEN len(apart) > 0 AND NOT lists THEN 'kept_apart' WHEN len(apart) > 0 AND (NOT tone OR islist) THEN 'merged' ELSE 'check_serp' END, other FROM kk
+"""
+)
 
 
 def published_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import content, phrases, planned
+from .plans import content, phrases, planned, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (phrases, content, planned)
+_PARTS = (phrases, content, planned, routing)
 
 
 def queries() -> dict[str, Query]:

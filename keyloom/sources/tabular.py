@@ -282,11 +282,11 @@ def write_workbook(sheets: dict[str, list[list[object]]]) -> bytes:
     return out.getvalue()
 
 
-def typed(rows: DataFrame, default_market: str = "") -> DataFrame:
-    """Canonical string columns to typed ones: numbers, market, the class of the volume (3 exact .. 0 none)."""
+def typed(rows: DataFrame, default_market: str = "", range_mode: str = "low") -> DataFrame:
+    """Canonical string columns to typed ones: numbers, market, the class of the volume (3 exact .. 0 none); a range of volumes counts by its ``low``, ``mid`` or ``high`` end."""
     have = set(rows.columns)
     col = lambda n: F.col(n) if n in have else F.lit(None).cast("string")
-    volume, impressions, clicks = (N.parse_number(col(n), integer=True) for n in ("volume", "impressions", "clicks"))
+    volume, impressions, clicks = (N.parse_number(col(n), integer=True, range_mode=range_mode) for n in ("volume", "impressions", "clicks"))
     value = F.coalesce(volume["value"], impressions["value"], clicks["value"])
     estimate = F.coalesce(volume["estimate"], F.lit(False))
     vclass = F.when(volume["value"].isNotNull(), F.when(estimate, 2).otherwise(3)).when(value.isNotNull(), 1).otherwise(0)

@@ -48,7 +48,8 @@ def test_stem(spark):
 def test_parse_number(spark):
     cells = ["1,234", "1.234,5", "10K", "<10", "1K – 10K", "$5.50", "n/a", None, "12%", "abc", "1.234"]
     got = column(spark, cells, N.parse_number)
-    assert [tuple(x) for x in got] == [(1234.0, False), (1234.5, False), (10000.0, False), (10.0, True), (5500.0, True), (5.5, False), (None, False), (None, False), (12.0, False), (None, False), (1.234, False)]
+    assert [tuple(x) for x in got] == [(1234.0, False), (1234.5, False), (10000.0, False), (10.0, True), (1000.0, True), (5.5, False), (None, False), (None, False), (12.0, False), (None, False), (1.234, False)]
+    assert column(spark, ["1K – 10K"], lambda c: N.parse_number(c, range_mode="mid"))[0]["value"] == 5500.0
     whole = column(spark, ["1.234"], lambda c: N.parse_number(c, integer=True))
     assert whole[0]["value"] == 1234.0
 

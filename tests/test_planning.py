@@ -18,7 +18,7 @@ def test_reads_text_with_preamble_and_utf16(spark, tmp_path):
     found = tabular.layout(spark, str(path))
     assert (found.header_row, found.delimiter, found.tool, found.market, found.date, found.encoding) == (2, "\t", "planner", "us", "2026-03-04", "UTF-16")
     rows = tabular.typed(tabular.read_text(spark, str(path))).orderBy("keyword").collect()
-    assert [(r["keyword"], r["volume"], r["vol_est"], r["market"], r["vclass"]) for r in rows] == [("dad, gifts", 1200, False, "us", 3), ("mugs", 55, True, "us", 2)]
+    assert [(r["keyword"], r["volume"], r["vol_est"], r["market"], r["vclass"]) for r in rows] == [("dad, gifts", 1200, False, "us", 3), ("mugs", 10, True, "us", 2)]
 
 
 def test_decoding():
