@@ -148,12 +148,6 @@ UNION ALL SELECT market, keyword, grp, CASE WHEN len(apart) > 0 AND NOT lists TH
 )
 
 
-def published_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names as planned posts against part names of another brand as published ones."""
-    names = _phrases(spark, sf_dir).groupBy("norm").agg(F.first("words").alias("words"), F.min("market").alias("m"))
-    return P.published_matches(names.select(F.col("norm").alias("slug"), "words"), names.select(F.concat(F.lit("/"), "norm").alias("url"), "words"))
-
-
 def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole keyword pipeline over part names: the plan."""
     p = table(spark, sf_dir, "part")
@@ -165,5 +159,5 @@ def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stt", "slug", "pillar_id", "role", "post_type", "need", "volume", "priority", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, need_posts, plan_signatures, back_check, grouping_audit, published_matches, keyword_pipeline)}
+QUERIES = {f.__name__: f for f in (topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, need_posts, plan_signatures, back_check, grouping_audit, keyword_pipeline)}
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import content, phrases, planned, routing
+from .plans import content, phrases, planned, reports, routing
 
 Query = Callable[[SparkSession, str], DataFrame]
-_PARTS = (phrases, content, planned, routing)
+_PARTS = (phrases, content, planned, routing, reports)
 
 
 def queries() -> dict[str, Query]:
