@@ -30,6 +30,8 @@ class Scope:
     exclude: tuple[str, ...] = ()
     only: tuple[tuple[str, tuple[str, ...]], ...] = ()
     drop_shop: bool = False
+    #: Volume limits hold from this class of volume on.
+    known_class: int = 0
 
 
 def _first(rules: list[tuple[Column, Column]]) -> Column:
@@ -53,13 +55,13 @@ def scoped(rows: DataFrame, scope: Scope, noise: Column | None = None) -> DataFr
     Columns read: keyword, norm, market, volume, vclass, kd, need, prior
     (whether an existing group holds it), action and decision_id (null where no
     decision names it), and the facets of ``only``.  Unknown difficulty passes;
-    volume limits hold where a volume is known at all (vclass >= 0).
+    volume limits hold where a volume is known at all (vclass of ``known_class`` or more).
     """
     low, norm = F.lower("keyword"), F.col("norm")
     none = F.lit(None).cast("string")
     keep, drop = F.coalesce(F.col("action") == "keep_keyword", F.lit(False)), F.coalesce(F.col("action") == "drop_keyword", F.lit(False))
     rules = [(noise.isNotNull(), noise)] if noise is not None else []
-    known = F.col("vclass") >= 0
+    known = F.col("vclass") >= scope.known_class
     if scope.min_volume:
         rules.append((known & (F.col("volume") < scope.min_volume), F.lit("filter:min_volume")))
     if scope.max_volume:

@@ -6,7 +6,7 @@ twice are checkpointed.  Configuration is a frozen dataclass.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +17,7 @@ from ..operators import cluster as C
 from ..operators import links as L
 from ..operators import merge as M
 from ..operators import planning as P
+from ..operators import scope as Sc
 from ..operators import similarity as S
 from ..operators import spelling as Sp
 
@@ -37,6 +38,7 @@ class Config:
     min_volume: int = 0
     reach: float = 30.0
     least_pillar: int = 3
+    scope: Sc.Scope = field(default_factory=lambda: Sc.Scope(known_class=1))
     max_group: int = 30
     spelling: Sp.Spelling = field(default_factory=Sp.Spelling)
 
@@ -56,31 +58,33 @@ def mask(norm, values: tuple[tuple[str, str], ...]):
     return out
 
 
-def ingest(rows: DataFrame, c: Config) -> tuple[DataFrame, DataFrame]:
-    """(kept, excluded): sources merged, words respelled, facets found; one reason per excluded row.
+def ingest(rows: DataFrame, c: Config, decisions: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(kept, excluded, log): sources merged, words respelled, facets found; one reason per excluded row; what decisions to keep or drop came to.
 
     Spelling is learnt from all rows before any filter; the language rule looks
-    at the words as they were typed.
+    at the words as they were typed; rules and decisions are :mod:`operators.scope`'s.
     """
     keyed = rows.withColumn("join_key", T.join_key(F.col("keyword"))).withColumn("idx", F.monotonically_increasing_id())
     merged = C.checkpointed(M.merge_sources(keyed, ["market", "join_key"]).withColumn("id", F.xxhash64("market", "join_key")))
-    words = merged.withColumn("words", T.tokens(T.normal_form(F.col("join_key"))))
+    words = merged.withColumn("typed", T.normal_form(F.col("join_key"))).withColumn("words", T.tokens(F.col("typed")))
     spelt = words.join(Sp.respell_all(words, "id", "words", c.spelling), "id", "left")
-    x = spelt.withColumn("norm", F.coalesce("respelled", F.lit("")))
-    rules = [
-        ("empty", F.col("norm") == ""),
-        *[(n, F.rlike("norm", F.lit(p))) for n, p in c.noise],
-        ("too long", F.size("words") > c.max_words),
-        ("language", T.non_ascii_ratio(F.col("join_key")) > c.non_ascii),
-        ("volume", (F.col("vclass") > 0) & (F.col("volume") < c.min_volume)),
-    ]
-    kept, excluded = M.kept_and_excluded(M.route(x, rules))
-    occasion = facet(F.col("norm"), c.occasions)
+    x = spelt.withColumn("norm", F.coalesce("respelled", F.lit(""))).withColumn("keyword", F.col("join_key")).withColumn("prior", F.lit(False))
     masked = mask(F.col("norm"), c.occasions)
-    kept = kept.withColumn("occasion", occasion).withColumn("recipient", facet(masked, c.recipients)).withColumn("need", F.coalesce(F.nullif(facet(F.col("norm"), c.needs), F.lit("")), F.lit("info")))
+    x = x.withColumn("occasion", facet(F.col("norm"), c.occasions)).withColumn("recipient", facet(masked, c.recipients)).withColumn("need", F.coalesce(F.nullif(facet(F.col("norm"), c.needs), F.lit("")), F.lit("info")))
+    log = None
+    if decisions is not None:
+        x, log = Sc.decided_at_ingest(x, decisions)
+    else:
+        x = x.withColumn("action", F.lit(None).cast("string")).withColumn("decision_id", F.lit(None).cast("string"))
+    foreign = T.non_ascii_ratio(F.col("join_key")) > c.non_ascii
+    noise = F.coalesce(F.when(F.col("norm") == "", "empty"), Sc.noise_reason(F.col("join_key"), F.col("typed"), F.col("norm"), list(c.noise), foreign), F.when(F.size("words") > c.max_words, "too long"))
+    x = Sc.scoped(x, replace(c.scope, min_volume=c.scope.min_volume or c.min_volume or None), noise)
+    if log is not None:
+        log = Sc.kept_log(x, log)
+    kept, excluded = M.kept_and_excluded(x)
     tokens = T.canonical_tokens(F.col("norm"))
-    kept = kept.withColumn("tokens", tokens).withColumn("tokset", T.word_set(F.col("tokens"))).withColumn("core", C.core_names(T.canonical_tokens(masked), list(c.weak)))
-    return kept, excluded.select("market", F.col("join_key").alias("keyword"), "volume", "reason", "src")
+    kept = kept.withColumn("tokens", tokens).withColumn("tokset", T.word_set(F.col("tokens"))).withColumn("core", C.core_names(T.canonical_tokens(mask(F.col("norm"), c.occasions)), list(c.weak)))
+    return kept.drop("keyword"), excluded.select("market", F.col("join_key").alias("keyword"), "volume", "reason", "src"), log
 
 
 def clusters(kept: DataFrame, c: Config, results: DataFrame | None = None) -> DataFrame:
@@ -143,12 +147,13 @@ def link_rows(posts: DataFrame) -> DataFrame:
     return L.plan(x)
 
 
-def run(rows: DataFrame, config: Config | None = None, results: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(rows: DataFrame, config: Config | None = None, results: DataFrame | None = None, decisions: DataFrame | None = None) -> dict[str, DataFrame]:
     """All outputs of the pipeline for typed keyword rows (see sources.tabular.typed)."""
     c = config or Config()
-    kept, excluded = ingest(rows, c)
+    kept, excluded, log = ingest(rows, c, decisions)
     kept = C.checkpointed(kept)
     members = C.checkpointed(clusters(kept, c, results))
     named = C.checkpointed(named_clusters(members, c))
     posts = C.checkpointed(plan(named, c))
-    return {"keywords": members, "excluded": excluded, "clusters": named, "plan": posts, "links": link_rows(posts), "gaps": P.gaps(posts.filter("pillar_id <> ''"), "pillar_id", "need")}
+    logged = {"decisions": log} if log is not None else {}
+    return logged | {"keywords": members, "excluded": excluded, "clusters": named, "plan": posts, "links": link_rows(posts), "gaps": P.gaps(posts.filter("pillar_id <> ''"), "pillar_id", "need")}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from keyloom.operators import planning as P
 from keyloom.operators import review as R
+from keyloom.operators import scope as Sc
 from keyloom.plans import pipeline, sinks
 from keyloom.sources import grouped, tabular
 
@@ -112,6 +113,11 @@ def test_pipeline_end_to_end(spark):
     out = pipeline.run(df, pipeline.Config(least_pillar=2))
     n_kept = sum(1 + len(r["variants"]) for r in out["keywords"].collect())
     assert n_kept + out["excluded"].count() == len(phrases)
+    decisions = spark.createDataFrame([("d1", "keep_keyword", "us", "gifts near me"), ("d2", "drop_keyword", "", "best mugs")], "decision_id string, action string, market string, keyword string")
+    again = pipeline.run(df, pipeline.Config(least_pillar=2, scope=Sc.Scope(max_kd=35.0, exclude=("^buy",), known_class=1)), decisions=decisions)
+    reasons = {r["keyword"]: r["reason"] for r in again["excluded"].collect()}
+    assert reasons["best mugs"] == "decision:d2" and reasons["buy mugs"] == "filter:exclude:^buy" and reasons["christmas ideas"] == "filter:max_kd" and "gifts near me" not in reasons
+    assert {r["decision_id"]: r["status"] for r in again["decisions"].collect()} == {"d1": "applied", "d2": "applied"}
     plan = out["plan"].collect()
     assert len({r["slug"] for r in plan}) == len(plan) and sorted(r["stt"] for r in plan) == list(range(1, len(plan) + 1))
     slugs = {r["slug"] for r in plan}
