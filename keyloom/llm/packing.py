@@ -60,7 +60,7 @@ class Packer:
     stride_penalty: int = 6
     stride: int = 32
     block_tokens: int = 1 << 20
-    remembered: int = 150_000
+    remembered: int = 400_000
 
 
 def added_tokens(tokenizer: str) -> dict[str, int]:
@@ -220,7 +220,7 @@ def _packer(p: Packer, with_ids: bool) -> Callable[[Iterator[pa.RecordBatch]], I
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
         for batch in batches:
-            for chunk in K.chunks(batch.column("text"), K.CHUNK_BYTES):
+            for chunk in K.chunks(batch.column("text"), 2 * K.CHUNK_BYTES):
                 ids, bounds, marks = tokenise(chunk, coder, p.end_id)
                 doc_ids = batch.column("doc_id").slice(chunk.first, chunk.n).cast(pa.int64()).to_numpy(zero_copy_only=False)
                 held.append((ids, bounds, marks, doc_ids))

@@ -84,7 +84,7 @@ class Rules:
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
     language_bands: dict[str, Band] = field(default_factory=lambda: dict(LANGUAGE_BANDS))
     #: Distinct words whose tokens a worker remembers before it starts afresh.
-    remembered: int = 150_000
+    remembered: int = 400_000
 
 
 SCHEMA = (
