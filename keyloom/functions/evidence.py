@@ -7,7 +7,15 @@ from pyspark.sql import functions as F
 
 # Intent names by word, letter and number; result features by the name that tools give them.
 INTENTS = {"informational": "informational", "i": "informational", "1": "informational", "navigational": "navigational", "n": "navigational", "2": "navigational", "commercial": "commercial", "c": "commercial", "0": "commercial", "transactional": "transactional", "t": "transactional", "3": "transactional"}
-FEATURES = {"featured snippet": "snippet", "people also ask": "questions", "image pack": "images", "images": "images", "image": "images", "video": "videos", "video carousel": "videos", "videos": "videos", "shopping results": "shopping", "shopping ads": "shopping", "local pack": "local", "knowledge panel": "knowledge", "reviews": "reviews", "top stories": "news", "sitelinks": "sitelinks", "ads top": "ads", "adwords top": "ads", "ai overview": "ai", "related searches": "related", "discussions and forums": "forums"}
+FEATURES = {
+    "featured_snippet": ("featured snippet", "featured snippets"), "paa": ("people also ask",), "ai_overview": ("ai overview", "ai overviews"), "image_pack": ("image pack", "images", "image", "featured images"),
+    "video": ("video", "videos", "video carousel", "video preview", "short videos", "featured video"), "shopping": ("popular products", "shopping ads", "shopping", "shopping results"), "local_pack": ("local pack", "local results"), "top_stories": ("top stories",),
+    "knowledge_panel": ("knowledge panel", "knowledge graph", "knowledge card"), "discussions": ("discussions and forums", "discussions"), "ads": ("ads top", "ads bottom", "adwords top", "adwords bottom", "top ads", "bottom ads", "ads", "paid"),
+    "sitelinks": ("sitelinks", "site links"), "things_to_know": ("things to know",), "reviews": ("reviews",), "instant_answer": ("instant answer",), "thumbnail": ("thumbnail", "thumbnails"),
+}
+#: Features by which a result page answers questions.
+RESEARCH_FEATURES = ("paa", "featured_snippet", "ai_overview")
+NO_VALUE = ("", "-", "--", "n/a", "na", "null", "none", "nan", "—")
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
 
@@ -15,18 +23,31 @@ def _table(pairs: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
 
 
-def intents(c: Column) -> Column:
-    """(intents, branded, local) of an intent cell; the flags are null where the cell is empty."""
-    parts = F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[,;|/]"), lambda v: F.trim(v)), lambda x: x != "")
+def intents(c: Column, flags: dict[str, Column] | None = None) -> Column:
+    """(intents, branded, local) of an intent cell and of true / false columns; branded and local are null where nothing says so.
+
+    ``flags`` maps an intent's name, ``branded`` or ``local`` to its column; a
+    flag outweighs the cell.  ``non-branded`` and ``non-local`` say no.
+    """
+    text = F.regexp_replace(F.lower(F.trim(F.coalesce(c, F.lit("")))), r"\bnon[\s_-]*", "non-")
+    parts = F.filter(F.split(text, r"[,;|/\s]+"), lambda x: ~x.isin(*NO_VALUE))
     known = F.filter(F.transform(parts, lambda x: F.try_element_at(_table(INTENTS), x)), lambda x: x.isNotNull())
-    flag = lambda name: F.when(F.size(parts) > 0, F.array_contains(parts, name))
-    return F.struct(F.array_sort(F.array_distinct(known)).alias("intents"), flag("branded").alias("branded"), flag("local").alias("local"))
+    said = {}
+    for name, cell in (flags or {}).items():
+        low = F.lower(F.trim(cell.cast("string")))
+        said[name] = F.when(low.isin("true", "1", "yes"), True).when(low.isin("false", "0", "no"), False)
+    marked = [F.when(v, F.lit(n)) for n, v in said.items() if n not in ("branded", "local")]
+    both = F.concat(known, F.filter(F.array(*marked), lambda x: x.isNotNull())) if marked else known
+    flag = lambda n: F.coalesce(said.get(n, F.lit(None).cast("boolean")), F.when(F.array_contains(parts, n), True).when(F.array_contains(parts, f"non-{n}"), False))
+    return F.struct(F.array_sort(F.array_distinct(both)).alias("intents"), flag("branded").alias("branded"), flag("local").alias("local"))
 
 
 def result_features(c: Column) -> Column:
     """Sorted slugs of a cell's result features; unknown ones as ``other:name``; organic results are no feature."""
-    parts = F.filter(F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), "[,;|]"), lambda v: F.trim(v)), lambda x: (x != "") & (x != "organic"))
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(_table(FEATURES), x), F.concat(F.lit("other:"), x)))))
+    names = {name: slug for slug, all_ in FEATURES.items() for name in all_}
+    cells = F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), "_", " "), r"[,;|\n]")
+    parts = F.filter(F.transform(cells, lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), '"', ""))), lambda x: ~x.isin(*NO_VALUE, "organic"))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(_table(names), x), F.concat(F.lit("other:"), x)))))
 
 
 #: Months as headers write them, three letters or more.

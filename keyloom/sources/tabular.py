@@ -19,34 +19,67 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import evidence as E
 from ..functions import numbers as N
 
 # Canonical columns and the headers that name them, in order of preference.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "keyword": ("keyword", "keywords", "query", "top queries", "search term", "phrase", "main keyword"),
-    "volume": ("volume", "search volume", "avg. monthly searches", "avg monthly searches"),
+    "keyword": ("keyword", "keywords", "query", "queries", "top queries", "top query", "search term", "search terms", "term", "phrase", "từ khóa", "từ khoá", "main keyword"),
+    "volume": ("volume", "search volume", "avg. monthly searches", "avg monthly searches", "monthly searches", "monthly volume", "sv", "us volume", "uk volume"),
     "impressions": ("impressions",),
     "clicks": ("clicks",),
-    "kd": ("kd", "keyword difficulty", "difficulty", "kd %", "keyword difficulty index"),
-    "pkd": ("personal keyword difficulty", "pkd"),
-    "cpc": ("cpc", "cpc (usd)", "top of page bid (high range)"),
-    "intent": ("intent", "intents", "keyword intents"),
+    "kd": ("kd", "kd %", "kd%", "keyword difficulty", "keyword difficulty index", "difficulty", "seo difficulty"),
+    "pkd": ("personal keyword difficulty", "pkd", "pkd %", "pkd%"),
+    "cpc": ("cpc", "cost per click", "top of page bid"),
+    "market": ("market", "country", "location", "geo", "country code", "database"),
+    "serp_urls": ("serp_urls", "serp urls", "top_urls", "top urls", "serp", "top 10 urls", "serp results"),
+    "intent": ("intent", "intents", "search intent", "keyword intents"),
+    "parent": ("parent topic", "parent_topic", "parent keyword"),
+    "position": ("position", "avg. position", "average position", "current position"),
     "features": ("serp features", "serp features by keyword", "features"),
-    "trend": ("trend", "trends", "volume trend"),
-    "position": ("position", "current position", "avg. position"),
-    "url": ("url", "current url", "page"),
-    "parent": ("parent topic", "parent keyword"),
-    "market": ("market", "country", "database", "location"),
-    "group": ("group", "cluster", "topic"),
-    "serp_urls": ("serp_urls", "serp urls", "top urls"),
+    "trend": ("trend", "trends", "sv trend", "volume trend"),
+    "traffic_potential": ("traffic potential",),
+    "url": ("url", "current url", "page", "landing page"),
+    "competitive_density": ("competitive density",),
+    "results": ("number of results",),
+    "click_potential": ("click potential",),
+    "change_3m": ("three month change",),
+    "change_yoy": ("yoy change",),
+    "flag_branded": ("branded",),
+    "flag_local": ("local",),
+    "flag_informational": ("informational",),
+    "flag_commercial": ("commercial",),
+    "flag_transactional": ("transactional",),
+    "flag_navigational": ("navigational",),
+    "group": ("cluster", "cluster name", "group", "keyword group", "topic", "nhóm", "cụm", "nhóm từ khóa", "nhóm từ khoá", "chủ đề"),
+    "main": ("main keyword", "primary keyword", "từ khóa chính", "từ khoá chính"),
+    "secondary": ("secondary keyword", "secondary keywords", "từ khóa phụ", "từ khoá phụ"),
+    "role": ("page type", "category kind", "kind", "post kind", "page kind", "pillar/cluster", "loại bài", "loại"),
+    "pillar": ("pillar", "thuộc pillar"),
+    "stt": ("stt",),
+    "status": ("trạng thái", "status"),
+    "url_blog": ("url blog", "target url"),
+    "category": ("category", "danh mục"),
 }
-#: Header signatures of export tools, the first that fits.
-TOOLS: tuple[tuple[str, frozenset[str]], ...] = (
-    ("planner", frozenset({"avg. monthly searches", "competition"})),
-    ("search console", frozenset({"top queries", "clicks", "impressions"})),
-    ("explorer", frozenset({"keyword", "parent topic", "global volume"})),
-    ("positions", frozenset({"keyword", "position", "previous position", "url"})),
-    ("research", frozenset({"keyword", "intent", "volume", "trend"})),
+INTENT_FLAGS = ("informational", "commercial", "transactional", "navigational")
+#: What a header must hold to come from a kind of tool; the first that fits.
+TOOLS: tuple[tuple[str, tuple[frozenset[str], ...]], ...] = (
+    ("team plan", (frozenset({"main keyword", "thuộc pillar"}), frozenset({"main keyword", "category kind"}))),
+    ("strategy builder", (frozenset({"page", "topic"}), frozenset({"page type"}), frozenset({"seed keyword"}))),
+    ("site explorer", tuple(frozenset({"current url", f}) for f in (*INTENT_FLAGS, "branded", "local"))),
+    ("positions", (frozenset({"position", "url"}),)),
+    ("api", (frozenset({"keyword difficulty index"}), frozenset({"database"}))),
+    ("explorer", (frozenset({"parent keyword"}), frozenset({"parent topic"}), frozenset({"traffic potential"}))),
+    ("planner", (frozenset({"avg. monthly searches"}),)),
+    ("search console", (frozenset({"top queries"}), frozenset({"impressions", "ctr"}))),
+    ("research", (frozenset({"competitive density"}), frozenset({"number of results"}), frozenset({"trend", "keyword difficulty"}))),
+)
+#: How export tools name their files; db is the market's code.
+FILE_NAMES = (
+    r"-organic\.positions-(?P<db>[a-z]{2})-(?P<y>[0-9]{4})(?P<m>[0-9]{2})(?P<d>[0-9]{2})",
+    r"^google_(?P<db>[a-z]{2})_(?:.*?_(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2}))?",
+    r"_(?:clusters|list)_(?P<db>)(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})",
+    r"_(?P<db>[a-z]{2})_(?P<y>[0-9]{4})-(?P<m>[0-9]{2})-(?P<d>[0-9]{2})",
 )
 DELIMITERS = (",", "\t", ";", "|")
 HEADER_LINES = 40
@@ -114,14 +147,20 @@ def column_map(header: list[str], overrides: dict[str, str] | None = None) -> di
     return out
 
 
-def tool_of(header: list[str]) -> str:
+def tool_of(header: list[str], file: str = "") -> str:
+    """The kind of tool that a header comes from; of a plain header the file's name may tell."""
     forms = {header_form(h) for h in header}
-    return next((name for name, need in TOOLS if need <= forms), "unknown")
+    by_name = "research" if re.search(r"_(broad-match|phrase-match|exact-match|related|all-keywords|questions)_", file.lower()) else "unknown"
+    return next((name for name, needs in TOOLS if any(n <= forms for n in needs)), by_name)
 
 
 def market_and_date(name: str) -> tuple[str, str]:
-    """Market and date that a file name tells; empty where it doesn't."""
+    """Market and date that a file name tells, by the tools' forms, else by any code and date in it; empty where it doesn't."""
     low = name.lower()
+    for form in FILE_NAMES:
+        if found := re.search(form, low):
+            date = "-".join(found.group(*"ymd")) if found["y"] else ""
+            return N.MARKETS.get(found["db"], found["db"]) if found["db"] else "", date
     market = re.search(r"(?:^|[^a-z])(us|uk|gb|usa)(?:[^a-z]|$)", low)
     date = re.search(r"(20\d\d)[-_.]?([01]\d)[-_.]?([0-3]\d)", low)
     return N.MARKETS.get(market[1], "") if market else "", "-".join(date.groups()) if date else ""
@@ -153,7 +192,7 @@ def layout(spark: SparkSession, path: str, overrides: dict[str, str] | None = No
     columns = column_map(header, overrides)
     market, date = market_and_date(raw["path"].rsplit("/", 1)[-1])
     ignored = [h for h in header if h and h not in columns.values()]
-    return Layout(path, encoding, row, delimiter, header, columns, tool_of(header), market, date, ignored)
+    return Layout(path, encoding, row, delimiter, header, columns, tool_of(header, raw["path"].rsplit("/", 1)[-1]), market, date, ignored)
 
 
 def read_text(spark: SparkSession, path: str, overrides: dict[str, str] | None = None) -> DataFrame:
@@ -294,5 +333,6 @@ def typed(rows: DataFrame, default_market: str = "", range_mode: str = "low") ->
     market = F.coalesce(F.nullif(N.market(col("market")), F.lit("")), F.nullif(col("_market"), F.lit("")), F.lit(default_market))
     return rows.select(
         "keyword", market.alias("market"), F.coalesce(value.cast("long"), F.lit(0)).alias("volume"), estimate.alias("vol_est"), vclass.alias("vclass"), kd.alias("kd"), N.parse_number(col("cpc"))["value"].alias("cpc"),
-        N.parse_number(col("position"))["value"].alias("position"), col("url").alias("url"), col("parent").alias("parent"), col("intent").alias("intent"), col("features").alias("features"), col("_src").alias("src"), col("_tool").alias("tool"),
+        N.parse_number(col("position"))["value"].alias("position"), col("url").alias("url"), col("parent").alias("parent"), col("intent").alias("intent"), col("features").alias("features"), N.parse_number(col("traffic_potential"), integer=True)["value"].cast("long").alias("traffic_potential"),
+        E.intents(col("intent"), {n: col(f"flag_{n}") for n in (*INTENT_FLAGS, "branded", "local")}).alias("intents"), col("group").alias("group"), col("main").alias("main"), col("role").alias("role"), col("pillar").alias("pillar"), col("status").alias("status"), col("_src").alias("src"), col("_tool").alias("tool"),
     ).filter("coalesce(trim(keyword), '') <> ''")

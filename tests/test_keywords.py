@@ -77,9 +77,9 @@ def test_weekday_rules(spark):
 
 
 def test_evidence(spark):
-    got = column(spark, ["I, C", "transactional|Branded", "", None], E.intents)
-    assert [(x["intents"], x["branded"], x["local"]) for x in got] == [(["commercial", "informational"], False, False), (["transactional"], True, False), ([], None, None), ([], None, None)]
-    assert column(spark, ["Image pack, Organic, Odd box"], E.result_features) == [["images", "other:odd box"]]
+    got = column(spark, ["I, C", "transactional|Branded", "non-branded local", "", None], E.intents)
+    assert [(x["intents"], x["branded"], x["local"]) for x in got] == [(["commercial", "informational"], None, None), (["transactional"], True, None), ([], False, True), ([], None, None), ([], None, None)]
+    assert column(spark, ["Image pack, Organic, Odd box"], E.result_features) == [["image_pack", "other:odd box"]]
     df = spark.createDataFrame([([1.0, 5.0, 5.0], 12)], "v array<double>, m int")
     assert df.select(E.peak_month(F.col("v"), F.col("m"))).first()[0] == "December"
 

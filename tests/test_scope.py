@@ -160,3 +160,26 @@ def test_easier_seed(spark):
 def test_months_in_headers(spark):
     df = spark.createDataFrame([("Searches: May 2025",), ("searches:  sept 2024",), ("Volume",), (None,)], "h string")
     assert [r[0] for r in df.select(E.monthly_header(F.col("h"))).collect()] == ["2025-05", "2024-09", None, None]
+
+
+def test_headers_of_every_tool():
+    from keyloom.sources import tabular
+
+    headers = {
+        "team plan": ["STT", "Main Keyword", "Category Kind"], "strategy builder": ["Topic", "Page", "Keyword"], "site explorer": ["Keyword", "Current URL", "Informational"], "positions": ["Keyword", "Position", "URL"], "api": ["database", "Keyword"],
+        "explorer": ["Keyword", "Country", "Parent Keyword"], "planner": ["Keyword", "Avg. monthly searches"], "search console": ["Top queries", "Clicks"], "research": ["Keyword", "Volume", "Competitive Density"], "unknown": ["Keyword", "Volume"],
+    }
+    assert {tabular.tool_of(h): h for h in headers.values()} == headers
+    assert tabular.tool_of(["Keyword"], "gifts_broad-match_us_2026-05-01.csv") == "research"
+    names = {"gifts_broad-match_us_2026-05-01.csv": ("us", "2026-05-01"), "site.com-organic.Positions-uk-20260628.csv": ("uk", "2026-06-28"), "google_gb_gifts_x_2026-01-02.csv": ("uk", "2026-01-02"), "gifts_clusters_2026-05-01.xlsx": ("", "2026-05-01"), "plain.csv": ("", "")}
+    assert {n: tabular.market_and_date(n) for n in names} == names
+    found = tabular.column_map(["STT", "Từ khóa chính", "Từ khóa phụ", "Keyword", "Danh mục", "Trạng thái", "Traffic potential"])
+    assert {k: found[k] for k in ("stt", "main", "secondary", "keyword", "category", "status")} == {"stt": "STT", "main": "Từ khóa chính", "secondary": "Từ khóa phụ", "keyword": "Keyword", "category": "Danh mục", "status": "Trạng thái"}
+
+
+def test_intents_with_flags_and_features(spark):
+    df = spark.createDataFrame([("Commercial, non branded", "false", "true"), ("", None, "true"), ("1,0", "true", None), (None, None, None)], "c string, b string, i string")
+    got = [tuple(r[0]) for r in df.select(E.intents(F.col("c"), {"branded": F.col("b"), "informational": F.col("i")})).collect()]
+    assert got == [(["commercial", "informational"], False, None), (["informational"], None, None), (["commercial", "informational"], True, None), ([], None, None)]
+    cells = spark.createDataFrame([("People also ask, Site Links|organic",), ("people_also_ask;Odd thing",), (None,)], "c string")
+    assert [r[0] for r in cells.select(E.result_features(F.col("c"))).collect()] == [["paa", "sitelinks"], ["other:odd thing", "paa"], []]
