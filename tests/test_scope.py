@@ -183,3 +183,27 @@ def test_intents_with_flags_and_features(spark):
     assert got == [(["commercial", "informational"], False, None), (["informational"], None, None), (["commercial", "informational"], True, None), ([], None, None)]
     cells = spark.createDataFrame([("People also ask, Site Links|organic",), ("people_also_ask;Odd thing",), (None,)], "c string")
     assert [r[0] for r in cells.select(E.result_features(F.col("c"))).collect()] == [["paa", "sitelinks"], ["other:odd thing", "paa"], []]
+
+
+def test_topic_decisions(spark):
+    from keyloom.operators import topics as To
+
+    plan = [
+        (1, "us", "dad gifts", "hub", "P01", None, 100), (2, "us", "dad mugs", "post", "P01", None, 50), (3, "us", "dad cards", "merged", "P01", 2, 10), (4, "us", "mom gifts", "hub", "P02", None, 90), (5, "us", "mom mugs", "post", "P02", None, 40),
+        (6, "us", "odd topic", "backlog", None, None, 5), (7, "us", "buy now", "skip", None, None, 5), (8, "uk", "dad gifts", "standalone", None, None, 7), (9, "us", "lone", "standalone", None, None, 3), (10, "us", "late", "merged", "P02", 5, 2), (11, "us", "more mugs", "post", "P01", None, 20),
+    ]
+    df = spark.createDataFrame([(*p, "x") for p in plan], "id long, market string, keyword string, kind string, pillar string, merged_into long, volume long, note string")
+    d = [
+        ("d01", "drop_post", "us", "dad mugs", ""), ("d02", "promote_pillar", "us", "mom mugs", ""), ("d03", "restore_backlog", "us", "odd topic", ""), ("d04", "set_pillar", "us", "lone", "dad gifts"), ("d05", "drop_post", "us", "buy now", ""), ("d06", "promote_pillar", "", "dad gifts", ""),
+        ("d07", "demote_pillar", "us", "nowhere", ""), ("d08", "set_pillar", "us", "late", "dad gifts"), ("d09", "set_pillar", "us", "late", "mom gifts"), ("d10", "set_pillar", "us", "more mugs", "none"), ("d11", "promote_pillar", "uk", "dad gifts", ""),
+    ]
+    decisions = spark.createDataFrame([(i, a, m, k, t, "r", "e", "ann") for i, a, m, k, t in d], "decision_id string, action string, market string, keyword string, target string, reason string, evidence string, author string")
+    out, log = To.apply_topics(df, decisions)
+    assert {r["decision_id"]: r["status"] for r in log.collect()} == {"d01": "applied", "d02": "applied", "d03": "applied", "d04": "applied", "d05": "already_true", "d06": "invalid", "d07": "stale", "d08": "conflict", "d09": "conflict", "d10": "applied", "d11": "applied"}
+    got = {r["id"]: (r["kind"], r["pillar"], r["merged_into"]) for r in out.collect()}
+    assert got == {
+        1: ("hub", "P01", None), 2: ("skip", None, None), 3: ("merged", "P01", 1), 4: ("post", "P02", None), 5: ("hub", "P02", None), 6: ("standalone", None, None), 7: ("skip", None, None), 8: ("hub", "P03", None),
+        9: ("post", "P01", None), 10: ("merged", "P02", 5), 11: ("standalone", None, None),
+    }
+    assert out.columns == df.columns
+    assert {r["pillar"]: r["number"] for r in To.pillar_numbers(out).collect()} == {"P01": "P02", "P02": "P01", "P03": "P03"}
