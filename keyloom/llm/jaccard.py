@@ -511,8 +511,9 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     found = written(dealt(texts.mapInArrow(_pass(join, bits, sent, n), _PASS), n).mapInArrow(_cells(join), _FOUND), "classes")
     rows = found.filter("kind = 0").select("doc_id", "key", "n", "fp")
     families = components(found.filter("kind = 1").select("fp", "other"), "fp", "other").select(F.col("node").alias("fp"), F.col("component").alias("family"))
-    classes = rows.join(families, "fp").groupBy("fp", "family").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.count("*").alias("copies"), F.max("n").alias("n"))
-    classes = written(classes.select("fp", "family", "at.doc_id", "at.key", "copies", "n"), "families")
+    # counted before they are joined, so that a class of very many copies is a row a task
+    counted = rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    classes = written(counted.join(families, "fp").select("fp", "family", "at.doc_id", "at.key", "copies", "n"), "families")
     weight = F.greatest("n", F.lit(_LEAST_WEIGHT))
     large = classes.groupBy("family").agg(F.sum(weight).alias("weight"), F.min("fp").alias("pivot")).filter(F.col("weight") > join.tile)
     large = written(large.select("family", "pivot", F.ceil(F.col("weight") / join.tile).cast("int").alias("tiles")), "large")
@@ -582,6 +583,7 @@ def without_near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFr
     rows, found = links(docs, join)
     member = rows.filter("n > 0").join(found.select("fp", "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key")
     stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last")).filter("first <> last")
+    stays = written(stays.select("root", "first"), "stays")  # a table, so that the join may be split at a hot root
     gone = member.join(stays, "root").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key").distinct()
     text, own = F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     named = docs.select(own.alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.xxhash64(text).alias("key"))
