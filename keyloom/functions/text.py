@@ -159,11 +159,19 @@ def stray_letter(c: Column) -> Column:
     return F.rlike(c, F.lit("^(?![aitvx] )[a-z] | (?![aitvx]$)[a-z]$"))
 
 
+def matches(c: Column, pattern: str, hints: tuple[str, ...]) -> Column:
+    """Whether a text matches; ``hints`` are literals of which any match holds one, so that most texts need no pattern."""
+    some = F.contains(c, F.lit(hints[0]))
+    for h in hints[1:]:
+        some = some | F.contains(c, F.lit(h))
+    return some & F.rlike(c, F.lit(pattern))
+
+
 def non_ascii_ratio(c: Column) -> Column:
     """Share of letters beyond ASCII; 0 where there are no letters."""
     letters = F.length(F.regexp_replace(c, r"[^\p{L}]", ""))
     ascii_letters = F.length(F.regexp_replace(c, "[^A-Za-z]", ""))
-    return F.when(letters > 0, (letters - ascii_letters) / letters).otherwise(F.lit(0.0))
+    return F.when(F.octet_length(c) == F.length(c), 0.0).when(letters > 0, (letters - ascii_letters) / letters).otherwise(F.lit(0.0))
 
 
 def clean_markdown(c: Column) -> Column:

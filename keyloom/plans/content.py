@@ -245,17 +245,17 @@ SELECT event_type, intent, count(*) AS keywords, CAST(sum(v) AS BIGINT) AS volum
 
 
 def peak_months(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Peak month of each part brand's shipped quantity over one year of monthly values."""
-    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey")).filter(F.year("l_shipdate") == 1995)  # noqa: E741
-    m = l.groupBy("p_brand", F.month("l_shipdate").alias("m")).agg(F.sum("l_quantity").alias("q"))
-    series = m.groupBy("p_brand").agg(F.map_from_entries(F.collect_list(F.struct("m", "q"))).alias("x"))
+    """Peak month of each part brand's shipped quantity in each year of monthly values."""
+    l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
+    m = l.groupBy("p_brand", F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("m")).agg(F.sum("l_quantity").alias("q"))
+    series = m.groupBy("p_brand", "year").agg(F.map_from_entries(F.collect_list(F.struct("m", "q"))).alias("x"))
     values = F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.coalesce(F.try_element_at("x", i), F.lit(0.0)))
-    return series.select("p_brand", E.peak_month(values, F.lit(12)).alias("peak"))
+    return series.select("p_brand", F.col("year").cast("long").alias("year"), E.peak_month(values, F.lit(12)).alias("peak"))
 
 
 PEAK_MONTHS = """
-WITH m AS (SELECT p_brand, month(l_shipdate) AS m, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) = 1995 GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY q DESC, m DESC) AS k FROM m)
-SELECT p_brand, ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m] AS peak FROM r WHERE k = 1
+WITH m AS (SELECT p_brand, year(l_shipdate) AS year, month(l_shipdate) AS m, sum(l_quantity) AS q FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY p_brand, year ORDER BY q DESC, m DESC) AS k FROM m)
+SELECT p_brand, year, ['January', 'February', 'March', 'April', 'May', 'June', 'July', 'August', 'September', 'October', 'November', 'December'][m] AS peak FROM r WHERE k = 1
 """
 
 

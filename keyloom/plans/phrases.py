@@ -141,24 +141,26 @@ k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY vcl
 SELECT user_id, event_type, max(vclass) FILTER (WHERE rn = 1) AS vclass, max(volume) FILTER (WHERE rn = 1) AS volume, min(position) AS position, min(idx) AS first_seen, count(*) AS n_rows FROM k GROUP BY user_id, event_type
 """
 
-_NOISE = [("account", r"\b(login|password|refund)\b"), ("local", r"\b(near me|nearby)\b"), ("explicit", r"\b(nude|xxx)\b"), ("url", r"https?://|www\.")]
+#: Rules with the literals that any match holds.
+_NOISE = [("account", r"\b(login|password|refund)\b", ("login", "password", "refund")), ("local", r"\b(near me|nearby)\b", ("near",)), ("explicit", r"\b(nude|xxx)\b", ("nude", "xxx")), ("url", r"https?://|www\.", ("http", "www."))]
 
 
 def reason_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document is kept or excluded for exactly one reason, the first that applies; counted by reason."""
+    """Every document is kept or excluded for exactly one reason, the first that applies."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    words = F.size(F.regexp_extract_all(low, F.lit(r"[^\s]+"), 0))
-    rules = [("empty", words == 0), *[(n, F.rlike(low, F.lit(p))) for n, p in _NOISE], ("too long", words > 5000), ("language", T.non_ascii_ratio(F.coalesce("text", F.lit(""))) > 0.3)]
-    return M.route(table(spark, sf_dir, "documents"), rules).groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("documents"))
+    # no text of fewer characters has so many words
+    many = (F.length(low) > 10_000) & (F.regexp_count(low, F.lit(r"[^\s]+")) > 5000)
+    rules = [("empty", ~F.rlike(low, F.lit(r"[^\s]"))), *[(n, T.matches(low, p, hints)) for n, p, hints in _NOISE], ("too long", many), ("language", T.non_ascii_ratio(F.coalesce("text", F.lit(""))) > 0.3)]
+    return M.route(table(spark, sf_dir, "documents"), rules).select("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
 REASON_ROUTING = r"""
-WITH d AS (SELECT lower(coalesce(text, '')) AS t, coalesce(text, '') AS x, len(regexp_extract_all(lower(coalesce(text, '')), '[^\s]+')) AS w FROM documents),
-r AS (SELECT CASE WHEN w = 0 THEN 'empty' WHEN regexp_matches(t, '\b(login|password|refund)\b') THEN 'account' WHEN regexp_matches(t, '\b(near me|nearby)\b') THEN 'local'
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t, coalesce(text, '') AS x, len(regexp_extract_all(lower(coalesce(text, '')), '[^\s]+')) AS w FROM documents),
+r AS (SELECT doc_id, CASE WHEN w = 0 THEN 'empty' WHEN regexp_matches(t, '\b(login|password|refund)\b') THEN 'account' WHEN regexp_matches(t, '\b(near me|nearby)\b') THEN 'local'
   WHEN regexp_matches(t, '\b(nude|xxx)\b') THEN 'explicit' WHEN regexp_matches(t, 'https?://|www\.') THEN 'url' WHEN w > 5000 THEN 'too long'
   WHEN length(regexp_replace(x, '[^\p{L}]', '', 'g')) > 0 AND (length(regexp_replace(x, '[^\p{L}]', '', 'g')) - length(regexp_replace(x, '[^A-Za-z]', '', 'g'))) / CAST(length(regexp_replace(x, '[^\p{L}]', '', 'g')) AS DOUBLE) > 0.3 THEN 'language'
   ELSE 'kept' END AS reason FROM d)
-SELECT reason, count(*) AS documents FROM r GROUP BY reason
+SELECT doc_id, reason FROM r
 """
 
 
@@ -380,17 +382,17 @@ SELECT word, count(*) AS df FROM (SELECT unnest(list_distinct(regexp_extract_all
 
 
 def bigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigrams of English documents with sentence markers at both ends, those seen at least ten times."""
+    """Bigrams of each language's documents with markers at both ends, those seen at least ten times."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), 0)
     marked = F.concat(F.array(F.lit("<s>")), words, F.array(F.lit("</s>")))
-    docs = table(spark, sf_dir, "documents").filter("lang = 'en'").select(marked.alias("w"))
+    docs = table(spark, sf_dir, "documents").select("lang", marked.alias("w"))
     pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    return docs.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("n")).filter("n >= 10")
+    return docs.select("lang", F.explode(pairs).alias("p")).groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("n")).filter("n >= 10")
 
 
 BIGRAM_STATS = r"""
-WITH w AS (SELECT list_concat(['<s>'], regexp_extract_all(lower(text), '\p{L}+'), ['</s>']) AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL), p AS (SELECT unnest(list_zip(w[:-2], w[2:])) AS p FROM w)
-SELECT p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2 HAVING count(*) >= 10
+WITH w AS (SELECT lang, list_concat(['<s>'], regexp_extract_all(lower(text), '\p{L}+'), ['</s>']) AS w FROM documents WHERE text IS NOT NULL), p AS (SELECT lang, unnest(list_zip(w[:-2], w[2:])) AS p FROM w)
+SELECT lang, p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2, 3 HAVING count(*) >= 10
 """
 
 

@@ -11,6 +11,7 @@ from ..operators import cluster as C
 from ..operators import planning as P
 from ..operators import review as R
 from ..operators import rollups as U
+from ..operators import topics as To
 from . import pipeline
 from .phrases import _KW, _phrases, normal_sql, table, tokens_sql
 
@@ -81,14 +82,6 @@ SELECT p_type, bool_and(v IN (0, 10, 50, 100, 500, 1000, 5000, 10000, 50000, 100
 """
 
 
-def need_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Benchmark questions by reader need and fit under the example taxonomy."""
-    b = table(spark, sf_dir, "benchmark").withColumn("norm", T.normal_form(F.col("text")))
-    x = b.withColumn("f", X.facets(F.col("norm"), X.EXAMPLE)).withColumn("t", X.theme(F.col("norm"), F.col("f"), X.EXAMPLE))
-    n = X.need(F.col("norm"), F.col("f"), F.col("t"), X.EXAMPLE)
-    return x.groupBy(n.alias("need")).agg(F.count("*").alias("items")).withColumn("fit", P.need_fit(F.col("need")))
-
-
 def plan_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned titles that are the same by signature: how many parts share each, the first of them."""
     p = table(spark, sf_dir, "part")
@@ -110,8 +103,23 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def back_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Back-check of parts grouped by type within brands: issues by check; ids and single checks are tested."""
-    return R.back_check(_grouped(spark, sf_dir)).groupBy("check", "severity").agg(F.count("*").alias("issues"))
+    """Back-check of parts grouped by type within brands: every issue; ids are tested."""
+    return R.back_check(_grouped(spark, sf_dir)).select("check", "severity", "market", "keyword", "other", "action")
+
+
+BACK_CHECK = (
+    _KW
+    + """, g AS (SELECT id, market, type AS grp, norm || ' ' || type AS keyword, row_number() OVER (PARTITION BY market, type ORDER BY volume DESC, id) = 1 AS is_main, volume, ['choose', 'shop', 'info'][id % 3 + 1] AS need, array_to_string(words, ' ') AS w FROM kw),
+m AS (SELECT * FROM g WHERE is_main), o AS (SELECT g.market, g.keyword, min(m.keyword) AS other FROM g JOIN m ON m.market = g.market AND m.w = g.w AND m.grp <> g.grp WHERE NOT g.is_main AND g.w <> '' GROUP BY ALL),
+t AS (SELECT market, grp, sum(volume) AS gv, max(volume) AS top FROM g GROUP BY ALL), x AS (SELECT m.market, m.keyword, sum(g.volume) FILTER (g.need <> m.need) AS apart, sum(g.volume) AS gv FROM m JOIN g ON g.market = m.market AND g.grp = m.grp GROUP BY ALL)
+SELECT 'secondary_is_other_main' AS "check", 'high' AS severity, market, keyword, other, 'merge' AS action FROM o
+UNION ALL SELECT 'mixed_intent', 'medium', market, keyword, '', 'split' FROM x WHERE coalesce(apart, 0) >= 0.2 * gv AND gv > 0
+UNION ALL SELECT 'main_not_best', 'medium', m.market, keyword, '', 'rename_main' FROM m JOIN t ON t.market = m.market AND t.grp = m.grp WHERE top >= 2 * volume AND top > 0
+UNION ALL SELECT 'no_data', 'low', m.market, keyword, '', '' FROM m JOIN t ON t.market = m.market AND t.grp = m.grp WHERE gv = 0
+UNION ALL SELECT 'shopping_main', 'high', market, keyword, '', 'set_need' FROM m WHERE need = 'shop'
+UNION ALL SELECT 'same_question_groups', 'high', y.market, y.keyword, x.keyword, 'merge' FROM m x JOIN m y ON x.market = y.market AND x.w = y.w AND x.grp <> y.grp AND (x.volume > y.volume OR (x.volume = y.volume AND x.keyword < y.keyword)) WHERE x.w <> ''
+"""
+)
 
 
 def grouping_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,6 +156,36 @@ UNION ALL SELECT market, keyword, grp, CASE WHEN len(apart) > 0 AND NOT lists TH
 )
 
 
+def pillar_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brands as pillars, numbered by what their parts own."""
+    return To.pillar_numbers(_phrases(spark, sf_dir).select(F.col("market").alias("pillar"), "volume"))
+
+
+PILLAR_NUMBERS = _KW + " SELECT market AS pillar, 'P' || lpad(CAST(row_number() OVER (ORDER BY sum(volume) DESC, market) AS VARCHAR), 2, '0') AS number FROM kw GROUP BY market"
+
+
+def need_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facets, theme, need and fit of phrases made of parts that the example taxonomy knows."""
+    kw = _phrases(spark, sf_dir)
+    pick = lambda salt, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.pmod(F.floor(F.col("id") / salt), F.lit(len(v))) + 1).cast("int"))
+    phrase = F.trim(F.regexp_replace(F.concat_ws(" ", pick(1, "how to", "best", "buy", "", "what to write"), pick(5, "christmas", "mothers day", ""), pick(15, "funny", ""), pick(30, "mugs", "gifts", "facts"), F.lit("for"), pick(90, "dad", "teacher", "dog lovers")), r"\s+", " "))
+    x = kw.select("id", phrase.alias("norm"))
+    x = x.withColumn("f", X.facets(F.col("norm"), X.EXAMPLE)).withColumn("theme", X.theme(F.col("norm"), F.col("f"), X.EXAMPLE)).withColumn("need", X.need(F.col("norm"), F.col("f"), F.col("theme"), X.EXAMPLE))
+    return x.select("id", "norm", "f.occasion", "f.interest", "f.recipient", "f.product", "f.style", "theme", "need", P.need_fit(F.col("need")).alias("fit"))
+
+
+NEED_ROWS = (
+    _KW
+    + """, pk AS (SELECT id, id % 5 AS a, id // 5 % 3 AS b, id // 15 % 2 AS c, id // 30 % 3 AS d, id // 90 % 3 AS e FROM kw),
+n AS (SELECT *, trim(regexp_replace(['how to', 'best', 'buy', '', 'what to write'][a + 1] || ' ' || ['christmas', 'mothers day', ''][b + 1] || ' ' || ['funny', ''][c + 1] || ' ' || ['mugs', 'gifts', 'facts'][d + 1] || ' for ' || ['dad', 'teacher', 'dog lovers'][e + 1], '\\s+', ' ', 'g')) AS norm FROM pk),
+t AS (SELECT *, CASE WHEN a = 4 THEN 'messages' WHEN d = 2 THEN 'facts' WHEN d = 1 THEN 'gifts' ELSE '' END AS theme FROM n),
+d AS (SELECT *, CASE WHEN a = 0 THEN 'how_to' WHEN a = 4 THEN 'copy_ideas' WHEN a = 1 THEN 'choose' WHEN a = 2 OR d = 0 THEN 'shop' WHEN theme = 'facts' THEN 'info' WHEN theme = 'gifts' THEN 'inspire' ELSE 'inspire' END AS need FROM t)
+SELECT id, norm, ['christmas', 'mothers-day', ''][b + 1] AS occasion, CASE WHEN e = 2 THEN 'dogs' ELSE '' END AS interest, ['dad', 'teacher', ''][e + 1] AS recipient, CASE WHEN d = 0 THEN 'mug' ELSE '' END AS product, ['funny', ''][c + 1] AS style, theme, need,
+  CASE need WHEN 'shop' THEN 'low' WHEN 'info' THEN 'medium' ELSE 'high' END AS fit FROM d
+"""
+)
+
+
 def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole keyword pipeline over part names: the plan."""
     p = table(spark, sf_dir, "part")
@@ -159,5 +197,5 @@ def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stt", "slug", "pillar_id", "role", "post_type", "need", "volume", "priority", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, need_posts, plan_signatures, back_check, grouping_audit, keyword_pipeline)}
+QUERIES = {f.__name__: f for f in (topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, plan_signatures, back_check, grouping_audit, pillar_numbers, need_rows, keyword_pipeline)}
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

@@ -58,10 +58,10 @@ SELECT id, coalesce(first, CASE WHEN NOT keep AND NOT prior THEN early END, CASE
 
 
 def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keep and drop decisions on part names, one for every eleventh part: found, of several markets, stale or clashing."""
+    """Keep and drop decisions on part names, one for every part: found, of several markets, stale or clashing."""
     kw = _phrases(spark, sf_dir)
     rows = kw.select(F.col("norm").alias("keyword"), F.when(F.length("norm") % 2 == 0, "us").otherwise(F.when(F.col("id") % 2 == 0, "us").otherwise("uk")).alias("market")).distinct()
-    d = kw.filter("id % 11 = 0").select(
+    d = kw.select(
         F.concat(F.lit("d"), F.col("id").cast("string")).alias("decision_id"), F.when(F.col("id") % 2 == 0, "keep_keyword").otherwise("drop_keyword").alias("action"), F.when(F.col("id") % 3 == 0, "us").otherwise("").alias("market"),
         F.when(F.col("id") % 5 == 0, F.concat("norm", F.lit(" missing"))).otherwise(F.col("norm")).alias("keyword"),
     )
@@ -71,7 +71,7 @@ def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 INGEST_DECISIONS = (
     _KW
     + """, r AS (SELECT DISTINCT norm AS keyword, CASE WHEN length(norm) % 2 = 0 THEN 'us' WHEN id % 2 = 0 THEN 'us' ELSE 'uk' END AS market FROM kw),
-d AS (SELECT 'd' || id AS decision_id, CASE WHEN id % 2 = 0 THEN 'keep_keyword' ELSE 'drop_keyword' END AS action, CASE WHEN id % 3 = 0 THEN 'us' ELSE '' END AS dm, CASE WHEN id % 5 = 0 THEN norm || ' missing' ELSE norm END AS keyword FROM kw WHERE id % 11 = 0),
+d AS (SELECT 'd' || id AS decision_id, CASE WHEN id % 2 = 0 THEN 'keep_keyword' ELSE 'drop_keyword' END AS action, CASE WHEN id % 3 = 0 THEN 'us' ELSE '' END AS dm, CASE WHEN id % 5 = 0 THEN norm || ' missing' ELSE norm END AS keyword FROM kw),
 f AS (SELECT d.decision_id, d.action, d.keyword, count(r.market) AS n, min(r.market) AS market FROM d LEFT JOIN r ON r.keyword = d.keyword AND (d.dm = '' OR d.dm = r.market) GROUP BY ALL),
 c AS (SELECT market, keyword, count(DISTINCT action) > 1 AS clash FROM f WHERE n = 1 GROUP BY ALL)
 SELECT f.decision_id, f.action, CASE WHEN f.n = 0 THEN 'stale' WHEN f.n > 1 THEN 'invalid' WHEN c.clash THEN 'conflict' ELSE 'found' END AS status FROM f LEFT JOIN c ON f.n = 1 AND c.market = f.market AND c.keyword = f.keyword
