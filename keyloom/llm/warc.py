@@ -10,8 +10,8 @@ straight to any file system that Spark reaches.  Each row of text is one whole
 archive: a task joins records with the format's record separator until they
 have ``archive_mb`` MB, and a file holds one row.  Reading back parses each
 archive by the records' content lengths, one archive at a time.  Records meet
-through their concurrent-to identifiers in an ordinary join and one nested row
-per capture comes out; a revisit finds what it repeats by the identifier that it
+under their concurrent-to identifiers and one nested row per capture comes out;
+a revisit finds what it repeats by the identifier that it
 refers to.
 
 Nulls and edge cases: a null html is an empty payload; a null url is an empty
@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import work_dir, written
 
 _SPACE = uuid.UUID("6f0f2b52-3f0c-5c07-9a3e-1c7b1b7f7c11")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -158,7 +158,7 @@ def write(pages: DataFrame, path: str, archive: Archive | None = None) -> None:
     text.write.option("lineSep", SEPARATOR.decode()).option("maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
-RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, digest string, block binary"
+RECORDS = "type string, record_id string, concurrent_to string, refers_to string, uri string, bytes long, digest string, block binary"
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -178,71 +178,57 @@ def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 4 + size + 4
 
 
-def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["type", "record_id", "concurrent_to", "refers_to", "uri", "digest", "block"]
-    for batch in batches:
-        for content in batch.column("content"):
-            rows, size = [], 0
-            raw = content.as_py()
-            for h, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                proof = h.get("warc-payload-digest")
-                rows.append((h["warc-type"], h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), proof, block))
-                size += len(block)
-                if size > 8 << 20:
-                    yield _record_batch(rows, names)
-                    rows, size = [], 0
-            if rows:
-                yield _record_batch(rows, names)
-
-
-def _record_batch(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if n == "block" else pa.string()) for n, c in zip(names, zip(*rows))], names)
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all archives under ``path``; an archive is parsed by its records' lengths."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_reader, RECORDS)
-
-
-def _payload(with_blocks: bool):
-    """Check the payloads of responses against their digests; keep sizes and digests."""
+def _reader(with_blocks: bool):
+    """Records of whole archives; responses' payloads are measured and checked against their digests where they are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, digests = [], []
-            for kind, proof, block in zip(*(batch.column(c).to_pylist() for c in ("type", "digest", "block"))):
-                if kind == "response":
-                    payload = block.partition(b"\r\n\r\n")[2]
-                    sizes.append(len(payload))
-                    digests.append(digest32(payload))
-                    if proof != f"sha1:{digests[-1]}":
-                        raise ValueError("a payload differs from its digest")
-                else:
-                    sizes.append(None)
-                    digests.append(proof.removeprefix("sha1:") if proof else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("record_id", "type", "refers_to", "uri")] + [pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column("block") if with_blocks else pa.nulls(len(sizes), pa.binary())],
-                ["record_id", "type", "refers_to", "uri", "bytes", "digest", "block"],
-            )
+            for content in batch.column("content"):
+                rows, size, raw = [], 0, content.as_py()
+                for h, block in parse(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    kind, digest = h["warc-type"], (h.get("warc-payload-digest") or "").removeprefix("sha1:") or None
+                    length = None
+                    if kind == "response":
+                        payload = block.partition(SEPARATOR)[2]
+                        length = len(payload)
+                        if digest is not None and digest != digest32(payload):
+                            raise ValueError("a payload differs from its digest")
+                        digest = digest or digest32(payload)
+                    kept = block if with_blocks or kind not in ("response", "revisit") else None
+                    rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), length, digest, kept))
+                    size += len(kept or b"")
+                    if size > 8 << 20:
+                        yield _record_batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _record_batch(rows)
 
     return run
 
 
-def assemble(records: DataFrame, with_blocks: bool = True) -> DataFrame:
+def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = {"type": pa.string(), "record_id": pa.string(), "concurrent_to": pa.string(), "refers_to": pa.string(), "uri": pa.string(), "bytes": pa.int64(), "digest": pa.string(), "block": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
+
+
+def read(spark: SparkSession, path: str, with_blocks: bool = True) -> DataFrame:
+    """Records of all archives under ``path``; an archive is parsed by its records' lengths, once."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select("content").mapInArrow(_reader(with_blocks), RECORDS)
+
+
+def assemble(records: DataFrame) -> DataFrame:
     """One nested row per capture: its response or revisit, request and metadata.
 
-    Payloads are checked against their digests where they are read; without
-    blocks they don't travel to the join.
+    Requests and metadata meet their capture under the identifier that they are
+    concurrent to; all three come from one reading and one shuffle.
     """
-    captured = records.filter(F.col("type").isin("response", "revisit")).select("type", "record_id", "refers_to", "uri", "digest", "block")
-    captured = captured.mapInArrow(_payload(with_blocks), "record_id string, type string, refers_to string, uri string, bytes long, digest string, block binary")
-    sides = records.filter(F.col("type").isin("request", "metadata") & F.col("concurrent_to").isNotNull())
-    sides = sides.select(F.col("concurrent_to").alias("record_id"), "type", F.struct(F.col("record_id").alias("id"), F.decode("block", "UTF-8").alias("fields")).alias("r"))
-    by_capture = sides.groupBy("record_id").agg(F.min(F.when(F.col("type") == "request", F.col("r"))).alias("request"), F.min(F.when(F.col("type") == "metadata", F.col("r"))).alias("metadata"))
-    joined = captured.join(by_capture, "record_id", "left")
-    response = F.struct("type", "refers_to", "uri", "bytes", "digest", "block").alias("response")
-    return joined.select("record_id", response, "request", "metadata")
+    captured = F.col("type").isin("response", "revisit")
+    meets = F.when(captured, F.col("record_id")).when(F.col("type").isin("request", "metadata"), F.col("concurrent_to"))
+    side = lambda kind: F.min(F.when(F.col("type") == kind, F.struct(F.col("record_id").alias("id"), F.decode("block", "UTF-8").alias("fields")))).alias(kind)
+    response = F.max(F.when(captured, F.struct("type", "refers_to", "uri", "bytes", "digest", "block"))).alias("response")
+    met = records.withColumn("_capture", meets).filter("_capture is not null").groupBy("_capture").agg(response, side("request"), side("metadata"))
+    return met.filter("response is not null").select(F.col("_capture").alias("record_id"), "response", "request", "metadata")
 
 
 def _field(name: str):
@@ -257,6 +243,7 @@ def describe(transactions: DataFrame) -> DataFrame:
     metadata say where that response is in none of the archives read.
     """
     own = transactions.select("record_id", _field("page-id").alias("page_id"), _field("payload-length").alias("said"), "response.type", "response.refers_to", "response.bytes", "response.digest")
+    own = written(own, "captures")  # small rows, read twice; and a table lets the join be split at a response that very many refer to
     full = own.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("bytes").alias("of_bytes"))
     joined = own.join(full, "refers_to", "left")
     return joined.select(
@@ -268,4 +255,4 @@ def round_trip(pages: DataFrame, archive: Archive | None = None) -> DataFrame:
     """Write archives to the shared folder, read them back, assemble the transactions."""
     path = work_dir(pages.sparkSession, "warc")
     write(pages, path, archive)
-    return describe(assemble(read(pages.sparkSession, path), with_blocks=False))
+    return describe(assemble(read(pages.sparkSession, path, with_blocks=False)))
