@@ -17,6 +17,7 @@ from ..operators import cluster as C
 from ..operators import links as L
 from ..operators import merge as M
 from ..operators import planning as P
+from ..operators import priors as Pr
 from ..operators import scope as Sc
 from ..operators import similarity as S
 from ..operators import spelling as Sp
@@ -117,6 +118,13 @@ def named_clusters(members: DataFrame, c: Config) -> DataFrame:
     fluent = Sp.fluency(members.select(T.tokens(F.col("norm")).alias("words")), members.select("id", T.tokens(F.col("norm")).alias("words")), "id", "words")
     x = members.join(fluent, "id").withColumn("phrase", F.col("norm")).withColumn("typo", F.lit(False))
     names = C.best_name(x, "seed")
+    # a member that wins far more and asks the same names the page in its place
+    plain = ~F.rlike("phrase", F.lit(r"[0-9]|\b(what|when|where|who|why|how|which)$"))
+    rivals = x.join(names, "seed").select(
+        "seed", "id", F.col("phrase").alias("keyword"), F.col("total").alias("volume"), N.winnable(F.col("total").cast("double"), F.col("kd"), c.reach).alias("winnable"), N.fit(F.col("kd"), c.reach).alias("fit"), "fluency", plain.alias("plain"), "core", (F.col("phrase") == F.col("name")).alias("is_seed")
+    )
+    easier = Pr.easier_seed(rivals, "seed").withColumnRenamed("name", "easier")
+    names = names.join(easier, "seed", "left").select("seed", F.coalesce("easier", "name").alias("name"))
     roll = members.groupBy("seed").agg(
         F.first("market").alias("market"), F.first("need").alias("need"), F.first("occasion").alias("occasion"), F.first("recipient").alias("recipient"), F.sum("total").alias("volume"), F.sum(F.size("variants") + 1).alias("keywords"),
         F.min("kd").alias("kd"), F.bround(F.sum(N.winnable(F.col("total").cast("double"), F.col("kd"), c.reach)), 3).alias("winnable"),
