@@ -146,3 +146,78 @@ def unique_slugs(rows: DataFrame, slug: str, order: list[Column], out: str = "sl
     # the k-th free number: k plus as many used ones as lie at or below it, used ones in ascending order
     number = F.aggregate("_used", F.col("_k"), lambda n, u: F.when((u >= 2) & (u <= n), n + 1).otherwise(n))
     return x.withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string")))).drop("_base", "_k", "_used")
+
+
+#: Facets by which posts of two pillars belong together, in order, and the contextual links that a post may receive by how hard its keyword is.
+CROSS_FACETS = ("interest", "recipient", "craft", "occasion", "product")
+INBOUND_CONTEXTUAL = {"easy": 2, "stretch": 4, "hard": 4}
+
+
+def cross_links(posts: DataFrame, most: int = 1) -> DataFrame:
+    """(market, source, target, facet): links of a post to the pillars that are about one of its facets, the first ``most`` in order of facets.
+
+    Columns: market, slug, pillar, topic, is_pillar, key (what a pillar is
+    about) and the facets; a pillar of the post's own or of its topic is left out.
+    """
+    hubs = posts.filter("is_pillar").select("market", F.col("key").alias("value"), F.col("pillar").alias("hub"), F.col("topic").alias("hub_topic"), F.col("slug").alias("target"))
+    hubs = hubs.groupBy("market", "value").agg(F.min_by(F.struct("hub", "hub_topic", "target"), F.struct("hub", "target")).alias("h")).select("market", "value", "h.*")
+    named = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("facet"), F.col(f).alias("value")) for i, f in enumerate(CROSS_FACETS) if f in posts.columns])
+    each = posts.select("market", F.col("slug").alias("source"), "pillar", "topic", F.explode(named).alias("f")).select("market", "source", "pillar", "topic", "f.*").filter("coalesce(value, '') <> ''")
+    met = each.join(hubs, ["market", "value"]).filter((F.col("source") != F.col("target")) & ~F.col("hub").eqNullSafe(F.col("pillar")) & ~F.col("hub_topic").eqNullSafe(F.col("topic")))
+    once = met.withColumn("_t", F.row_number().over(Window.partitionBy("market", "source", "target").orderBy("place"))).filter("_t = 1")
+    return once.withColumn("_k", F.row_number().over(Window.partitionBy("market", "source").orderBy("place", "target"))).filter(F.col("_k") <= most).select("market", "source", "target", "facet")
+
+
+def backlink_queue(posts: DataFrame, links: DataFrame, published: DataFrame, most: int = 3) -> DataFrame:
+    """(market, source, target, place): published posts to update with a link to a planned one, up to ``most`` with those that link already.
+
+    A source shares a facet with the target and does not link to it; those with
+    more facets in common come first, then pillars, then by volume.
+    """
+    names = [f for f in CROSS_FACETS if f in posts.columns]
+    live = published.select("slug").distinct()
+    held = F.explode(F.array(*[F.struct(F.lit(f).alias("facet"), F.col(f).alias("value")) for f in names])).alias("f")
+    facet = lambda df, slug, more: df.select("market", F.col("slug").alias(slug), *more, held).select("market", slug, *more, "f.*").filter("coalesce(value, '') <> ''")
+    old = facet(posts.join(live, "slug", "left_semi"), "source", ["is_pillar", "volume"])
+    new = facet(posts.join(live, "slug", "left_anti"), "target", [])
+    pairs = new.join(old, ["market", "facet", "value"]).groupBy("market", "source", "target").agg(F.count("*").alias("shared"), F.first("is_pillar").alias("is_pillar"), F.first("volume").alias("volume"))
+    there = links.select("source", "target").distinct()
+    had = there.join(live.withColumnRenamed("slug", "source"), "source", "left_semi").groupBy("target").agg(F.count("*").alias("had"))
+    able = pairs.join(there, ["source", "target"], "left_anti").join(had, "target", "left").withColumn("had", F.coalesce("had", F.lit(0)))
+    place = F.row_number().over(Window.partitionBy("market", "target").orderBy(F.desc("shared"), F.desc(F.col("is_pillar").cast("int")), F.desc("volume"), "source"))
+    return able.withColumn("place", place).filter(F.col("place") + F.col("had") <= most).select("market", "source", "target", "place")
+
+
+def contextual(posts: DataFrame, bags: DataFrame, links: DataFrame, least: float = 0.2, most: int = 2, default: int = 3) -> DataFrame:
+    """(market, source, target, cosine): body links between posts of a topic that talk about the same thing.
+
+    Candidates come from a join of the keyword words (``bags``: slug, word, n)
+    with cosine from ``least`` on, without pillars, the own sub-hub (``parent``)
+    and what is linked already.  Sources choose in order of value, each its
+    ``most`` closest whose budget (by ``fit``) is left; that order is what makes
+    it sequential, so a market's candidates, a few a post, are one group.
+    """
+    from .similarity import cosine_top
+
+    ids = posts.withColumn("group", F.concat_ws("|", "market", "topic"))
+    members = ids.filter("not is_pillar").select("slug", "group")
+    words = bags.join(members, "slug").select("slug", "group", "word", "n")
+    near = cosine_top(words, "slug", "word", "n", ["group"], least, 2**31 - 1).select(F.col("a").alias("source"), F.col("b").alias("target"), "cosine")
+    near = near.join(links.select("source", "target").distinct(), ["source", "target"], "left_anti")
+    src = ids.select(F.col("slug").alias("source"), "market", "value", F.col("parent").alias("own"))
+    dst = ids.select(F.col("slug").alias("target"), "fit")
+    rows = near.join(src, "source").join(dst, "target").filter("not (own <=> target)")
+
+    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
+        left: dict[str, int] = {}
+        done: dict[str, int] = {}
+        out = []
+        for r in pdf.sort_values(["value", "source", "cosine", "target"], ascending=[False, True, False, False]).itertuples():
+            room = left.setdefault(r.target, INBOUND_CONTEXTUAL.get(r.fit, default))
+            if room > 0 and done.get(r.source, 0) < most:
+                left[r.target] -= 1
+                done[r.source] = done.get(r.source, 0) + 1
+                out.append((r.market, r.source, r.target, r.cosine))
+        return pd.DataFrame(out, columns=["market", "source", "target", "cosine"])
+
+    return rows.select("market", "source", "target", "cosine", "value", "fit").groupBy("market").applyInPandas(choose, "market string, source string, target string, cosine double")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import links as L
 from ..operators import planning as P
 from ..operators import review as R
 from ..operators import rollups as U
@@ -239,11 +240,49 @@ def carried_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CARRIED_COLUMNS = _KW + """ SELECT CAST(id AS VARCHAR) AS slug, CASE WHEN id % 6 = 0 THEN 'mine' WHEN id % 3 < 2 AND id % 5 <> 0 THEN 'team ' || id WHEN id % 3 < 2 THEN NULL END AS owner, id % 3 < 2 AND id % 5 <> 0 AS carried FROM kw"""
 
+_TYPES = ("economy", "large", "medium", "promo", "small", "standard")
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as posts: types are pillars led by their first part in a brand; two facets by the part's number."""
+    kw = _phrases(spark, sf_dir)
+    hubs = kw.groupBy("market", "type").agg(F.min("id").alias("hub"))
+    x = kw.join(hubs, ["market", "type"])
+    later = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.floor(F.col("id") / 6) % 6 + 1).cast("int"))
+    return x.select("market", F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.col("type").alias("pillar"), F.col("type").alias("topic"), (F.col("id") == F.col("hub")).alias("is_pillar"), F.lower("type").alias("key"), _one_of(*_TYPES).alias("interest"), later.alias("occasion"), "volume")
+
+
+_POSTS = _KW + """, po AS (SELECT id, market, 's' || id AS slug, type, min(id) OVER (PARTITION BY market, type) = id AS is_pillar, ['economy', 'large', 'medium', 'promo', 'small', 'standard'][id % 6 + 1] AS interest,
+  ['economy', 'large', 'medium', 'promo', 'small', 'standard'][id // 6 % 6 + 1] AS occasion, volume FROM kw)"""
+
+
+def cross_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One link of each part to the pillar of another type that one of its facets names."""
+    return L.cross_links(_posts(spark, sf_dir))
+
+
+CROSS_LINKS = _POSTS + """, h AS (SELECT market, lower(type) AS v, type, slug FROM po WHERE is_pillar)
+SELECT po.market, po.slug AS source, coalesce(i.slug, o.slug) AS target, CASE WHEN i.slug IS NOT NULL THEN 'interest' ELSE 'occasion' END AS facet FROM po LEFT JOIN h i ON i.market = po.market AND i.v = po.interest AND i.type <> po.type
+LEFT JOIN h o ON o.market = po.market AND o.v = po.occasion AND o.type <> po.type WHERE coalesce(i.slug, o.slug) IS NOT NULL"""
+
+
+def backlink_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published parts to update with a link to a planned one; each part links to the next."""
+    posts = _posts(spark, sf_dir)
+    n = F.substring("slug", 2, 20).cast("long")
+    links = posts.select(F.col("slug").alias("source"), F.concat(F.lit("s"), (n + 1).cast("string")).alias("target"))
+    return L.backlink_queue(posts, links, posts.filter(n % 4 == 0).select("slug")).select("market", "source", "target", F.col("place").cast("long").alias("place"))
+
+
+BACKLINK_QUEUE = _POSTS + """, p AS (SELECT n.market, o.slug AS source, n.slug AS target, CAST(o.interest = n.interest AS INT) + CAST(o.occasion = n.occasion AS INT) AS shared, o.is_pillar, o.volume, n.id % 4 = 1 AS had
+  FROM po n JOIN po o ON o.market = n.market AND (o.interest = n.interest OR o.occasion = n.occasion) WHERE n.id % 4 <> 0 AND o.id % 4 = 0 AND o.id + 1 <> n.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY market, target ORDER BY shared DESC, is_pillar DESC, volume DESC, source) AS place FROM p2) SELECT market, source, target, place FROM k WHERE place + CAST(had AS INT) <= 3""".replace(", p AS (", ", p2 AS (")
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_coverage, cluster_basis, verified_shares, excluded_reasons, node_names, pillar_hubs, cross_pillar_duplicates, one_group, post_plan, need_gaps, published_matches, given_hubs, merges_kept_apart, work_orders, theme_research, text_flags, issue_states,
-        carried_columns,
+        carried_columns, cross_links, backlink_queue,
     )
 }
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

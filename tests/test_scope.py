@@ -207,3 +207,21 @@ def test_topic_decisions(spark):
     }
     assert out.columns == df.columns
     assert {r["pillar"]: r["number"] for r in To.pillar_numbers(out).collect()} == {"P01": "P02", "P02": "P01", "P03": "P03"}
+
+
+def test_cross_backlink_and_contextual_links(spark):
+    schema = "market string, slug string, pillar string, topic string, is_pillar boolean, key string, interest string, recipient string, occasion string, volume long, value long, parent string, fit string"
+    rows = [
+        ("us", "dogs", "P1", "dogs", True, "dogs", "dogs", "", "", 100, 100, None, "hard"), ("us", "mom", "P2", "mom", True, "mom", "", "mom", "", 90, 90, None, "easy"), ("us", "dog-mom", "P3", "xmas", False, None, "dogs", "mom", "xmas", 50, 50, None, "easy"),
+        ("us", "dog-toys", "P1", "dogs", False, None, "dogs", "", "", 40, 40, None, "hard"), ("us", "dog-beds", "P1", "dogs", False, None, "dogs", "", "", 30, 30, "dog-toys", "stretch"), ("us", "dog-food", "P1", "dogs", False, None, "dogs", "", "", 20, 20, None, "easy"), ("uk", "dogs-uk", "P9", "dogs", True, "dogs", "", "", "", 5, 5, None, "easy"),
+    ]
+    posts = spark.createDataFrame(rows, schema)
+    assert [tuple(r) for r in L.cross_links(posts).collect()] == [("us", "dog-mom", "dogs", "interest")]
+    assert sorted((r["target"], r["facet"]) for r in L.cross_links(posts, 2).collect()) == [("dogs", "interest"), ("mom", "recipient")]
+    links = spark.createDataFrame([("dogs", "dog-beds"), ("dog-toys", "x")], "source string, target string")
+    published = spark.createDataFrame([("dogs",), ("dog-toys",), ("mom",)], "slug string")
+    got = {(r["source"], r["target"], r["place"]) for r in L.backlink_queue(posts, links, published).collect()}
+    assert got == {("dogs", "dog-mom", 1), ("mom", "dog-mom", 2), ("dog-toys", "dog-mom", 3), ("dog-toys", "dog-beds", 1), ("dogs", "dog-food", 1), ("dog-toys", "dog-food", 2)}
+    bags = spark.createDataFrame([("dog-toys", "dog", 2), ("dog-toys", "toy", 1), ("dog-beds", "dog", 2), ("dog-beds", "bed", 1), ("dog-food", "dog", 1), ("dog-food", "food", 3)], "slug string, word string, n long")
+    found = {(r["source"], r["target"]) for r in L.contextual(posts, bags, links, most=1).collect()}
+    assert found == {("dog-toys", "dog-beds"), ("dog-beds", "dog-food"), ("dog-food", "dog-toys")}
