@@ -26,9 +26,35 @@ def csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
+def spreadsheet_csv(df: DataFrame, most: int = 100_000) -> bytes:
+    """A small table as CSV that spreadsheets open as UTF-8: a byte order mark first, lines ended as they expect."""
+    import csv as writer
+    import io
+
+    out = io.StringIO()
+    w = writer.writer(out, lineterminator="\r\n")
+    w.writerow(df.columns)
+    w.writerows([["|".join(map(str, v)) if isinstance(v, list) else v for v in r] for r in bounded_rows(df, most)])
+    return b"\xef\xbb\xbf" + out.getvalue().encode()
+
+
+#: What spreadsheets take in.
+SHEET_NAME, SHEET_ROWS, CELL_TEXT = 31, 1_048_576, 32_767
+
+
 def workbook(sheets: dict[str, DataFrame], most: int = 100_000) -> bytes:
-    """A workbook of small tables, one sheet each, headers first."""
-    return write_workbook({name: [df.columns, *[["; ".join(map(str, v)) if isinstance(v, list) else v for v in r] for r in bounded_rows(df, most)]] for name, df in sheets.items()})
+    """A workbook of small tables, one sheet each, headers first; names, rows and texts beyond a spreadsheet's limits are errors."""
+    names = [n.lower() for n in sheets]
+    wrong = [n for n in sheets if not n or len(n) > SHEET_NAME or set(n) & set("[]:*?/\\") or n[0] == "'" or n[-1] == "'"]
+    if wrong or len(set(names)) < len(names):
+        raise ValueError(f"names that no sheet can have, or twice: {wrong or names}")
+    tables = {}
+    for name, df in sheets.items():
+        rows = [["; ".join(map(str, v)) if isinstance(v, list) else v for v in r] for r in bounded_rows(df, min(most, SHEET_ROWS - 1))]
+        if any(isinstance(v, str) and len(v) > CELL_TEXT for r in rows for v in r):
+            raise ValueError(f"a text of more than {CELL_TEXT} characters in {name!r}")
+        tables[name] = [df.columns, *rows]
+    return write_workbook(tables)
 
 
 def markdown(df: DataFrame, title: str, most: int = 10_000) -> str:

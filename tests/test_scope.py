@@ -225,3 +225,17 @@ def test_cross_backlink_and_contextual_links(spark):
     bags = spark.createDataFrame([("dog-toys", "dog", 2), ("dog-toys", "toy", 1), ("dog-beds", "dog", 2), ("dog-beds", "bed", 1), ("dog-food", "dog", 1), ("dog-food", "food", 3)], "slug string, word string, n long")
     found = {(r["source"], r["target"]) for r in L.contextual(posts, bags, links, most=1).collect()}
     assert found == {("dog-toys", "dog-beds"), ("dog-beds", "dog-food"), ("dog-food", "dog-toys")}
+
+
+def test_spreadsheet_sinks(spark):
+    import pytest
+
+    from keyloom.plans import sinks
+    from keyloom.sources import tabular
+
+    df = spark.createDataFrame([("a", ["x", "y"], 1), ('b "q", é', [], None)], "k string, l array<string>, n long")
+    assert sinks.spreadsheet_csv(df) == '﻿k,l,n\r\na,x|y,1\r\n"b ""q"", é",,\r\n'.encode()
+    assert [n for n, _ in tabular.workbook_sheets(sinks.workbook({"One": df, "Two": df}))] == ["One", "Two"]
+    for bad in ({"a/b": df}, {"x" * 32: df}, {"Same": df, "same": df}, {"Long": spark.createDataFrame([("y" * 40_000,)], "k string")}):
+        with pytest.raises(ValueError):
+            sinks.workbook(bad)
