@@ -6,11 +6,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Intent names by word, letter and number; result features by the name that tools give them.
-INTENTS = {"informational": "informational", "i": "informational", "1": "informational", "navigational": "navigational", "n": "navigational", "2": "navigational", "commercial": "commercial", "c": "commercial", "0": "commercial", "transactional": "transactional", "t": "transactional", "3": "transactional"}
+INTENTS = {
+    "informational": "informational", "i": "informational", "1": "informational", "navigational": "navigational", "n": "navigational",
+    "2": "navigational", "commercial": "commercial", "c": "commercial", "0": "commercial", "transactional": "transactional", "t": "transactional",
+    "3": "transactional",
+}
 FEATURES = {
-    "featured_snippet": ("featured snippet", "featured snippets"), "paa": ("people also ask",), "ai_overview": ("ai overview", "ai overviews"), "image_pack": ("image pack", "images", "image", "featured images"),
-    "video": ("video", "videos", "video carousel", "video preview", "short videos", "featured video"), "shopping": ("popular products", "shopping ads", "shopping", "shopping results"), "local_pack": ("local pack", "local results"), "top_stories": ("top stories",),
-    "knowledge_panel": ("knowledge panel", "knowledge graph", "knowledge card"), "discussions": ("discussions and forums", "discussions"), "ads": ("ads top", "ads bottom", "adwords top", "adwords bottom", "top ads", "bottom ads", "ads", "paid"),
+    "featured_snippet": ("featured snippet", "featured snippets"), "paa": ("people also ask",), "ai_overview": ("ai overview", "ai overviews"), "image_pack": (
+        "image pack", "images", "image", "featured images",
+    ),
+    "video": ("video", "videos", "video carousel", "video preview", "short videos", "featured video"), "shopping": (
+        "popular products", "shopping ads", "shopping", "shopping results",
+    ), "local_pack": ("local pack", "local results"), "top_stories": ("top stories",),
+    "knowledge_panel": ("knowledge panel", "knowledge graph", "knowledge card"), "discussions": ("discussions and forums", "discussions"), "ads": (
+        "ads top", "ads bottom", "adwords top", "adwords bottom", "top ads", "bottom ads", "ads", "paid",
+    ),
     "sitelinks": ("sitelinks", "site links"), "things_to_know": ("things to know",), "reviews": ("reviews",), "instant_answer": ("instant answer",), "thumbnail": ("thumbnail", "thumbnails"),
 }
 #: Features by which a result page answers questions.
@@ -46,7 +56,9 @@ def result_features(c: Column) -> Column:
     """Sorted slugs of a cell's result features; unknown ones as ``other:name``; organic results are no feature."""
     names = {name: slug for slug, all_ in FEATURES.items() for name in all_}
     cells = F.split(F.translate(F.lower(F.coalesce(c, F.lit(""))), "_", " "), r"[,;|\n]")
-    parts = F.filter(F.transform(cells, lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), '"', ""))), lambda x: ~x.isin(*NO_VALUE, "organic"))
+    parts = F.filter(
+        F.transform(cells, lambda v: F.trim(F.regexp_replace(F.regexp_replace(v, r"\s+", " "), '"', ""))), lambda x: ~x.isin(*NO_VALUE, "organic"),
+    )
     return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.coalesce(F.try_element_at(_table(names), x), F.concat(F.lit("other:"), x)))))
 
 
@@ -87,7 +99,9 @@ def read_trend(monthly: Column, months: list[str], cell: Column, header: Column)
     trend cell is anchored in time only where its length is that of the months
     that its header names.
     """
-    listed = F.filter(F.transform(F.array(*[F.lit(m) for m in months]), lambda m: F.try_element_at(monthly, m).cast("double")), lambda v: v.isNotNull())
+    listed = F.filter(
+        F.transform(F.array(*[F.lit(m) for m in months]), lambda m: F.try_element_at(monthly, m).cast("double")), lambda v: v.isNotNull(),
+    )
     whole = F.size(listed) == len(months)
     got, span = trend(cell), header_range(header)
     ends = F.when((got["scale"] == "absolute") & (month_shift(span["first"], F.size(got["values"]) - 1) == span["last"]), span["last"])
@@ -95,7 +109,9 @@ def read_trend(monthly: Column, months: list[str], cell: Column, header: Column)
     row = lambda v, s, e: F.struct(v.alias("values"), s.alias("scale"), e.alias("last"))
     nothing = row(none, F.lit(""), F.lit(None).cast("string"))
     by_month = F.when(whole, row(listed, F.lit("absolute"), F.lit(months[-1]))).otherwise(nothing) if months else nothing
-    return F.when(F.coalesce(F.size(F.map_keys(monthly)), F.lit(0)) > 0, by_month).otherwise(F.when(F.coalesce(cell, F.lit("")) != "", row(got["values"], got["scale"], ends)).otherwise(nothing))
+    return F.when(F.coalesce(F.size(F.map_keys(monthly)), F.lit(0)) > 0, by_month).otherwise(
+        F.when(F.coalesce(cell, F.lit("")) != "", row(got["values"], got["scale"], ends)).otherwise(nothing)
+    )
 
 
 def trend(c: Column) -> Column:
@@ -111,4 +127,6 @@ def peak_month(values: Column, last_month: Column) -> Column:
     """Name of the month of the greatest value, the latest on a tie; ``last_month`` (1-12) is that of the last value."""
     top = F.array_max(F.transform(values, lambda v, i: F.struct(v.alias("v"), i.alias("i"))))
     month = F.pmod(last_month - 1 - (F.size(values) - 1 - top["i"]), F.lit(12)) + 1
-    return F.when((F.size(values) > 0) & last_month.isNotNull() & (top["v"] > 0), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month.cast("int")))
+    return F.when(
+        (F.size(values) > 0) & last_month.isNotNull() & (top["v"] > 0), F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month.cast("int")),
+    )

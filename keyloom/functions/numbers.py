@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Cells that mean "not available"; spellings of the two markets.
 NOT_AVAILABLE = ("", "-", "--", "n/a", "na", "none", "null", "nan")
-MARKETS = {"us": "us", "usa": "us", "en-us": "us", "united states": "us", "uk": "uk", "gb": "uk", "en-gb": "uk", "united kingdom": "uk", "great britain": "uk"}
+MARKETS = {
+    "us": "us", "usa": "us", "en-us": "us", "united states": "us", "uk": "uk", "gb": "uk", "en-gb": "uk", "united kingdom": "uk",
+    "great britain": "uk",
+}
 
 
 def _plain(x: Column, integer: bool) -> Column:
@@ -46,7 +49,10 @@ def parse_number(c: Column, integer: bool = False, range_mode: str = "low") -> C
     plain = _plain(x, integer)
     is_range = F.rlike(x, F.lit(ends))
     value = F.when(missing, F.lit(None).cast("double")).when(is_range, of_range).otherwise(plain["value"])
-    return F.struct(value.alias("value"), F.when(missing, False).when(is_range, value.isNotNull()).otherwise(plain["estimate"] & value.isNotNull()).alias("estimate"))
+    return F.struct(
+        value.alias("value"),
+        F.when(missing, False).when(is_range, value.isNotNull()).otherwise(plain["estimate"] & value.isNotNull()).alias("estimate"),
+    )
 
 
 def market(c: Column) -> Column:
@@ -114,7 +120,10 @@ def reading_grade(words: Column, sentence_count: Column, syllable_count: Column)
     return 0.39 * words / F.greatest(sentence_count, F.lit(1)) + 11.8 * syllable_count / F.greatest(words, F.lit(1)) - 15.59
 
 
-def narrower_facets(own: Column, facets: dict[str, Column], counted: tuple[str, ...] = ("occasion", "recipient", "interest", "product", "craft"), audiences: tuple[str, ...] | None = ("occasion", "recipient", "interest")) -> Column:
+def narrower_facets(
+    own: Column, facets: dict[str, Column], counted: tuple[str, ...] = ("occasion", "recipient", "interest", "product", "craft"),
+    audiences: tuple[str, ...] | None = ("occasion", "recipient", "interest"),
+) -> Column:
     """How many facets a cluster names beyond its group's own; none counts in a group that no audience keys (``audiences`` None: counted anywhere)."""
     n = sum(((F.lit(f) != own) & (F.coalesce(facets[f], F.lit("")) != "")).cast("int") for f in counted if f in facets)
     return n if audiences is None else F.when(own.isin(*audiences), n).otherwise(0)

@@ -18,7 +18,9 @@ from . import text as T
 GIVERS = "mom|mum|mother|dad|father|daughter|son|kids?|children|wife|husband|granddaughter|grandson|grandkids?|girlfriend|boyfriend|sister|brother|friends?|coworkers?|team|class|students?"
 ORDER = ("occasion", "interest", "recipient", "product", "style", "craft")
 #: Where a theme that can't stand alone goes.
-THEME_FALLBACK = {"facts": "meaning", "food": "activities", "events": "activities", "printables": "activities", "images": "messages", "humor": "messages"}
+THEME_FALLBACK = {
+    "facts": "meaning", "food": "activities", "events": "activities", "printables": "activities", "images": "messages", "humor": "messages",
+}
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,10 @@ class Taxonomy:
             facets[name] = tuple(have.values())
         united = {k: tuple(dict.fromkeys([*getattr(self, k), *more.get(k, ())])) for k in ("stop", "weak", "us_terms", "uk_terms")}
         tables = {k: {**getattr(self, k), **more.get(k, {})} for k in ("variants", "phrases", "synonyms")}
-        return replace(self, facets=facets, needs=tuple(more.get("needs", ())) + self.needs, themes=self.themes + tuple(more.get("themes", ())), **united, **tables)
+        return replace(
+            self, facets=facets, needs=tuple(more.get("needs", ())) + self.needs, themes=self.themes + tuple(more.get("themes", ())), **united,
+            **tables,
+        )
 
 
 def first_value(text: Column, values: tuple[Value, ...], allowed=None) -> Column:
@@ -80,7 +85,9 @@ def first_value(text: Column, values: tuple[Value, ...], allowed=None) -> Column
         hit = F.rlike(text, F.lit(v.pattern))
         if allowed is not None:
             hit = hit & allowed(v)
-        options.append(F.when(hit, F.struct(F.regexp_instr(text, F.lit(v.pattern)).alias("at"), F.lit(i).alias("order"), F.lit(v.name).alias("name"))))
+        options.append(
+            F.when(hit, F.struct(F.regexp_instr(text, F.lit(v.pattern)).alias("at"), F.lit(i).alias("order"), F.lit(v.name).alias("name")))
+        )
     best = F.array_min(F.filter(F.array(*options), lambda x: x.isNotNull())) if options else None
     return F.coalesce(best["name"], F.lit("")) if options else F.lit("")
 
@@ -141,7 +148,9 @@ def core_words(norm: Column, theme_: Column, t: Taxonomy) -> Column:
     masked = blanked(norm, t.facets.get("occasion", ()))
     for x in t.themes:
         if x.generic:
-            masked = F.when(theme_ == x.name, F.regexp_replace(masked, rf"(?<![{T.WORD}])(?:{'|'.join(x.generic)})(?![{T.WORD}])", " ")).otherwise(masked)
+            masked = F.when(
+                theme_ == x.name, F.regexp_replace(masked, rf"(?<![{T.WORD}])(?:{'|'.join(x.generic)})(?![{T.WORD}])", " "),
+            ).otherwise(masked)
     words = T.canonical_tokens(masked, t.variants)
     if t.synonyms:
         table = F.create_map(*[F.lit(x) for kv in t.synonyms.items() for x in kv])
@@ -175,7 +184,10 @@ class Noise:
     def reason(self, raw: Column, norm: Column) -> Column:
         """Name of the first rule that a phrase breaks, or null."""
         checks = [F.when(F.rlike(F.lower(raw) if on == "raw" else norm, F.lit(p)), F.lit(name)) for name, on, p in self.rules]
-        limits = [F.when(F.size(T.tokens(norm)) > self.max_words, "too many words"), F.when(F.length(raw) > self.max_chars, "too long"), F.when(T.non_ascii_ratio(raw) > self.non_ascii, "non-ascii")]
+        limits = [
+            F.when(F.size(T.tokens(norm)) > self.max_words, "too many words"), F.when(F.length(raw) > self.max_chars, "too long"),
+            F.when(T.non_ascii_ratio(raw) > self.non_ascii, "non-ascii"),
+        ]
         return F.coalesce(*checks, *limits)
 
 
@@ -189,14 +201,27 @@ def category(norm: Column, groups: dict[str, list[str]]) -> Column:
 #: A small example of our own; a real one is injected.
 EXAMPLE = Taxonomy(
     facets={
-        "occasion": (Value("mothers-day", ("mothers? day", "mothering sunday")), Value("fathers-day", ("fathers? day",)), Value("christmas", ("christmas", "xmas")), Value("thanksgiving", ("thanksgiving",))),
+        "occasion": (
+            Value("mothers-day", ("mothers? day", "mothering sunday")), Value("fathers-day", ("fathers? day",)),
+            Value("christmas", ("christmas", "xmas")), Value("thanksgiving", ("thanksgiving",)),
+        ),
         "interest": (Value("dogs", ("dogs?", "puppy")), Value("fishing", ("fishing", "angler")), Value("gardening", ("gardening", "plants?"))),
-        "recipient": (Value("mom", ("mom", "mum", "mother")), Value("dad", ("dad", "father")), Value("daughter", ("daughter",)), Value("teacher", ("teachers?",))),
+        "recipient": (
+            Value("mom", ("mom", "mum", "mother")), Value("dad", ("dad", "father")), Value("daughter", ("daughter",)),
+            Value("teacher", ("teachers?",)),
+        ),
         "product": (Value("mug", ("mugs?", "cups?")), Value("shirt", ("shirts?", "tees?")), Value("blanket", ("blankets?",))),
         "style": (Value("funny", ("funny",)), Value("personalized", ("personali[sz]ed", "custom"))),
         "craft": (Value("print", ("printing", "sublimation"), requires="diy|how to"),),
     },
-    themes=(Theme("messages", strong=("what to write", "wishes", "quotes"), need="copy_ideas"), Theme("facts", strong=("facts",), need="info"), Theme("history", strong=("history", "origin"), generic=("history", "origin", "of")), Theme("dates", strong=("when is", "date of"), weak=("date", "day"), generic=("when", "is", "date")), Theme("gifts", weak=("gifts?", "presents?"), need="inspire")),
+    themes=(
+        Theme("messages", strong=("what to write", "wishes", "quotes"), need="copy_ideas"), Theme("facts", strong=("facts",), need="info"),
+        Theme("history", strong=("history", "origin"), generic=("history", "origin", "of")),
+        Theme("dates", strong=("when is", "date of"), weak=("date", "day"), generic=("when", "is", "date")),
+        Theme("gifts", weak=("gifts?", "presents?"), need="inspire"),
+    ),
     needs=(("how_to", r"\bhow to\b"), ("copy_ideas", r"\bwhat to write\b"), ("choose", r"\bbest\b"), ("shop", r"\b(buy|cheap|sale)\b")),
-    variants={"mum": "mom", "personalised": "personalized"}, synonyms={"present": "gift"}, stop=("the", "a", "for", "to", "in", "of", "from"), weak=("gift", "idea", "best"), us_terms=("mom", "color"), uk_terms=("mum", "colour"),
+    variants={"mum": "mom", "personalised": "personalized"}, synonyms={"present": "gift"}, stop=(
+        "the", "a", "for", "to", "in", "of", "from",
+    ), weak=("gift", "idea", "best"), us_terms=("mom", "color"), uk_terms=("mum", "colour"),
 )

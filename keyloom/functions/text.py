@@ -145,7 +145,12 @@ LIGHT_WORDS = ("a", "an", "the", "of", "for", "to", "in", "on", "and", "or", "is
 def signature(norm: Column) -> Column:
     """Word set by which two planned titles are the same: light words, years and letters dropped, plural s stripped."""
     kept = F.filter(tokens(norm), lambda t: ~t.isin(*LIGHT_WORDS) & ~is_year(t) & (F.length(t) > 1))
-    bare = F.transform(kept, lambda t: F.when((F.length(t) > 3) & F.rlike(t, F.lit("[^sui]s$")) & ~F.endswith(t, F.lit("ys")), F.substring(t, F.lit(1), F.length(t) - 1)).otherwise(t))
+    bare = F.transform(
+        kept,
+        lambda t: F.when(
+            (F.length(t) > 3) & F.rlike(t, F.lit("[^sui]s$")) & ~F.endswith(t, F.lit("ys")), F.substring(t, F.lit(1), F.length(t) - 1),
+        ).otherwise(t),
+    )
     return F.array_join(word_set(bare), " ")
 
 
@@ -231,15 +236,30 @@ def front_matter(text: Column) -> Column:
     """Map of the ``key: value`` lines between two ``---`` lines at the start of a draft."""
     head = F.regexp_extract(text, r"(?s)\A---\s*\n(.*?)\n---\s*(?:\n|\z)", 1)
     lines = F.filter(F.split(head, "\n"), lambda x: F.instr(x, ":") > 1)
-    pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")))
-    return F.map_from_entries(F.aggregate(pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda seen, p: F.when(F.exists(seen, lambda q: q["key"] == p["key"]), seen).otherwise(F.concat(seen, F.array(p)))))
+    pairs = F.transform(
+        lines,
+        lambda x: F.struct(F.trim(F.regexp_extract(x, "^([^:]*):", 1)).alias("key"), F.trim(F.regexp_extract(x, "^[^:]*:(.*)$", 1)).alias("value")),
+    )
+    return F.map_from_entries(
+        F.aggregate(
+            pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda seen,
+            p: F.when(F.exists(seen, lambda q: q["key"] == p["key"]), seen).otherwise(F.concat(seen, F.array(p))),
+        )
+    )
 
 
 def product_slot(raw: Column) -> Column:
     """``name | key: value | ...`` as (name, fields)."""
     parts = F.transform(F.split(raw, r"\|"), lambda v: F.trim(v))
     rest = F.filter(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda p: F.instr(p, ":") > 1)
-    fields = F.map_from_entries(F.transform(rest, lambda p: F.struct(F.lower(F.trim(F.regexp_extract(p, "^([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(p, "^[^:]*:(.*)$", 1)).alias("value"))))
+    fields = F.map_from_entries(
+        F.transform(
+            rest,
+            lambda p: F.struct(
+                F.lower(F.trim(F.regexp_extract(p, "^([^:]*):", 1))).alias("key"), F.trim(F.regexp_extract(p, "^[^:]*:(.*)$", 1)).alias("value"),
+            ),
+        )
+    )
     return F.struct(F.element_at(parts, 1).alias("name"), fields.alias("fields"))
 
 

@@ -39,7 +39,9 @@ def occasions(years: DataFrame, year: str = "year") -> DataFrame:
 def with_deadlines(events: DataFrame, today: Column, new_weeks: int = 12, refresh_weeks: int = 6) -> DataFrame:
     """Publish-by and refresh-by dates with their status."""
     publish, refresh = F.date_sub("event_date", 7 * new_weeks), F.date_sub("event_date", 7 * refresh_weeks)
-    return events.withColumn("publish_by", publish).withColumn("refresh_by", refresh).withColumn("status", D.deadline_status(F.col("publish_by"), today))
+    return events.withColumn("publish_by", publish).withColumn("refresh_by", refresh).withColumn(
+        "status", D.deadline_status(F.col("publish_by"), today),
+    )
 
 
 def next_event(rows: DataFrame, day: str, events: DataFrame, keys: list[str]) -> DataFrame:

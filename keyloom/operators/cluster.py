@@ -59,7 +59,9 @@ def leaders(nodes: DataFrame, edges: DataFrame, topic: str | None = None) -> Dat
             break
         # edges with a settled end say nothing more: members take nobody, seeds have spoken
         left = waiting.select("id")
-        open_ = checkpointed(open_.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi"))
+        open_ = checkpointed(
+            open_.join(left.withColumnRenamed("id", "a"), "a", "left_semi").join(left.withColumnRenamed("id", "b"), "b", "left_semi")
+        )
     state = reduce(DataFrame.unionByName, settled)
     seeds = state.filter("state = 1").select(F.col("id").alias("a"), F.col("rank").alias("seed_rank"))
     options = pairs.select("a", "b", "tier", "score")
@@ -67,8 +69,12 @@ def leaders(nodes: DataFrame, edges: DataFrame, topic: str | None = None) -> Dat
         heads = state.filter("state = 1 and topic is not null").select("topic", F.col("id").alias("a"), F.col("rank").alias("r"))
         by_topic = state.filter("state = 2").join(heads, "topic").filter("r < rank")
         options = options.unionByName(by_topic.select("a", F.col("id").alias("b"), F.lit(3).alias("tier"), F.lit(1.0).alias("score")))
-    best = options.join(seeds, "a").groupBy("b").agg(F.max_by(F.struct("a", "tier", "score"), F.struct("tier", "score", -F.col("seed_rank"))).alias("m"))
-    members = state.filter("state = 2").join(best, state["id"] == best["b"]).select("id", F.col("m.a").alias("seed"), F.col("m.tier").alias("tier"), F.col("m.score").alias("score"))
+    best = options.join(seeds, "a").groupBy("b").agg(
+        F.max_by(F.struct("a", "tier", "score"), F.struct("tier", "score", -F.col("seed_rank"))).alias("m")
+    )
+    members = state.filter("state = 2").join(best, state["id"] == best["b"]).select(
+        "id", F.col("m.a").alias("seed"), F.col("m.tier").alias("tier"), F.col("m.score").alias("score"),
+    )
     own = seeds.select(F.col("a").alias("id"), F.col("a").alias("seed"), F.lit(9).alias("tier"), F.lit(1.0).alias("score"))
     return own.unionByName(members)
 
@@ -118,8 +124,12 @@ def best_name(members: DataFrame, cluster: str) -> DataFrame:
     strong = F.col("volume") * 2 >= F.col("_best")
     key = F.struct(F.col("_p"), F.col("volume"), -F.length("phrase"), F.col("phrase"))
     x = x.withColumn("_seed", F.max(F.when(strong, F.struct(key.alias("k"), "phrase", "volume", "fluency", F.col("_p").alias("p")))).over(w))
-    band = strong & (F.col("_p") == 1) & (F.col("volume") * 5 >= F.col("_seed.volume") * 4) & (F.col("_n") <= 8) & (F.col("fluency") >= F.col("_seed.fluency") + 0.3)
-    agg = x.groupBy(cluster).agg(F.first("_seed").alias("s"), F.max(F.when(band, F.struct("fluency", "volume", -F.length("phrase"), "phrase"))).alias("b"))
+    band = strong & (F.col("_p") == 1) & (F.col("volume") * 5 >= F.col("_seed.volume") * 4) & (F.col("_n") <= 8) & (
+        F.col("fluency") >= F.col("_seed.fluency") + 0.3
+    )
+    agg = x.groupBy(cluster).agg(
+        F.first("_seed").alias("s"), F.max(F.when(band, F.struct("fluency", "volume", -F.length("phrase"), "phrase"))).alias("b"),
+    )
     return agg.select(cluster, F.when((F.col("s.p") == 1) & F.col("b").isNotNull(), F.col("b.phrase")).otherwise(F.col("s.phrase")).alias("name"))
 
 
@@ -139,7 +149,9 @@ def global_rank(rows: DataFrame, order: list[Column], out: str) -> DataFrame:
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))  # one row a partition
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shift = counts.select("_part", "_first", before.alias("_before"))
-    return parts.join(F.broadcast(shift), "_part").withColumn(out, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long")).drop("_part", "_at", "_first", "_before")
+    return parts.join(F.broadcast(shift), "_part").withColumn(
+        out, (F.col("_before") + F.col("_at") - F.col("_first") + 1).cast("long"),
+    ).drop("_part", "_at", "_first", "_before")
 
 
 def bucket(rank: Column, n: Column) -> Column:
@@ -161,7 +173,10 @@ def roll_up(rows: DataFrame, dims: list[str], cluster: str, keywords: str, volum
     best = filled.withColumn("_r", rank).filter(F.col("_r") <= top).groupBy(*dims).agg(F.array_sort(F.collect_list(F.struct("_r", name))).alias("_t"))
     joined = groups.join(best, dims).crossJoin(F.broadcast(total))
     share = F.when(F.col("_total") > 0, F.bround(F.col("volume") * 100.0 / F.col("_total"), 1)).otherwise(0.0)
-    return joined.select(*dims, "clusters", "keywords", "volume", share.alias("volume_share_pct"), F.array_join(F.transform("_t", lambda t: t[name]), " | ").alias("top_clusters"))
+    return joined.select(
+        *dims, "clusters", "keywords", "volume", share.alias("volume_share_pct"),
+        F.array_join(F.transform("_t", lambda t: t[name]), " | ").alias("top_clusters"),
+    )
 
 
 def label_mix(rows: DataFrame, cluster: str, label: str, volume: str) -> DataFrame:
@@ -180,7 +195,9 @@ def reach(points: DataFrame, kd: str, position: str, least: int = 20) -> DataFra
     Difficulties are whole or rounded figures, so they are counted by value
     first; the running count over values is small however many rows there are.
     """
-    counted = points.filter(F.col(kd).isNotNull() & (F.col(position) > 0) & (F.col(position) <= 10)).groupBy(F.col(kd).alias("v")).agg(F.count("*").alias("n"))
+    counted = points.filter(
+        F.col(kd).isNotNull() & (F.col(position) > 0) & (F.col(position) <= 10)
+    ).groupBy(F.col(kd).alias("v")).agg(F.count("*").alias("n"))
     total = counted.agg(F.sum("n").alias("total"))
     upto = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).crossJoin(F.broadcast(total))
     index = F.least(F.col("total") - 1, F.floor(F.col("total") * 0.75)) + 1
@@ -203,14 +220,22 @@ def staged_groups(rows: DataFrame, row_id: str, stages: list[tuple[str, list[str
     return out
 
 
-def split_by_theme(rows: DataFrame, group: str, theme: str, volume: str, max_size: int, least: int, max_sub: int, floor: int = 500, share: float = 0.02) -> DataFrame:
+def split_by_theme(
+    rows: DataFrame, group: str, theme: str, volume: str, max_size: int, least: int, max_sub: int, floor: int = 500, share: float = 0.02,
+) -> DataFrame:
     """(group, theme, placed): large groups are split by their strongest themes; the rest is standalone or backlog."""
     themes = rows.groupBy(group, theme).agg(F.count("*").alias("n"), F.sum(volume).alias("v"))
     w, ordered = Window.partitionBy(group), Window.partitionBy(group).orderBy(F.desc("v"), theme)
-    x = themes.withColumn("size", F.sum("n").over(w)).withColumn("rest", F.sum("v").over(w) - F.max("v").over(w)).withColumn("k", F.row_number().over(ordered))
+    x = themes.withColumn("size", F.sum("n").over(w)).withColumn(
+        "rest", F.sum("v").over(w) - F.max("v").over(w),
+    ).withColumn("k", F.row_number().over(ordered))
     fit = (F.col("n") >= least) & ((F.col("k") == 1) | (F.col("v") >= F.greatest(F.lit(floor), F.col("rest") * share)))
-    x = x.withColumn("fit", fit).withColumn("sub", F.sum(F.col("fit").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    placed = F.when(F.col("size") <= max_size, "whole").when(F.col("fit") & (F.col("sub") <= max_sub), "pillar").when(F.col("v") >= F.greatest(F.lit(floor), F.col("rest") * share), "standalone").otherwise("backlog")
+    x = x.withColumn("fit", fit).withColumn(
+        "sub", F.sum(F.col("fit").cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
+    )
+    placed = F.when(F.col("size") <= max_size, "whole").when(F.col("fit") & (F.col("sub") <= max_sub), "pillar").when(
+        F.col("v") >= F.greatest(F.lit(floor), F.col("rest") * share), "standalone",
+    ).otherwise("backlog")
     return x.select(group, theme, F.col("n").alias("members"), F.col("v").alias("volume"), placed.alias("placed"))
 
 

@@ -25,7 +25,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words that say who or when, and narrow a topic without making another.
-MODIFIERS = ("kids", "adults", "family", "teen", "teens", "teenager", "seniors", "group", "youth", "couples", "men", "women", "students", "week", "weekend", "break", "time", "night", "today", "year", "years")
+MODIFIERS = (
+    "kids", "adults", "family", "teen", "teens", "teenager", "seniors", "group", "youth", "couples", "men", "women", "students", "week", "weekend",
+    "break", "time", "night", "today", "year", "years",
+)
 
 
 @dataclass(frozen=True)
@@ -71,7 +74,9 @@ class Topics:
         return any(self.sets[p] < self.sets[t] and (self.sets[t] - self.sets[p] <= self.light or gain < limits.of_wider * g) for p, g in picked.items())
 
 
-def choose(cores: Iterable[Iterable[str]], volumes: Iterable[int], hub: Iterable[str] = (), limits: Limits | None = None) -> tuple[list[frozenset[str]], set[frozenset[str]]]:
+def choose(cores: Iterable[Iterable[str]], volumes: Iterable[int], hub: Iterable[str] = (), limits: Limits | None = None) -> tuple[
+    list[frozenset[str]], set[frozenset[str]],
+]:
     """Each member's sub-topic (the hub's words where it has none), and the sub-topics that are posts."""
     limits = limits or Limits()
     cores, volume = [frozenset(c) for c in cores], np.array(list(volumes), np.int64)
@@ -140,10 +145,14 @@ def adopted(clusters: DataFrame, candidates: DataFrame, modifiers: tuple[str, ..
     """
     subject = lambda c: F.filter(c, lambda w: ~w.isin(*modifiers))
     a = clusters.select("id", "market", "core", F.explode(subject("core")).alias("word"))
-    b = candidates.select(F.col("id").alias("cid"), "market", "pillar", "volume", F.col("core").alias("ccore"), F.explode(subject("core")).alias("word"))
+    b = candidates.select(
+        F.col("id").alias("cid"), "market", "pillar", "volume", F.col("core").alias("ccore"), F.explode(subject("core")).alias("word"),
+    )
     met = a.join(b, ["market", "word"]).filter("id <> cid")
     shared, union = F.size(F.array_intersect("core", "ccore")), F.size(F.array_union("core", "ccore"))
     held = F.size(F.array_except("ccore", "core")) == 0
-    score = F.when(held, F.struct(F.lit(2).alias("kind"), F.size("ccore").alias("n"), F.col("volume").alias("v"))).when(2 * shared >= union, F.struct(F.lit(1).alias("kind"), shared.alias("n"), F.col("volume").alias("v")))
+    score = F.when(held, F.struct(F.lit(2).alias("kind"), F.size("ccore").alias("n"), F.col("volume").alias("v"))).when(
+        2 * shared >= union, F.struct(F.lit(1).alias("kind"), shared.alias("n"), F.col("volume").alias("v")),
+    )
     best = met.withColumn("s", score).filter("s is not null")
     return best.groupBy("id").agg(F.min_by("pillar", F.struct(-F.col("s.kind"), -F.col("s.n"), -F.col("s.v"), F.col("pillar"))).alias("pillar"))

@@ -17,13 +17,18 @@ def extract(pages: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("html", F.lit(r"(?i)<a href=\"([^\"]*)\">[^<]*</a>"), 1)
     anchors = F.regexp_extract_all("html", F.lit(r"(?i)<a href=\"[^\"]*\">([^<]*)</a>"), 1)
     each = pages.select("page_id", "url", F.posexplode(F.arrays_zip(found.alias("target"), anchors.alias("anchor"))).alias("position", "l"))
-    return each.select("page_id", T.canonical_url(F.col("url")).alias("source"), F.col("l.target").alias("target"), F.trim("l.anchor").alias("anchor"), F.col("position").cast("long").alias("position"))
+    return each.select(
+        "page_id", T.canonical_url(F.col("url")).alias("source"), F.col("l.target").alias("target"), F.trim("l.anchor").alias("anchor"),
+        F.col("position").cast("long").alias("position"),
+    )
 
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, outbound, inbound) over distinct (source, target) pairs; either may be 0."""
     once = edges.select("source", "target").distinct()
-    both = once.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(once.select(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))
+    both = once.select(F.col("source").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")).unionByName(
+        once.select(F.col("target").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i"))
+    )
     return both.groupBy("node").agg(F.sum("o").alias("outbound"), F.sum("i").alias("inbound"))
 
 
@@ -38,10 +43,18 @@ def audit(edges: DataFrame, posts: DataFrame, most_out: int = 12, most_in: int =
         ("self link", F.col("source") == F.col("target")),
     ]
     found = edges.select(F.explode(F.filter(F.array(*[F.when(hit, F.struct(F.lit(c).alias("check"), F.col("source").alias("subject"), F.concat_ws(" > ", "target", "anchor").alias("detail"))) for c, hit in edge_checks]), lambda f: f.isNotNull())).alias("f")).select("f.*")
-    repeated = edges.groupBy("source", "target").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("duplicate link").alias("check"), F.col("source").alias("subject"), F.concat_ws(" x", "target", F.col("n").cast("string")).alias("detail"))
-    reused = edges.filter(clean != "").groupBy(clean.alias("a")).agg(F.countDistinct("target").alias("n")).filter("n > 1").select(F.lit("reused anchor").alias("check"), F.col("a").alias("subject"), F.col("n").cast("string").alias("detail"))
+    repeated = edges.groupBy("source", "target").agg(F.count("*").alias("n")).filter("n > 1").select(
+        F.lit("duplicate link").alias("check"), F.col("source").alias("subject"),
+        F.concat_ws(" x", "target", F.col("n").cast("string")).alias("detail"),
+    )
+    reused = edges.filter(clean != "").groupBy(clean.alias("a")).agg(F.countDistinct("target").alias("n")).filter("n > 1").select(
+        F.lit("reused anchor").alias("check"), F.col("a").alias("subject"), F.col("n").cast("string").alias("detail"),
+    )
     deg = posts.select(F.col("slug").alias("node")).distinct().join(degrees(edges), "node", "left").na.fill(0, ["outbound", "inbound"])
-    node_checks = [("orphan", F.col("inbound") == 0), ("dead end", F.col("outbound") == 0), ("many outbound", F.col("outbound") > most_out), ("many inbound", F.col("inbound") > most_in)]
+    node_checks = [
+        ("orphan", F.col("inbound") == 0), ("dead end", F.col("outbound") == 0), ("many outbound", F.col("outbound") > most_out),
+        ("many inbound", F.col("inbound") > most_in),
+    ]
     nodes = deg.select(F.explode(F.filter(F.array(*[F.when(hit, F.struct(F.lit(c).alias("check"), F.col("node").alias("subject"), F.concat_ws("/", F.col("outbound").cast("string"), F.col("inbound").cast("string")).alias("detail"))) for c, hit in node_checks]), lambda f: f.isNotNull())).alias("f")).select("f.*")
     return found.unionByName(repeated).unionByName(reused).unionByName(nodes)
 
@@ -87,7 +100,10 @@ def plan(posts: DataFrame, budget: int = 12, related: int = 3) -> DataFrame:
             context = set(by_slug[source]["words"])
             total = sum(n for (t, _), n in used.items() if t == target)
             owed = total >= 3 and used.get((target, options[0]), 0) * 4 < total
-            ranked = sorted(range(len(options)), key=lambda i: (used.get((target, options[i]), 0), not (owed and i == 0), -len(context & set(options[i].split())), i))
+            ranked = sorted(
+                range(len(options)),
+                key=lambda i: (used.get((target, options[i]), 0), not (owed and i == 0), -len(context & set(options[i].split())), i),
+            )
             pick = next((options[i] for i in ranked if owner.get(options[i], target) == target), options[0])
             owner.setdefault(pick, target)
             used[target, pick] = used.get((target, pick), 0) + 1
@@ -140,12 +156,18 @@ def unique_slugs(rows: DataFrame, slug: str, order: list[Column], out: str = "sl
     """
     x = rows.withColumn("_base", F.col(slug)).withColumn("_k", F.row_number().over(Window.partitionBy(slug).orderBy(*order)))
     # numbers that natural slugs take from a base, and how many rows want one
-    natural = x.filter("_k = 1").select(F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 2).alias("_no"))
-    natural = natural.filter("_base <> '' and _no not like '0%'").groupBy("_base").agg(F.array_sort(F.collect_set(F.col("_no").cast("int"))).alias("_used"))
+    natural = x.filter("_k = 1").select(
+        F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 1).alias("_base"), F.regexp_extract("_base", r"^(.*)-([0-9]{1,9})$", 2).alias("_no"),
+    )
+    natural = natural.filter("_base <> '' and _no not like '0%'").groupBy("_base").agg(
+        F.array_sort(F.collect_set(F.col("_no").cast("int"))).alias("_used")
+    )
     x = x.join(natural.hint("shuffle_merge"), "_base", "left").withColumn("_used", F.coalesce("_used", F.array().cast("array<int>")))
     # the k-th free number: k plus as many used ones as lie at or below it, used ones in ascending order
     number = F.aggregate("_used", F.col("_k"), lambda n, u: F.when((u >= 2) & (u <= n), n + 1).otherwise(n))
-    return x.withColumn(out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string")))).drop("_base", "_k", "_used")
+    return x.withColumn(
+        out, F.when(F.col("_k") == 1, F.col("_base")).otherwise(F.concat_ws("-", "_base", number.cast("string"))),
+    ).drop("_base", "_k", "_used")
 
 
 #: Facets by which posts of two pillars belong together, in order, and the contextual links that a post may receive by how hard its keyword is.
@@ -159,13 +181,23 @@ def cross_links(posts: DataFrame, most: int = 1) -> DataFrame:
     Columns: market, slug, pillar, topic, is_pillar, key (what a pillar is
     about) and the facets; a pillar of the post's own or of its topic is left out.
     """
-    hubs = posts.filter("is_pillar").select("market", F.col("key").alias("value"), F.col("pillar").alias("hub"), F.col("topic").alias("hub_topic"), F.col("slug").alias("target"))
-    hubs = hubs.groupBy("market", "value").agg(F.min_by(F.struct("hub", "hub_topic", "target"), F.struct("hub", "target")).alias("h")).select("market", "value", "h.*")
+    hubs = posts.filter("is_pillar").select(
+        "market", F.col("key").alias("value"), F.col("pillar").alias("hub"), F.col("topic").alias("hub_topic"), F.col("slug").alias("target"),
+    )
+    hubs = hubs.groupBy("market", "value").agg(
+        F.min_by(F.struct("hub", "hub_topic", "target"), F.struct("hub", "target")).alias("h")
+    ).select("market", "value", "h.*")
     named = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(f).alias("facet"), F.col(f).alias("value")) for i, f in enumerate(CROSS_FACETS) if f in posts.columns])
-    each = posts.select("market", F.col("slug").alias("source"), "pillar", "topic", F.explode(named).alias("f")).select("market", "source", "pillar", "topic", "f.*").filter("coalesce(value, '') <> ''")
-    met = each.join(hubs, ["market", "value"]).filter((F.col("source") != F.col("target")) & ~F.col("hub").eqNullSafe(F.col("pillar")) & ~F.col("hub_topic").eqNullSafe(F.col("topic")))
+    each = posts.select("market", F.col("slug").alias("source"), "pillar", "topic", F.explode(named).alias("f")).select(
+        "market", "source", "pillar", "topic", "f.*",
+    ).filter("coalesce(value, '') <> ''")
+    met = each.join(hubs, ["market", "value"]).filter(
+        (F.col("source") != F.col("target")) & ~F.col("hub").eqNullSafe(F.col("pillar")) & ~F.col("hub_topic").eqNullSafe(F.col("topic"))
+    )
     once = met.withColumn("_t", F.row_number().over(Window.partitionBy("market", "source", "target").orderBy("place"))).filter("_t = 1")
-    return once.withColumn("_k", F.row_number().over(Window.partitionBy("market", "source").orderBy("place", "target"))).filter(F.col("_k") <= most).select("market", "source", "target", "facet")
+    return once.withColumn(
+        "_k", F.row_number().over(Window.partitionBy("market", "source").orderBy("place", "target")),
+    ).filter(F.col("_k") <= most).select("market", "source", "target", "facet")
 
 
 def backlink_queue(posts: DataFrame, links: DataFrame, published: DataFrame, most: int = 3) -> DataFrame:
@@ -180,11 +212,15 @@ def backlink_queue(posts: DataFrame, links: DataFrame, published: DataFrame, mos
     facet = lambda df, slug, more: df.select("market", F.col("slug").alias(slug), *more, held).select("market", slug, *more, "f.*").filter("coalesce(value, '') <> ''")
     old = facet(posts.join(live, "slug", "left_semi"), "source", ["is_pillar", "volume"])
     new = facet(posts.join(live, "slug", "left_anti"), "target", [])
-    pairs = new.join(old, ["market", "facet", "value"]).groupBy("market", "source", "target").agg(F.count("*").alias("shared"), F.first("is_pillar").alias("is_pillar"), F.first("volume").alias("volume"))
+    pairs = new.join(old, ["market", "facet", "value"]).groupBy("market", "source", "target").agg(
+        F.count("*").alias("shared"), F.first("is_pillar").alias("is_pillar"), F.first("volume").alias("volume"),
+    )
     there = links.select("source", "target").distinct()
     had = there.join(live.withColumnRenamed("slug", "source"), "source", "left_semi").groupBy("target").agg(F.count("*").alias("had"))
     able = pairs.join(there, ["source", "target"], "left_anti").join(had, "target", "left").withColumn("had", F.coalesce("had", F.lit(0)))
-    place = F.row_number().over(Window.partitionBy("market", "target").orderBy(F.desc("shared"), F.desc(F.col("is_pillar").cast("int")), F.desc("volume"), "source"))
+    place = F.row_number().over(
+        Window.partitionBy("market", "target").orderBy(F.desc("shared"), F.desc(F.col("is_pillar").cast("int")), F.desc("volume"), "source")
+    )
     return able.withColumn("place", place).filter(F.col("place") + F.col("had") <= most).select("market", "source", "target", "place")
 
 
@@ -202,7 +238,9 @@ def contextual(posts: DataFrame, bags: DataFrame, links: DataFrame, least: float
     ids = posts.withColumn("group", F.concat_ws("|", "market", "topic"))
     members = ids.filter("not is_pillar").select("slug", "group")
     words = bags.join(members, "slug").select("slug", "group", "word", "n")
-    near = cosine_top(words, "slug", "word", "n", ["group"], least, 2**31 - 1).select(F.col("a").alias("source"), F.col("b").alias("target"), "cosine")
+    near = cosine_top(words, "slug", "word", "n", ["group"], least, 2**31 - 1).select(
+        F.col("a").alias("source"), F.col("b").alias("target"), "cosine",
+    )
     near = near.join(links.select("source", "target").distinct(), ["source", "target"], "left_anti")
     src = ids.select(F.col("slug").alias("source"), "market", "value", F.col("parent").alias("own"))
     dst = ids.select(F.col("slug").alias("target"), "fit")
@@ -220,4 +258,6 @@ def contextual(posts: DataFrame, bags: DataFrame, links: DataFrame, least: float
                 out.append((r.market, r.source, r.target, r.cosine))
         return pd.DataFrame(out, columns=["market", "source", "target", "cosine"])
 
-    return rows.select("market", "source", "target", "cosine", "value", "fit").groupBy("market").applyInPandas(choose, "market string, source string, target string, cosine double")
+    return rows.select("market", "source", "target", "cosine", "value", "fit").groupBy("market").applyInPandas(
+        choose, "market string, source string, target string, cosine double",
+    )

@@ -26,7 +26,9 @@ def merge_sources(rows: DataFrame, keys: list[str], order: str = "idx") -> DataF
         pick = lambda f: F.when(wins, r[f]).otherwise(acc[f])
         lose = lambda f: F.when(wins, acc[f]).otherwise(r[f])
         worse = lose("position").isNotNull() & (pick("position").isNull() | (pick("position") > lose("position")))
-        url = F.when(worse & (F.coalesce(lose("url"), F.lit("")) != ""), lose("url")).otherwise(F.coalesce(F.nullif(pick("url"), F.lit("")), lose("url")))
+        url = F.when(worse & (F.coalesce(lose("url"), F.lit("")) != ""), lose("url")).otherwise(
+            F.coalesce(F.nullif(pick("url"), F.lit("")), lose("url"))
+        )
         return F.struct(
             pick("vclass").alias("vclass"),
             pick("volume").alias("volume"),
@@ -38,7 +40,10 @@ def merge_sources(rows: DataFrame, keys: list[str], order: str = "idx") -> DataF
     folded = listed.select(*keys, F.aggregate(F.slice("rows", 2, F.size("rows")), start, step).alias("m"), "rows")
     sources = F.array_join(F.array_distinct(F.filter(F.transform("rows", lambda r: r["src"]), lambda s: s.isNotNull())), "|")
     tools = F.array_join(F.transform("rows", lambda r: F.concat_ws(":", r["tool"], F.coalesce(r["volume"].cast("string"), F.lit("")))), "|")
-    return folded.select(*keys, "m.*", sources.alias("src"), tools.alias("sources"), F.element_at("rows", 1)[order].alias("first_seen"), F.size("rows").cast("long").alias("n_rows"))
+    return folded.select(
+        *keys, "m.*", sources.alias("src"), tools.alias("sources"), F.element_at("rows", 1)[order].alias("first_seen"),
+        F.size("rows").cast("long").alias("n_rows"),
+    )
 
 
 def merge_variants(rows: DataFrame, keys: list[str], phrase: str, volume: str, order: str) -> DataFrame:

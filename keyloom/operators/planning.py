@@ -31,7 +31,9 @@ def priority(winnable: Column, fit: Column) -> Column:
 def post_type(need: Column, is_pillar: Column, recipient: Column, product: Column) -> Column:
     return (
         F.when(is_pillar, "pillar_hub").when(need == "how_to", "how_to").when(need == "copy_ideas", "copy_ideas").when(need == "solve", "how_to")
-        .when(need == "choose", F.when(recipient != "", "gift_guide").otherwise("choose_guide")).when(need == "inspire", F.when(product != "", "gift_guide").otherwise("ideas_list")).otherwise("explainer")
+        .when(need == "choose", F.when(recipient != "", "gift_guide").otherwise("choose_guide")).when(
+            need == "inspire", F.when(product != "", "gift_guide").otherwise("ideas_list"),
+        ).otherwise("explainer")
     )
 
 
@@ -46,7 +48,9 @@ def gaps(posts: DataFrame, pillar: str, need: str) -> DataFrame:
 def plan_order(posts: DataFrame) -> DataFrame:
     """Pillars by volume, each followed by its posts by priority; loose posts last; ``stt`` numbers the plan."""
     total = F.sum("volume").over(Window.partitionBy("pillar_id"))
-    x = posts.withColumn("_loose", (F.coalesce("pillar_id", F.lit("")) == "").cast("int")).withColumn("_v", F.when(F.col("_loose") == 1, 0).otherwise(total))
+    x = posts.withColumn("_loose", (F.coalesce("pillar_id", F.lit("")) == "").cast("int")).withColumn(
+        "_v", F.when(F.col("_loose") == 1, 0).otherwise(total),
+    )
     from .cluster import global_rank
 
     order = [F.asc("_loose"), F.desc("_v"), F.asc("pillar_id"), F.desc((F.col("role") == "pillar").cast("int")), F.desc("priority"), F.asc("slug")]
@@ -80,7 +84,9 @@ def secondary_keywords(keywords: DataFrame, most: int = 10, rephrasings: int = 3
             out.append((pdf["post"].iloc[0], k, role))
         return pd.DataFrame(out, columns=["post", "keyword", "role"])
 
-    return keywords.select("post", "keyword", "volume", "main", "typo", "words").groupBy("post").applyInPandas(pick, "post string, keyword string, role string")
+    return keywords.select("post", "keyword", "volume", "main", "typo", "words").groupBy("post").applyInPandas(
+        pick, "post string, keyword string, role string",
+    )
 
 
 def limit_posts(posts: DataFrame, n: int) -> DataFrame:
@@ -99,7 +105,9 @@ def limit_posts(posts: DataFrame, n: int) -> DataFrame:
                 kept |= need
         return pd.DataFrame({"market": pdf["market"], "slug": pdf["slug"], "kept": pdf["slug"].isin(kept)})
 
-    return posts.select("market", "slug", "pillar_id", "role", "priority").groupBy("market").applyInPandas(choose, "market string, slug string, kept boolean")
+    return posts.select("market", "slug", "pillar_id", "role", "priority").groupBy("market").applyInPandas(
+        choose, "market string, slug string, kept boolean",
+    )
 
 
 def budgeted_checks(pairs: DataFrame, budget: int) -> DataFrame:
@@ -121,8 +129,12 @@ def budgeted_checks(pairs: DataFrame, budget: int) -> DataFrame:
 def schedule(posts: DataFrame, today: Column) -> DataFrame:
     """Writing order: due soon, late, on time, without a date rule, evergreen; then bucket, score, number."""
     days = F.datediff("deadline", today)
-    state = F.when(F.col("deadline").isNull(), F.when(F.col("occasion") != "", "no date rule").otherwise("evergreen")).when(days < 0, "late").when(days <= 14, "due soon").otherwise("on time")
-    rank = F.element_at(F.create_map(*[x for i, s in enumerate(("due soon", "late", "on time", "no date rule", "evergreen")) for x in (F.lit(s), F.lit(i))]), state)
+    state = F.when(
+        F.col("deadline").isNull(), F.when(F.col("occasion") != "", "no date rule").otherwise("evergreen"),
+    ).when(days < 0, "late").when(days <= 14, "due soon").otherwise("on time")
+    rank = F.element_at(
+        F.create_map(*[x for i, s in enumerate(("due soon", "late", "on time", "no date rule", "evergreen")) for x in (F.lit(s), F.lit(i))]), state,
+    )
     from .cluster import global_rank
 
     x = posts.withColumn("timing", state).withColumn("_r", rank)
@@ -150,37 +162,56 @@ def published_matches(posts: DataFrame, published: DataFrame, same: float = 0.75
 
 
 def duplicate_slugs(published: DataFrame) -> DataFrame:
-    return published.groupBy(T.url_slug(F.col("url")).alias("slug")).agg(F.count("*").alias("posts"), F.min("url").alias("first_url")).filter("posts > 1")
+    return published.groupBy(T.url_slug(F.col("url")).alias("slug")).agg(
+        F.count("*").alias("posts"), F.min("url").alias("first_url"),
+    ).filter("posts > 1")
 
 
-def quality_checks(posts: DataFrame, links: DataFrame, year: int, overlap: float = 0.67, overloaded: int = 100, weak: int = 500, hard: float = 70.0) -> DataFrame:
+def quality_checks(
+    posts: DataFrame, links: DataFrame, year: int, overlap: float = 0.67, overloaded: int = 100, weak: int = 500, hard: float = 70.0,
+) -> DataFrame:
     """(check, slug, detail): overlap of titles, stale years, long slugs, overloaded, weak and hard posts, thin links."""
     pairs = S.similar_pairs(posts.select("slug", "market", "words"), "slug", "words", ["market"], overlap)
     over = pairs.select(F.lit("overlap").alias("check"), F.col("a").alias("slug"), F.col("b").alias("detail"))
     inbound = links.groupBy(F.col("target").alias("slug")).agg(F.countDistinct("source").alias("_in"))
     x = posts.join(inbound, "slug", "left")
     rules = [
-        ("stale year", T.stale_year(F.col("keyword"), year), F.col("keyword")), ("long slug", F.length("slug") > 60, F.length("slug").cast("string")), ("overloaded", F.col("keywords") > overloaded, F.col("keywords").cast("string")),
-        ("weak", F.col("volume") < weak, F.col("volume").cast("string")), ("hard", F.col("kd") > hard, F.col("kd").cast("string")), ("thin links", F.coalesce("_in", F.lit(0)) < 2, F.coalesce("_in", F.lit(0)).cast("string")),
+        ("stale year", T.stale_year(F.col("keyword"), year), F.col("keyword")), ("long slug", F.length("slug") > 60, F.length("slug").cast("string")), (
+            "overloaded", F.col("keywords") > overloaded, F.col("keywords").cast("string"),
+        ),
+        ("weak", F.col("volume") < weak, F.col("volume").cast("string")), ("hard", F.col("kd") > hard, F.col("kd").cast("string")), (
+            "thin links", F.coalesce("_in", F.lit(0)) < 2, F.coalesce("_in", F.lit(0)).cast("string"),
+        ),
     ]
-    found = F.filter(F.array(*[F.when(hit, F.struct(F.lit(n).alias("check"), F.col("slug").alias("slug"), d.alias("detail"))) for n, hit, d in rules]), lambda f: f.isNotNull())
+    found = F.filter(
+        F.array(*[F.when(hit, F.struct(F.lit(n).alias("check"), F.col("slug").alias("slug"), d.alias("detail"))) for n, hit, d in rules]),
+        lambda f: f.isNotNull(),
+    )
     return over.unionByName(x.select(F.explode(found).alias("f")).select("f.*"))
 
 
 def research(keywords: DataFrame, themes: list[tuple[str, str]], thin: int = 3) -> DataFrame:
     """(topic, theme, hits, volume, state): whether each topic's keywords cover each theme (a pattern); themes are configuration."""
     rows = F.array(*[F.struct(F.lit(n).alias("theme"), F.rlike("norm", F.lit(p)).alias("hit")) for n, p in themes])
-    x = keywords.select("topic", "volume", F.explode(rows).alias("t")).groupBy("topic", F.col("t.theme").alias("theme")).agg(F.count_if("t.hit").alias("hits"), F.sum(F.when(F.col("t.hit"), F.col("volume")).otherwise(0)).alias("volume"))
+    x = keywords.select("topic", "volume", F.explode(rows).alias("t")).groupBy("topic", F.col("t.theme").alias("theme")).agg(
+        F.count_if("t.hit").alias("hits"), F.sum(F.when(F.col("t.hit"), F.col("volume")).otherwise(0)).alias("volume"),
+    )
     return x.withColumn("state", F.when(F.col("hits") == 0, "missing").when(F.col("hits") < thin, "thin").otherwise("covered"))
 
 
 def briefs(posts: DataFrame, links: DataFrame) -> DataFrame:
     """(slug, brief): one Markdown brief a post, from its row, keywords and links; a projection after two joins."""
-    out = links.groupBy(F.col("source").alias("slug")).agg(F.array_sort(F.collect_list(F.concat(F.lit("- ["), "anchor", F.lit("](/"), "target", F.lit(")")))).alias("_l"))
+    out = links.groupBy(F.col("source").alias("slug")).agg(
+        F.array_sort(F.collect_list(F.concat(F.lit("- ["), "anchor", F.lit("](/"), "target", F.lit(")")))).alias("_l")
+    )
     x = posts.join(out, "slug", "left")
     lines = [
-        F.concat(F.lit("# "), F.initcap("keyword")), F.concat(F.lit("Post type: "), "post_type"), F.concat(F.lit("Market: "), "market"), F.concat(F.lit("Volume: "), F.col("volume").cast("string")),
-        F.concat(F.lit("## Keywords\n"), F.array_join(F.transform("secondary", lambda s: F.concat(F.lit("- "), s)), "\n")), F.concat(F.lit("## Internal links\n"), F.array_join(F.coalesce("_l", F.array().cast("array<string>")), "\n")),
+        F.concat(F.lit("# "), F.initcap("keyword")), F.concat(F.lit("Post type: "), "post_type"), F.concat(F.lit("Market: "), "market"), F.concat(
+            F.lit("Volume: "), F.col("volume").cast("string"),
+        ),
+        F.concat(F.lit("## Keywords\n"), F.array_join(F.transform("secondary", lambda s: F.concat(F.lit("- "), s)), "\n")), F.concat(
+            F.lit("## Internal links\n"), F.array_join(F.coalesce("_l", F.array().cast("array<string>")), "\n"),
+        ),
     ]
     return x.select("slug", F.concat_ws("\n\n", *lines).alias("brief"))
 
@@ -189,8 +220,12 @@ def post_titles(keyword: Column, kind: Column, market: Column) -> Column:
     """Working title of a pillar or post by its type; British spelling of "personalised" in the uk market."""
     name = F.initcap(keyword)
     title = (
-        F.when(kind == "pillar_hub", F.concat(name, F.lit(": The Complete Guide"))).when(kind == "how_to", F.concat(F.lit("How To: "), name)).when(kind == "gift_guide", F.concat(name, F.lit(" They Will Love")))
-        .when(kind == "copy_ideas", F.concat(name, F.lit(": What To Write"))).when(kind.isin("choose_guide", "ideas_list"), F.concat(name, F.lit(": Ideas And How To Choose"))).otherwise(F.concat(name, F.lit(" Explained")))
+        F.when(kind == "pillar_hub", F.concat(name, F.lit(": The Complete Guide"))).when(kind == "how_to", F.concat(F.lit("How To: "), name)).when(
+            kind == "gift_guide", F.concat(name, F.lit(" They Will Love")),
+        )
+        .when(kind == "copy_ideas", F.concat(name, F.lit(": What To Write"))).when(
+            kind.isin("choose_guide", "ideas_list"), F.concat(name, F.lit(": Ideas And How To Choose")),
+        ).otherwise(F.concat(name, F.lit(" Explained")))
     )
     return F.when(market == "uk", F.regexp_replace(title, "ersonaliz", "ersonalis")).otherwise(title)
 
@@ -202,31 +237,56 @@ def template_sections(texts: DataFrame) -> DataFrame:
 
 def review_rows(posts: DataFrame, members: DataFrame, issues: DataFrame) -> DataFrame:
     """One row a post: its keywords, owned volume, greatest keyword, share verified, and its open issues."""
-    owned = members.groupBy("slug").agg(F.count("*").alias("keyword_count"), F.sum("volume").alias("owned_volume"), F.max_by("keyword", F.struct("volume", "keyword")).alias("biggest_keyword"))
-    found = members.select("slug", "market", F.col("keyword").alias("k")).join(issues.select("market", F.col("keyword").alias("k"), "issue_id", "check"), ["market", "k"])
+    owned = members.groupBy("slug").agg(
+        F.count("*").alias("keyword_count"), F.sum("volume").alias("owned_volume"),
+        F.max_by("keyword", F.struct("volume", "keyword")).alias("biggest_keyword"),
+    )
+    found = members.select("slug", "market", F.col("keyword").alias("k")).join(
+        issues.select("market", F.col("keyword").alias("k"), "issue_id", "check"), ["market", "k"],
+    )
     listed = found.groupBy("slug").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(" ", "issue_id", "check"))), "; ").alias("issues"))  # a post has dozens of keywords
     return posts.join(owned, "slug", "left").join(listed, "slug", "left").na.fill({"keyword_count": 0, "owned_volume": 0, "issues": ""})
 
 
 def issue_status(issues: DataFrame, decisions: DataFrame) -> DataFrame:
     """Issues with the decision that answers them: by issue id, else by keyword and target, else by keyword and action."""
-    d = decisions.select("decision_id", "source_issue", "market", F.col("keyword").alias("dk"), F.col("target").alias("dt"), F.col("action").alias("da"), "status")
-    one = issues.join(d.filter("coalesce(source_issue, '') <> ''").select(F.col("source_issue").alias("issue_id"), F.lit(1).alias("by"), "decision_id", "status"), "issue_id").select("issue_id", "by", "decision_id", "status")
+    d = decisions.select(
+        "decision_id", "source_issue", "market", F.col("keyword").alias("dk"), F.col("target").alias("dt"), F.col("action").alias("da"), "status",
+    )
+    one = issues.join(d.filter("coalesce(source_issue, '') <> ''").select(F.col("source_issue").alias("issue_id"), F.lit(1).alias("by"), "decision_id", "status"), "issue_id").select(
+        "issue_id", "by", "decision_id", "status",
+    )
     base = issues.select("issue_id", "market", F.col("keyword").alias("dk"), F.col("other").alias("dt"), F.col("action").alias("da"))
     two = base.join(d, ["market", "dk", "dt"]).select("issue_id", F.lit(2).alias("by"), "decision_id", "status")
     three = base.join(d, ["market", "dk", "da"]).select("issue_id", F.lit(3).alias("by"), "decision_id", "status")
-    best = one.unionByName(two).unionByName(three).groupBy("issue_id").agg(F.min_by(F.struct("decision_id", "status"), F.struct("by", "decision_id")).alias("d"))
-    return issues.join(best, "issue_id", "left").select(*issues.columns, F.coalesce("d.status", F.lit("open")).alias("state"), F.col("d.decision_id").alias("decision_id"))
+    best = one.unionByName(two).unionByName(three).groupBy("issue_id").agg(
+        F.min_by(F.struct("decision_id", "status"), F.struct("by", "decision_id")).alias("d")
+    )
+    return issues.join(best, "issue_id", "left").select(
+        *issues.columns, F.coalesce("d.status", F.lit("open")).alias("state"), F.col("d.decision_id").alias("decision_id"),
+    )
 
 
 def left_out(clusters: DataFrame, scope: DataFrame, posts: DataFrame, most: int = 300) -> DataFrame:
     """Clusters that are not planned with the nearest post, the greatest ``most`` (a report), and one row for what scope excluded."""
     out = clusters.filter(F.col("role").isin("backlog", "skip"))
     near = S.nearest(out, "name", posts, "slug", "words", ["market"]).select(F.col("a").alias("name"), F.col("b").alias("nearest"))
-    listed = out.join(near, "name", "left").select("market", "name", "volume", F.col("role").alias("reason"), "nearest").orderBy(F.desc("volume"), "name").limit(most)
+    listed = out.join(near, "name", "left").select(
+        "market", "name", "volume", F.col("role").alias("reason"), "nearest",
+    ).orderBy(F.desc("volume"), "name").limit(most)
     reasons = scope.groupBy("reason").agg(F.count("*").alias("n"), F.sum("volume").alias("v"))  # as many rows as there are reasons
-    total = reasons.agg(F.sum("n").alias("n"), F.sum("v").alias("volume"), F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason"))), 1, 4), lambda x: x["reason"]), ", ").alias("reason"))
-    return listed.unionByName(total.select(F.lit("").alias("market"), F.format_string("%d keywords out of scope", "n").alias("name"), "volume", "reason", F.lit(None).cast("string").alias("nearest")))
+    total = reasons.agg(
+        F.sum("n").alias("n"), F.sum("v").alias("volume"),
+        F.array_join(
+            F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "reason"))), 1, 4), lambda x: x["reason"]), ", ",
+        ).alias("reason"),
+    )
+    return listed.unionByName(
+        total.select(
+            F.lit("").alias("market"), F.format_string("%d keywords out of scope", "n").alias("name"), "volume", "reason",
+            F.lit(None).cast("string").alias("nearest"),
+        )
+    )
 
 
 def given_pillars(clusters: DataFrame, least: int = 1, switch: float = 1.5) -> DataFrame:
@@ -245,4 +305,6 @@ def keep_groups_apart(posts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Merges undone where results told the two apart: a merged post comes back when its target is on its list (a, b)."""
     both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     hit = posts.join(both, (F.col("slug") == F.col("a")) & (F.col("merged_into") == F.col("b")), "left")
-    return hit.withColumn("merged_into", F.when(F.col("a").isNotNull(), None).otherwise(F.col("merged_into"))).withColumn("kept_apart", F.col("a").isNotNull()).drop("a", "b")
+    return hit.withColumn(
+        "merged_into", F.when(F.col("a").isNotNull(), None).otherwise(F.col("merged_into")),
+    ).withColumn("kept_apart", F.col("a").isNotNull()).drop("a", "b")

@@ -19,7 +19,9 @@ def prior_rows(grouped: DataFrame) -> DataFrame:
     norm = T.normal_form(F.col("keyword"))
     known = volume["value"].isNotNull()
     return grouped.withColumn("_v", volume).filter(F.coalesce(norm, F.lit("")) != "").select(
-        "keyword", F.coalesce(F.nullif(F.lower(F.trim("market")), F.lit("")), F.lit("all")).alias("market"), F.when(known, F.col("_v.value").cast("long")).otherwise(0).alias("volume"),
+        "keyword", F.coalesce(
+            F.nullif(F.lower(F.trim("market")), F.lit("")), F.lit("all"),
+        ).alias("market"), F.when(known, F.col("_v.value").cast("long")).otherwise(0).alias("volume"),
         (F.col("_v.estimate") | ~known).alias("vol_est"), F.when(known, 1).otherwise(-1).alias("vclass"), N.parse_number(F.col("kd"))["value"].alias("kd"), "group", "is_main",
     )
 
@@ -44,7 +46,9 @@ def prior_clusters(rows: DataFrame, row_id: str) -> DataFrame:
 
 def parent_seeds(seeds: DataFrame) -> DataFrame:
     """(market, parent, ngroup, seed): the first seed by rank that names a parent topic."""
-    return seeds.filter("coalesce(parent, '') <> ''").groupBy("market", "parent", "ngroup").agg(F.min_by("id", "rank").alias("seed"), F.min("rank").alias("seed_rank"))
+    return seeds.filter("coalesce(parent, '') <> ''").groupBy("market", "parent", "ngroup").agg(
+        F.min_by("id", "rank").alias("seed"), F.min("rank").alias("seed_rank"),
+    )
 
 
 def parent_hints(clusters: DataFrame) -> DataFrame:
@@ -64,8 +68,12 @@ def seed_basis(clusters: DataFrame) -> DataFrame:
     year = lambda k: F.rlike(k, F.lit(r"\b(19|20)[0-9]{2}\b"))
     s, t = F.col("seed"), F.col("top")
     basis = (
-        F.when(F.col("given_main"), "given main").when(F.col("given"), "better main than the given one").when(s["volume"] >= t["volume"], "max_volume").when(year(t["keyword"]) & ~year(s["keyword"]), "evergreen (no year)")
-        .when(t["fixed"] & ~s["fixed"], "spelled correctly").when(s["winnable"] > t["winnable"] * 1.2, "easier to rank").when(s["fluency"] > t["fluency"], "more natural phrasing").otherwise("plain phrasing")
+        F.when(F.col("given_main"), "given main").when(F.col("given"), "better main than the given one").when(s["volume"] >= t["volume"], "max_volume").when(
+            year(t["keyword"]) & ~year(s["keyword"]), "evergreen (no year)",
+        )
+        .when(t["fixed"] & ~s["fixed"], "spelled correctly").when(s["winnable"] > t["winnable"] * 1.2, "easier to rank").when(
+            s["fluency"] > t["fluency"], "more natural phrasing",
+        ).otherwise("plain phrasing")
     )
     return clusters.select("cluster", basis.alias("basis"))
 
@@ -80,8 +88,12 @@ def easier_seed(members: DataFrame, cluster: str, ratio: float = 1.25, least: fl
     w = Window.partitionBy(cluster)
     x = members.withColumn("_s", F.max(F.when(F.col("is_seed"), F.struct("winnable", "fit", "fluency", "core"))).over(w))
     able = (
-        ~F.col("is_seed") & F.col("plain") & (F.size(F.split("keyword", " ")) <= 8) & (F.col("fit") > F.col("_s.fit")) & (F.size(F.array_except(F.col("_s.core"), F.col("core"))) == 0)
-        & (F.col("fluency") >= F.col("_s.fluency") - margin) & (F.col("winnable") >= ratio * F.col("_s.winnable")) & (F.col("winnable") - F.col("_s.winnable") >= least)
+        ~F.col("is_seed") & F.col("plain") & (F.size(F.split("keyword", " ")) <= 8) & (F.col("fit") > F.col("_s.fit")) & (
+            F.size(F.array_except(F.col("_s.core"), F.col("core"))) == 0
+        )
+        & (F.col("fluency") >= F.col("_s.fluency") - margin) & (F.col("winnable") >= ratio * F.col("_s.winnable")) & (
+            F.col("winnable") - F.col("_s.winnable") >= least
+        )
     )
     order = F.struct("winnable", "volume", -F.length("keyword"), "keyword")
     return x.filter(able).groupBy(cluster).agg(F.max_by("keyword", order).alias("name"))

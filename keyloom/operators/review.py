@@ -16,7 +16,10 @@ ISSUE = ["check", "severity", "market", "keyword", "other", "volume", "action"]
 
 
 def _issue(df: DataFrame, check: str, severity: str, action: str, other: str = "''") -> DataFrame:
-    return df.select(F.lit(check).alias("check"), F.lit(severity).alias("severity"), "market", "keyword", F.expr(other).alias("other"), F.col("volume").cast("long").alias("volume"), F.lit(action).alias("action"))
+    return df.select(
+        F.lit(check).alias("check"), F.lit(severity).alias("severity"), "market", "keyword", F.expr(other).alias("other"),
+        F.col("volume").cast("long").alias("volume"), F.lit(action).alias("action"),
+    )
 
 
 def back_check(members: DataFrame, results: DataFrame | None = None, least: int = 4, mixed_share: float = 0.2, main_ratio: float = 2.0) -> DataFrame:
@@ -31,27 +34,41 @@ def back_check(members: DataFrame, results: DataFrame | None = None, least: int
     """
     m = members.withColumn("key", T.decision_key(F.col("keyword"))).withColumn("wkey", F.array_join("words", " "))
     grouped = m.filter("coalesce(group, '') <> ''")
-    mains = grouped.filter("is_main").select("market", F.col("group").alias("mgroup"), F.col("keyword").alias("main"), F.col("key").alias("mkey"), F.col("wkey").alias("mwords"), F.col("volume").alias("mvolume"), F.col("need").alias("mneed"))
+    mains = grouped.filter("is_main").select(
+        "market", F.col("group").alias("mgroup"), F.col("keyword").alias("main"), F.col("key").alias("mkey"), F.col("wkey").alias("mwords"),
+        F.col("volume").alias("mvolume"), F.col("need").alias("mneed"),
+    )
     # one keyword in several groups: the greatest main keeps it
-    several = grouped.groupBy("market", "key").agg(F.countDistinct("group").alias("n"), F.min("keyword").alias("keyword"), F.max("volume").alias("volume"), F.array_join(F.array_sort(F.collect_set("group")), "|").alias("other")).filter("n > 1")
+    several = grouped.groupBy("market", "key").agg(
+        F.countDistinct("group").alias("n"), F.min("keyword").alias("keyword"), F.max("volume").alias("volume"),
+        F.array_join(F.array_sort(F.collect_set("group")), "|").alias("other"),
+    ).filter("n > 1")
     out = [_issue(several, "duplicate_across_groups", "high", "move_keyword", "other")]
     rest = grouped.filter("not is_main").join(several.select("market", "key"), ["market", "key"], "left_anti")
     evidence = []
     if results is not None:
-        urls = results.withColumn("key", T.decision_key(F.col("keyword"))).select("market", "key", T.canonical_url(F.col("url")).alias("url")).distinct()
+        urls = results.withColumn("key", T.decision_key(F.col("keyword"))).select(
+            "market", "key", T.canonical_url(F.col("url")).alias("url"),
+        ).distinct()
         own = rest.select("market", "key", "group").join(urls, ["market", "key"])
         other = mains.join(urls.withColumnRenamed("key", "mkey"), ["market", "mkey"]).select("market", "mgroup", "main", "url")
         shared = own.join(other, ["market", "url"]).groupBy("market", "key", "group", "mgroup", "main").agg(F.count("*").alias("n"))
         w = Window.partitionBy("market", "key", "group")
         mine = F.max(F.when(F.col("mgroup") == F.col("group"), F.col("n"))).over(w)
-        best = shared.withColumn("mine", F.coalesce(mine, F.lit(0))).filter(F.col("mgroup") != F.col("group")).withColumn("_k", F.row_number().over(w.orderBy(F.desc("n"), "main"))).filter("_k = 1")
+        best = shared.withColumn("mine", F.coalesce(mine, F.lit(0))).filter(F.col("mgroup") != F.col("group")).withColumn(
+            "_k", F.row_number().over(w.orderBy(F.desc("n"), "main")),
+        ).filter("_k = 1")
         strong = best.filter(F.col("n") >= least).select("market", "key", "group", "main", F.lit(1).alias("rank"))
         weak = best.filter((F.col("mine") < least) & (F.col("n") >= least)).select("market", "key", "group", F.col("main").alias("weak_for"))
         evidence.append(strong)
         out.append(_issue(rest.join(weak, ["market", "key", "group"]), "weak_member", "medium", "move_keyword", "weak_for"))
-    by_parent = rest.filter("coalesce(parent, '') <> ''").withColumn("pkey", T.decision_key(F.col("parent"))).join(mains.select("market", F.col("mkey").alias("pkey"), "mgroup", "main"), ["market", "pkey"]).filter("mgroup <> group and pkey <> key")
+    by_parent = rest.filter("coalesce(parent, '') <> ''").withColumn("pkey", T.decision_key(F.col("parent"))).join(
+        mains.select("market", F.col("mkey").alias("pkey"), "mgroup", "main"), ["market", "pkey"],
+    ).filter("mgroup <> group and pkey <> key")
     evidence.append(by_parent.select("market", "key", "group", "main", F.lit(2).alias("rank")))
-    by_words = rest.join(mains.select("market", F.col("mwords").alias("wkey"), "mgroup", "main"), ["market", "wkey"]).filter("mgroup <> group and wkey <> ''")
+    by_words = rest.join(
+        mains.select("market", F.col("mwords").alias("wkey"), "mgroup", "main"), ["market", "wkey"],
+    ).filter("mgroup <> group and wkey <> ''")
     evidence.append(by_words.select("market", "key", "group", "main", F.lit(3).alias("rank")))
     found = evidence[0]
     for e in evidence[1:]:
@@ -59,28 +76,52 @@ def back_check(members: DataFrame, results: DataFrame | None = None, least: int
     first = found.groupBy("market", "key", "group").agg(F.min_by("main", F.struct("rank", "main")).alias("main"))
     out.append(_issue(rest.join(first, ["market", "key", "group"]), "secondary_is_other_main", "high", "merge", "main"))
     w = Window.partitionBy("market", "group")
-    g = grouped.withColumn("gv", F.sum("volume").over(w)).withColumn("top", F.max("volume").over(w)).withColumn("mainneed", F.max(F.when(F.col("is_main"), F.col("need"))).over(w)).withColumn("mainvol", F.max(F.when(F.col("is_main"), F.col("volume"))).over(w))
-    mixed = g.groupBy("market", "group").agg(F.sum(F.when(F.col("need") != F.col("mainneed"), F.col("volume")).otherwise(0)).alias("apart"), F.max("gv").alias("gv"), F.max(F.when(F.col("is_main"), F.col("keyword"))).alias("keyword"), F.max("gv").alias("volume")).filter(F.col("apart") >= mixed_share * F.col("gv")).filter("gv > 0 and keyword is not null")
+    g = grouped.withColumn("gv", F.sum("volume").over(w)).withColumn("top", F.max("volume").over(w)).withColumn("mainneed", F.max(F.when(F.col("is_main"), F.col("need"))).over(w)).withColumn(
+        "mainvol", F.max(F.when(F.col("is_main"), F.col("volume"))).over(w),
+    )
+    mixed = g.groupBy("market", "group").agg(F.sum(F.when(F.col("need") != F.col("mainneed"), F.col("volume")).otherwise(0)).alias("apart"), F.max("gv").alias("gv"), F.max(F.when(F.col("is_main"), F.col("keyword"))).alias("keyword"), F.max("gv").alias("volume")).filter(
+        F.col("apart") >= mixed_share * F.col("gv")
+    ).filter("gv > 0 and keyword is not null")
     out.append(_issue(mixed, "mixed_intent", "medium", "split"))
     out.append(_issue(g.filter("is_main and gv = 0"), "no_data", "low", ""))
-    out.append(_issue(g.filter(F.col("is_main") & (F.col("top") >= main_ratio * F.col("volume")) & (F.col("top") > 0)), "main_not_best", "medium", "rename_main"))
+    out.append(
+        _issue(
+            g.filter(F.col("is_main") & (F.col("top") >= main_ratio * F.col("volume")) & (F.col("top") > 0)), "main_not_best", "medium",
+            "rename_main",
+        )
+    )
     out.append(_issue(g.filter("is_main and need = 'shop'"), "shopping_main", "high", "set_need"))
-    same = mains.alias("x").join(mains.alias("y"), ["market", "mwords"]).filter("x.mgroup <> y.mgroup and (x.mvolume > y.mvolume or (x.mvolume = y.mvolume and x.main < y.main)) and mwords <> ''")
-    out.append(_issue(same.select("market", F.col("y.main").alias("keyword"), F.col("x.main").alias("other"), F.col("y.mvolume").alias("volume")), "same_question_groups", "high", "merge", "other"))
+    same = mains.alias("x").join(mains.alias("y"), ["market", "mwords"]).filter(
+        "x.mgroup <> y.mgroup and (x.mvolume > y.mvolume or (x.mvolume = y.mvolume and x.main < y.main)) and mwords <> ''"
+    )
+    out.append(
+        _issue(
+            same.select("market", F.col("y.main").alias("keyword"), F.col("x.main").alias("other"), F.col("y.mvolume").alias("volume")),
+            "same_question_groups", "high", "merge", "other",
+        )
+    )
     floor = mains.filter("mvolume > 0").groupBy("market", "mvolume").agg(F.count("*").alias("n"))
-    upto = floor.withColumn("upto", F.sum("n").over(Window.partitionBy("market").orderBy("mvolume"))).withColumn("total", F.sum("n").over(Window.partitionBy("market")))
+    upto = floor.withColumn("upto", F.sum("n").over(Window.partitionBy("market").orderBy("mvolume"))).withColumn(
+        "total", F.sum("n").over(Window.partitionBy("market")),
+    )
     median = upto.filter(F.col("upto") >= F.floor(F.col("total") / 2) + 1).groupBy("market").agg(F.min("mvolume").alias("floor"))
     loose = m.filter("coalesce(group, '') = ''").join(median, "market").filter("volume >= floor")
     out.append(_issue(loose, "ungrouped_high_volume", "medium", "move_keyword"))
     issues = out[0]
     for o in out[1:]:
         issues = issues.unionByName(o)
-    return issues.withColumn("issue_id", N.issue_id(F.col("check"), F.col("market"), F.col("keyword"), F.col("other"), T.decision_key)).dropDuplicates(["issue_id"])
+    return issues.withColumn(
+        "issue_id", N.issue_id(F.col("check"), F.col("market"), F.col("keyword"), F.col("other"), T.decision_key),
+    ).dropDuplicates(["issue_id"])
 
 
 def proposals(issues: DataFrame) -> DataFrame:
     """One proposed decision for each issue that names an action; marked so, and never applied as it is."""
-    return issues.filter("action <> ''").select(F.concat(F.lit("P-"), "issue_id").alias("decision_id"), "action", "market", "keyword", F.col("other").alias("target"), F.lit("").alias("value"), F.lit("proposed").alias("reason"), F.col("check").alias("evidence"), F.col("issue_id").alias("source_issue"), F.lit("proposal").alias("author"))
+    return issues.filter("action <> ''").select(
+        F.concat(F.lit("P-"), "issue_id").alias("decision_id"), "action", "market", "keyword", F.col("other").alias("target"),
+        F.lit("").alias("value"), F.lit("proposed").alias("reason"), F.col("check").alias("evidence"), F.col("issue_id").alias("source_issue"),
+        F.lit("proposal").alias("author"),
+    )
 
 
 #: The audit's findings, with what each does.
@@ -92,10 +133,15 @@ _YEAR = r"\b(19|20)[0-9]{2}\b"
 
 
 def _finding(df: DataFrame, name: str, other: str = "''") -> DataFrame:
-    return df.select("market", "keyword", "group", F.lit(name).alias("finding"), F.lit(FINDINGS[name]).alias("action"), F.expr(other).cast("string").alias("other"))
+    return df.select(
+        "market", "keyword", "group", F.lit(name).alias("finding"), F.lit(FINDINGS[name]).alias("action"),
+        F.expr(other).cast("string").alias("other"),
+    )
 
 
-def better_mains(members: DataFrame, volume_ratio: float = 2.0, win_ratio: float = 1.25, win_least: float = 50.0, year_share: float = 0.2, reach: float = 30.0) -> DataFrame:
+def better_mains(
+    members: DataFrame, volume_ratio: float = 2.0, win_ratio: float = 1.25, win_least: float = 50.0, year_share: float = 0.2, reach: float = 30.0,
+) -> DataFrame:
     """Groups whose main another member should be: (market, keyword, group, other), keyword the present main.
 
     A main with a year gives way to a member that holds all its other words
@@ -120,21 +166,32 @@ def better_mains(members: DataFrame, volume_ratio: float = 2.0, win_ratio: float
     asks = ~dated & plain & holds & S.shared_order(words, own)
     able = x.withColumn("_win", win).filter(evergreen | (asks & (larger | easier)))
     first = F.row_number().over(Window.partitionBy("market", "group").orderBy(F.desc("_win"), F.desc("volume"), "keyword"))
-    return able.withColumn("_k", first).filter("_k = 1").select("market", F.col("m.keyword").alias("keyword"), "group", F.col("keyword").alias("other"))
+    return able.withColumn("_k", first).filter("_k = 1").select(
+        "market", F.col("m.keyword").alias("keyword"), "group", F.col("keyword").alias("other"),
+    )
 
 
 def closest_groups(mains: DataFrame, close: float) -> DataFrame:
     """For each group that is close to a greater one, the closest (the greater on ties): (market, keyword, group, words, other, other_words, similarity)."""
     ids = mains.withColumn("id", F.concat_ws("|", "market", "group"))
-    pairs = S.similar_pairs(ids.select("id", "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close).filter("similarity < 1").select("a", "b", "similarity")
-    both = pairs.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity").select("p.a", "p.b", "similarity")
+    pairs = S.similar_pairs(
+        ids.select("id", "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close,
+    ).filter("similarity < 1").select("a", "b", "similarity")
+    both = pairs.select(
+        F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p"), "similarity",
+    ).select("p.a", "p.b", "similarity")
     side = lambda c, p: ids.select(F.col("id").alias(c), F.struct("market", "keyword", "group", "words", "volume").alias(p))
     x = both.join(side("a", "x"), "a").join(side("b", "y"), "b").filter("x.volume < y.volume or (x.volume = y.volume and x.group > y.group)")
     first = F.row_number().over(Window.partitionBy("a").orderBy(F.desc(F.round("similarity", 9)), F.desc("y.volume"), "y.group"))
-    return x.withColumn("_k", first).filter("_k = 1").select("x.market", "x.keyword", "x.group", "x.words", F.col("y.keyword").alias("other"), F.col("y.words").alias("other_words"), "similarity")
+    return x.withColumn("_k", first).filter("_k = 1").select(
+        "x.market", "x.keyword", "x.group", "x.words", F.col("y.keyword").alias("other"), F.col("y.words").alias("other_words"), "similarity",
+    )
 
 
-def audit_grouping(members: DataFrame, close: float = 0.6, results: DataFrame | None = None, free: DataFrame | None = None, least: int = 4, tones: tuple[str, ...] = (), lists: tuple[str, ...] = (), noise: str | None = None, most_topics: int = 30) -> DataFrame:
+def audit_grouping(
+    members: DataFrame, close: float = 0.6, results: DataFrame | None = None, free: DataFrame | None = None, least: int = 4,
+    tones: tuple[str, ...] = (), lists: tuple[str, ...] = (), noise: str | None = None, most_topics: int = 30,
+) -> DataFrame:
     """(market, keyword, group, finding, action, other): what an existing grouping gets wrong, from its mains and members.
 
     Columns of ``members``: market, group, keyword, is_main, volume, kd, need,
@@ -160,11 +217,24 @@ def audit_grouping(members: DataFrame, close: float = 0.6, results: DataFrame |
         shared = S.overlap_pairs(ids, "id", "url", 1, ["market"]).select("a", "b", "shared")
         side = lambda c, p: mains.select(F.concat_ws("|", "market", "group").alias(c), F.struct("market", "keyword", "group", "volume", "words").alias(p))
         has = ids.select("id").distinct()
-        near = S.similar_pairs(mains.withColumn("id", F.concat_ws("|", "market", "group")).join(has, "id", "left_semi").select("id", "market", F.array_distinct("words").alias("words")), "id", "words", ["market"], close).select("a", "b")
-        pairs = near.join(shared, ["a", "b"], "full").withColumn("shared", F.coalesce("shared", F.lit(0))).join(side("a", "x"), "a").join(side("b", "y"), "b")
-        smaller = F.when((F.col("x.volume") < F.col("y.volume")) | ((F.col("x.volume") == F.col("y.volume")) & (F.col("x.group") > F.col("y.group"))), F.struct("x", "y")).otherwise(F.struct(F.col("y").alias("x"), F.col("x").alias("y")))
-        told = pairs.select("shared", smaller.alias("p"), N.close_words(F.col("x.words"), F.col("y.words")).alias("close")).select("shared", "close", "p.x.market", "p.x.keyword", "p.x.group", F.col("p.y.keyword").alias("with"), F.col("p.y.volume").alias("v"))
-        merged = told.filter(F.col("shared") >= least).withColumn("_k", F.row_number().over(Window.partitionBy("market", "group").orderBy(F.desc("shared"), F.desc("v"), "with"))).filter("_k = 1").join(lost, ["market", "group"], "left_anti")
+        near = S.similar_pairs(
+            mains.withColumn("id", F.concat_ws("|", "market", "group")).join(has, "id", "left_semi").select(
+                "id", "market", F.array_distinct("words").alias("words"),
+            ),
+            "id", "words", ["market"], close,
+        ).select("a", "b")
+        pairs = near.join(shared, ["a", "b"], "full").withColumn(
+            "shared", F.coalesce("shared", F.lit(0)),
+        ).join(side("a", "x"), "a").join(side("b", "y"), "b")
+        smaller = F.when((F.col("x.volume") < F.col("y.volume")) | ((F.col("x.volume") == F.col("y.volume")) & (F.col("x.group") > F.col("y.group"))), F.struct("x", "y")).otherwise(
+            F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+        )
+        told = pairs.select("shared", smaller.alias("p"), N.close_words(F.col("x.words"), F.col("y.words")).alias("close")).select(
+            "shared", "close", "p.x.market", "p.x.keyword", "p.x.group", F.col("p.y.keyword").alias("with"), F.col("p.y.volume").alias("v"),
+        )
+        merged = told.filter(F.col("shared") >= least).withColumn(
+            "_k", F.row_number().over(Window.partitionBy("market", "group").orderBy(F.desc("shared"), F.desc("v"), "with")),
+        ).filter("_k = 1").join(lost, ["market", "group"], "left_anti")
         out.append(_finding(merged, "same_query", "with"))
         out.append(_finding(told.filter((F.col("shared") < least) & F.col("close")), "serp_apart", "with"))
         lost = lost.unionByName(merged.select("market", "group"))
@@ -183,9 +253,16 @@ def audit_grouping(members: DataFrame, close: float = 0.6, results: DataFrame |
     if noise:
         out.append(_finding(m.filter(F.rlike("keyword", F.lit(noise))), "noise_flag"))
     if free is not None:
-        asks = mains.groupBy("market", "need", "vkey").agg(F.min_by(F.struct("group", "keyword"), F.struct(-F.col("volume"), F.col("group"))).alias("g"))
+        asks = mains.groupBy("market", "need", "vkey").agg(
+            F.min_by(F.struct("group", "keyword"), F.struct(-F.col("volume"), F.col("group"))).alias("g")
+        )
         apart = free.filter("need <> 'shop'").withColumn("vkey", T.variant_key(F.col("words"))).join(asks, ["market", "need", "vkey"], "left")
-        out.append(_finding(apart.filter("g is not null").select("market", "keyword", F.col("g.group").alias("group"), F.col("g.keyword").alias("main")), "same_question", "main"))
+        out.append(
+            _finding(
+                apart.filter("g is not null").select("market", "keyword", F.col("g.group").alias("group"), F.col("g.keyword").alias("main")),
+                "same_question", "main",
+            )
+        )
         topics = apart.filter("g is null").withColumn("group", F.lit(None).cast("string")).orderBy(F.desc("volume"), "market", "keyword").limit(most_topics)  # the report's feature
         out.append(_finding(topics, "export_topic"))
     return reduce(DataFrame.unionByName, out)
@@ -207,11 +284,17 @@ def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000
     rows = decisions.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} decisions")
-    listed = sorted((r.asDict() for r in rows), key=lambda r: (ACTIONS.index(r["action"]) if r["action"] in ACTIONS else 99, _natural(r["decision_id"])))
+    listed = sorted(
+        (r.asDict() for r in rows), key=lambda r: (ACTIONS.index(r["action"]) if r["action"] in ACTIONS else 99, _natural(r["decision_id"])),
+    )
     m = members.withColumn("_key", T.decision_key(F.col("keyword")))
     spark = members.sparkSession
-    wanted = spark.createDataFrame([(str(r["market"] or ""), str(n)) for r in listed for n in (r["keyword"], r["target"]) if n] or [("", "")], "market string, name string").withColumn("_key", T.decision_key(F.col("name")))
-    found = m.join(F.broadcast(wanted.select(F.col("market").alias("dm"), "_key", "name")), "_key").filter("dm = '' or dm = market").select("name", "dm", "market", "group", "keyword", "is_main").distinct().limit(20 * most + 1).collect()
+    wanted = spark.createDataFrame(
+        [(str(r["market"] or ""), str(n)) for r in listed for n in (r["keyword"], r["target"]) if n] or [("", "")], "market string, name string",
+    ).withColumn("_key", T.decision_key(F.col("name")))
+    found = m.join(F.broadcast(wanted.select(F.col("market").alias("dm"), "_key", "name")), "_key").filter("dm = '' or dm = market").select(
+        "name", "dm", "market", "group", "keyword", "is_main",
+    ).distinct().limit(20 * most + 1).collect()
     if len(found) > 20 * most:
         raise ValueError(f"the decisions name more than {20 * most} rows")
     at: dict[tuple[str, str], list] = {}
@@ -277,7 +360,9 @@ def apply_decisions(members: DataFrame, decisions: DataFrame, most: int = 10_000
             group_to[key] = group_to[key[0], group_to[key]]
     moved = m.withColumn("group", F.coalesce(lookup(keyword_to, "market", "keyword"), lookup(group_to, "market", "group"), F.col("group")))
     named = moved.withColumn("_main", lookup(main_of, "market", "group"))
-    out = named.withColumn("is_main", F.when(F.col("_main").isNotNull(), F.col("keyword") == F.col("_main")).otherwise(F.col("is_main"))).withColumn("need", F.coalesce(lookup(need_of, "market", "keyword"), F.col("need")))
+    out = named.withColumn("is_main", F.when(F.col("_main").isNotNull(), F.col("keyword") == F.col("_main")).otherwise(F.col("is_main"))).withColumn(
+        "need", F.coalesce(lookup(need_of, "market", "keyword"), F.col("need")),
+    )
     return out.drop("_key", "_main"), spark.createDataFrame(log, LOG)
 
 
@@ -303,7 +388,11 @@ def follow_targets(rows: DataFrame, node: str, target: str, rounds: int = 32) ->
     from .cluster import checkpointed
 
     for _ in range(rounds):
-        after = checkpointed(x.alias("a").join(x.select(F.col("n").alias("n2"), F.col("t").alias("t2")), F.col("a.t") == F.col("n2"), "left").select("n", F.coalesce("t2", "t").alias("t")))
+        after = checkpointed(
+            x.alias("a").join(
+                x.select(F.col("n").alias("n2"), F.col("t").alias("t2")), F.col("a.t") == F.col("n2"), "left",
+            ).select("n", F.coalesce("t2", "t").alias("t"))
+        )
         changed = after.join(x.select("n", F.col("t").alias("old")), "n").filter("t <> old").limit(1).count()
         x = after
         if not changed:
@@ -326,32 +415,53 @@ def fill_cells(plan: DataFrame, decisions: DataFrame, previous: DataFrame | None
     """
     names = F.create_map(*[F.lit(x) for kv in CELLS.items() for x in kv])
     keyed = plan.withColumn("_key", T.decision_key(F.col("keyword"))).withColumn("now", F.trim(F.coalesce("value", F.lit(""))))
-    d = decisions.withColumn("cell", F.try_element_at(names, F.lower(F.trim("action")))).withColumn("_key", T.decision_key(F.col("keyword"))).withColumn("want", F.trim(F.coalesce("value", F.lit(""))))
+    d = decisions.withColumn("cell", F.try_element_at(names, F.lower(F.trim("action")))).withColumn("_key", T.decision_key(F.col("keyword"))).withColumn(
+        "want", F.trim(F.coalesce("value", F.lit(""))),
+    )
     blank = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
-    invalid = F.when(F.col("cell").isNull(), "unknown action").when(F.lower(F.coalesce("author", F.lit(""))) == "proposal", "a proposal needs an author").when(blank("reason") | blank("evidence"), "no reason or evidence").when(F.col("want") == "", "value is empty")
+    invalid = F.when(F.col("cell").isNull(), "unknown action").when(F.lower(F.coalesce("author", F.lit(""))) == "proposal", "a proposal needs an author").when(
+        blank("reason") | blank("evidence"), "no reason or evidence",
+    ).when(F.col("want") == "", "value is empty")
     d = d.withColumn("why", invalid).select("decision_id", "market", "keyword", "_key", "cell", "want", "why")
     target = keyed.select(F.col("market").alias("tm"), "_key", "cell", "now")
-    found = d.filter("why is null").join(target, ["_key", "cell"], "left").filter("tm is null or coalesce(market, '') = '' or tm = market or tm = 'all'")
+    found = d.filter("why is null").join(target, ["_key", "cell"], "left").filter(
+        "tm is null or coalesce(market, '') = '' or tm = market or tm = 'all'"
+    )
     per = Window.partitionBy("decision_id")
     found = found.withColumn("n", F.count("tm").over(per))
     per_cell = Window.partitionBy("tm", "_key", "cell")
-    one = found.filter("n = 1").withColumn("differ", F.size(F.collect_set("want").over(per_cell)) > 1).withColumn("k", F.row_number().over(per_cell.orderBy("decision_id")))
+    one = found.filter("n = 1").withColumn("differ", F.size(F.collect_set("want").over(per_cell)) > 1).withColumn(
+        "k", F.row_number().over(per_cell.orderBy("decision_id")),
+    )
     if previous is not None:
         mine = previous.select("decision_id", "cell", F.trim("value").alias("mine"))
         one = one.join(mine, ["decision_id", "cell"], "left")
     else:
         one = one.withColumn("mine", F.lit(None).cast("string"))
-    status = F.when(F.col("differ"), "conflict").when((F.col("now") == F.col("want")) | (F.col("k") > 1), "already_true").when((F.col("now") != "") & ~F.col("now").eqNullSafe(F.col("mine")), "team_value_kept").otherwise("applied")
+    status = F.when(F.col("differ"), "conflict").when((F.col("now") == F.col("want")) | (F.col("k") > 1), "already_true").when(
+        (F.col("now") != "") & ~F.col("now").eqNullSafe(F.col("mine")), "team_value_kept",
+    ).otherwise("applied")
     one = one.withColumn("status", status)
     # a decision that names a keyword in no market, or in several, says so once
-    found_log = d.join(one.select("decision_id", "status"), "decision_id", "left").join(found.groupBy("decision_id").agg(F.max("n").alias("n")), "decision_id", "left")
-    log = found_log.select("decision_id", "keyword", "cell", F.when(F.col("why").isNotNull(), "invalid").when(F.coalesce("n", F.lit(0)) == 0, "stale").when(F.col("n") > 1, "invalid").otherwise(F.col("status")).alias("status"))
+    found_log = d.join(one.select("decision_id", "status"), "decision_id", "left").join(
+        found.groupBy("decision_id").agg(F.max("n").alias("n")), "decision_id", "left",
+    )
+    log = found_log.select(
+        "decision_id", "keyword", "cell",
+        F.when(F.col("why").isNotNull(), "invalid").when(F.coalesce("n", F.lit(0)) == 0, "stale").when(F.col("n") > 1, "invalid").otherwise(F.col("status")).alias("status"),
+    )
     writes = one.filter("status = 'applied'").select(F.col("tm").alias("market"), "_key", "cell", F.col("want").alias("new"))
     if previous is not None:
-        gone = previous.join(decisions.select("decision_id"), "decision_id", "left_anti").filter("coalesce(value, '') <> ''").withColumn("_key", T.decision_key(F.col("keyword")))
+        gone = previous.join(decisions.select("decision_id"), "decision_id", "left_anti").filter("coalesce(value, '') <> ''").withColumn(
+            "_key", T.decision_key(F.col("keyword")),
+        )
         cleared = gone.join(keyed.select("market", "_key", "cell", "now"), ["market", "_key", "cell"]).filter(F.col("now") == F.trim("value"))
         log = log.unionByName(cleared.select("decision_id", "keyword", "cell", F.lit("withdrawn").alias("status")))
-        writes = writes.unionByName(cleared.select("market", "_key", "cell", F.lit("").alias("new")).join(writes.select("market", "_key", "cell"), ["market", "_key", "cell"], "left_anti"))
+        writes = writes.unionByName(
+            cleared.select("market", "_key", "cell", F.lit("").alias("new")).join(
+                writes.select("market", "_key", "cell"), ["market", "_key", "cell"], "left_anti",
+            )
+        )
     cells = keyed.join(writes, ["market", "_key", "cell"], "left").select("market", "keyword", "cell", F.coalesce("new", "now").alias("value"))
     return cells, log
 
@@ -365,8 +475,12 @@ def outline_seeds(posts: DataFrame, light: tuple[str, ...], most: int = 8) -> Da
     """
     question = lambda c: F.rlike(F.lower(c), F.lit(r"^(what|when|where|who|why|how|which|is|are|do|does|did|can|should)\b"))
     words = lambda c: F.split(T.signature(T.normal_form(c)), " ")
-    x = posts.filter((F.col("keyword") != F.col("main")) & ~F.col("fixed")).withColumn("sig", T.signature(T.normal_form(F.col("keyword")))).withColumn("main_sig", T.signature(T.normal_form(F.col("main"))))
-    new = F.size(F.array_except(F.array_except(words(F.col("keyword")), F.array(*[F.lit(w) for w in light]).cast("array<string>")), words(F.col("main")))) > 0
+    x = posts.filter((F.col("keyword") != F.col("main")) & ~F.col("fixed")).withColumn("sig", T.signature(T.normal_form(F.col("keyword")))).withColumn(
+        "main_sig", T.signature(T.normal_form(F.col("main"))),
+    )
+    new = F.size(
+        F.array_except(F.array_except(words(F.col("keyword")), F.array(*[F.lit(w) for w in light]).cast("array<string>")), words(F.col("main")))
+    ) > 0
     asks = new | (question(F.col("keyword")) & ~question(F.col("main")))
     able = x.filter((F.col("sig") != "") & (F.col("sig") != F.col("main_sig")) & asks)
     once = able.withColumn("_s", F.row_number().over(Window.partitionBy("post", "sig").orderBy(F.desc("volume"), "keyword"))).filter("_s = 1")
@@ -382,7 +496,9 @@ def placed_keywords(keywords: DataFrame, topics: DataFrame, posts: DataFrame) ->
     """
     at = topics.select("cluster", "role", F.coalesce(F.nullif("slug", F.lit("")), F.nullif("merged_into", F.lit(""))).alias("slug"))
     x = keywords.join(at, "cluster", "left").join(posts.select("slug", "stt", F.col("main").alias("post")), "slug", "left")
-    why = F.when(F.col("stt").isNotNull(), "").when(F.col("role") == "skip", "shop pages answer it").when(F.col("role") == "backlog", "backlog").otherwise("not in the plan")
+    why = F.when(F.col("stt").isNotNull(), "").when(
+        F.col("role") == "skip", "shop pages answer it",
+    ).when(F.col("role") == "backlog", "backlog").otherwise("not in the plan")
     return x.select("market", "keyword", "stt", "post", why.alias("why"))
 
 
@@ -395,5 +511,7 @@ def checked_pairs(pairs: DataFrame, placed: DataFrame, least: int = 4) -> DataFr
     side = lambda c, s: placed.select("market", F.col("keyword").alias(c), F.col("stt").alias(s))
     x = pairs.join(side("a", "sa"), ["market", "a"], "left").join(side("b", "sb"), ["market", "b"], "left")
     one, together = F.col("shared") >= least, F.col("sa") == F.col("sb")
-    follows = F.when(F.col("sa").isNull() | F.col("sb").isNull(), "not in plan").when(one == together, "yes").when(together, "no: merged").otherwise("no: apart")
+    follows = F.when(
+        F.col("sa").isNull() | F.col("sb").isNull(), "not in plan",
+    ).when(one == together, "yes").when(together, "no: merged").otherwise("no: apart")
     return x.select("market", "a", "b", "shared", F.when(one, "one post").otherwise("two posts").alias("verdict"), follows.alias("follows"))

@@ -12,7 +12,10 @@ from ..functions import text as T
 
 def coverage(rows: DataFrame) -> DataFrame:
     """One row: keywords and volume with results, difficulty, parent, trend (columns urls, kd, parent, trend, volume)."""
-    checks = {"results": F.size(F.coalesce("urls", F.array().cast("array<string>"))) > 0, "difficulty": F.col("kd").isNotNull(), "parent": F.coalesce("parent", F.lit("")) != "", "trend": F.size(F.coalesce("trend", F.array().cast("array<double>"))) > 0}
+    checks = {
+        "results": F.size(F.coalesce("urls", F.array().cast("array<string>"))) > 0, "difficulty": F.col("kd").isNotNull(),
+        "parent": F.coalesce("parent", F.lit("")) != "", "trend": F.size(F.coalesce("trend", F.array().cast("array<double>"))) > 0,
+    }
     aggs = [x for name, hit in checks.items() for x in (F.count_if(hit).alias(f"{name}_keywords"), F.sum(F.when(hit, F.col("volume")).otherwise(0)).alias(f"{name}_volume"))]
     return rows.agg(*aggs)
 
@@ -20,7 +23,10 @@ def coverage(rows: DataFrame) -> DataFrame:
 def grouping_basis(members: DataFrame, cluster: str) -> DataFrame:
     """Why a cluster is one: a decision, a given group, a single keyword, one kind of evidence, or mixed."""
     kind = F.regexp_extract("joined", "^([a-z]+)", 1)
-    x = members.groupBy(cluster).agg(F.max(F.size(F.coalesce("decision_ids", F.array().cast("array<string>"))) > 0).alias("d"), F.max(F.coalesce("group", F.lit("")) != "").alias("p"), F.count("*").alias("n"), F.collect_set(F.when(kind != "seed", kind)).alias("k"))
+    x = members.groupBy(cluster).agg(
+        F.max(F.size(F.coalesce("decision_ids", F.array().cast("array<string>"))) > 0).alias("d"),
+        F.max(F.coalesce("group", F.lit("")) != "").alias("p"), F.count("*").alias("n"), F.collect_set(F.when(kind != "seed", kind)).alias("k"),
+    )
     basis = F.when(F.col("d"), "decision").when(F.col("p"), "group").when(F.col("n") == 1, "single").when(F.size("k") == 1, F.element_at("k", 1)).otherwise("mixed")
     return x.select(cluster, basis.alias("basis"))
 
@@ -30,7 +36,11 @@ def verified_share(members: DataFrame, cluster: str) -> DataFrame:
     serp = F.startswith("joined", F.lit("serp"))
     w = Window.partitionBy(cluster)
     x = members.withColumn("_any", F.max(serp.cast("int")).over(w)).withColumn("_v", serp | ((F.col("joined") == "seed") & (F.col("_any") == 1)))
-    return x.groupBy(cluster).agg(F.when(F.sum("volume") > 0, F.round(F.sum(F.when(F.col("_v"), F.col("volume")).otherwise(0)) / F.sum("volume"), 4)).otherwise(0.0).alias("verified"))
+    return x.groupBy(cluster).agg(
+        F.when(
+            F.sum("volume") > 0, F.round(F.sum(F.when(F.col("_v"), F.col("volume")).otherwise(0)) / F.sum("volume"), 4),
+        ).otherwise(0.0).alias("verified")
+    )
 
 
 def excluded_counts(excluded: DataFrame) -> DataFrame:
@@ -43,7 +53,9 @@ def fix_rows(fixes: DataFrame, changed: DataFrame, words: str, volume: str) -> D
     hit = each.join(fixes, each["word"] == fixes["wrong"])
     first = hit.groupBy("wrong", "right").agg(F.count("*").alias("keywords"), F.sum("v").alias("from_volume"))
     rank = F.row_number().over(Window.partitionBy("wrong").orderBy(F.desc("v"), "k"))
-    examples = hit.withColumn("_r", rank).filter("_r <= 3").groupBy("wrong").agg(F.array_join(F.array_sort(F.collect_list("k")), " | ").alias("examples"))
+    examples = hit.withColumn("_r", rank).filter("_r <= 3").groupBy("wrong").agg(
+        F.array_join(F.array_sort(F.collect_list("k")), " | ").alias("examples")
+    )
     right = each.groupBy(F.col("word").alias("right")).agg(F.sum("v").alias("to_volume"))
     return first.join(examples, "wrong").join(right, "right", "left").na.fill(0, ["to_volume"])
 
@@ -110,14 +122,22 @@ def carry_over(posts: DataFrame, previous: DataFrame, columns: list[str]) -> Dat
     """Bring team columns of an earlier plan to a new one: by address, then by the main keyword's signature, one to one."""
     x, left, taken = posts, previous, None
     for key in ("url", "signature"):
-        a = x.filter(F.coalesce(F.col(key), F.lit("")) != "").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("slug"))).filter("_k = 1").select("slug", key)
-        b = left.filter(F.coalesce(F.col(key), F.lit("")) != "").withColumn("_k", F.row_number().over(Window.partitionBy(key).orderBy("old_slug"))).filter("_k = 1").select("old_slug", key)
+        a = x.filter(F.coalesce(F.col(key), F.lit("")) != "").withColumn(
+            "_k", F.row_number().over(Window.partitionBy(key).orderBy("slug")),
+        ).filter("_k = 1").select("slug", key)
+        b = left.filter(F.coalesce(F.col(key), F.lit("")) != "").withColumn(
+            "_k", F.row_number().over(Window.partitionBy(key).orderBy("old_slug")),
+        ).filter("_k = 1").select("old_slug", key)
         got = a.join(b, key).select("slug", "old_slug")
         taken = got if taken is None else taken.unionByName(got)
         x, left = x.join(got, "slug", "left_anti"), left.join(got, "old_slug", "left_anti")
     values = taken.join(previous.select("old_slug", *[F.col(c).alias(f"_{c}") for c in columns]), "old_slug")
     out = posts.join(values, "slug", "left")
-    return out.select(*[c for c in posts.columns if c not in columns], *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in posts.columns else F.col(f"_{c}").alias(c) for c in columns], F.col("old_slug").isNotNull().alias("carried"))
+    return out.select(
+        *[c for c in posts.columns if c not in columns],
+        *[F.coalesce(F.nullif(F.col(c), F.lit("")), F.col(f"_{c}")).alias(c) if c in posts.columns else F.col(f"_{c}").alias(c) for c in columns],
+        F.col("old_slug").isNotNull().alias("carried"),
+    )
 
 
 def not_planned(clusters: DataFrame, posts: DataFrame, words: str = "words") -> DataFrame:
@@ -129,7 +149,9 @@ def not_planned(clusters: DataFrame, posts: DataFrame, words: str = "words") ->
     return out.join(near.select(F.col("a").alias("id"), F.col("b").alias("nearest"), "shared"), "id", "left")
 
 
-def bucketed_volumes(rows: DataFrame, source: str, volume: str, steps: tuple[int, ...] = (0, 10, 50, 100, 500, 1000, 5000, 10000, 50000, 100000, 500000, 1000000)) -> DataFrame:
+def bucketed_volumes(
+    rows: DataFrame, source: str, volume: str, steps: tuple[int, ...] = (0, 10, 50, 100, 500, 1000, 5000, 10000, 50000, 100000, 500000, 1000000),
+) -> DataFrame:
     """Sources whose every volume is a bucket value of the planner, so that its figures are ranges."""
     return rows.groupBy(source).agg((F.bool_and(F.col(volume).isin(*steps)) & (F.count(volume) > 0)).alias("bucketed"))
 

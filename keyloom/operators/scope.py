@@ -103,7 +103,10 @@ def decided_at_ingest(rows: DataFrame, decisions: DataFrame, markets: tuple[str,
     alike the first by number does.
     """
     number = F.coalesce(F.regexp_extract("decision_id", r"([0-9]{1,9})", 1).try_cast("long"), F.lit(0))
-    wanted = decisions.filter(F.col("action").isin("keep_keyword", "drop_keyword")).select("decision_id", "action", F.lower(F.trim(F.coalesce("market", F.lit("")))).alias("dm"), T.decision_key(F.col("keyword")).alias("_key"), number.alias("_no"))
+    wanted = decisions.filter(F.col("action").isin("keep_keyword", "drop_keyword")).select(
+        "decision_id", "action", F.lower(F.trim(F.coalesce("market", F.lit("")))).alias("dm"), T.decision_key(F.col("keyword")).alias("_key"),
+        number.alias("_no"),
+    )
     keyed = rows.withColumn("_key", T.decision_key(F.col("keyword")))
     present = keyed.select("_key", "market").distinct()
     where = wanted.join(present, "_key", "left").filter("market is null or dm = '' or dm = market or market = 'all'")
@@ -125,12 +128,16 @@ def decided_at_ingest(rows: DataFrame, decisions: DataFrame, markets: tuple[str,
 def kept_log(scoped_rows: DataFrame, log: DataFrame) -> DataFrame:
     """The log after the rules: what a keep lifted, or that no rule stood against it; outside the facets chosen it is stale."""
     by_decision = scoped_rows.filter("decision_id is not null").groupBy("decision_id").agg(
-        F.max(F.col("reason").isNull().cast("int")).alias("kept"), F.array_join(F.array_sort(F.collect_set("lifted")), ", ").alias("lifted"), F.count("*").alias("n")
+        F.max(F.col("reason").isNull().cast("int")).alias("kept"), F.array_join(
+            F.array_sort(F.collect_set("lifted")), ", ",
+        ).alias("lifted"), F.count("*").alias("n")
     )
     x = log.join(by_decision, "decision_id", "left")
     keep = (F.col("action") == "keep_keyword") & (F.col("status") == "found")
     status = (
-        F.when(~(F.col("status") == "found"), F.col("status")).when(F.col("action") == "drop_keyword", F.when(F.col("n").isNull(), "already_true").otherwise("applied"))
+        F.when(~(F.col("status") == "found"), F.col("status")).when(
+            F.col("action") == "drop_keyword", F.when(F.col("n").isNull(), "already_true").otherwise("applied"),
+        )
         .when(keep & (F.coalesce("kept", F.lit(0)) == 0), "stale").when(keep & (F.col("lifted") != ""), "applied").otherwise("already_true")
     )
     detail = F.when((status == "applied") & keep, F.concat(F.lit("kept despite "), "lifted")).otherwise("")

@@ -34,14 +34,25 @@ def prefixes(rows: DataFrame, row_id: str, words: str, keys: list[str], least: f
     entry = F.struct("df", "word", weight.alias("w"), F.xxhash64("word").alias("id"))
     ordered = listed.groupBy(row_id, *keys).agg(F.array_sort(F.collect_list(entry)).alias("e"))
     total = F.aggregate("e", F.lit(0), lambda t, x: t + x["w"])
-    before = F.aggregate("e", F.array().cast("array<int>"), lambda t, x: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)) + x["w"])))
+    before = F.aggregate(
+        "e", F.array().cast("array<int>"), lambda t, x: F.concat(t, F.array(F.coalesce(F.try_element_at(t, F.lit(-1)), F.lit(0)) + x["w"])),
+    )
     x = ordered.withColumn("total", total).withColumn("upto", before).withColumn("ids", F.transform("e", lambda v: v["id"]))
-    places = F.transform("e", lambda v, i: F.struct(v["word"].alias("word"), (F.col("total") - F.element_at("upto", i + 1) + v["w"]).alias("rest"), F.slice("ids", F.lit(1), i).alias("seen")))
+    places = F.transform(
+        "e", lambda v,
+        i: F.struct(
+            v["word"].alias("word"), (F.col("total") - F.element_at("upto", i + 1) + v["w"]).alias("rest"), F.slice("ids", F.lit(1), i).alias("seen"),
+        ),
+    )
     kept = F.filter(places, lambda v: v["rest"] >= F.col("total") * F.lit(least) - 1e-9)
-    return x.select(row_id, *keys, "total", "ids", F.transform("e", lambda v: v["word"]).alias("set"), F.explode(kept).alias("p")).select(row_id, *keys, "p.word", "p.seen", "p.rest", "total", "ids", "set")
+    return x.select(row_id, *keys, "total", "ids", F.transform("e", lambda v: v["word"]).alias("set"), F.explode(kept).alias("p")).select(
+        row_id, *keys, "p.word", "p.seen", "p.rest", "total", "ids", "set",
+    )
 
 
-def similar_pairs(rows: DataFrame, row_id: str, words: str, keys: list[str], least: float, weak: list[str] | None = None, below: float | None = None) -> DataFrame:
+def similar_pairs(
+    rows: DataFrame, row_id: str, words: str, keys: list[str], least: float, weak: list[str] | None = None, below: float | None = None,
+) -> DataFrame:
     """Pairs (keys, a, b, similarity), a < b, of rows with equal ``keys`` and weighted Jaccard in [least, below).
 
     A pair is made at its first shared word alone, in the order of frequency, so
@@ -57,7 +68,9 @@ def similar_pairs(rows: DataFrame, row_id: str, words: str, keys: list[str], lea
     both = both.filter(~F.arrays_overlap("seena", "seenb"))
     shared = F.size(F.array_intersect("idsa", "idsb")) * 10  # what they share weighs no more than this
     both = both.filter(shared * (1 + least) >= (F.col("totala") + F.col("totalb")) * least - 1e-6)
-    scored = both.select(*keys, "a", "b", N.weighted_jaccard(F.col("seta"), F.col("setb"), weak).alias("similarity")).filter(F.col("similarity") >= least)
+    scored = both.select(
+        *keys, "a", "b", N.weighted_jaccard(F.col("seta"), F.col("setb"), weak).alias("similarity"),
+    ).filter(F.col("similarity") >= least)
     if below is not None:
         scored = scored.filter(F.col("similarity") < below)
     return scored
@@ -90,7 +103,9 @@ def cosine_top(bags: DataFrame, row_id: str, word: str, count: str, keys: list[s
     a = bags.select(F.col(row_id).alias("a"), *keys, word, F.col(count).alias("x"))
     b = bags.select(F.col(row_id).alias("b"), *keys, word, F.col(count).alias("y"))
     dots = a.join(b, [*keys, word]).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.join(norm.select(F.col(row_id).alias("a"), F.col("norm").alias("na")), "a").join(norm.select(F.col(row_id).alias("b"), F.col("norm").alias("nb")), "b")
+    scored = dots.join(norm.select(F.col(row_id).alias("a"), F.col("norm").alias("na")), "a").join(
+        norm.select(F.col(row_id).alias("b"), F.col("norm").alias("nb")), "b",
+    )
     cosine = scored.select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("cosine")).filter(F.col("cosine") >= least)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     return cosine.withColumn("rank", rank).filter(F.col("rank") <= k)
@@ -108,7 +123,9 @@ def near_spellings(words: DataFrame, word: str, df: str, keys: list[str] | None
     """Pairs of words one deletion apart on either side: the candidates for a typo, by deletion neighbourhoods."""
     keys = keys or []
     text = F.col(word)
-    cuts = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    cuts = F.transform(
+        F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
+    )
     index = words.select(*keys, word, df, F.explode(F.array_distinct(F.concat(F.array(text), cuts))).alias("cut"))
     left = index.select(*keys, F.col(word).alias("rare"), F.col(df).alias("rare_df"), "cut")
     right = index.select(*keys, F.col(word).alias("common"), F.col(df).alias("common_df"), "cut")

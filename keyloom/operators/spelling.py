@@ -39,7 +39,9 @@ def pair_frequency(phrases: DataFrame, words: str) -> DataFrame:
 
 def _inflected(a: Column, b: Column) -> Column:
     """One word is the other with a common ending."""
-    return F.rlike(F.concat_ws(" ", a, b), F.lit(r"^(\S+) \1(s|es|d|ed|ing|er|ers|ly)$")) | F.rlike(F.concat_ws(" ", b, a), F.lit(r"^(\S+) \1(s|es|d|ed|ing|er|ers|ly)$"))
+    return F.rlike(F.concat_ws(" ", a, b), F.lit(r"^(\S+) \1(s|es|d|ed|ing|er|ers|ly)$")) | F.rlike(
+        F.concat_ws(" ", b, a), F.lit(r"^(\S+) \1(s|es|d|ed|ing|er|ers|ly)$"),
+    )
 
 
 _LETTERS = r"^\p{L}+$"
@@ -58,7 +60,9 @@ def common_words(phrases: DataFrame, words: str, p: Spelling) -> DataFrame:
 
 def _cuts(text: Column) -> Column:
     """The text without one of its letters, each in turn."""
-    return F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))))
+    return F.transform(
+        F.sequence(F.lit(1), F.length(text)), lambda i: F.concat(F.substring(text, F.lit(1), i - 1), F.substring(text, i + 1, F.length(text))),
+    )
 
 
 def corrected(words: DataFrame, targets: DataFrame, p: Spelling) -> DataFrame:
@@ -69,8 +73,12 @@ def corrected(words: DataFrame, targets: DataFrame, p: Spelling) -> DataFrame:
     text = F.col("word")
     left = words.select("word", "df", F.explode(F.array_distinct(F.concat(F.array(text), _cuts(text)))).alias("cut"))
     twice = F.when(F.length(text) >= p.two_edits_from, F.flatten(F.transform(_cuts(text), _cuts))).otherwise(F.array().cast("array<string>"))
-    right = targets.select(text.alias("right"), F.col("df").alias("right_df"), F.explode(F.array_distinct(F.concat(F.array(text), _cuts(text), twice))).alias("cut"))
-    pairs = left.join(right, "cut").filter("word <> right").filter(F.col("right_df") >= p.times_rarer * F.col("df")).select("word", "df", "right", "right_df").distinct()
+    right = targets.select(
+        text.alias("right"), F.col("df").alias("right_df"), F.explode(F.array_distinct(F.concat(F.array(text), _cuts(text), twice))).alias("cut"),
+    )
+    pairs = left.join(right, "cut").filter("word <> right").filter(
+        F.col("right_df") >= p.times_rarer * F.col("df")
+    ).select("word", "df", "right", "right_df").distinct()
     ends = (F.substring("word", 1, 1) == F.substring("right", 1, 1)) | (F.substring("word", -1, 1) == F.substring("right", -1, 1))
     cap = F.when(F.length("right") >= p.two_edits_from, 2).otherwise(1)
     near = pairs.filter(ends & ~_inflected(F.col("word"), F.col("right")) & (F.levenshtein("word", "right") <= 2 * cap))
@@ -91,7 +99,9 @@ def typos(phrases: DataFrame, words: str, p: Spelling | None = None) -> DataFram
 def joins(phrases: DataFrame, words: str, p: Spelling | None = None) -> DataFrame:
     """(a, b, joined): two words that are written as one far more often."""
     p = p or Spelling()
-    pairs = pair_frequency(phrases, words).filter((F.length("a") >= 3) & (F.length("b") >= 3)).withColumn("joined", F.concat("a", "b")).filter(F.rlike("joined", F.lit(_LETTERS)))
+    pairs = pair_frequency(phrases, words).filter(
+        (F.length("a") >= 3) & (F.length("b") >= 3)
+    ).withColumn("joined", F.concat("a", "b")).filter(F.rlike("joined", F.lit(_LETTERS)))
     df = word_frequency(phrases, words).select(F.col("word").alias("joined"), F.col("df").alias("joined_df"))
     both = pairs.filter(F.length("joined") >= p.joined_length).join(df, "joined")
     return both.filter(F.col("joined_df") >= F.greatest(F.lit(20), 3 * F.col("df"))).select("a", "b", "joined")
@@ -105,7 +115,9 @@ def rejoins(phrases: DataFrame, words: str, fixes: DataFrame, p: Spelling | None
     p = p or Spelling()
     common = common_words(phrases, words, p)
     targets = common.filter(F.length("word") >= p.least_length)
-    known = word_frequency(phrases, words).join(common.select("word", F.lit(True).alias("common")), "word", "left").join(fixes.select(F.col("wrong").alias("word"), F.lit(True).alias("typo")), "word", "left")
+    known = word_frequency(phrases, words).join(common.select("word", F.lit(True).alias("common")), "word", "left").join(
+        fixes.select(F.col("wrong").alias("word"), F.lit(True).alias("typo")), "word", "left",
+    )
     known = known.select("word", "df", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("common", "typo")])
     side = lambda x: known.select(F.col("word").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("df", "common", "typo")])
     whole = F.concat("a", "b")
@@ -131,9 +143,15 @@ def splits(phrases: DataFrame, words: str, p: Spelling | None = None) -> DataFra
     """(word, a, b): a rare word, no typo, whose halves are common and a common pair."""
     p = p or Spelling()
     common = common_words(phrases, words, p).select("word")
-    rare = _rare(phrases, words, p).filter(F.length("word") >= 4).join(typos(phrases, words, p).select(F.col("wrong").alias("word")), "word", "left_anti")
-    pairs = pair_frequency(phrases, words).join(common.withColumnRenamed("word", "a"), "a", "left_semi").join(common.withColumnRenamed("word", "b"), "b", "left_semi")
-    fit = rare.join(pairs.select("a", "b", F.concat("a", "b").alias("word"), F.col("df").alias("pair_df")), "word").filter(F.col("pair_df") >= F.greatest(F.lit(20), 10 * F.col("df")))
+    rare = _rare(phrases, words, p).filter(F.length("word") >= 4).join(
+        typos(phrases, words, p).select(F.col("wrong").alias("word")), "word", "left_anti",
+    )
+    pairs = pair_frequency(phrases, words).join(common.withColumnRenamed("word", "a"), "a", "left_semi").join(
+        common.withColumnRenamed("word", "b"), "b", "left_semi",
+    )
+    fit = rare.join(pairs.select("a", "b", F.concat("a", "b").alias("word"), F.col("df").alias("pair_df")), "word").filter(
+        F.col("pair_df") >= F.greatest(F.lit(20), 10 * F.col("df"))
+    )
     best = F.row_number().over(Window.partitionBy("word").orderBy(F.desc("pair_df"), F.desc("a")))
     return fit.withColumn("_k", best).filter("_k = 1").select("word", "a", "b")
 
@@ -147,7 +165,9 @@ def completions(phrases: DataFrame, words: str, p: Spelling | None = None) -> Da
     starts = F.transform(F.sequence(F.lit(2), F.length("b") - 1), lambda i: F.substring(F.col("b"), F.lit(1), i))
     begun = begun.select("a", F.col("b").alias("whole"), F.col("df").alias("whole_df"), F.explode(starts).alias("b"))
     order = Window.partitionBy("a", "b").orderBy(F.desc("whole_df"), F.desc("whole"))
-    ranked = begun.withColumn("_k", F.row_number().over(order)).withColumn("second", F.coalesce(F.lead("whole_df").over(order), F.lit(0))).filter("_k = 1")
+    ranked = begun.withColumn("_k", F.row_number().over(order)).withColumn(
+        "second", F.coalesce(F.lead("whole_df").over(order), F.lit(0)),
+    ).filter("_k = 1")
     sure = (F.col("whole_df") >= F.greatest(F.lit(20), 10 * F.col("df"))) & (F.col("whole_df") >= 3 * F.col("second"))
     return cut.join(ranked, ["a", "b"]).filter(sure).select("a", "b", "whole")
 
@@ -166,19 +186,30 @@ def respell_all(phrases: DataFrame, row_id: str, words: str, p: Spelling | None
     after = F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1)))
     steps = F.zip_with(words, after, lambda a, b: F.struct(a.alias("word"), b.alias("next")))
     each = phrases.select(row_id, F.posexplode(steps).alias("at", "s")).select(row_id, "at", "s.word", "s.next")
-    each = each.join(joined.select(F.col("a").alias("word"), F.col("b").alias("next"), "joined"), ["word", "next"], "left").join(halves, "word", "left")
+    each = each.join(
+        joined.select(F.col("a").alias("word"), F.col("b").alias("next"), "joined"), ["word", "next"], "left",
+    ).join(halves, "word", "left")
     listed = each.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("at", "word", "joined", "a", "b"))).alias("l"))
     none = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip"))
 
     def step(s: Column, x: Column) -> Column:
         here = F.when(x["joined"].isNotNull(), F.array(x["joined"])).when(x["a"].isNotNull(), F.array(x["a"], x["b"])).otherwise(F.array(x["word"]))
-        return F.struct(F.when(s["skip"], s["out"]).otherwise(F.concat(s["out"], here)).alias("out"), (~s["skip"] & x["joined"].isNotNull()).alias("skip"))
+        return F.struct(
+            F.when(s["skip"], s["out"]).otherwise(F.concat(s["out"], here)).alias("out"), (~s["skip"] & x["joined"].isNotNull()).alias("skip"),
+        )
 
     spaced = listed.select(row_id, F.aggregate("l", none, step)["out"].alias("out"), F.transform("l", lambda x: x["word"]).alias("typed"))
-    again = spaced.select(row_id, "typed", F.posexplode("out").alias("at", "word")).join(fixes.select(F.col("wrong").alias("word"), "right"), "word", "left")
-    fixed = again.groupBy(row_id).agg(F.first("typed").alias("typed"), F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("right", "word").alias("right")))).alias("l"))
+    again = spaced.select(row_id, "typed", F.posexplode("out").alias("at", "word")).join(
+        fixes.select(F.col("wrong").alias("word"), "right"), "word", "left",
+    )
+    fixed = again.groupBy(row_id).agg(
+        F.first("typed").alias("typed"), F.array_sort(F.collect_list(F.struct("at", "word", F.coalesce("right", "word").alias("right")))).alias("l"),
+    )
     last = lambda i, f: F.when(F.size("l") >= 2, F.get("l", F.size("l") + i)[f])
-    ends = fixed.select(row_id, "typed", F.transform("l", lambda x: x["right"]).alias("w"), last(-2, "word").alias("a1"), last(-2, "right").alias("a2"), last(-1, "word").alias("b"))
+    ends = fixed.select(
+        row_id, "typed", F.transform("l", lambda x: x["right"]).alias("w"), last(-2, "word").alias("a1"), last(-2, "right").alias("a2"),
+        last(-1, "word").alias("b"),
+    )
     for a, c in (("a1", "c1"), ("a2", "c2")):
         ends = ends.join(whole.select(F.col("a").alias(a), "b", F.col("whole").alias(c)), [a, "b"], "left")
     done = F.coalesce("c1", "c2")
@@ -190,7 +221,10 @@ def respell(phrases: DataFrame, row_id: str, words: str, fixes: DataFrame) -> Da
     """(row_id, respelled, fixed): words with a fix replaced; a join on the word, so the fix table may be of any size."""
     each = phrases.select(row_id, F.posexplode(words).alias("at", "word"))
     joined = each.join(fixes.select(F.col("wrong").alias("word"), "right"), "word", "left")
-    w = joined.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("l"), F.max(F.col("right").isNotNull()).alias("fixed"))
+    w = joined.groupBy(row_id).agg(
+        F.array_sort(F.collect_list(F.struct("at", F.coalesce("right", "word").alias("w")))).alias("l"),
+        F.max(F.col("right").isNotNull()).alias("fixed"),
+    )
     return w.select(row_id, F.array_join(F.transform("l", lambda x: x["w"]), " ").alias("respelled"), "fixed")
 
 

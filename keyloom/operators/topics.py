@@ -186,7 +186,9 @@ def apply_topics(plan: DataFrame, decisions: DataFrame, most: int = 10_000) -> t
         else:
             aimed = plain_key(r["target"]) not in ("", "none")
             said[r["decision_id"]] = picture.decide(p, r["action"], find(r["target"], p.market)[0] if aimed else None, aimed)
-    log = spark.createDataFrame([(r["decision_id"], r["action"], str(r["market"] or ""), r["keyword"], r["target"], *said[r["decision_id"]]) for r in listed], LOG)
+    log = spark.createDataFrame(
+        [(r["decision_id"], r["action"], str(r["market"] or ""), r["keyword"], r["target"], *said[r["decision_id"]]) for r in listed], LOG,
+    )
     changed = [(p.id, True, p.kind, p.pillar, p.merged_into) for i, p in picture.at.items() if (p.kind, p.pillar, p.merged_into) != picture.before[i]]
     new = spark.createDataFrame(changed, "id long, _c boolean, _kind string, _pillar string, _into long")
     pick = lambda c, n: F.when(F.col("_c"), F.col(n)).otherwise(F.col(c)).alias(c)
@@ -196,7 +198,10 @@ def apply_topics(plan: DataFrame, decisions: DataFrame, most: int = 10_000) -> t
     out = moved.join(F.broadcast(heirs), "merged_into", "left")
     lost = F.col("_h") & F.col("_heir").isNull()
     kept = [F.col(c) for c in plan.columns if c not in ("kind", "pillar", "merged_into")]
-    return out.select(*kept, F.when(lost, "backlog").otherwise(F.col("kind")).alias("kind"), F.when(lost, None).otherwise(F.col("pillar")).alias("pillar"), F.when(F.col("_h"), F.col("_heir")).otherwise(F.col("merged_into")).alias("merged_into")).select(*plan.columns), log
+    return out.select(
+        *kept, F.when(lost, "backlog").otherwise(F.col("kind")).alias("kind"), F.when(lost, None).otherwise(F.col("pillar")).alias("pillar"),
+        F.when(F.col("_h"), F.col("_heir")).otherwise(F.col("merged_into")).alias("merged_into"),
+    ).select(*plan.columns), log
 
 
 def pillar_numbers(plan: DataFrame) -> DataFrame:

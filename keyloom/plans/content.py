@@ -148,7 +148,9 @@ SELECT doc_id, words, sentences, vowel_groups, round(0.39 * CAST(words AS DOUBLE
 
 def claim_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claim rules over all paragraphs of all documents."""
-    return D.claims(table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))).select("doc_id", "paragraph", "rule", "hits")
+    return D.claims(
+        table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "\n", "\n\n").alias("text"))
+    ).select("doc_id", "paragraph", "rule", "hits")
 
 
 def _claims_sql() -> str:
@@ -171,7 +173,10 @@ CLAIM_FLAGS = _claims_sql()
 def draft_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draft review of whole documents: score and band; findings as text."""
     r = D.review(table(spark, sf_dir, "documents"))
-    return r.select("doc_id", "words", "grade", "score", "band", F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["severity"], f["check"])), "; ").alias("findings"))
+    return r.select(
+        "doc_id", "words", "grade", "score", "band",
+        F.array_join(F.transform("findings", lambda f: F.concat_ws(":", f["severity"], f["check"])), "; ").alias("findings"),
+    )
 
 
 def forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,7 +192,9 @@ SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN md5(text) END IGNO
 
 def slot_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of the assistant as product slots: position in words, gap to the one before, and whether it is too close."""
-    c = table(spark, sf_dir, "conversations").withColumn("w", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n\t]+"), 0)).cast("long"))
+    c = table(spark, sf_dir, "conversations").withColumn(
+        "w", F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^ \n\t]+"), 0)).cast("long"),
+    )
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = c.withColumn("position", F.coalesce(F.sum("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     a = c.filter("role = 'assistant'").withColumn("gap", F.col("position") - F.lag("position").over(w))
@@ -204,7 +211,9 @@ def cosine_related(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three most similar suppliers of each by the parts' brands that they deliver."""
     l = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))  # noqa: E741
     bags = l.groupBy("l_suppkey", "p_brand").agg(F.count("*").alias("n")).withColumn("g", F.lit(1))
-    return S.cosine_top(bags, "l_suppkey", "p_brand", "n", ["g"], 0.2, 3).select("a", "b", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"))
+    return S.cosine_top(bags, "l_suppkey", "p_brand", "n", ["g"], 0.2, 3).select(
+        "a", "b", F.round("cosine", 6).alias("cosine"), F.col("rank").cast("long").alias("rank"),
+    )
 
 
 COSINE_RELATED = """
@@ -220,7 +229,9 @@ def number_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part").select("p_partkey", F.floor("p_retailprice").cast("long").alias("n"))
     k = F.pmod(F.col("p_partkey"), F.lit(6))
     s = F.col("n").cast("string")
-    cell = F.when(k == 0, F.concat(F.lit("<"), s)).when(k == 1, F.concat(s, F.lit("K"))).when(k == 2, F.concat(s, F.lit(" – "), (F.col("n") + 10).cast("string"))).when(k == 3, F.concat(F.lit("$"), s, F.lit(",50"))).when(k == 4, F.lit("n/a")).otherwise(s)
+    cell = F.when(k == 0, F.concat(F.lit("<"), s)).when(k == 1, F.concat(s, F.lit("K"))).when(k == 2, F.concat(s, F.lit(" – "), (F.col("n") + 10).cast("string"))).when(
+        k == 3, F.concat(F.lit("$"), s, F.lit(",50")),
+    ).when(k == 4, F.lit("n/a")).otherwise(s)
     v = N.parse_number(cell)
     return p.select("p_partkey", v["value"].alias("value"), v["estimate"].alias("estimate"))
 
@@ -233,9 +244,16 @@ SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN n WHEN 1 THEN n * 1000 WHEN 2 T
 
 def intent_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intents of events by type: letters parsed, counted and summed."""
-    e = table(spark, sf_dir, "events").select("event_type", F.floor("value").cast("long").alias("volume"), F.element_at(F.array(*[F.lit(x) for x in ("I, N", "commercial", "T|branded", "")]), (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int")).alias("cell"))
+    e = table(spark, sf_dir, "events").select(
+        "event_type", F.floor("value").cast("long").alias("volume"),
+        F.element_at(
+            F.array(*[F.lit(x) for x in ("I, N", "commercial", "T|branded", "")]), (F.pmod(F.col("event_id"), F.lit(4)) + 1).cast("int"),
+        ).alias("cell"),
+    )
     x = e.select("event_type", "volume", F.explode_outer(E.intents(F.col("cell"))["intents"]).alias("intent"))
-    return x.groupBy("event_type", F.coalesce("intent", F.lit("no label")).alias("intent")).agg(F.count("*").alias("keywords"), F.sum("volume").alias("volume"))
+    return x.groupBy("event_type", F.coalesce("intent", F.lit("no label")).alias("intent")).agg(
+        F.count("*").alias("keywords"), F.sum("volume").alias("volume"),
+    )
 
 
 INTENT_MIX = """
@@ -264,7 +282,11 @@ def serp_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources.serp import latest_results
 
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    rows = l.select(F.col("l_partkey").cast("string").alias("keyword"), F.lit("us").alias("market"), F.to_date("l_shipdate").cast("string").alias("checked_at"), F.col("l_linenumber").alias("position"), F.concat(F.lit("https://www.s"), F.col("l_suppkey").cast("string"), F.lit(".com/?q=1")).alias("url"), F.lit("").alias("title"))
+    rows = l.select(
+        F.col("l_partkey").cast("string").alias("keyword"), F.lit("us").alias("market"), F.to_date("l_shipdate").cast("string").alias("checked_at"),
+        F.col("l_linenumber").alias("position"), F.concat(F.lit("https://www.s"), F.col("l_suppkey").cast("string"), F.lit(".com/?q=1")).alias("url"),
+        F.lit("").alias("title"),
+    )
     r = latest_results(rows)
     return r.select("keyword", "checked_at", F.array_join("urls", " ").alias("urls"))
 
@@ -294,7 +316,10 @@ def link_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Link plan over part names as posts, a market per brand; tested for its invariants."""
     p = table(spark, sf_dir, "part")
     norm = T.normal_form(F.col("p_name"))
-    base = p.select(F.col("p_brand").alias("market"), F.concat_ws("-", T.slugify(F.col("p_name")), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_type").alias("pillar"), F.col("p_retailprice").alias("value"), T.tokens(norm).alias("words"), F.array(norm).alias("anchors"))
+    base = p.select(
+        F.col("p_brand").alias("market"), F.concat_ws("-", T.slugify(F.col("p_name")), F.col("p_partkey").cast("string")).alias("slug"),
+        F.col("p_type").alias("pillar"), F.col("p_retailprice").alias("value"), T.tokens(norm).alias("words"), F.array(norm).alias("anchors"),
+    )
     first = F.row_number().over(Window.partitionBy("market", "pillar").orderBy(F.desc("value"), "slug"))
     return L.plan(base.withColumn("is_pillar", first == 1))
 

@@ -53,7 +53,9 @@ def canonical_sql(norm: str) -> str:
 def phrase_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normal form of every document's whole text, as a digest, and its number of words."""
     norm = T.normal_form(F.translate(F.col("text"), "’‘`", "'''"))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id"), norm.alias("n")).select("doc_id", F.md5("n").alias("norm_md5"), F.size(T.tokens(F.col("n"))).cast("long").alias("n_tokens"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id"), norm.alias("n")).select(
+        "doc_id", F.md5("n").alias("norm_md5"), F.size(T.tokens(F.col("n"))).cast("long").alias("n_tokens"),
+    )
 
 
 PHRASE_NORMALIZE = f"""
@@ -92,12 +94,17 @@ def variant_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which phrases mean the same thing, and how much volume each group owns: id by volume, A/B/C by rank."""
     rows = _phrases(spark, sf_dir)
     groups = rows.groupBy("market", "vkey").agg(
-        F.max_by("keyword", F.struct("volume", -F.col("id"))).alias("main"), F.sum("volume").alias("volume"), F.count("*").alias("phrases"), F.min("kd").alias("kd_min")
+        F.max_by(
+            "keyword", F.struct("volume", -F.col("id")),
+        ).alias("main"), F.sum("volume").alias("volume"), F.count("*").alias("phrases"), F.min("kd").alias("kd_min")
     )
     ranked = C.global_rank(groups, [F.desc("volume"), F.asc("market"), F.asc("vkey")], "rank")
     n = groups.agg(F.count("*").alias("_n"))
     out = ranked.crossJoin(F.broadcast(n))
-    return out.select(F.format_string("C%04d", "rank").alias("cluster_id"), "market", "vkey", "main", "volume", "phrases", "kd_min", C.bucket(F.col("rank"), F.col("_n")).alias("bucket"))
+    return out.select(
+        F.format_string("C%04d", "rank").alias("cluster_id"), "market", "vkey", "main", "volume", "phrases", "kd_min",
+        C.bucket(F.col("rank"), F.col("_n")).alias("bucket"),
+    )
 
 
 VARIANT_DEDUPE = (
@@ -113,7 +120,10 @@ def variant_volume_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain and distinct volume sums of each variant group."""
     merged = M.merge_variants(_phrases(spark, sf_dir), ["market", "vkey"], "keyword", "volume", "id")
     plain = F.aggregate("variant_volumes", F.col("volume"), lambda a, x: a + x)
-    return merged.select("market", "vkey", F.col("keyword").alias("main"), plain.alias("volume"), M.distinct_volume(F.col("volume"), F.col("variant_volumes")).alias("volume_distinct"), F.size("variants").cast("long").alias("variants"))
+    return merged.select(
+        "market", "vkey", F.col("keyword").alias("main"), plain.alias("volume"),
+        M.distinct_volume(F.col("volume"), F.col("variant_volumes")).alias("volume_distinct"), F.size("variants").cast("long").alias("variants"),
+    )
 
 
 VARIANT_VOLUME_DISTINCT = (
@@ -128,8 +138,12 @@ def source_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select(
         "user_id", "event_type", F.col("event_id").alias("idx"), F.pmod(F.col("event_id"), F.lit(4)).cast("int").alias("vclass"), F.floor("value").cast("long").alias("volume"),
         F.when(F.pmod(F.col("event_id"), F.lit(3)) == 0, F.lit(None)).otherwise(F.pmod(F.col("event_id"), F.lit(90))).cast("double").alias("kd"),
-        F.when(F.pmod(F.col("event_id"), F.lit(5)) == 0, F.lit(None)).otherwise(F.pmod(F.col("event_id"), F.lit(50)) + 1).cast("double").alias("position"),
-        F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.concat(F.lit("f"), F.pmod(F.col("event_id"), F.lit(3)).cast("string")).alias("src"), F.lit("t").alias("tool"),
+        F.when(F.pmod(F.col("event_id"), F.lit(5)) == 0, F.lit(None)).otherwise(
+            F.pmod(F.col("event_id"), F.lit(50)) + 1
+        ).cast("double").alias("position"),
+        F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.concat(
+            F.lit("f"), F.pmod(F.col("event_id"), F.lit(3)).cast("string"),
+        ).alias("src"), F.lit("t").alias("tool"),
     )
     m = M.merge_sources(rows, ["user_id", "event_type"])
     return m.select("user_id", "event_type", F.col("vclass").cast("long").alias("vclass"), "volume", "position", "first_seen", "n_rows")
@@ -142,7 +156,10 @@ SELECT user_id, event_type, max(vclass) FILTER (WHERE rn = 1) AS vclass, max(vol
 """
 
 #: Rules with the literals that any match holds.
-_NOISE = [("account", r"\b(login|password|refund)\b", ("login", "password", "refund")), ("local", r"\b(near me|nearby)\b", ("near",)), ("explicit", r"\b(nude|xxx)\b", ("nude", "xxx")), ("url", r"https?://|www\.", ("http", "www."))]
+_NOISE = [
+    ("account", r"\b(login|password|refund)\b", ("login", "password", "refund")), ("local", r"\b(near me|nearby)\b", ("near",)),
+    ("explicit", r"\b(nude|xxx)\b", ("nude", "xxx")), ("url", r"https?://|www\.", ("http", "www.")),
+]
 
 
 def reason_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +167,10 @@ def reason_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower(F.coalesce("text", F.lit("")))
     # no text of fewer characters has so many words
     many = (F.length(low) > 10_000) & (F.regexp_count(low, F.lit(r"[^\s]+")) > 5000)
-    rules = [("empty", ~F.rlike(low, F.lit(r"[^\s]"))), *[(n, T.matches(low, p, hints)) for n, p, hints in _NOISE], ("too long", many), ("language", T.non_ascii_ratio(F.coalesce("text", F.lit(""))) > 0.3)]
+    rules = [
+        ("empty", ~F.rlike(low, F.lit(r"[^\s]"))), *[(n, T.matches(low, p, hints)) for n, p, hints in _NOISE], ("too long", many),
+        ("language", T.non_ascii_ratio(F.coalesce("text", F.lit(""))) > 0.3),
+    ]
     return M.route(table(spark, sf_dir, "documents"), rules).select("doc_id", F.coalesce("reason", F.lit("kept")).alias("reason"))
 
 
@@ -243,7 +263,9 @@ def keep_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Part names with close words that share fewer than sixty orders, none included."""
     names = _phrases(spark, sf_dir).select("id", F.lit(1).alias("g"), "norm", "words")
     rep = names.groupBy("norm", "g").agg(F.first("words").alias("words")).withColumnRenamed("norm", "nid")
-    items = table(spark, sf_dir, "lineitem").join(names, F.col("l_partkey") == F.col("id")).select(F.col("norm").alias("nid"), F.col("l_orderkey").alias("item")).distinct()
+    items = table(spark, sf_dir, "lineitem").join(names, F.col("l_partkey") == F.col("id")).select(
+        F.col("norm").alias("nid"), F.col("l_orderkey").alias("item"),
+    ).distinct()
     return S.keep_apart(rep, "nid", "words", ["g"], items, "item", 60, close=0.3).select("a", "b", F.col("shared").cast("long").alias("shared"))
 
 
@@ -263,7 +285,9 @@ def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranked = C.global_rank(names, [F.desc("volume"), F.asc("id")], "rank")
     pairs = S.similar_pairs(names, "id", "words", ["guard"], 0.45, WEAK)
     ranks = ranked.select("id", "rank")
-    placed = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    placed = pairs.join(ranks.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(
+        ranks.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b",
+    )
     first, later = F.when(F.col("ra") < F.col("rb"), F.col("a")).otherwise(F.col("b")), F.when(F.col("ra") < F.col("rb"), F.col("b")).otherwise(F.col("a"))
     edges = placed.select(first.alias("a"), later.alias("b"), F.lit(1).alias("tier"), F.round("similarity", 6).alias("score"))
     return C.leaders(ranks, edges)
@@ -288,7 +312,9 @@ SELECT owner_id, count(*) AS clusters, CAST(sum(volume) AS BIGINT) AS volume FRO
 def winnable_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fit of each part's difficulty and the volume that it can win."""
     kd = F.col("kd")
-    return _phrases(spark, sf_dir).select("id", N.fit_label(kd).alias("label"), F.round(N.fit(kd), 6).alias("fit"), F.bround(N.winnable(F.col("volume"), kd), 2).alias("winnable"))
+    return _phrases(spark, sf_dir).select(
+        "id", N.fit_label(kd).alias("label"), F.round(N.fit(kd), 6).alias("fit"), F.bround(N.winnable(F.col("volume"), kd), 2).alias("winnable"),
+    )
 
 
 WINNABLE_VOLUME = (
@@ -386,7 +412,9 @@ def bigram_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), 0)
     marked = F.concat(F.array(F.lit("<s>")), words, F.array(F.lit("</s>")))
     docs = table(spark, sf_dir, "documents").select("lang", marked.alias("w"))
-    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.zip_with(
+        F.slice("w", F.lit(1), F.size("w") - 1), F.slice("w", F.lit(2), F.size("w") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")),
+    )
     return docs.select("lang", F.explode(pairs).alias("p")).groupBy("lang", "p.a", "p.b").agg(F.count("*").alias("n")).filter("n >= 10")
 
 
@@ -399,9 +427,14 @@ SELECT lang, p[1] AS a, p[2] AS b, count(*) AS n FROM p GROUP BY 1, 2, 3 HAVING
 def term_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two hundred commonest words and word pairs of part names by volume, with their counts (a top-k report)."""
     kw = _phrases(spark, sf_dir).withColumn("t", T.tokens(F.col("norm")))
-    pairs = F.zip_with(F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+    pairs = F.zip_with(
+        F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a,
+        b: F.concat_ws(" ", a, b),
+    )
     each = kw.select("volume", F.explode(F.array_distinct(F.concat("t", pairs))).alias("term"))
-    return each.groupBy("term").agg(F.count("*").alias("keywords"), F.sum("volume").alias("volume")).filter("keywords >= 2").orderBy(F.desc("volume"), "term").limit(200)
+    return each.groupBy("term").agg(
+        F.count("*").alias("keywords"), F.sum("volume").alias("volume"),
+    ).filter("keywords >= 2").orderBy(F.desc("volume"), "term").limit(200)
 
 
 TERM_SUGGESTIONS = (
@@ -415,10 +448,14 @@ SELECT term, count(*) AS keywords, CAST(sum(volume) AS BIGINT) AS volume FROM e
 def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rare words of documents one edit from a word ten times as common; by deletion neighbourhoods, distance verified."""
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]{6,}"), 0)
-    df = table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(words)).alias("word")).groupBy("lang", "word").agg(F.count("*").alias("df"))
+    df = table(spark, sf_dir, "documents").select(
+        "lang", F.explode(F.array_distinct(words)).alias("word"),
+    ).groupBy("lang", "word").agg(F.count("*").alias("df"))
     pairs = S.near_spellings(df, "word", "df", ["lang"]).filter("common_df >= 30 and common_df >= 10 * rare_df")
     same_end = (F.substring("rare", 1, 1) == F.substring("common", 1, 1)) | (F.substring("rare", -1, 1) == F.substring("common", -1, 1))
-    close = pairs.filter(same_end & (F.levenshtein("rare", "common") <= 2)).withColumn("distance", T.osa_distance(F.col("rare"), F.col("common"), F.lit(1))).filter("distance <= 1")
+    close = pairs.filter(same_end & (F.levenshtein("rare", "common") <= 2)).withColumn(
+        "distance", T.osa_distance(F.col("rare"), F.col("common"), F.lit(1)),
+    ).filter("distance <= 1")
     best = F.row_number().over(Window.partitionBy("lang", "rare").orderBy("distance", F.desc("common_df"), "common"))
     return close.withColumn("k", best).filter("k = 1").select("lang", "rare", "rare_df", "common", "common_df")
 
@@ -426,7 +463,9 @@ def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def issue_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable identifiers of findings over part names."""
     p = table(spark, sf_dir, "part")
-    return p.select("p_partkey", N.issue_id(F.lit("weak_member"), F.col("p_brand"), F.col("p_name"), F.col("p_type"), T.decision_key).alias("issue_id"))
+    return p.select(
+        "p_partkey", N.issue_id(F.lit("weak_member"), F.col("p_brand"), F.col("p_name"), F.col("p_type"), T.decision_key).alias("issue_id"),
+    )
 
 
 ISSUE_IDS = r"""

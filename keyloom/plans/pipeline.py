@@ -31,9 +31,14 @@ class Config:
     overlap: int = 4
     weak: tuple[str, ...] = ("gift", "idea", "best", "for", "the", "in", "to", "a", "of")
     noise: tuple[tuple[str, str], ...] = (("account", r"\b(login|password|refund)\b"), ("local", r"\bnear me\b"), ("url", r"https?://|www\."))
-    occasions: tuple[tuple[str, str], ...] = (("christmas", r"\b(christmas|xmas)\b"), ("halloween", r"\bhalloween\b"), ("easter", r"\beaster\b"), ("thanksgiving", r"\bthanksgiving\b"))
+    occasions: tuple[tuple[str, str], ...] = (
+        ("christmas", r"\b(christmas|xmas)\b"), ("halloween", r"\bhalloween\b"), ("easter", r"\beaster\b"), ("thanksgiving", r"\bthanksgiving\b"),
+    )
     recipients: tuple[tuple[str, str], ...] = (("mom", r"\b(mom|mum|mother)\b"), ("dad", r"\b(dad|father)\b"), ("teacher", r"\bteacher\b"))
-    needs: tuple[tuple[str, str], ...] = (("how_to", r"\bhow to\b"), ("copy_ideas", r"\b(what to write|wishes|messages|quotes)\b"), ("choose", r"\b(best|gifts?)\b"), ("inspire", r"\bideas?\b"), ("shop", r"\b(buy|cheap|sale|price)\b"))
+    needs: tuple[tuple[str, str], ...] = (
+        ("how_to", r"\bhow to\b"), ("copy_ideas", r"\b(what to write|wishes|messages|quotes)\b"), ("choose", r"\b(best|gifts?)\b"),
+        ("inspire", r"\bideas?\b"), ("shop", r"\b(buy|cheap|sale|price)\b"),
+    )
     max_words: int = 12
     non_ascii: float = 0.3
     min_volume: int = 0
@@ -71,57 +76,85 @@ def ingest(rows: DataFrame, c: Config, decisions: DataFrame | None = None) -> tu
     spelt = words.join(Sp.respell_all(words, "id", "words", c.spelling), "id", "left")
     x = spelt.withColumn("norm", F.coalesce("respelled", F.lit(""))).withColumn("keyword", F.col("join_key")).withColumn("prior", F.lit(False))
     masked = mask(F.col("norm"), c.occasions)
-    x = x.withColumn("occasion", facet(F.col("norm"), c.occasions)).withColumn("recipient", facet(masked, c.recipients)).withColumn("need", F.coalesce(F.nullif(facet(F.col("norm"), c.needs), F.lit("")), F.lit("info")))
+    x = x.withColumn("occasion", facet(F.col("norm"), c.occasions)).withColumn("recipient", facet(masked, c.recipients)).withColumn(
+        "need", F.coalesce(F.nullif(facet(F.col("norm"), c.needs), F.lit("")), F.lit("info")),
+    )
     log = None
     if decisions is not None:
         x, log = Sc.decided_at_ingest(x, decisions)
     else:
         x = x.withColumn("action", F.lit(None).cast("string")).withColumn("decision_id", F.lit(None).cast("string"))
     foreign = T.non_ascii_ratio(F.col("join_key")) > c.non_ascii
-    noise = F.coalesce(F.when(F.col("norm") == "", "empty"), Sc.noise_reason(F.col("join_key"), F.col("typed"), F.col("norm"), list(c.noise), foreign), F.when(F.size("words") > c.max_words, "too long"))
+    noise = F.coalesce(
+        F.when(F.col("norm") == "", "empty"), Sc.noise_reason(F.col("join_key"), F.col("typed"), F.col("norm"), list(c.noise), foreign),
+        F.when(F.size("words") > c.max_words, "too long"),
+    )
     x = Sc.scoped(x, replace(c.scope, min_volume=c.scope.min_volume or c.min_volume or None), noise)
     if log is not None:
         log = Sc.kept_log(x, log)
     kept, excluded = M.kept_and_excluded(x)
     tokens = T.canonical_tokens(F.col("norm"))
-    kept = kept.withColumn("tokens", tokens).withColumn("tokset", T.word_set(F.col("tokens"))).withColumn("core", C.core_names(T.canonical_tokens(mask(F.col("norm"), c.occasions)), list(c.weak)))
+    kept = kept.withColumn("tokens", tokens).withColumn("tokset", T.word_set(F.col("tokens"))).withColumn(
+        "core", C.core_names(T.canonical_tokens(mask(F.col("norm"), c.occasions)), list(c.weak)),
+    )
     return kept.drop("keyword"), excluded.select("market", F.col("join_key").alias("keyword"), "volume", "reason", "src"), log
 
 
 def clusters(kept: DataFrame, c: Config, results: DataFrame | None = None) -> DataFrame:
     """One row a keyword with its cluster, the cluster's name and roll-up; results (market, keyword, url) outrank words."""
-    variants = M.merge_variants(kept.withColumn("vkey", T.variant_key(F.col("tokens"))).withColumn("o", F.col("id")), ["market", "vkey", "need", "occasion", "recipient"], "norm", "volume", "o")
+    variants = M.merge_variants(
+        kept.withColumn("vkey", T.variant_key(F.col("tokens"))).withColumn("o", F.col("id")), ["market", "vkey", "need", "occasion", "recipient"],
+        "norm", "volume", "o",
+    )
     base = variants.join(kept.select("id", "tokset", "core", "kd"), variants["o"] == F.col("id")).drop("o")
     base = C.checkpointed(base.withColumn("total", M.distinct_volume(F.col("volume"), F.col("variant_volumes"))))
     ranked = C.checkpointed(C.global_rank(base, [F.desc("total"), F.asc("norm"), F.asc("id")], "rank").select("id", "rank"))
     lexical = S.similar_pairs(base, "id", "tokset", ["market", "need", "occasion", "recipient"], c.similarity, list(c.weak))
     cores = base.select("id", "core")
-    lexical = lexical.join(cores.select(F.col("id").alias("a"), F.col("core").alias("ca")), "a").join(cores.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b").filter(N.cores_compatible(F.col("ca"), F.col("cb")))
+    lexical = lexical.join(cores.select(F.col("id").alias("a"), F.col("core").alias("ca")), "a").join(cores.select(F.col("id").alias("b"), F.col("core").alias("cb")), "b").filter(
+        N.cores_compatible(F.col("ca"), F.col("cb"))
+    )
     edges = lexical.select("a", "b", F.lit(1).alias("tier"), F.round("similarity", 6).alias("score"))
     if results is not None:
-        urls = results.select("market", T.decision_key(F.col("keyword")).alias("key"), T.canonical_url(F.col("url")).alias("url")).join(base.select("id", "market", T.decision_key(F.col("norm")).alias("key")), ["market", "key"]).select("id", "market", "url").distinct()
+        urls = results.select("market", T.decision_key(F.col("keyword")).alias("key"), T.canonical_url(F.col("url")).alias("url")).join(
+            base.select("id", "market", T.decision_key(F.col("norm")).alias("key")), ["market", "key"],
+        ).select("id", "market", "url").distinct()
         have = urls.select("id").distinct()
-        shared = S.overlap_pairs(urls, "id", "url", c.overlap, ["market"]).select("a", "b", F.lit(2).alias("tier"), F.col("shared").cast("double").alias("score"))
+        shared = S.overlap_pairs(urls, "id", "url", c.overlap, ["market"]).select(
+            "a", "b", F.lit(2).alias("tier"), F.col("shared").cast("double").alias("score"),
+        )
         # where both sides have results, words don't join them
-        both = edges.join(have.select(F.col("id").alias("a")), "a", "left_semi").join(have.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+        both = edges.join(have.select(F.col("id").alias("a")), "a", "left_semi").join(
+            have.select(F.col("id").alias("b")), "b", "left_semi",
+        ).select("a", "b")
         edges = edges.join(both, ["a", "b"], "left_anti").unionByName(shared)
-    placed = edges.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b")
+    placed = edges.join(ranked.select(F.col("id").alias("a"), F.col("rank").alias("ra")), "a").join(
+        ranked.select(F.col("id").alias("b"), F.col("rank").alias("rb")), "b",
+    )
     first = F.col("ra") < F.col("rb")
-    ordered = placed.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "tier", "score")
+    ordered = placed.select(
+        F.when(first, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("b"), "tier", "score",
+    )
     seeds = C.leaders(ranked, ordered).select("id", "seed", "tier", "score")
-    joined = F.when(F.col("tier") == 9, "seed").when(F.col("tier") == 2, F.concat(F.lit("serp:"), F.col("score").cast("long").cast("string"))).otherwise(F.concat(F.lit("lexical:"), F.format_number("score", 2)))
+    joined = F.when(F.col("tier") == 9, "seed").when(F.col("tier") == 2, F.concat(F.lit("serp:"), F.col("score").cast("long").cast("string"))).otherwise(
+        F.concat(F.lit("lexical:"), F.format_number("score", 2))
+    )
     return base.join(seeds, "id").withColumn("joined", joined).drop("tier", "score")
 
 
 def named_clusters(members: DataFrame, c: Config) -> DataFrame:
     """Clusters with name, volumes, difficulty, fit and priority."""
-    fluent = Sp.fluency(members.select(T.tokens(F.col("norm")).alias("words")), members.select("id", T.tokens(F.col("norm")).alias("words")), "id", "words")
+    fluent = Sp.fluency(
+        members.select(T.tokens(F.col("norm")).alias("words")), members.select("id", T.tokens(F.col("norm")).alias("words")), "id", "words",
+    )
     x = members.join(fluent, "id").withColumn("phrase", F.col("norm")).withColumn("typo", F.lit(False))
     names = C.best_name(x, "seed")
     # a member that wins far more and asks the same names the page in its place
     plain = ~F.rlike("phrase", F.lit(r"[0-9]|\b(what|when|where|who|why|how|which)$"))
     rivals = x.join(names, "seed").select(
-        "seed", "id", F.col("phrase").alias("keyword"), F.col("total").alias("volume"), N.winnable(F.col("total").cast("double"), F.col("kd"), c.reach).alias("winnable"), N.fit(F.col("kd"), c.reach).alias("fit"), "fluency", plain.alias("plain"), "core", (F.col("phrase") == F.col("name")).alias("is_seed")
+        "seed", "id", F.col("phrase").alias("keyword"), F.col("total").alias("volume"), N.winnable(
+            F.col("total").cast("double"), F.col("kd"), c.reach,
+        ).alias("winnable"), N.fit(F.col("kd"), c.reach).alias("fit"), "fluency", plain.alias("plain"), "core", (F.col("phrase") == F.col("name")).alias("is_seed")
     )
     easier = Pr.easier_seed(rivals, "seed").withColumnRenamed("name", "easier")
     names = names.join(easier, "seed", "left").select("seed", F.coalesce("easier", "name").alias("name"))
@@ -139,7 +172,11 @@ def plan(named: DataFrame, c: Config) -> DataFrame:
     groups = C.staged_groups(live, "seed", [("occasion", ["market", "occasion"]), ("recipient", ["market", "recipient"])], c.least_pillar)
     x = live.join(groups, "seed").withColumn("pillar_id", F.when(F.col("stage") == "rest", "").otherwise(F.concat_ws(":", "stage", "group_key")))
     extra = (F.col("occasion") != "").cast("int") + (F.col("recipient") != "").cast("int")
-    hub = F.row_number().over(Window.partitionBy("pillar_id").orderBy(F.desc((F.col("need").isin("choose", "inspire")).cast("int")), F.asc("extra"), F.desc("winnable"), F.asc("name")))
+    hub = F.row_number().over(
+        Window.partitionBy("pillar_id").orderBy(
+            F.desc((F.col("need").isin("choose", "inspire")).cast("int")), F.asc("extra"), F.desc("winnable"), F.asc("name"),
+        )
+    )
     x = x.withColumn("extra", extra).withColumn("role", F.when(F.col("pillar_id") == "", "standalone").when(hub == 1, "pillar").otherwise("cluster"))
     x = L.unique_slugs(x.withColumn("slug0", T.slugify(F.col("name"))), "slug0", [F.desc("priority"), F.asc("seed")])
     x = x.withColumn("post_type", P.post_type(F.col("need"), F.col("role") == "pillar", F.col("recipient"), F.lit("")))
@@ -151,7 +188,10 @@ def plan(named: DataFrame, c: Config) -> DataFrame:
 
 def link_rows(posts: DataFrame) -> DataFrame:
     """Internal links of a plan."""
-    x = posts.select("market", "slug", F.col("pillar_id").alias("pillar"), (F.col("role") == "pillar").alias("is_pillar"), F.col("priority").cast("double").alias("value"), "words", F.array("name").alias("anchors"))
+    x = posts.select(
+        "market", "slug", F.col("pillar_id").alias("pillar"), (F.col("role") == "pillar").alias("is_pillar"),
+        F.col("priority").cast("double").alias("value"), "words", F.array("name").alias("anchors"),
+    )
     return L.plan(x)
 
 
@@ -164,4 +204,7 @@ def run(rows: DataFrame, config: Config | None = None, results: DataFrame | None
     named = C.checkpointed(named_clusters(members, c))
     posts = C.checkpointed(plan(named, c))
     logged = {"decisions": log} if log is not None else {}
-    return logged | {"keywords": members, "excluded": excluded, "clusters": named, "plan": posts, "links": link_rows(posts), "gaps": P.gaps(posts.filter("pillar_id <> ''"), "pillar_id", "need")}
+    return logged | {
+        "keywords": members, "excluded": excluded, "clusters": named, "plan": posts, "links": link_rows(posts),
+        "gaps": P.gaps(posts.filter("pillar_id <> ''"), "pillar_id", "need"),
+    }

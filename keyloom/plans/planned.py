@@ -46,7 +46,9 @@ _GROUPS = {"color": ["red", "blue", "green", "black"], "size": ["small", "large"
 def category_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First custom category of each part name, with phrases and volume."""
     kw = _phrases(spark, sf_dir)
-    return kw.groupBy(X.category(F.col("norm"), _GROUPS)["first"].alias("category")).agg(F.count("*").alias("keywords"), F.sum("volume").alias("volume"))
+    return kw.groupBy(X.category(F.col("norm"), _GROUPS)["first"].alias("category")).agg(
+        F.count("*").alias("keywords"), F.sum("volume").alias("volume"),
+    )
 
 
 CATEGORY_COUNTS = (
@@ -72,7 +74,9 @@ SELECT market, string_agg(l || ' ' || n || ' (' || v || ')', '; ' ORDER BY v DES
 
 def bucketed_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Types whose rounded sizes are all planner buckets."""
-    p = table(spark, sf_dir, "part").select("p_type", F.when(F.col("p_size") > 25, 50).when(F.col("p_size") > 5, 10).otherwise(F.col("p_size")).alias("v"))
+    p = table(spark, sf_dir, "part").select(
+        "p_type", F.when(F.col("p_size") > 25, 50).when(F.col("p_size") > 5, 10).otherwise(F.col("p_size")).alias("v"),
+    )
     return U.bucketed_volumes(p, "p_type", "v")
 
 
@@ -85,7 +89,9 @@ SELECT p_type, bool_and(v IN (0, 10, 50, 100, 500, 1000, 5000, 10000, 50000, 100
 def plan_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Planned titles that are the same by signature: how many parts share each, the first of them."""
     p = table(spark, sf_dir, "part")
-    return p.groupBy(T.signature(T.normal_form(F.concat_ws(" ", F.lit("the best of"), "p_name"))).alias("signature")).agg(F.count("*").alias("titles"), F.min("p_partkey").alias("first"))
+    return p.groupBy(T.signature(T.normal_form(F.concat_ws(" ", F.lit("the best of"), "p_name"))).alias("signature")).agg(
+        F.count("*").alias("titles"), F.min("p_partkey").alias("first"),
+    )
 
 
 PLAN_SIGNATURES = f"""
@@ -99,7 +105,10 @@ def _grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     kw = _phrases(spark, sf_dir).withColumn("keyword", F.concat_ws(" ", "norm", "type"))
     first = F.row_number().over(Window.partitionBy("market", "type").orderBy(F.desc("volume"), "id"))
     need = F.element_at(F.array(F.lit("choose"), F.lit("shop"), F.lit("info")), (F.pmod(F.col("id"), F.lit(3)) + 1).cast("int"))
-    return kw.select("market", F.col("type").alias("group"), "keyword", (first == 1).alias("is_main"), "volume", "kd", need.alias("need"), F.lit("").alias("parent"), "words")
+    return kw.select(
+        "market", F.col("type").alias("group"), "keyword", (first == 1).alias("is_main"), "volume", "kd", need.alias("need"),
+        F.lit("").alias("parent"), "words",
+    )
 
 
 def back_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,10 +177,22 @@ def need_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets, theme, need and fit of phrases made of parts that the example taxonomy knows."""
     kw = _phrases(spark, sf_dir)
     pick = lambda salt, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.pmod(F.floor(F.col("id") / salt), F.lit(len(v))) + 1).cast("int"))
-    phrase = F.trim(F.regexp_replace(F.concat_ws(" ", pick(1, "how to", "best", "buy", "", "what to write"), pick(5, "christmas", "mothers day", ""), pick(15, "funny", ""), pick(30, "mugs", "gifts", "facts"), F.lit("for"), pick(90, "dad", "teacher", "dog lovers")), r"\s+", " "))
+    phrase = F.trim(
+        F.regexp_replace(
+            F.concat_ws(
+                " ", pick(1, "how to", "best", "buy", "", "what to write"), pick(5, "christmas", "mothers day", ""), pick(15, "funny", ""),
+                pick(30, "mugs", "gifts", "facts"), F.lit("for"), pick(90, "dad", "teacher", "dog lovers"),
+            ),
+            r"\s+", " ",
+        )
+    )
     x = kw.select("id", phrase.alias("norm"))
-    x = x.withColumn("f", X.facets(F.col("norm"), X.EXAMPLE)).withColumn("theme", X.theme(F.col("norm"), F.col("f"), X.EXAMPLE)).withColumn("need", X.need(F.col("norm"), F.col("f"), F.col("theme"), X.EXAMPLE))
-    return x.select("id", "norm", "f.occasion", "f.interest", "f.recipient", "f.product", "f.style", "theme", "need", P.need_fit(F.col("need")).alias("fit"))
+    x = x.withColumn("f", X.facets(F.col("norm"), X.EXAMPLE)).withColumn("theme", X.theme(F.col("norm"), F.col("f"), X.EXAMPLE)).withColumn(
+        "need", X.need(F.col("norm"), F.col("f"), F.col("theme"), X.EXAMPLE),
+    )
+    return x.select(
+        "id", "norm", "f.occasion", "f.interest", "f.recipient", "f.product", "f.style", "theme", "need", P.need_fit(F.col("need")).alias("fit"),
+    )
 
 
 NEED_ROWS = (
@@ -189,7 +210,14 @@ SELECT id, norm, ['christmas', 'mothers-day', ''][b + 1] AS occasion, CASE WHEN
 def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole keyword pipeline over part names: the plan."""
     p = table(spark, sf_dir, "part")
-    text = F.concat_ws(" ", F.element_at(F.array(*[F.lit(x) for x in ("christmas", "best", "how to wrap", "easter gifts for mom", "")]), (F.pmod(F.col("p_partkey"), F.lit(5)) + 1).cast("int")), "p_name")
+    text = F.concat_ws(
+        " ",
+        F.element_at(
+            F.array(*[F.lit(x) for x in ("christmas", "best", "how to wrap", "easter gifts for mom", "")]),
+            (F.pmod(F.col("p_partkey"), F.lit(5)) + 1).cast("int"),
+        ),
+        "p_name",
+    )
     rows = p.select(
         F.trim(text).alias("keyword"), F.lit("us").alias("market"), F.floor("p_retailprice").cast("long").alias("volume"), F.lit(3).alias("vclass"), F.col("p_size").cast("double").alias("kd"), F.lit(None).cast("double").alias("position"), F.lit("").alias("url"), F.lit("part").alias("src"), F.lit("table").alias("tool"),
     )
@@ -197,5 +225,10 @@ def keyword_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("stt", "slug", "pillar_id", "role", "post_type", "need", "volume", "priority", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, plan_signatures, back_check, grouping_audit, pillar_numbers, need_rows, keyword_pipeline)}
+QUERIES = {
+    f.__name__: f for f in (
+        topic_words, duplicate_slugs, category_counts, label_mix, bucketed_volumes, plan_signatures, back_check, grouping_audit, pillar_numbers,
+        need_rows, keyword_pipeline,
+    )
+}
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

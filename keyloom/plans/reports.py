@@ -20,18 +20,27 @@ def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many part names, and what volume, have results, difficulty, parent and trend."""
     kw = _phrases(spark, sf_dir)
     some = lambda n, value, empty: F.when(F.col("id") % n == 0, value).otherwise(empty)
-    rows = kw.select("volume", some(2, F.array(F.lit("u")), F.array().cast("array<string>")).alias("urls"), F.when(F.col("id") % 3 != 0, F.col("kd")).alias("kd"), some(5, F.col("type"), F.lit("")).alias("parent"), F.when(F.col("id") % 7 == 0, F.array(F.lit(1.0))).alias("trend"))
+    rows = kw.select(
+        "volume", some(2, F.array(F.lit("u")), F.array().cast("array<string>")).alias("urls"), F.when(F.col("id") % 3 != 0, F.col("kd")).alias("kd"),
+        some(5, F.col("type"), F.lit("")).alias("parent"), F.when(F.col("id") % 7 == 0, F.array(F.lit(1.0))).alias("trend"),
+    )
     return U.coverage(rows)
 
 
 EVIDENCE_COVERAGE = _KW + " SELECT " + ", ".join(
-    f"count(*) FILTER ({c}) AS {n}_keywords, CAST(coalesce(sum(volume) FILTER ({c}), 0) AS BIGINT) AS {n}_volume" for n, c in (("results", "id % 2 = 0"), ("difficulty", "id % 3 <> 0"), ("parent", "id % 5 = 0"), ("trend", "id % 7 = 0"))
+    f"count(*) FILTER ({c}) AS {n}_keywords, CAST(coalesce(sum(volume) FILTER ({c}), 0) AS BIGINT) AS {n}_volume" for n, c in (
+        ("results", "id % 2 = 0"), ("difficulty", "id % 3 <> 0"), ("parent", "id % 5 = 0"), ("trend", "id % 7 = 0"),
+    )
 ) + " FROM kw"
 
 
 def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     kw = _phrases(spark, sf_dir)
-    return kw.select("id", F.concat_ws("|", "market", "type").alias("cluster"), "volume", _one_of("seed", "serp:5", "lexical:0.80", "lexical:0.60").alias("joined"), F.when(F.col("id") % 17 == 0, F.array(F.lit("d1"))).alias("decision_ids"), F.when(F.col("id") % 11 == 0, "g").otherwise("").alias("group"))
+    return kw.select(
+        "id", F.concat_ws("|", "market", "type").alias("cluster"), "volume",
+        _one_of("seed", "serp:5", "lexical:0.80", "lexical:0.60").alias("joined"),
+        F.when(F.col("id") % 17 == 0, F.array(F.lit("d1"))).alias("decision_ids"), F.when(F.col("id") % 11 == 0, "g").otherwise("").alias("group"),
+    )
 
 
 _JOINED = _KW + ", j AS (SELECT id, market || '|' || type AS cluster, volume, ['seed', 'serp', 'lexical', 'lexical'][id % 4 + 1] AS kind, id % 17 = 0 AS d, id % 11 = 0 AS g FROM kw)"
@@ -66,7 +75,10 @@ EXCLUDED_REASONS = _KW + " SELECT ['volume', 'language', 'too long'][id % 3 + 1]
 def node_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part that names each type: strong by what it wins and owns, weak by extra words."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select("id", "type", (F.col("volume") * (F.col("id") % 9)).alias("winnable"), "volume", (F.size("words") - 1).alias("extra"), (F.col("id") % 3).cast("double").alias("fluency"))
+    rows = kw.select(
+        "id", "type", (F.col("volume") * (F.col("id") % 9)).alias("winnable"), "volume", (F.size("words") - 1).alias("extra"),
+        (F.col("id") % 3).cast("double").alias("fluency"),
+    )
     return U.representative(rows, "type")
 
 
@@ -77,7 +89,10 @@ k AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY s DESC, f DESC, vo
 def pillar_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cluster that leads each brand, and whether it is worth a post of its own."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select("id", F.col("market").alias("pillar"), _one_of("info", "choose", "shop").alias("need"), (F.col("id") % 2).alias("facets"), F.size("words").alias("extra"), (F.col("volume") * (F.col("id") % 4)).alias("winnable"), "volume")
+    rows = kw.select(
+        "id", F.col("market").alias("pillar"), _one_of("info", "choose", "shop").alias("need"), (F.col("id") % 2).alias("facets"),
+        F.size("words").alias("extra"), (F.col("volume") * (F.col("id") % 4)).alias("winnable"), "volume",
+    )
     hubs = U.pillar_hub(rows, "pillar")
     flagged = rows.join(hubs, "pillar").withColumn("is_hub", F.col("id") == F.col("hub"))
     own = U.promoted(flagged, "pillar", share=0.02).select("pillar", F.lit(True).alias("own"))
@@ -91,7 +106,9 @@ k AS (SELECT *, row_number() OVER (PARTITION BY pillar ORDER BY list DESC, facet
 def cross_pillar_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of one type and name under two brands: the one that owns most stays, the others name it."""
     kw = _phrases(spark, sf_dir)
-    posts = kw.select("id", F.col("market").alias("pillar"), F.col("type").alias("topic"), F.col("vkey").alias("core"), F.col("volume").alias("owned"), "words")
+    posts = kw.select(
+        "id", F.col("market").alias("pillar"), F.col("type").alias("topic"), F.col("vkey").alias("core"), F.col("volume").alias("owned"), "words",
+    )
     return U.across_pillars(posts).select("id", "merged_into")
 
 
@@ -103,7 +120,10 @@ def one_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The one group of each part name that stands in several: where it is main, else the one whose main shares most words."""
     kw = _phrases(spark, sf_dir)
     mains = kw.groupBy("type").agg(F.min_by("words", "id").alias("main_words"))
-    tags = kw.join(mains, "type").select(F.lit("us").alias("market"), F.col("norm").alias("keyword"), F.col("type").alias("group"), (F.col("id") % 23 == 0).alias("is_main"), "words", "main_words")
+    tags = kw.join(mains, "type").select(
+        F.lit("us").alias("market"), F.col("norm").alias("keyword"), F.col("type").alias("group"), (F.col("id") % 23 == 0).alias("is_main"), "words",
+        "main_words",
+    )
     return R.choose_group(tags.dropDuplicates(["keyword", "group", "is_main"])).select("keyword", "group", "is_main")
 
 
@@ -114,9 +134,16 @@ k AS (SELECT *, row_number() OVER (PARTITION BY keyword ORDER BY is_main DESC, s
 def post_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type, fit, priority and working title of each part as a post."""
     kw = _phrases(spark, sf_dir)
-    need, hub, recipient = _one_of("choose", "how_to", "info", "copy_ideas", "inspire", "shop"), F.col("id") % 13 == 0, F.when(F.col("id") % 4 == 0, "mom").otherwise("")
-    x = kw.select("id", "norm", F.col("volume").cast("double").alias("v"), need.alias("need"), P.post_type(need, hub, recipient, F.lit("")).alias("post_type")).withColumn("fit", P.need_fit(F.col("need")))
-    return x.select("id", "post_type", "fit", P.priority(F.col("v"), F.col("fit")).alias("priority"), P.post_titles(F.col("norm"), F.col("post_type"), F.lit("us")).alias("title"))
+    need, hub, recipient = _one_of(
+        "choose", "how_to", "info", "copy_ideas", "inspire", "shop",
+    ), F.col("id") % 13 == 0, F.when(F.col("id") % 4 == 0, "mom").otherwise("")
+    x = kw.select(
+        "id", "norm", F.col("volume").cast("double").alias("v"), need.alias("need"), P.post_type(need, hub, recipient, F.lit("")).alias("post_type"),
+    ).withColumn("fit", P.need_fit(F.col("need")))
+    return x.select(
+        "id", "post_type", "fit", P.priority(F.col("v"), F.col("fit")).alias("priority"),
+        P.post_titles(F.col("norm"), F.col("post_type"), F.lit("us")).alias("title"),
+    )
 
 
 POST_PLAN = _KW + """, n AS (SELECT id, norm, volume, ['choose', 'how_to', 'info', 'copy_ideas', 'inspire', 'shop'][id % 6 + 1] AS need FROM kw),
@@ -151,7 +178,11 @@ r AS (SELECT *, row_number() OVER (PARTITION BY slug, kind ORDER BY j DESC, url)
 def given_hubs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hubs of given pillars: the given one unless another wins half as much again."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select("id", "market", F.when(F.col("id") % 5 != 0, F.col("type")).alias("pillar"), F.concat_ws(" ", "norm", F.col("id").cast("string")).alias("name"), (F.col("id") % 7 == 0).alias("is_given_hub"), (F.col("volume") * (F.col("id") % 3 + 1)).cast("double").alias("winnable"))
+    rows = kw.select(
+        "id", "market", F.when(F.col("id") % 5 != 0, F.col("type")).alias("pillar"),
+        F.concat_ws(" ", "norm", F.col("id").cast("string")).alias("name"), (F.col("id") % 7 == 0).alias("is_given_hub"),
+        (F.col("volume") * (F.col("id") % 3 + 1)).cast("double").alias("winnable"),
+    )
     return P.given_pillars(rows).select("id", "is_hub")
 
 
@@ -175,7 +206,11 @@ def work_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writing order of parts as posts with deadlines around a day."""
     kw = _phrases(spark, sf_dir)
     day = F.to_date(F.lit("2026-06-01"))
-    posts = kw.select(F.col("id").alias("stt"), F.when(F.col("id") % 4 != 0, F.date_add(day, (F.col("id") % 61 - 20).cast("int"))).alias("deadline"), F.when(F.col("id") % 8 == 0, "easter").otherwise("").alias("occasion"), _one_of("A", "B", "C").alias("bucket"), F.col("volume").alias("priority"))
+    posts = kw.select(
+        F.col("id").alias("stt"), F.when(F.col("id") % 4 != 0, F.date_add(day, (F.col("id") % 61 - 20).cast("int"))).alias("deadline"),
+        F.when(F.col("id") % 8 == 0, "easter").otherwise("").alias("occasion"), _one_of("A", "B", "C").alias("bucket"),
+        F.col("volume").alias("priority"),
+    )
     return P.schedule(posts, day).select("stt", "timing", "work_order")
 
 
@@ -187,7 +222,9 @@ SELECT stt, timing, row_number() OVER (ORDER BY list_position(['due soon', 'late
 def theme_research(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each brand's part names cover given themes."""
     kw = _phrases(spark, sf_dir)
-    return P.research(kw.select(F.col("market").alias("topic"), "volume", "norm"), [("sizes", "small|large"), ("reds", r"\bred\b"), ("nothing", "zzz")], thin=5)
+    return P.research(
+        kw.select(F.col("market").alias("topic"), "volume", "norm"), [("sizes", "small|large"), ("reds", r"\bred\b"), ("nothing", "zzz")], thin=5,
+    )
 
 
 THEME_RESEARCH = _KW + r""", t(theme, p) AS (VALUES ('sizes', 'small|large'), ('reds', '\bred\b'), ('nothing', 'zzz')),
@@ -199,7 +236,9 @@ def text_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stale years, stray letters, letters beyond ASCII, decision and join keys, and list cells of part names written in odd ways."""
     p = table(spark, sf_dir, "part")
     k = F.pmod(F.col("p_partkey"), F.lit(6))
-    x = F.when(k == 0, F.concat("p_name", F.lit(" 2019"))).when(k == 1, F.concat(F.lit("k "), "p_name")).when(k == 2, F.concat("p_name", F.lit(" café éé"))).when(k == 3, F.concat(F.lit("  The-"), F.upper("p_name"), F.lit("’s  "))).when(k == 4, F.concat("p_name", F.lit("; - x, y\n2) z"))).otherwise(F.concat("p_name", F.lit(", b, c")))
+    x = F.when(k == 0, F.concat("p_name", F.lit(" 2019"))).when(k == 1, F.concat(F.lit("k "), "p_name")).when(k == 2, F.concat("p_name", F.lit(" café éé"))).when(k == 3, F.concat(F.lit("  The-"), F.upper("p_name"), F.lit("’s  "))).when(
+        k == 4, F.concat("p_name", F.lit("; - x, y\n2) z")),
+    ).otherwise(F.concat("p_name", F.lit(", b, c")))
     c = F.col("x")
     return p.select("p_partkey", x.alias("x")).select(
         "p_partkey", T.stale_year(c, 2025).alias("stale"), T.stray_letter(c).alias("stray"), F.round(T.non_ascii_ratio(c), 6).alias("non_ascii"), T.decision_key(c).alias("decision_key"), T.join_key(c).alias("join_key"), F.array_join(T.split_list(c), "/").alias("items")
@@ -220,9 +259,17 @@ def issue_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Issues on parts with the decision that answers each: by its id, by keyword and target, or by keyword and action."""
     kw = _phrases(spark, sf_dir)
     s = F.col("id").cast("string")
-    issues = kw.select(F.concat(F.lit("BC-"), s).alias("issue_id"), F.lit("us").alias("market"), F.concat(F.lit("k"), s).alias("keyword"), F.concat(F.lit("o"), s).alias("other"), F.lit("merge").alias("action"))
+    issues = kw.select(
+        F.concat(F.lit("BC-"), s).alias("issue_id"), F.lit("us").alias("market"), F.concat(F.lit("k"), s).alias("keyword"),
+        F.concat(F.lit("o"), s).alias("other"), F.lit("merge").alias("action"),
+    )
     by = F.pmod(F.col("id"), F.lit(4))
-    d = kw.filter("id % 4 <> 3").select(F.concat(F.lit("d"), s).alias("decision_id"), F.when(by == 0, F.concat(F.lit("BC-"), s)).alias("source_issue"), F.lit("us").alias("market"), F.when(by == 0, "x").otherwise(F.concat(F.lit("k"), s)).alias("keyword"), F.when(by == 1, F.concat(F.lit("o"), s)).otherwise("y").alias("target"), F.when(by == 2, "merge").otherwise("split").alias("action"), _one_of("applied", "stale").alias("status"))
+    d = kw.filter("id % 4 <> 3").select(
+        F.concat(F.lit("d"), s).alias("decision_id"), F.when(by == 0, F.concat(F.lit("BC-"), s)).alias("source_issue"), F.lit("us").alias("market"),
+        F.when(by == 0, "x").otherwise(F.concat(F.lit("k"), s)).alias("keyword"),
+        F.when(by == 1, F.concat(F.lit("o"), s)).otherwise("y").alias("target"), F.when(by == 2, "merge").otherwise("split").alias("action"),
+        _one_of("applied", "stale").alias("status"),
+    )
     return P.issue_status(issues, d).select("issue_id", "state", "decision_id")
 
 
@@ -233,8 +280,15 @@ def carried_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Team columns of an earlier plan brought to a new one, by address, then by signature."""
     kw = _phrases(spark, sf_dir)
     s = F.col("id").cast("string")
-    posts = kw.select(s.alias("slug"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("/"), s)).otherwise("").alias("url"), F.when(F.col("id") % 3 == 1, F.concat(F.lit("sig "), s)).otherwise("").alias("signature"), F.when(F.col("id") % 6 == 0, "mine").otherwise("").alias("owner"))
-    previous = kw.filter("id % 5 <> 0").select(F.concat(F.lit("old"), s).alias("old_slug"), F.concat(F.lit("/"), s).alias("url"), F.concat(F.lit("sig "), s).alias("signature"), F.concat(F.lit("team "), s).alias("owner"))
+    posts = kw.select(
+        s.alias("slug"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("/"), s)).otherwise("").alias("url"),
+        F.when(F.col("id") % 3 == 1, F.concat(F.lit("sig "), s)).otherwise("").alias("signature"),
+        F.when(F.col("id") % 6 == 0, "mine").otherwise("").alias("owner"),
+    )
+    previous = kw.filter("id % 5 <> 0").select(
+        F.concat(F.lit("old"), s).alias("old_slug"), F.concat(F.lit("/"), s).alias("url"), F.concat(F.lit("sig "), s).alias("signature"),
+        F.concat(F.lit("team "), s).alias("owner"),
+    )
     return U.carry_over(posts, previous, ["owner"]).select("slug", "owner", "carried")
 
 
@@ -249,7 +303,11 @@ def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     hubs = kw.groupBy("market", "type").agg(F.min("id").alias("hub"))
     x = kw.join(hubs, ["market", "type"])
     later = F.element_at(F.array(*[F.lit(t) for t in _TYPES]), (F.floor(F.col("id") / 6) % 6 + 1).cast("int"))
-    return x.select("market", F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.col("type").alias("pillar"), F.col("type").alias("topic"), (F.col("id") == F.col("hub")).alias("is_pillar"), F.lower("type").alias("key"), _one_of(*_TYPES).alias("interest"), later.alias("occasion"), "volume")
+    return x.select(
+        "market", F.concat(F.lit("s"), F.col("id").cast("string")).alias("slug"), F.col("type").alias("pillar"), F.col("type").alias("topic"),
+        (F.col("id") == F.col("hub")).alias("is_pillar"), F.lower("type").alias("key"), _one_of(*_TYPES).alias("interest"), later.alias("occasion"),
+        "volume",
+    )
 
 
 _POSTS = _KW + """, po AS (SELECT id, market, 's' || id AS slug, type, min(id) OVER (PARTITION BY market, type) = id AS is_pillar, ['economy', 'large', 'medium', 'promo', 'small', 'standard'][id % 6 + 1] AS interest,
@@ -271,7 +329,9 @@ def backlink_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     posts = _posts(spark, sf_dir)
     n = F.substring("slug", 2, 20).cast("long")
     links = posts.select(F.col("slug").alias("source"), F.concat(F.lit("s"), (n + 1).cast("string")).alias("target"))
-    return L.backlink_queue(posts, links, posts.filter(n % 4 == 0).select("slug")).select("market", "source", "target", F.col("place").cast("long").alias("place"))
+    return L.backlink_queue(posts, links, posts.filter(n % 4 == 0).select("slug")).select(
+        "market", "source", "target", F.col("place").cast("long").alias("place"),
+    )
 
 
 BACKLINK_QUEUE = _POSTS + """, p AS (SELECT n.market, o.slug AS source, n.slug AS target, CAST(o.interest = n.interest AS INT) + CAST(o.occasion = n.occasion AS INT) AS shared, o.is_pillar, o.volume, n.id % 4 = 1 AS had

@@ -14,7 +14,10 @@ from ..operators import review as R
 from ..operators import scope as Sc
 from .phrases import _KW, _phrases, normal_sql, table
 
-SCOPE = Sc.Scope(min_volume=950, max_volume=1080, max_kd=45.0, include=("red|blue|small|large|green",), exclude=("tin$", "^old"), only=(("size_class", ("small", "medium")),), drop_shop=True)
+SCOPE = Sc.Scope(
+    min_volume=950, max_volume=1080, max_kd=45.0, include=("red|blue|small|large|green",), exclude=("tin$", "^old"),
+    only=(("size_class", ("small", "medium")),), drop_shop=True,
+)
 
 
 def _pick(values: tuple, n: int, salt: int = 0):
@@ -28,7 +31,9 @@ def _offered(spark: SparkSession, sf_dir: str) -> DataFrame:
     act = F.when(F.col("id") % 13 == 0, "keep_keyword").when(F.col("id") % 29 == 0, "drop_keyword")
     return kw.select(
         "id", "keyword", "norm", _pick(("us", "uk", "all", "fr"), 4).alias("market"), "volume", F.when(F.col("id") % 7 == 0, -1).otherwise(2).alias("vclass"), F.when(F.col("id") % 11 != 0, F.col("kd")).alias("kd"),
-        _pick(("choose", "shop", "info"), 3).alias("need"), (F.col("id") % 17 == 0).alias("prior"), act.alias("action"), F.when(act.isNotNull(), F.concat(F.lit("d"), F.col("id").cast("string"))).alias("decision_id"),
+        _pick(("choose", "shop", "info"), 3).alias("need"), (F.col("id") % 17 == 0).alias("prior"), act.alias("action"), F.when(
+            act.isNotNull(), F.concat(F.lit("d"), F.col("id").cast("string")),
+        ).alias("decision_id"),
         F.when(F.col("kd") < 15, "small").when(F.col("kd") < 35, "medium").otherwise("large").alias("size_class"),
     )
 
@@ -60,7 +65,10 @@ SELECT id, coalesce(first, CASE WHEN NOT keep AND NOT prior THEN early END, CASE
 def ingest_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep and drop decisions on part names, one for every part: found, of several markets, stale or clashing."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select(F.col("norm").alias("keyword"), F.when(F.length("norm") % 2 == 0, "us").otherwise(F.when(F.col("id") % 2 == 0, "us").otherwise("uk")).alias("market")).distinct()
+    rows = kw.select(
+        F.col("norm").alias("keyword"),
+        F.when(F.length("norm") % 2 == 0, "us").otherwise(F.when(F.col("id") % 2 == 0, "us").otherwise("uk")).alias("market"),
+    ).distinct()
     d = kw.select(
         F.concat(F.lit("d"), F.col("id").cast("string")).alias("decision_id"), F.when(F.col("id") % 2 == 0, "keep_keyword").otherwise("drop_keyword").alias("action"), F.when(F.col("id") % 3 == 0, "us").otherwise("").alias("market"),
         F.when(F.col("id") % 5 == 0, F.concat("norm", F.lit(" missing"))).otherwise(F.col("norm")).alias("keyword"),
@@ -82,7 +90,10 @@ SELECT f.decision_id, f.action, CASE WHEN f.n = 0 THEN 'stale' WHEN f.n > 1 THEN
 def prior_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts grouped by type and brand's first digit as given groups: each one's place in its cluster, the main first."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select("id", F.when(F.col("id") % 5 != 0, F.col("type")).alias("group"), F.substring("market", 1, 7).alias("market"), "keyword", "volume", (F.col("id") % 19 == 0).alias("is_main"))
+    rows = kw.select(
+        "id", F.when(F.col("id") % 5 != 0, F.col("type")).alias("group"), F.substring("market", 1, 7).alias("market"), "keyword", "volume",
+        (F.col("id") % 19 == 0).alias("is_main"),
+    )
     return Pr.prior_clusters(rows, "id").select("id", "group", "market", F.col("place").cast("long").alias("place"), "is_seed", "split")
 
 
@@ -97,7 +108,10 @@ SELECT id, "group", market, row_number() OVER w AS place, row_number() OVER w =
 def parent_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merge candidates by parent topic: a part and the first of its brand, type and size class, in order of volume."""
     kw = _phrases(spark, sf_dir)
-    rows = kw.select("id", F.row_number().over(_by_volume()).alias("rank"), "market", F.when(F.col("id") % 4 != 0, F.col("type")).alias("parent"), F.when(F.col("kd") < 25, "list").otherwise("info").alias("ngroup"))
+    rows = kw.select(
+        "id", F.row_number().over(_by_volume()).alias("rank"), "market", F.when(F.col("id") % 4 != 0, F.col("type")).alias("parent"),
+        F.when(F.col("kd") < 25, "list").otherwise("info").alias("ngroup"),
+    )
     return Pr.parent_hints(rows)
 
 
@@ -123,7 +137,10 @@ def month_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
     span = F.concat(F.lit("SV trend ("), F.date_format("m", "MM-yyyy"), F.lit(" - "), F.date_format(F.add_months("m", 11), "MM-yyyy"), F.lit(")"))
     x = months.select(header.alias("header"), span.alias("span"))
     month = E.monthly_header(F.col("header"))
-    return x.select("header", month.alias("month"), E.month_shift(month, F.lit(5)).alias("later"), E.header_range(F.col("span"))["first"].alias("first"), E.header_range(F.col("span"))["last"].alias("last"))
+    return x.select(
+        "header", month.alias("month"), E.month_shift(month, F.lit(5)).alias("later"), E.header_range(F.col("span"))["first"].alias("first"),
+        E.header_range(F.col("span"))["last"].alias("last"),
+    )
 
 
 MONTH_HEADERS = """
@@ -137,12 +154,19 @@ def trend_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
     kw = _phrases(spark, sf_dir)
     months = [f"2025-{m:02d}" for m in range(1, 13)]
     k = F.pmod(F.col("id"), F.lit(4))
-    keys = F.when(k == 0, F.array(*[F.lit(m) for m in months])).when(k == 1, F.array(*[F.lit(m) for m in months[:5]])).otherwise(F.array().cast("array<string>"))
+    keys = F.when(k == 0, F.array(*[F.lit(m) for m in months])).when(
+        k == 1, F.array(*[F.lit(m) for m in months[:5]]),
+    ).otherwise(F.array().cast("array<string>"))
     monthly = F.map_from_arrays(keys, F.transform(keys, lambda m, i: F.col("volume") + i))
-    cell = F.when(k == 2, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.col("volume") * i).cast("string")), ", ")).when(k == 3, F.lit("[0, 50, 100]"))
+    cell = F.when(
+        k == 2, F.array_join(F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (F.col("volume") * i).cast("string")), ", "),
+    ).when(k == 3, F.lit("[0, 50, 100]"))
     header = F.when(F.col("id") % 8 == 2, "SV trend (01-2025 - 06-2025)").otherwise("Trend")
     got = E.read_trend(monthly, months, cell, header)
-    return kw.select("id", F.size(got["values"]).cast("long").alias("n"), F.aggregate(got["values"], F.lit(0.0), lambda a, v: a + v).alias("total"), got["scale"].alias("scale"), got["last"].alias("last"))
+    return kw.select(
+        "id", F.size(got["values"]).cast("long").alias("n"), F.aggregate(got["values"], F.lit(0.0), lambda a, v: a + v).alias("total"),
+        got["scale"].alias("scale"), got["last"].alias("last"),
+    )
 
 
 TREND_READING = (
@@ -155,11 +179,18 @@ TREND_READING = (
 def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facets that a part names beyond its group's own, those two parts of a brand share, and how specific its words are."""
     kw = _phrases(spark, sf_dir)
-    facet = {"occasion": F.when(F.col("id") % 2 == 0, "a").otherwise(""), "recipient": F.when(F.col("id") % 3 == 0, "b").otherwise(""), "interest": F.when(F.col("id") % 5 == 0, "c"), "product": F.when(F.col("id") % 7 == 0, "d").otherwise("")}
+    facet = {
+        "occasion": F.when(F.col("id") % 2 == 0, "a").otherwise(""), "recipient": F.when(F.col("id") % 3 == 0, "b").otherwise(""),
+        "interest": F.when(F.col("id") % 5 == 0, "c"), "product": F.when(F.col("id") % 7 == 0, "d").otherwise(""),
+    }
     own = F.element_at(F.array(F.lit("occasion"), F.lit("recipient"), F.lit("product")), (F.col("id") % 3 + 1).cast("int"))
     other = {"occasion": F.lit("a"), "recipient": F.lit("b"), "interest": F.lit("x"), "product": F.lit("")}
     s = N.specificity(F.col("words"), ("small", "large"))
-    return kw.select("id", N.narrower_facets(own, facet).cast("long").alias("narrower"), N.narrower_facets(own, facet, audiences=None).cast("long").alias("beyond"), N.shared_facets(facet, other).cast("long").alias("shared"), s["subject"].cast("long").alias("subject"), s["words"].cast("long").alias("words"))
+    return kw.select(
+        "id", N.narrower_facets(own, facet).cast("long").alias("narrower"),
+        N.narrower_facets(own, facet, audiences=None).cast("long").alias("beyond"), N.shared_facets(facet, other).cast("long").alias("shared"),
+        s["subject"].cast("long").alias("subject"), s["words"].cast("long").alias("words"),
+    )
 
 
 FACET_COUNTS = (
@@ -191,10 +222,19 @@ SELECT id, CASE WHEN k = 1 THEN k.base ELSE k.base || '-' || list_reduce(list_co
 def plan_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title cells of part names after decisions: empty ones are filled, the team's stay, differing decisions on one cell don't hold."""
     kw = _phrases(spark, sf_dir).groupBy("norm").agg(F.min("id").alias("id"), F.max("id").alias("last"))
-    cells = kw.select(F.lit("us").alias("market"), F.col("norm").alias("keyword"), F.lit("title").alias("cell"), F.when(F.col("id") % 3 == 0, F.lit("ours")).otherwise("").alias("value"))
+    cells = kw.select(
+        F.lit("us").alias("market"), F.col("norm").alias("keyword"), F.lit("title").alias("cell"),
+        F.when(F.col("id") % 3 == 0, F.lit("ours")).otherwise("").alias("value"),
+    )
     d = kw.select(F.concat(F.lit("a"), F.col("id").cast("string")).alias("decision_id"), "norm", "id", F.lit("new").alias("value"))
-    again = kw.filter("id % 5 = 0").select(F.concat(F.lit("b"), F.col("id").cast("string")).alias("decision_id"), "norm", "id", F.when(F.col("id") % 2 == 0, "new").otherwise("other").alias("value"))
-    decisions = d.unionByName(again).select("decision_id", F.lit("set_title").alias("action"), F.lit("").alias("market"), F.col("norm").alias("keyword"), "value", F.lit("r").alias("reason"), F.when(F.col("id") % 7 == 0, "").otherwise("e").alias("evidence"), F.lit("ann").alias("author"))
+    again = kw.filter("id % 5 = 0").select(
+        F.concat(F.lit("b"), F.col("id").cast("string")).alias("decision_id"), "norm", "id",
+        F.when(F.col("id") % 2 == 0, "new").otherwise("other").alias("value"),
+    )
+    decisions = d.unionByName(again).select(
+        "decision_id", F.lit("set_title").alias("action"), F.lit("").alias("market"), F.col("norm").alias("keyword"), "value",
+        F.lit("r").alias("reason"), F.when(F.col("id") % 7 == 0, "").otherwise("e").alias("evidence"), F.lit("ann").alias("author"),
+    )
     found, _ = R.fill_cells(cells, decisions)
     return found.select("keyword", "value")
 
@@ -210,7 +250,10 @@ SELECT keyword, CASE WHEN id % 3 = 0 THEN 'ours' WHEN id % 7 = 0 OR (id % 5 = 0
 def name_basis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Why each brand's group of a type is named after its first part and not after its greatest."""
     kw = _phrases(spark, sf_dir)
-    row = F.struct(F.col("norm").alias("keyword"), "volume", (F.col("volume") * N.fit(F.col("kd"))).alias("winnable"), (F.col("id") % 5).cast("double").alias("fluency"), (F.col("id") % 4 == 0).alias("fixed"))
+    row = F.struct(
+        F.col("norm").alias("keyword"), "volume", (F.col("volume") * N.fit(F.col("kd"))).alias("winnable"),
+        (F.col("id") % 5).cast("double").alias("fluency"), (F.col("id") % 4 == 0).alias("fixed"),
+    )
     x = kw.withColumn("row", row).groupBy(F.concat_ws("|", "market", "type").alias("cluster")).agg(
         F.min_by("row", "id").alias("seed"), F.max_by("row", F.struct("volume", "id")).alias("top"), (F.min("id") % 6 == 0).alias("given_main"), F.max((F.col("id") % 6 == 0).cast("int")).cast("boolean").alias("given")
     )
@@ -231,9 +274,17 @@ def keyword_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where part names are in a plan: their type is the cluster, some of which are merged, some in no plan."""
     kw = _phrases(spark, sf_dir)
     types = kw.groupBy("type").agg(F.min("id").alias("k"))
-    topics = types.select(F.col("type").alias("cluster"), F.when(F.col("k") % 5 == 0, "skip").when(F.col("k") % 5 == 1, "backlog").otherwise("post").alias("role"), F.when(F.col("k") % 5 > 2, F.col("type")).otherwise("").alias("slug"), F.when(F.col("k") % 5 == 2, F.lit("hub")).otherwise("").alias("merged_into"))
-    posts = types.select(F.col("type").alias("slug"), F.col("k").alias("stt"), F.concat(F.lit("main of "), "type").alias("main")).unionByName(spark.createDataFrame([("hub", 0, "hub post")], "slug string, stt long, main string"))
-    return R.placed_keywords(kw.select("market", F.concat_ws(" ", "norm", F.col("id").cast("string")).alias("keyword"), F.col("type").alias("cluster")), topics, posts)
+    topics = types.select(
+        F.col("type").alias("cluster"), F.when(F.col("k") % 5 == 0, "skip").when(F.col("k") % 5 == 1, "backlog").otherwise("post").alias("role"),
+        F.when(F.col("k") % 5 > 2, F.col("type")).otherwise("").alias("slug"),
+        F.when(F.col("k") % 5 == 2, F.lit("hub")).otherwise("").alias("merged_into"),
+    )
+    posts = types.select(F.col("type").alias("slug"), F.col("k").alias("stt"), F.concat(F.lit("main of "), "type").alias("main")).unionByName(
+        spark.createDataFrame([("hub", 0, "hub post")], "slug string, stt long, main string")
+    )
+    return R.placed_keywords(
+        kw.select("market", F.concat_ws(" ", "norm", F.col("id").cast("string")).alias("keyword"), F.col("type").alias("cluster")), topics, posts,
+    )
 
 
 KEYWORD_PLACES = (
@@ -248,11 +299,19 @@ SELECT market, norm || ' ' || id AS keyword, CASE WHEN k % 5 > 2 THEN k WHEN k %
 def grouped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Given groups' rows beside the exports': their own figure loses to an export's, an absent one is volume 0 and estimated."""
     kw = _phrases(spark, sf_dir)
-    written = F.when(F.col("id") % 3 == 0, "").when(F.col("id") % 3 == 1, F.concat(F.lit("<"), F.col("volume").cast("string"))).otherwise(F.col("volume").cast("string"))
-    given = kw.filter("id % 2 = 0").select(F.col("type").alias("group"), F.when(F.col("id") % 4 == 0, "US ").otherwise("").alias("market"), "keyword", written.alias("volume"), F.col("kd").cast("string").alias("kd"), (F.col("id") % 10 == 0).alias("is_main"))
+    written = F.when(F.col("id") % 3 == 0, "").when(
+        F.col("id") % 3 == 1, F.concat(F.lit("<"), F.col("volume").cast("string")),
+    ).otherwise(F.col("volume").cast("string"))
+    given = kw.filter("id % 2 = 0").select(
+        F.col("type").alias("group"), F.when(F.col("id") % 4 == 0, "US ").otherwise("").alias("market"), "keyword", written.alias("volume"),
+        F.col("kd").cast("string").alias("kd"), (F.col("id") % 10 == 0).alias("is_main"),
+    )
     exports = kw.filter("id % 5 = 0").select("keyword", F.lit("us").alias("market"), "volume", F.lit(2).alias("vclass"), "kd")
     rows = Pr.with_priors(exports, Pr.prior_rows(given))
-    return rows.groupBy("market", "part", "vclass").agg(F.count("*").alias("rows"), F.sum("volume").alias("volume"), F.count("group").alias("grouped"), F.sum(F.col("is_main").cast("long")).alias("mains"))
+    return rows.groupBy("market", "part", "vclass").agg(
+        F.count("*").alias("rows"), F.sum("volume").alias("volume"), F.count("group").alias("grouped"),
+        F.sum(F.col("is_main").cast("long")).alias("mains"),
+    )
 
 
 GROUPED_ROWS = (
@@ -264,6 +323,9 @@ SELECT market, part, vclass, count(*) AS rows, CAST(sum(volume) AS BIGINT) AS vo
 )
 
 QUERIES = {
-    f.__name__: f for f in (ingest_routing, ingest_decisions, prior_members, parent_candidates, month_headers, trend_reading, facet_counts, plan_slugs, plan_cells, name_basis, keyword_places, grouped_rows)
+    f.__name__: f for f in (
+        ingest_routing, ingest_decisions, prior_members, parent_candidates, month_headers, trend_reading, facet_counts, plan_slugs, plan_cells,
+        name_basis, keyword_places, grouped_rows,
+    )
 }
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}

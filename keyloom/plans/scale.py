@@ -12,10 +12,15 @@ from ..operators import similarity as S
 #: Vocabularies and templates of the generator.
 OCCASIONS = ("christmas", "halloween", "easter", "thanksgiving", "birthday", "anniversary", "graduation", "wedding", "retirement", "valentines day")
 RECIPIENTS = ("mom", "dad", "grandma", "sister", "teacher", "nurse", "boss", "friend", "wife", "husband", "kids", "coworkers")
-INTERESTS = ("fishing", "gardening", "dogs", "cats", "golf", "camping", "reading", "cooking", "yoga", "hiking", "coffee", "music", "gaming", "running")
+INTERESTS = (
+    "fishing", "gardening", "dogs", "cats", "golf", "camping", "reading", "cooking", "yoga", "hiking", "coffee", "music", "gaming", "running",
+)
 PRODUCTS = ("mugs", "shirts", "blankets", "candles", "ornaments", "pillows", "posters", "cards", "bags", "hats", "keychains", "notebooks")
 STYLES = ("funny", "personalized", "unique", "cheap", "handmade", "vintage", "cute", "luxury", "small", "rustic")
-TEMPLATES = ("{o} gifts for {r}", "{s} {o} {p}", "{p} for {r}", "{s} gifts for {i} lovers", "{o} {p} for {r}", "best {s} {p} for {i} fans", "{r} {i} {p}", "{o} ideas for {r}", "{s} {p} for {r} who love {i}", "what to write in {o} {p} for {r}")
+TEMPLATES = (
+    "{o} gifts for {r}", "{s} {o} {p}", "{p} for {r}", "{s} gifts for {i} lovers", "{o} {p} for {r}", "best {s} {p} for {i} fans", "{r} {i} {p}",
+    "{o} ideas for {r}", "{s} {p} for {r} who love {i}", "what to write in {o} {p} for {r}",
+)
 WEAK = ["gift", "idea", "best", "for", "the", "in", "to", "who", "what"]
 
 
@@ -40,8 +45,15 @@ def cluster_keywords(rows: DataFrame, least: float = 0.6) -> DataFrame:
     """Normalise, merge variants, join similar phrases, cluster by leaders: (id, seed, tier, score) by rank of volume."""
     norm = T.normal_form(F.col("keyword"))
     words = rows.select("id", "market", norm.alias("norm"), T.canonical_tokens(norm).alias("t"), "volume")
-    variants = words.groupBy("market", T.variant_key(F.col("t")).alias("vkey")).agg(F.max_by("norm", F.struct("volume", "norm")).alias("id"), F.sum("volume").alias("volume"), F.first("t").alias("t"))
-    named = C.checkpointed(variants.select("market", "id", "volume", T.word_set(F.col("t")).alias("words"), F.array_join(F.array_sort(F.array_distinct(F.filter("t", lambda x: x.isin(*OCCASIONS)))), "|").alias("guard")))
+    variants = words.groupBy("market", T.variant_key(F.col("t")).alias("vkey")).agg(
+        F.max_by("norm", F.struct("volume", "norm")).alias("id"), F.sum("volume").alias("volume"), F.first("t").alias("t"),
+    )
+    named = C.checkpointed(
+        variants.select(
+            "market", "id", "volume", T.word_set(F.col("t")).alias("words"),
+            F.array_join(F.array_sort(F.array_distinct(F.filter("t", lambda x: x.isin(*OCCASIONS)))), "|").alias("guard"),
+        )
+    )
     ranked = C.checkpointed(C.global_rank(named, [F.desc("volume"), F.asc("id")], "rank").select("rank", "market", "guard", "words"))
     pairs = S.similar_pairs(ranked, "rank", "words", ["market", "guard"], least, WEAK)
     edges = pairs.select("a", "b", F.lit(1).alias("tier"), F.round("similarity", 6).alias("score"))

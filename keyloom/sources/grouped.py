@@ -41,9 +41,13 @@ def block(rows: DataFrame, order: str = "row") -> DataFrame:
     w = Window.partitionBy("_src").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = rows.withColumn("group_no", F.sum(main.isNotNull().cast("int")).over(w)).withColumn("main", _filled(F.col("main_keyword"), order))
     x = x.withColumn("pillar", _filled(F.col("pillar"), order) if "pillar" in rows.columns else F.lit(None).cast("string"))
-    mains = x.filter(main.isNotNull()).select("_src", "group_no", "main", F.col("main").alias("keyword"), "volume", "kd", "pillar", F.lit("main").alias("role"))
+    mains = x.filter(main.isNotNull()).select(
+        "_src", "group_no", "main", F.col("main").alias("keyword"), "volume", "kd", "pillar", F.lit("main").alias("role"),
+    )
     second = F.nullif(F.trim("secondary_keyword"), F.lit(""))
-    members = x.filter(second.isNotNull()).select("_src", "group_no", "main", second.alias("keyword"), "volume", "kd", "pillar", F.lit("secondary").alias("role"))
+    members = x.filter(second.isNotNull()).select(
+        "_src", "group_no", "main", second.alias("keyword"), "volume", "kd", "pillar", F.lit("secondary").alias("role"),
+    )
     return mains.unionByName(members).filter("main is not null")
 
 
@@ -52,7 +56,10 @@ def wide(rows: DataFrame, order: str = "row") -> DataFrame:
     x = rows.withColumn("group_no", F.row_number().over(Window.partitionBy("_src").orderBy(order))).withColumn("main", F.trim("main_keyword"))
     pillar = F.col("pillar") if "pillar" in rows.columns else F.lit(None).cast("string")
     mains = x.select("_src", "group_no", "main", F.col("main").alias("keyword"), "volume", "kd", pillar.alias("pillar"), F.lit("main").alias("role"))
-    items = x.select("_src", "group_no", "main", F.explode(T.split_list(F.coalesce("secondary_keywords", F.lit("")))).alias("keyword"), F.lit(None).cast("string").alias("volume"), F.lit(None).cast("string").alias("kd"), pillar.alias("pillar"), F.lit("secondary").alias("role"))
+    items = x.select(
+        "_src", "group_no", "main", F.explode(T.split_list(F.coalesce("secondary_keywords", F.lit("")))).alias("keyword"),
+        F.lit(None).cast("string").alias("volume"), F.lit(None).cast("string").alias("kd"), pillar.alias("pillar"), F.lit("secondary").alias("role"),
+    )
     return mains.unionByName(items).filter("main <> ''")
 
 
@@ -62,7 +69,10 @@ def long(rows: DataFrame, group: str = "group", order: str = "row") -> DataFrame
     first = F.row_number().over(Window.partitionBy("_src", "_g").orderBy(F.desc_nulls_last(F.col("volume").try_cast("double")), order))
     x = x.withColumn("_k", first).withColumn("main", F.first("keyword").over(Window.partitionBy("_src", "_g").orderBy("_k")))
     number = F.min(order).over(Window.partitionBy("_src", "_g"))
-    return x.select("_src", number.alias("group_no"), "main", "keyword", "volume", "kd" if "kd" in rows.columns else F.lit(None).cast("string").alias("kd"), F.lit(None).cast("string").alias("pillar"), F.when(F.col("_k") == 1, "main").otherwise("secondary").alias("role"))
+    return x.select(
+        "_src", number.alias("group_no"), "main", "keyword", "volume", "kd" if "kd" in rows.columns else F.lit(None).cast("string").alias("kd"),
+        F.lit(None).cast("string").alias("pillar"), F.when(F.col("_k") == 1, "main").otherwise("secondary").alias("role"),
+    )
 
 
 def keyword_columns(rows: DataFrame, columns: list[str]) -> list[str]:

@@ -24,8 +24,14 @@ from ..functions import numbers as N
 
 # Canonical columns and the headers that name them, in order of preference.
 ALIASES: dict[str, tuple[str, ...]] = {
-    "keyword": ("keyword", "keywords", "query", "queries", "top queries", "top query", "search term", "search terms", "term", "phrase", "từ khóa", "từ khoá", "main keyword"),
-    "volume": ("volume", "search volume", "avg. monthly searches", "avg monthly searches", "monthly searches", "monthly volume", "sv", "us volume", "uk volume"),
+    "keyword": (
+        "keyword", "keywords", "query", "queries", "top queries", "top query", "search term", "search terms", "term", "phrase", "từ khóa", "từ khoá",
+        "main keyword",
+    ),
+    "volume": (
+        "volume", "search volume", "avg. monthly searches", "avg monthly searches", "monthly searches", "monthly volume", "sv", "us volume",
+        "uk volume",
+    ),
     "impressions": ("impressions",),
     "clicks": ("clicks",),
     "kd": ("kd", "kd %", "kd%", "keyword difficulty", "keyword difficulty index", "difficulty", "seo difficulty"),
@@ -215,7 +221,9 @@ def read_text(spark: SparkSession, path: str, overrides: dict[str, str] | None =
         body = body.filter(~(F.trim(F.coalesce(F.col(names[0]), F.lit(""))).isin(*preamble) & others_blank)) if preamble else body
     chosen = [F.trim(F.col(at[physical])).alias(name) for name, physical in found.columns.items()]
     some = F.exists(F.array(*[F.coalesce(F.trim(F.col(n)), F.lit("")) for n in names]), lambda v: v != "")
-    return body.filter(some).select(*chosen, F.lit(path.rsplit("/", 1)[-1]).alias("_src"), F.lit(found.tool).alias("_tool"), F.lit(found.market).alias("_market"))
+    return body.filter(some).select(
+        *chosen, F.lit(path.rsplit("/", 1)[-1]).alias("_src"), F.lit(found.tool).alias("_tool"), F.lit(found.market).alias("_market"),
+    )
 
 
 def _head_lines(spark: SparkSession, path: str) -> list[str]:
@@ -241,7 +249,9 @@ def workbook_sheets(data: bytes) -> Iterator[tuple[str, list[list[str]]]]:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_NS}si")]
+            shared = [
+                "".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{_NS}si")
+            ]
         targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"):
             target = targets[sheet.get(_REL)].lstrip("/")
@@ -310,11 +320,24 @@ def write_workbook(sheets: dict[str, list[list[object]]]) -> bytes:
     main, rel = _NS.strip("{}"), _REL.split("}")[0].strip("{")
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
-        types = "".join(f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1))
-        z.writestr("[Content_Types].xml", f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>')
-        z.writestr("_rels/.rels", f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        types = "".join(
+            f'<Override PartName="/xl/worksheets/sheet{i}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(1, len(sheets) + 1)
+        )
+        z.writestr(
+            "[Content_Types].xml",
+            f'<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{types}</Types>',
+        )
+        z.writestr(
+            "_rels/.rels",
+            f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>',
+        )
         z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{escape(n)}" sheetId="{i}" r:id="r{i}"/>' for i, n in enumerate(sheets, 1)) + "</sheets></workbook>")
-        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)) + "</Relationships>")
+        z.writestr(
+            "xl/_rels/workbook.xml.rels",
+            '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">' + "".join(
+                f'<Relationship Id="r{i}" Type="{rel}/worksheet" Target="worksheets/sheet{i}.xml"/>' for i in range(1, len(sheets) + 1)
+            ) + "</Relationships>",
+        )
         for i, rows in enumerate(sheets.values(), 1):
             body = "".join(f'<row r="{r}">' + "".join(cell(v, f"{letter(c)}{r}") for c, v in enumerate(row)) + "</row>" for r, row in enumerate(rows, 1))
             z.writestr(f"xl/worksheets/sheet{i}.xml", f'<worksheet xmlns="{main}"><sheetData>{body}</sheetData></worksheet>')
@@ -334,5 +357,7 @@ def typed(rows: DataFrame, default_market: str = "", range_mode: str = "low") ->
     return rows.select(
         "keyword", market.alias("market"), F.coalesce(value.cast("long"), F.lit(0)).alias("volume"), estimate.alias("vol_est"), vclass.alias("vclass"), kd.alias("kd"), N.parse_number(col("cpc"))["value"].alias("cpc"),
         N.parse_number(col("position"))["value"].alias("position"), col("url").alias("url"), col("parent").alias("parent"), col("intent").alias("intent"), col("features").alias("features"), N.parse_number(col("traffic_potential"), integer=True)["value"].cast("long").alias("traffic_potential"),
-        E.intents(col("intent"), {n: col(f"flag_{n}") for n in (*INTENT_FLAGS, "branded", "local")}).alias("intents"), col("group").alias("group"), col("main").alias("main"), col("role").alias("role"), col("pillar").alias("pillar"), col("status").alias("status"), col("_src").alias("src"), col("_tool").alias("tool"),
+        E.intents(
+            col("intent"), {n: col(f"flag_{n}") for n in (*INTENT_FLAGS, "branded", "local")},
+        ).alias("intents"), col("group").alias("group"), col("main").alias("main"), col("role").alias("role"), col("pillar").alias("pillar"), col("status").alias("status"), col("_src").alias("src"), col("_tool").alias("tool"),
     ).filter("coalesce(trim(keyword), '') <> ''")

@@ -18,7 +18,9 @@ def distinct_rows(rows: DataFrame, event_time: str = "ts", delay: str = "1 hour"
 
 def demand(rows: DataFrame, event_time: str = "ts", width: str = "1 day", delay: str = "1 hour") -> DataFrame:
     """Keywords and volume per market and window of event time."""
-    return rows.withWatermark(event_time, delay).groupBy(F.window(event_time, width), "market").agg(F.count("*").alias("keywords"), F.sum("volume").alias("volume"))
+    return rows.withWatermark(event_time, delay).groupBy(F.window(event_time, width), "market").agg(
+        F.count("*").alias("keywords"), F.sum("volume").alias("volume"),
+    )
 
 
 def into(rows: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame], DataFrame]):
