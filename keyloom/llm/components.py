@@ -29,7 +29,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         grand = parent.join(parent.select(F.col("node").alias("up"), F.col("up").alias("gp")), "up")
         least = both.join(grand.select(F.col("node").alias("v"), F.col("gp").alias("gv")), "v").groupBy("u").agg(F.min("gv").alias("low"))
         seen = grand.join(least, grand["node"] == least["u"], "left").select("node", "up", "gp", F.coalesce("low", "gp").alias("low"))
-        own, above = F.struct("node", F.least("up", "gp", "low").alias("new"), F.col("up").alias("was")), F.struct(F.col("up").alias("node"), F.least("gp", "low").alias("new"), F.lit(None).alias("was"))
+        own, above = F.struct("node", F.least("up", "gp", "low").alias("new"), F.col("up").alias("was")), F.struct(
+            F.col("up").alias("node"), F.least("gp", "low").alias("new"), F.lit(None).alias("was"),
+        )
         lowered = seen.select(F.explode(F.array(own, above)).alias("x")).select("x.*")
         after = cut(lowered.groupBy("node").agg(F.min("new").alias("up"), F.max("was").alias("was")))
         changed = not after.filter("up <> was").isEmpty()

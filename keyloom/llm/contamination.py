@@ -167,7 +167,9 @@ def _finder(index: Index, hit_only: bool) -> Callable[[Iterator[pa.RecordBatch]]
                     items[d] = sorted({x for w in np.unique(index.which[entry[a:b]]).tolist() for x in index.owners[w]})
                 part = batch.slice(chunk.first, chunk.n)
                 out = pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("key"), pa.array(words.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], ["doc_id", "key", "n_words", "spans", "items"]
+                    [part.column("doc_id"), part.column("key"), pa.array(words.counts.astype(np.int64)), pa.array(spans, _SPANS), pa.array(items, _ITEMS)], [
+                        "doc_id", "key", "n_words", "spans", "items",
+                    ]
                 )
                 yield out.filter(pa.array([bool(x) for x in spans])) if hit_only else out
 
@@ -230,13 +232,18 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Windows | None = None)
         return _hits(texts, index, False).select(own, "n_words", "spans", "items")
     # rows alike in doc_id and text have the same findings
     hits = _further(texts, [index, second], indexes).dropDuplicates()
-    by_row = hits.groupBy("doc_id", "key").agg(F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    by_row = hits.groupBy("doc_id", "key").agg(
+        F.flatten(F.collect_list("spans")).alias("s"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+    )
     rows = _hits(texts, Index([], [], {}, {}), False).select("doc_id", "key", "n_words")
     none, no_items = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
     # spans in order of their starts, joined where they meet
     last = lambda out: F.element_at(out, -1)
     meet = lambda out, x: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], x["end"]).alias("end"))))
-    spans = F.aggregate(F.array_sort("s"), none, lambda out, x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]), meet(out, x)).otherwise(F.concat(out, F.array(x))))
+    spans = F.aggregate(
+        F.array_sort("s"), none, lambda out,
+        x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]), meet(out, x)).otherwise(F.concat(out, F.array(x))),
+    )
     joined = rows.join(by_row.withColumn("spans", spans), ["doc_id", "key"], "left")
     return joined.select(own, "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", no_items).alias("items"))
 
@@ -263,7 +270,10 @@ def clean_rows(docs: DataFrame, benchmark: DataFrame, rules: Windows | None = No
     index, second = next(indexes), next(indexes, None)
     if second is not None:
         hit = _further(texts, [index, second], indexes).select("doc_id", "key").distinct()
-        named = left.select(F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NO_ID)).alias("doc_id"), F.xxhash64("text").alias("key"))
+        named = left.select(
+            F.struct(*[F.col(f"`{c}`") for c in left.columns]).alias("own"), F.coalesce(F.col("doc_id").cast("long"), F.lit(R.NO_ID)).alias("doc_id"),
+            F.xxhash64("text").alias("key"),
+        )
         return named.join(hit, ["doc_id", "key"], "left_anti").select("own.*")
     sent = docs.sparkSession.sparkContext.broadcast(index)  # a block of at most block_windows windows
 

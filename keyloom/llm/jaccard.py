@@ -140,7 +140,10 @@ def rarity(texts: DataFrame, size: int, join: Join) -> tuple[int, np.ndarray]:
             places = np.sort(np.concatenate(held))
             cut = np.searchsorted(places, np.arange(shards + 1) * each)
             on = np.flatnonzero(np.diff(cut)).tolist()
-            return pa.RecordBatch.from_arrays([pa.array(on, pa.int64()), pa.array([R._packed(places[cut[s] : cut[s + 1]] - s * each) for s in on], pa.binary())], ["shard", "places"])
+            return pa.RecordBatch.from_arrays(
+                [pa.array(on, pa.int64()), pa.array([R._packed(places[cut[s] : cut[s + 1]] - s * each) for s in on], pa.binary())],
+                ["shard", "places"],
+            )
 
         for batch in batches:
             for chunk in K.chunks(batch.column(0)):
@@ -164,7 +167,9 @@ def rarity(texts: DataFrame, size: int, join: Join) -> tuple[int, np.ndarray]:
                 own[places[edge]] += np.diff(np.append(edge, len(places))).astype(np.uint32)
         for shard, own in counts.items():
             level = np.minimum(np.log2(np.maximum(own, 1)).astype(np.uint8), 15)
-            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["shard", "levels"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([shard]), pa.array([(level[::2] | level[1::2] << 4).tobytes()], pa.binary())], ["shard", "levels"],
+            )
 
     sent = texts.select("text").mapInArrow(partial, "shard long, places binary")
     levels = np.zeros((1 << bits) // 2, np.uint8)
@@ -214,7 +219,9 @@ def _pass(join: Join, bits: int, levels, n_buckets: int) -> Callable[[Iterator[p
             rows.append((b, fps[used].tobytes(), x["n"][used].tobytes(), small.astype(np.uint32).tobytes(), shingle[r].tobytes(), [], [], []))
         c = list(zip(*rows))
         kinds = [pa.int64(), *[pa.binary()] * 4, *[pa.list_(pa.int64())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds)], ["bucket", "fps", "size", "row", "shingle", "doc_id", "key", "n"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(v, t) for v, t in zip(c, kinds)], ["bucket", "fps", "size", "row", "shingle", "doc_id", "key", "n"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = R.Held(), 0
@@ -225,7 +232,10 @@ def _pass(join: Join, bits: int, levels, n_buckets: int) -> Callable[[Iterator[p
                 one, two, bounds = shingle_sets(chunk, join)
                 fp = fingerprints(one, two, bounds)
                 doc, shingle = prefix_shingles(one, bounds, bits, levels.value, join)
-                held.add(fp1=fp[:, 0], fp2=fp[:, 1], doc_id=docs[chunk.first : chunk.first + chunk.n], key=keys[chunk.first : chunk.first + chunk.n], n=np.diff(bounds))
+                held.add(
+                    fp1=fp[:, 0], fp2=fp[:, 1], doc_id=docs[chunk.first : chunk.first + chunk.n], key=keys[chunk.first : chunk.first + chunk.n],
+                    n=np.diff(bounds),
+                )
                 held.add(row=doc + rows, shingle=shingle)
                 rows += chunk.n
                 if held.bytes > join.held_mb << 20:
@@ -343,7 +353,9 @@ class RTree:
         boxes = np.zeros(1, np.int64)
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low, top = (x[boxes] for x in self.levels[depth])
-            fits = (np.minimum(high, point).sum(1) >= join.needed(size, low)) & (100 * top >= join.percent * size) & (100 * size >= join.percent * low)
+            fits = (
+                np.minimum(high, point).sum(1) >= join.needed(size, low)
+            ) & (100 * top >= join.percent * size) & (100 * size >= join.percent * low)
             boxes = boxes[fits]
             below = len(self.levels[depth - 1][0]) if depth else len(self.order)
             boxes = (boxes[:, None] * self.leaf + np.arange(self.leaf)).ravel()
@@ -454,7 +466,9 @@ def _resolver(join: Join, count: bool) -> Callable[[Iterator[pa.RecordBatch]], I
             got, links[r] = family.link(side[r], asks[r], label[r], copies[r], count)
             _, first, back = np.unique(got, return_index=True, return_inverse=True)
             root[r] = r[first][back]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()).take(pa.array(unit)), _binary(fp), _binary(fp[root]), pa.array(links)], ["unit", "fp", "root", "links"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(names, pa.string()).take(pa.array(unit)), _binary(fp), _binary(fp[root]), pa.array(links)], ["unit", "fp", "root", "links"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -492,7 +506,9 @@ def _resolved(texts: DataFrame, units: DataFrame, join: Join, count: bool) -> Da
     # merged at every size: the wanted rows grow with the texts, so a broadcast would hold for small tables alone
     found = texts.join(units.hint("merge"), ["doc_id", "key"]).select("fp", "copies", "places", "label", "text")
     once = found.mapInArrow(_once, found.schema)
-    rows = once.select(F.explode("places").alias("p"), "fp", "copies", "label", "text").select("p.unit", "fp", "copies", "p.side", "p.asks", "label", "text")
+    rows = once.select(F.explode("places").alias("p"), "fp", "copies", "label", "text").select(
+        "p.unit", "fp", "copies", "p.side", "p.asks", "label", "text",
+    )
     n = buckets(texts.sparkSession)
     return rows.repartition(n, "unit").sortWithinPartitions("unit").mapInArrow(_resolver(join, count), _LINKED)
 
@@ -510,9 +526,13 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     sent = spark.sparkContext.broadcast(levels)  # 2**bits / 2 bytes, bounded by Join.most_bits
     found = written(dealt(texts.mapInArrow(_pass(join, bits, sent, n), _PASS), n).mapInArrow(_cells(join), _FOUND), "classes")
     rows = found.filter("kind = 0").select("doc_id", "key", "n", "fp")
-    families = components(found.filter("kind = 1").select("fp", "other"), "fp", "other").select(F.col("node").alias("fp"), F.col("component").alias("family"))
+    families = components(found.filter("kind = 1").select("fp", "other"), "fp", "other").select(
+        F.col("node").alias("fp"), F.col("component").alias("family"),
+    )
     # counted before they are joined, so that a class of very many copies is a row a task
-    counted = rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("at"), F.count("*").alias("copies"), F.max("n").alias("n"))
+    counted = rows.filter("n > 0").groupBy("fp").agg(
+        F.min(F.struct("doc_id", "key")).alias("at"), F.count("*").alias("copies"), F.max("n").alias("n"),
+    )
     classes = written(counted.join(families, "fp").select("fp", "family", "at.doc_id", "at.key", "copies", "n"), "families")
     weight = F.greatest("n", F.lit(_LEAST_WEIGHT))
     large = classes.groupBy("family").agg(F.sum(weight).alias("weight"), F.min("fp").alias("pivot")).filter(F.col("weight") > join.tile)
@@ -521,27 +541,40 @@ def links(docs: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     if large.isEmpty():
         done = _resolved(texts, classes.withColumn("places", whole).withColumn("label", F.col("fp")), join, join.count_links)
         return rows, written(done.select("fp", "root", "links"), "linked")
-    marked = classes.join(large, "family", "left").withColumn("tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")).withColumn("label", F.col("fp"))
+    marked = classes.join(large, "family", "left").withColumn(
+        "tile", F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int"),
+    ).withColumn("label", F.col("fp"))
     name = lambda i, j: F.concat_ws(":", F.hex("family"), i.cast("string"), j.cast("string"))
     tile, each = F.col("tile"), F.sequence(F.lit(0), F.col("tiles") - 1)
     small = F.col("tiles").isNull()
     if join.count_links:
-        places = F.transform(each, lambda u: _place(name(F.least(u, tile), F.greatest(u, tile)), F.when(u == tile, WITHIN).otherwise((u < tile).cast("int")), F.lit(True)))
+        places = F.transform(
+            each,
+            lambda u: _place(name(F.least(u, tile), F.greatest(u, tile)), F.when(u == tile, WITHIN).otherwise((u < tile).cast("int")), F.lit(True)),
+        )
         done = written(_resolved(texts, marked.withColumn("places", F.when(small, whole).otherwise(places)), join, True), "linked")
         return rows, _united(done)
-    around = F.when(F.col("fp") == F.col("pivot"), F.transform(each, lambda u: _place(name(u, u), F.lit(WITHIN), F.lit(True)))).otherwise(F.array(_place(name(tile, tile), F.lit(WITHIN), F.lit(True))))
+    around = F.when(F.col("fp") == F.col("pivot"), F.transform(each, lambda u: _place(name(u, u), F.lit(WITHIN), F.lit(True)))).otherwise(
+        F.array(_place(name(tile, tile), F.lit(WITHIN), F.lit(True)))
+    )
     first = _united(written(_resolved(texts, marked.withColumn("places", F.when(small, whole).otherwise(around)), join, False), "linked"))
     # what is not in the largest component of its family asks all others, in blocks
     placed = written(marked.filter(~small).drop("label").join(first.select("fp", F.col("root").alias("label")), "fp"), "tiled")
-    largest = placed.groupBy("family", "label").agg(F.sum(weight).alias("w")).groupBy("family").agg(F.max_by("label", F.struct("w", "label")).alias("top"), F.sum("w").alias("all"), F.max("w").alias("w"))
+    largest = placed.groupBy("family", "label").agg(F.sum(weight).alias("w")).groupBy("family").agg(
+        F.max_by("label", F.struct("w", "label")).alias("top"), F.sum("w").alias("all"), F.max("w").alias("w"),
+    )
     open_ = largest.filter("w < all").select("family", "top", F.ceil((F.col("all") - F.col("w")) / join.tile).cast("int").alias("blocks"))
-    asking = placed.join(open_, "family").withColumn("asks", F.col("label") != F.col("top")).withColumn("block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"))
+    asking = placed.join(open_, "family").withColumn("asks", F.col("label") != F.col("top")).withColumn(
+        "block", F.pmod(F.xxhash64("fp", F.lit(1)), F.col("blocks")).cast("int"),
+    )
     blocks = F.sequence(F.lit(0), F.col("blocks") - 1)
     plain = F.transform(blocks, lambda q: _place(name(tile, q), F.lit(WITHIN), F.lit(False)))
     as_asked = F.transform(each, lambda u: _place(name(u, F.col("block")), F.lit(WITHIN), F.lit(True)))
     both = F.when(F.col("asks"), F.concat(as_asked, F.filter(plain, lambda p: p["unit"] != name(tile, F.col("block"))))).otherwise(plain)
     second = _resolved(texts, asking.withColumn("places", both), join, False)
-    again = components(written(second.select("fp", "root"), "linked"), "fp", "root").select(F.col("node").alias("fp"), F.col("component").alias("next"))
+    again = components(written(second.select("fp", "root"), "linked"), "fp", "root").select(
+        F.col("node").alias("fp"), F.col("component").alias("next"),
+    )
     # the second pass names classes; their first labels lead on to what they were united with
     joined = first.join(again, "fp", "left").select("root", F.coalesce("next", "fp").alias("next")).distinct()
     final = components(joined, "root", "next").select(F.col("node").alias("root"), F.col("component").alias("final"))
@@ -567,11 +600,17 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
     inside = classes.join(found, "fp")
     least = inside.groupBy("root").agg(F.min("class_id").alias("component_id"))
     linked = inside.join(least, "root").select("fp", "component_id", "links")
-    ids = classes.join(linked, "fp", "left").select("fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    ids = classes.join(linked, "fp", "left").select(
+        "fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"),
+        (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+    )
     out = rows.join(ids, "fp", "left")
     known = lambda c: F.nullif(F.coalesce(F.col(c), F.col("doc_id")), F.lit(NO_ID))
     n_links = F.coalesce("n_links", F.lit(0)) if join.count_links else F.lit(None)
-    return out.select(F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"), known("class_id").alias("class_id"), n_links.cast("long").alias("n_links"), "key")
+    return out.select(
+        F.nullif(F.col("doc_id"), F.lit(NO_ID)).alias("doc_id"), F.col("n").alias("n_shingles"), known("component_id").alias("component_id"),
+        known("class_id").alias("class_id"), n_links.cast("long").alias("n_links"), "key",
+    )
 
 
 def without_near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
@@ -582,7 +621,9 @@ def without_near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFr
     join = join or Join(count_links=False)
     rows, found = links(docs, join)
     member = rows.filter("n > 0").join(found.select("fp", "root"), "fp", "left").select(F.coalesce("root", "fp").alias("root"), "doc_id", "key")
-    stays = member.groupBy("root").agg(F.min(F.struct("doc_id", "key")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last")).filter("first <> last")
+    stays = member.groupBy("root").agg(
+        F.min(F.struct("doc_id", "key")).alias("first"), F.max(F.struct("doc_id", "key")).alias("last"),
+    ).filter("first <> last")
     stays = written(stays.select("root", "first"), "stays")  # a table, so that the join may be split at a hot root
     gone = member.join(stays, "root").filter(F.struct("doc_id", "key") != F.col("first")).select("doc_id", "key").distinct()
     text, own = F.col("text").cast("string"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])

@@ -56,7 +56,9 @@ def covered_lines(docs: DataFrame, width: int = 3) -> DataFrame:
     place = F.struct("doc_id", "line")
     seen = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last"))
     later = windows.join(seen.select("window", "first"), "window").filter(place > F.col("first"))
-    return later.groupBy("doc_id", "row_key").agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("line", F.col("line") + width - 1)))).alias("covered"))
+    return later.groupBy("doc_id", "row_key").agg(
+        F.array_distinct(F.flatten(F.collect_list(F.sequence("line", F.col("line") + width - 1)))).alias("covered")
+    )
 
 
 def without_repeated_lines(docs: DataFrame, width: int = 3, counts: bool = True) -> DataFrame:
@@ -66,7 +68,9 @@ def without_repeated_lines(docs: DataFrame, width: int = 3, counts: bool = True)
     lines = F.split(F.col("own.text").cast("string"), "\n")
     # what is left by one pass of a hash set, so that a text of a million repeated lines costs what it is long
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "covered")
-    new = F.when(F.col("covered").isNull(), F.col("own.text").cast("string")).otherwise(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n"))
+    new = F.when(F.col("covered").isNull(), F.col("own.text").cast("string")).otherwise(
+        F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    )
     columns = [new.alias("text") if c == "text" else F.col(f"own.`{c}`").alias(c) for c in docs.columns]
     if not counts:
         return joined.select(*columns)

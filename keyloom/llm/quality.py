@@ -319,6 +319,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = 10_000) -> dict[str, Ban
     spread = np.array([rest[near].std() if (near := abs(size - k) < 1).sum() > 20 else np.nan for k in knots])
     spread = np.interp(knots, knots[~np.isnan(spread)], spread[~np.isnan(spread)])
     return {
-        k: Band(round(0.75 * chars[lang == k].min(), 2), round(1.5 * chars[lang == k].max(), 2), 0.10, 0.35, tuple(np.round(c - np.array(DEVIATIONS) * spread, 2).tolist()))
+        k: Band(
+            round(0.75 * chars[lang == k].min(), 2), round(1.5 * chars[lang == k].max(), 2), 0.10, 0.35,
+            tuple(np.round(c - np.array(DEVIATIONS) * spread, 2).tolist()),
+        )
         for k, c in curves.items()
     }

@@ -24,7 +24,9 @@ SHARDS = 24
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Join(shingle=3, percent=90)).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), jaccard.Join(shingle=3, percent=90)).select(
+        "doc_id", "n_shingles", "component_id", "class_id", "n_links",
+    )
 
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,10 @@ def rendezvous(key: Column, weights: list[float]) -> Column:
 def shard(docs: DataFrame, weights: list[float], grown: float | None = 1.0, blocks: int = 4096, overhead: int = 8) -> DataFrame:
     """doc_id, size, checksum, shard, slot, and the shard with one more of weight ``grown``."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"))
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + overhead).cast("long").alias("size"),
+        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+    )
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = rows.select("*", rendezvous(key, weights).alias("shard"))
     if grown is not None:
@@ -48,11 +51,17 @@ def shard(docs: DataFrame, weights: list[float], grown: float | None = 1.0, bloc
         rows = rows.withColumn("grown_shard", F.when(new >= old, F.lit(len(weights))).otherwise(F.col("shard")))
     else:
         rows = rows.withColumn("grown_shard", F.lit(None).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit("#"), F.col("text_crc32"))), 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int"))
+    rows = rows.withColumn(
+        "block",
+        F.pmod(F.conv(F.substring(F.md5(F.concat(key, F.lit("#"), F.col("text_crc32"))), 1, 8), 16, 10).cast("long"), F.lit(blocks)).cast("int"),
+    )
     counts = rows.groupBy("shard", "block").agg(F.count("*").alias("n"))  # shards x blocks rows at most
     before = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     inside = F.row_number().over(Window.partitionBy("shard", "block").orderBy("doc_id", "text_crc32", "size"))
     numbered = rows.withColumn("place", inside)
     placed = numbered.join(F.broadcast(first) if len(weights) * blocks <= 200_000 else first, ["shard", "block"])
-    return placed.select("doc_id", "size", "text_crc32", F.col("shard").cast("int"), (F.col("first") + F.col("place") - 1).cast("long").alias("slot"), F.col("grown_shard").cast("int"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.col("shard").cast("int"), (F.col("first") + F.col("place") - 1).cast("long").alias("slot"),
+        F.col("grown_shard").cast("int"),
+    )

@@ -73,11 +73,19 @@ def _sender(p: Passages, bits: int, bitmap, n_buckets: int) -> Callable[[Iterato
         for b in np.flatnonzero(np.diff(cut)).tolist():
             r = order[cut[b] : cut[b + 1]]
             w = R.ragged(offsets[r], x["many"][r])
-            rows.append((b, x["key"][r].tobytes(), x["doc"][r].tobytes(), x["start"][r].astype(np.uint32).tobytes(), x["many"][r].astype(np.uint16).tobytes(), x["w1"][w].tobytes(), x["w2"][w].tobytes()))
+            rows.append(
+                (
+                    b, x["key"][r].tobytes(), x["doc"][r].tobytes(), x["start"][r].astype(np.uint32).tobytes(),
+                    x["many"][r].astype(np.uint16).tobytes(), x["w1"][w].tobytes(), x["w2"][w].tobytes(),
+                )
+            )
         if len(keys):
             rows.append((int(keys[0]) % n_buckets, keys.tobytes(), docs.tobytes(), s.tobytes(), e.tobytes(), b"", b""))
         columns = list(zip(*rows)) if rows else [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], ["bucket", "key", "doc", "start", "many", "w1", "w2"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])],
+            ["bucket", "key", "doc", "start", "many", "w1", "w2"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = R.Held()
@@ -95,7 +103,10 @@ def _sender(p: Passages, bits: int, bitmap, n_buckets: int) -> Callable[[Iterato
                 one = K.span_hashes(K.prefix_sums(h), w, w + p.width)
                 two = K.span_hashes(K.prefix_sums(words.hashes(1), 1), w, w + p.width, 1)
                 row = runs.doc[on]
-                held.add(key=keys[chunk.first + row], doc=docs[chunk.first + row], start=runs.start[on] - words.bounds[row], many=runs.many[on], anchor=runs.anchor[on])
+                held.add(
+                    key=keys[chunk.first + row], doc=docs[chunk.first + row], start=runs.start[on] - words.bounds[row], many=runs.many[on],
+                    anchor=runs.anchor[on],
+                )
                 held.add(w1=one, w2=(two >> U64(32)).astype(np.uint32))
                 if held.bytes > p.held_mb << 20:
                     yield send(held.take())
@@ -118,7 +129,10 @@ def _grouper(p: Passages) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
                     continue
                 n = np.frombuffer(many, np.uint16).astype(np.int64)
                 pos = R.ragged(np.frombuffer(start, np.uint32).astype(np.int64), n)
-                held.add(key=np.repeat(keys, n), doc=np.repeat(np.frombuffer(doc, np.int64), n), pos=pos, w1=np.frombuffer(w1, U64), w2=np.frombuffer(w2, np.uint32))
+                held.add(
+                    key=np.repeat(keys, n), doc=np.repeat(np.frombuffer(doc, np.int64), n), pos=pos, w1=np.frombuffer(w1, U64),
+                    w2=np.frombuffer(w2, np.uint32),
+                )
         if held.bytes:
             x = held.take()
             cls, least = R.first_of_class(x["doc"], x["w2"], x["w1"])
@@ -153,9 +167,13 @@ def _finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest(), b" ".join(kept).decode()))
         columns = list(zip(*out)) if out else [()] * 5
         types = [pa.int64()] * 3 + [pa.string()] * 2
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"],
+        )
 
 
 def without_passages(docs: DataFrame, passages: Passages | None = None) -> DataFrame:
     """Every row of ``docs`` with its kept words, their digest, and how many were removed."""
-    return R.with_spans(docs, repeated_passages(docs, passages), _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
+    return R.with_spans(
+        docs, repeated_passages(docs, passages), _finish, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string",
+    )

@@ -85,7 +85,9 @@ def unescaped(text: Column) -> Column:
         code = F.conv(digits, 16, 10).cast("long")
         named = F.element_at(names, F.regexp_extract(x, r"^&([A-Za-z0-9]+);$", 1))
         valid = (digits != "") & code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        return F.when(~F.startswith(x, F.lit("&")), x).when(valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32")).otherwise(F.coalesce(named, x))
+        return F.when(~F.startswith(x, F.lit("&")), x).when(
+            valid, F.decode(F.unhex(F.lpad(digits, 8, "0")), "UTF-32"),
+        ).otherwise(F.coalesce(named, x))
 
     return F.when(F.instr(text, "&") > 0, F.array_join(F.transform(parts, plain), "")).otherwise(text)
 
@@ -125,9 +127,14 @@ def without_dots(path: Column) -> Column:
     """An absolute path without ``.`` and ``..`` segments."""
     parts = F.split(path, "/", -1)
     none = F.array().cast("array<string>")
-    kept = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), none, lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))))
+    kept = F.aggregate(
+        F.slice(parts, F.lit(2), F.size(parts)), none, lambda out,
+        x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+    )
     # a dot segment at the end stands for the folder
-    return F.concat(F.lit("/"), F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+    return F.concat(
+        F.lit("/"), F.array_join(F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"),
+    )
 
 
 def resolved(url: Column, target: Column) -> Column:
@@ -151,7 +158,10 @@ def edges(pages: DataFrame) -> DataFrame:
     marked = pages.select("url", markup(F.col("html")).alias("m")).filter("m <> ''")
     based = marked.select("url", "m", base_target(F.col("m")).alias("base"))
     # a column of its own, so that the address is not spelt out wherever a target is resolved against it
-    placed = based.select("url", "m", F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))).alias("page"))
+    placed = based.select(
+        "url", "m",
+        F.when(F.col("base").isNull(), F.col("url")).otherwise(F.coalesce(resolved(F.col("url"), F.col("base")), F.col("url"))).alias("page"),
+    )
     found = placed.select("url", "page", F.explode(link_targets(F.col("m"))).alias("target"))
     full = resolved(F.col("page"), F.col("target"))
     return found.select(alias_key(F.col("url")).alias("a"), alias_key(full).alias("b")).filter("a <> '' and b <> '' and a <> b")
@@ -161,15 +171,24 @@ def judge(pages: DataFrame, rules: list[Rule], default: str = "allow") -> DataFr
     """Every row of ``pages`` (page_id, url, html) with host, path, its rule, the verdict and where that comes from."""
     url = F.col("url").cast("string")
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.col("html").cast("string").alias("html"))
-    judged = base.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), F.coalesce(alias_key(F.col("url")), F.lit("")).alias("alias"))
+    judged = base.select(
+        "page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"),
+        F.coalesce(alias_key(F.col("url")), F.lit("")).alias("alias"),
+    )
     judged = judged.withColumn("hit", matched(F.col("host"), F.col("path"), rules))
     judged = judged.select("page_id", "host", "path", "alias", F.col("hit.rule").alias("rule"), F.col("hit.verdict").alias("own"))
     linked = components(edges(base))
     # each alias once; the targets' own rules count, whether or not they were crawled
-    hosts = linked.withColumn("host", F.regexp_extract("node", r"(?s)^([^/?#]*)", 1)).withColumn("path", F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1))
+    hosts = linked.withColumn("host", F.regexp_extract("node", r"(?s)^([^/?#]*)", 1)).withColumn(
+        "path", F.regexp_extract("node", r"(?s)^[^/?#]*([^?#]*)", 1),
+    )
     votes = hosts.select("component", matched(F.col("host"), F.col("path"), rules)["verdict"].alias("vote"))
-    decided = votes.groupBy("component").agg(F.max((F.col("vote") == "allow").cast("int")).alias("allows"), F.max((F.col("vote") == "block").cast("int")).alias("blocks"))
-    inherited = linked.join(decided, "component").select(F.col("node").alias("alias"), F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("passed"))
+    decided = votes.groupBy("component").agg(
+        F.max((F.col("vote") == "allow").cast("int")).alias("allows"), F.max((F.col("vote") == "block").cast("int")).alias("blocks"),
+    )
+    inherited = linked.join(decided, "component").select(
+        F.col("node").alias("alias"), F.when(F.col("allows") == 1, "allow").when(F.col("blocks") == 1, "block").alias("passed"),
+    )
     both = judged.join(inherited.filter("passed is not null"), "alias", "left")
     verdict = F.coalesce("own", "passed", F.lit(default))
     by = F.when(F.col("own").isNotNull(), "rule").when(F.col("passed").isNotNull(), "alias").otherwise("default")

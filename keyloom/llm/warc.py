@@ -67,7 +67,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         got = [(x or "").encode() for x in batch.column("html").to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("copy"), pa.array([digest32(x) for x in got]), pa.array([len(x) for x in got], pa.int64()), batch.column("url"), batch.column("html")],
+            [
+                batch.column("page_id"), batch.column("copy"), pa.array([digest32(x) for x in got]), pa.array([len(x) for x in got], pa.int64()),
+                batch.column("url"), batch.column("html"),
+            ],
             ["page_id", "copy", "digest", "bytes", "url", "html"],
         )
 
@@ -94,7 +97,9 @@ def _writer(a: Archive):
         held: list[bytes] = []
         size = 0
         for batch in batches:
-            for page, copy, digest, n, url, html, first_key in zip(*(batch.column(c) for c in ("page_id", "copy", "digest", "bytes", "url", "html", "first_key"))):
+            for page, copy, digest, n, url, html, first_key in zip(
+                *(batch.column(c) for c in ("page_id", "copy", "digest", "bytes", "url", "html", "first_key"))
+            ):
                 records = _capture(a, page.as_py(), copy.as_py(), digest.as_py(), n.as_py(), url.as_py(), html.as_py(), first_key.as_py())
                 more = sum(map(len, records)) + 4 * len(records)
                 if held and size + more > a.archive_mb << 20:
@@ -112,7 +117,9 @@ def _archive(records: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([SEPARATOR.join(records).decode()], pa.string())], ["value"])
 
 
-def _capture(a: Archive, page: int | None, copy: str, digest: str, size: int, url: str | None, html: str | None, first_key: str | None) -> list[bytes]:
+def _capture(
+    a: Archive, page: int | None, copy: str, digest: str, size: int, url: str | None, html: str | None, first_key: str | None,
+) -> list[bytes]:
     """Request, response or revisit, and metadata of one page."""
     key = f"{'' if page is None else page}/{copy}"
     own, uri = record_id("capture", key), _clean(url)
@@ -124,15 +131,35 @@ def _capture(a: Archive, page: int | None, copy: str, digest: str, size: int, ur
         kind, block = "revisit", HTTP_HEAD
         extra = [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id("capture", first_key)), ("WARC-Truncated", "length")]
     return [
-        _record([("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/http; msgtype=request")], f"GET {uri} HTTP/1.1\r\n\r\n".encode()),
-        _record([("WARC-Type", kind), ("WARC-Record-ID", own), *common, proof, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), *extra, ("Content-Type", "application/http; msgtype=response")], block),
-        _record([("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common, ("Content-Type", "application/warc-fields")], _fields(page, size)),
+        _record(
+            [
+                ("WARC-Type", "request"), ("WARC-Record-ID", record_id("request", key)), ("WARC-Concurrent-To", own), *common,
+                ("Content-Type", "application/http; msgtype=request"),
+            ],
+            f"GET {uri} HTTP/1.1\r\n\r\n".encode(),
+        ),
+        _record(
+            [
+                ("WARC-Type", kind), ("WARC-Record-ID", own), *common, proof, ("WARC-Block-Digest", f"sha1:{digest32(block)}"), *extra,
+                ("Content-Type", "application/http; msgtype=response"),
+            ],
+            block,
+        ),
+        _record(
+            [
+                ("WARC-Type", "metadata"), ("WARC-Record-ID", record_id("metadata", key)), ("WARC-Concurrent-To", own), *common,
+                ("Content-Type", "application/warc-fields"),
+            ],
+            _fields(page, size),
+        ),
     ]
 
 
 def numbered(pages: DataFrame) -> DataFrame:
     """(page_id, copy, url, html); ``copy`` tells rows of one page_id apart: the hash of url and html, and a number where all three are alike."""
-    base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
+    base = pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"),
+    )
     base = base.withColumn("hash", F.xxhash64("url", "html"))
     number = F.lit(0)
     if not base.groupBy("page_id", "hash").count().filter("count > 1").isEmpty():  # rows alike are rare; only then are pages moved to be numbered
@@ -195,7 +222,12 @@ def _reader(with_blocks: bool):
                             raise ValueError("a payload differs from its digest")
                         digest = digest or digest32(payload)
                     kept = block if with_blocks or kind not in ("response", "revisit") else None
-                    rows.append((kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), length, digest, kept))
+                    rows.append(
+                        (
+                            kind, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), length, digest,
+                            kept,
+                        )
+                    )
                     size += len(kept or b"")
                     if size > 8 << 20:
                         yield _record_batch(rows)
@@ -207,7 +239,10 @@ def _reader(with_blocks: bool):
 
 
 def _record_batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = {"type": pa.string(), "record_id": pa.string(), "concurrent_to": pa.string(), "refers_to": pa.string(), "uri": pa.string(), "bytes": pa.int64(), "digest": pa.string(), "block": pa.binary()}
+    kinds = {
+        "type": pa.string(), "record_id": pa.string(), "concurrent_to": pa.string(), "refers_to": pa.string(), "uri": pa.string(),
+        "bytes": pa.int64(), "digest": pa.string(), "block": pa.binary(),
+    }
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds.values())], list(kinds))
 
 
@@ -242,9 +277,14 @@ def describe(transactions: DataFrame) -> DataFrame:
     the response it refers to, found by its record identifier, or what its
     metadata say where that response is in none of the archives read.
     """
-    own = transactions.select("record_id", _field("page-id").alias("page_id"), _field("payload-length").alias("said"), "response.type", "response.refers_to", "response.bytes", "response.digest")
+    own = transactions.select(
+        "record_id", _field("page-id").alias("page_id"), _field("payload-length").alias("said"), "response.type", "response.refers_to",
+        "response.bytes", "response.digest",
+    )
     own = written(own, "captures")  # small rows, read twice; and a table lets the join be split at a response that very many refer to
-    full = own.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("bytes").alias("of_bytes"))
+    full = own.filter("type = 'response'").select(
+        F.col("record_id").alias("refers_to"), F.col("page_id").alias("of_page"), F.col("bytes").alias("of_bytes"),
+    )
     joined = own.join(full, "refers_to", "left")
     return joined.select(
         "page_id", F.coalesce("bytes", "of_bytes", "said").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("of_page").alias("refers_to")

@@ -69,7 +69,12 @@ def op3_rows(docs):
             if SPACED.search(line):
                 dup += line in seen
                 seen.add(line)
-        out.append((d, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit), len(words) < 20 or 100 * len(hit) > 30 * len(words)))
+        out.append(
+            (
+                d, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(hit),
+                len(words) < 20 or 100 * len(hit) > 30 * len(words),
+            )
+        )
     return out
 
 
@@ -143,7 +148,12 @@ def op8(docs, shards=24):
     for d, t in docs:
         key = "" if d is None else str(d)
         scores = [op8_score(key, s) for s in range(shards + 1)]
-        out.append((d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), max(range(shards), key=lambda s: (scores[s], s)), max(range(shards + 1), key=lambda s: (scores[s], s))))
+        out.append(
+            (
+                d, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), max(range(shards), key=lambda s: (scores[s], s)),
+                max(range(shards + 1), key=lambda s: (scores[s], s)),
+            )
+        )
     return sorted(out, key=str)
 
 

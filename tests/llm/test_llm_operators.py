@@ -28,7 +28,9 @@ def hard_cases():
     sentence = lambda n: " ".join(word() for _ in range(n))
     passage, lines_ = sentence(70), [sentence(6) for _ in range(4)]
     base = sentence(120).split()
-    docs = [(1, None), (2, ""), (3, "   \t\n"), (4, "one"), (5, "One two"), (6, "x" * 60), (7, "x" * 200), (8, "ab" * 80), (None, passage), (None, None)]
+    docs = [
+        (1, None), (2, ""), (3, "   \t\n"), (4, "one"), (5, "One two"), (6, "x" * 60), (7, "x" * 200), (8, "ab" * 80), (None, passage), (None, None),
+    ]
     docs += [(10, passage + " tail"), (11, "head " + passage), (12, passage), (12, passage), (9, sentence(30) + " " + passage + " " + sentence(30))]
     docs += [(20 + i, "\n".join([sentence(4), *lines_, sentence(3)])) for i in range(3)]
     for i in range(40):
@@ -36,7 +38,10 @@ def hard_cases():
         for _ in range(i // 8):
             near[rng.randrange(len(near))] = word()
         docs.append((100 + i, " ".join(near)))
-    docs += [(200, " ".join(["again and again"] * 40)), (201, "\n\n\n\n\n"), (202, "\n".join(["same line"] * 9)), (203, "é" * 100 + " " + "ü" * 40), (204, sentence(20_000)), (205, "Ends. Here! Now? " * 50), (2**40, passage)]
+    docs += [
+        (200, " ".join(["again and again"] * 40)), (201, "\n\n\n\n\n"), (202, "\n".join(["same line"] * 9)), (203, "é" * 100 + " " + "ü" * 40),
+        (204, sentence(20_000)), (205, "Ends. Here! Now? " * 50), (2**40, passage),
+    ]
     docs += [(300 + i, " ".join(sentence(12) for _ in range(i))) for i in range(12)]
     return docs
 
@@ -114,7 +119,9 @@ def test_near_copies_leave_one_row_a_class(spark):
         assert found.count() <= 400
         got = jaccard.near_duplicates(docs, join)
         want = brute.op1(texts, 3, 90)
-        assert rows(got, "doc_id", "n_shingles", "component_id", *(["n_links"] if count else [])) == sorted((r[: 4 if count else 3] for r in want), key=str)
+        assert rows(got, "doc_id", "n_shingles", "component_id", *(["n_links"] if count else [])) == sorted(
+            (r[: 4 if count else 3] for r in want), key=str,
+        )
 
 
 def thue_morse(n):
@@ -140,7 +147,11 @@ def test_strings_built_to_collide(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
 
-    ids = [t for r in sorted(packing.pack(spark.createDataFrame(packed, "doc_id long, text string")).collect(), key=lambda r: r["start"]) for t in r["ids"]]
+    ids = [
+        t for r in sorted(
+            packing.pack(spark.createDataFrame(packed, "doc_id long, text string")).collect(), key=lambda r: r["start"],
+        ) for t in r["ids"]
+    ]
     assert ids == [*Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(packed[0][1], add_special_tokens=False).ids, 0]
 
 
@@ -180,7 +191,11 @@ def test_verdicts_by_plain_statement(spark, cases):
     rng = random.Random(8)
     blob = " ".join("".join(rng.choices("ABCDEFabcdef0123456789+/", k=60)) for _ in range(60))
     texts = [(d, t, ("en", "de", None, "xx")[i % 4]) for i, (d, t) in enumerate(cases)]
-    texts += [(1000, blob, "en"), (1001, " ".join(f"a{i % 3}" for i in range(400)), "fr"), (1002, " ".join(rng.choices("αβγδε ζηθικ", k=900)), None), (1003, "漢字かな交じり文 " * 30, "ja"), (1004, "“quoted” – text… " * 40, None), (1005, "😀 😀😀 " * 40, None), (1006, "Привет мир " * 15, "ru"), (1007, "𐌰𐌱𐌲 " * 30, None)]
+    texts += [
+        (1000, blob, "en"), (1001, " ".join(f"a{i % 3}" for i in range(400)), "fr"), (1002, " ".join(rng.choices("αβγδε ζηθικ", k=900)), None),
+        (1003, "漢字かな交じり文 " * 30, "ja"), (1004, "“quoted” – text… " * 40, None), (1005, "😀 😀😀 " * 40, None), (1006, "Привет мир " * 15, "ru"),
+        (1007, "𐌰𐌱𐌲 " * 30, None),
+    ]
     if os.path.isdir(DATA):
         texts += [(r["doc_id"] + 10_000, r["text"], r["lang"]) for r in pq.read_table(f"{DATA}/documents.parquet").to_pylist()]
     got = quality.quality(spark.createDataFrame(texts, "doc_id long, text string, lang string"))
@@ -195,7 +210,11 @@ def test_bands_reject_junk_and_no_good_text(spark):
     read = lambda t: spark.read.parquet(f"{fitted}/{t}.parquet")
     assert quality.fit(read("documents"), read("labels")) == quality.LANGUAGE_BANDS
     judged = quality.quality(read("documents")).join(read("labels"), "doc_id").filter("not base_failed")
-    beyond = {r["quality"]: (r["rejected"], r["n"]) for r in judged.groupBy("quality").agg(F.sum((~F.col("kept")).cast("int")).alias("rejected"), F.count("*").alias("n")).collect()}
+    beyond = {
+        r["quality"]: (r["rejected"], r["n"]) for r in judged.groupBy("quality").agg(
+            F.sum((~F.col("kept")).cast("int")).alias("rejected"), F.count("*").alias("n"),
+        ).collect()
+    }
     assert beyond[1][0] == 0 and 10 * beyond[0][0] > 8 * beyond[0][1]
     # an unknown language has its script's wide band
     other = quality.quality(read("documents").withColumn("lang", F.lit("xx")))
@@ -269,7 +288,10 @@ def test_packing_ids_with_added_tokens(spark):
 
     contract = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     end = "<|endoftext|>"
-    texts = [f"hi {end} there", end, f"{end}{end}", f"a{end}b", f"a  {end}  b", f"x\n\n{end}\n\ny. {end}", f"\t{end}\t z {end}é", "<|endof text|> <|endoftext|", f"\u3000{end}\u3000 q", f" {end}" * 400, f"<{end}>", f"<|endoftext{end}"]
+    texts = [
+        f"hi {end} there", end, f"{end}{end}", f"a{end}b", f"a  {end}  b", f"x\n\n{end}\n\ny. {end}", f"\t{end}\t z {end}é",
+        "<|endof text|> <|endoftext|", f"\u3000{end}\u3000 q", f" {end}" * 400, f"<{end}>", f"<|endoftext{end}",
+    ]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {}
     for r in packing.pack(docs).collect():
@@ -285,7 +307,9 @@ def test_cuts_are_optimal():
         n = rng.randint(1, 60)
         ends = np.array(sorted(rng.sample(range(1, n + 1), min(n, 3))))
         marks = np.array(sorted(rng.sample(range(1, n + 1), min(n, 5))))
-        penalty = {x: p.stride_penalty for x in [*range(p.stride, n + 1, p.stride), n]} | {int(x): p.sentence_penalty for x in marks} | {int(x): 0 for x in ends} | {0: 0}
+        penalty = {x: p.stride_penalty for x in [*range(p.stride, n + 1, p.stride), n]} | {
+            int(x): p.sentence_penalty for x in marks
+        } | {int(x): 0 for x in ends} | {0: 0}
         best = {0: 0}
         for j in sorted(penalty):
             if j:
@@ -295,7 +319,10 @@ def test_cuts_are_optimal():
 
 
 def test_contamination(spark, docs, cases, none):
-    items = [(1, " ".join(cases[8][1].split()[5:25])), (2, "One two"), (3, None), (4, ""), (5, "one two three four five six seven eight nine ten eleven"), (2, "One two"), (6, "again and again and again")]
+    items = [
+        (1, " ".join(cases[8][1].split()[5:25])), (2, "One two"), (3, None), (4, ""), (5, "one two three four five six seven eight nine ten eleven"),
+        (2, "One two"), (6, "again and again and again"),
+    ]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     want = brute.op7(cases, items)
     for rules in (contamination.Windows(), contamination.Windows(block_windows=3)):
@@ -314,7 +341,9 @@ def test_items_without_id_contaminate(spark):
     benchmark = spark.createDataFrame([(None, passage), (7, "short item"), (None, "short item"), (None, None)], "item_id long, text string")
     for rules in (contamination.Windows(), contamination.Windows(block_windows=1)):
         found = contamination.digest(contamination.matches(docs, benchmark, rules))
-        assert rows(found, "doc_id", "n_hit", "n_items", "items_sha256", "contaminated") == [(1, 11, 0, brute.sha(b""), True), (2, 0, 0, brute.sha(b""), False), (3, 2, 1, brute.sha(b"7"), True)]
+        assert rows(found, "doc_id", "n_hit", "n_items", "items_sha256", "contaminated") == [
+            (1, 11, 0, brute.sha(b""), True), (2, 0, 0, brute.sha(b""), False), (3, 2, 1, brute.sha(b"7"), True),
+        ]
         assert [r["doc_id"] for r in contamination.clean_rows(docs, benchmark, rules).collect()] == [2]
 
 
@@ -356,7 +385,10 @@ def test_saturated_sketch_loses_nothing(docs, cases):
 
 def test_warc(spark, tmp_path):
     odd = "a\r\n\r\nWARC/1.1\r\nContent-Length: 5\r\n\r\nhello é"
-    pages = [(1, "http://a.com/\r\nX: y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (5, "u", odd), (6, "u", odd), (7, "u", "x" * 3_000_000), (None, "v", "<p>"), (None, "v", "alone"), (8, "u", "twice"), (8, "u", "twice"), (8, "w", "twice"), (9, "u", "twice")]
+    pages = [
+        (1, "http://a.com/\r\nX: y", "<p>"), (2, None, "<p>"), (3, "u", None), (4, "u", ""), (5, "u", odd), (6, "u", odd), (7, "u", "x" * 3_000_000),
+        (None, "v", "<p>"), (None, "v", "alone"), (8, "u", "twice"), (8, "u", "twice"), (8, "w", "twice"), (9, "u", "twice"),
+    ]
     df = spark.createDataFrame([(*p, "extra", "d") for p in pages], "page_id long, url string, html string, record_type string, digest string")
     assert rows(warc.round_trip(df), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to") == brute.op10(pages)
     for mb in (0, 8):
@@ -374,15 +406,25 @@ def test_warc(spark, tmp_path):
 def test_urls(spark):
     link = lambda u: f'<html><head><LINK href="{u}" rel="canonical"></head>'
     pages = [
-        (1, "http://a.org/x", link("https://www.example.com/en/1")), (2, "http://b.org/y", link("http://a.org/x#f")), (3, "https://EXAMPLE.com/en/2", ""), (4, None, None), (5, "no scheme", "x"), (6, "http://c.org", link("http://s.net/fr/1")),
-        (7, "http://d.org/p", '<meta http-equiv="refresh" content="0; url=/q">'), (8, "http://d.org/q", link("http://s.net/es/")), (9, "http://S.net/es/?q", None), (10, "http://b.com", None), (11, "http://e.org/", link("http://e.org/")),
+        (1, "http://a.org/x", link("https://www.example.com/en/1")), (2, "http://b.org/y", link("http://a.org/x#f")), (3, "https://EXAMPLE.com/en/2", ""), (4, None, None), (5, "no scheme", "x"), (
+            6, "http://c.org", link("http://s.net/fr/1"),
+        ),
+        (7, "http://d.org/p", '<meta http-equiv="refresh" content="0; url=/q">'), (8, "http://d.org/q", link("http://s.net/es/")), (9, "http://S.net/es/?q", None), (10, "http://b.com", None), (
+            11, "http://e.org/", link("http://e.org/"),
+        ),
     ]
-    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["decided_by"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES).collect()}
+    got = {
+        r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"], r["decided_by"]) for r in urls.judge(
+            spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES,
+        ).collect()
+    }
     assert got[1][2:] == (None, "allow", "alias") and got[2][2:] == (None, "allow", "alias")
     assert got[3] == ("example.com", "/en/2", "example.com/en/", "block", "rule")
     assert got[4] == ("", "", None, "allow", "default") == got[5]
     assert got[6] == ("c.org", "", None, "block", "alias") and got[7][3:] == got[8][3:] == ("block", "alias")
-    assert got[9] == ("s.net", "/es/", "net/es/", "block", "rule") and got[10] == ("b.com", "", None, "allow", "default") and got[11][3:] == ("allow", "default")
+    assert got[9] == (
+        "s.net", "/es/", "net/es/", "block", "rule",
+    ) and got[10] == ("b.com", "", None, "allow", "default") and got[11][3:] == ("allow", "default")
     assert urls.judge(spark.createDataFrame([], "page_id long, url string, html string"), registry.URL_RULES).count() == 0
 
 
@@ -391,7 +433,10 @@ def test_url_targets_against_the_standard_library(spark):
     from urllib.parse import urldefrag, urljoin
 
     page = "http://h.org/a/b/c?q=1"
-    hrefs = ["http://h/x?page=2&amp;ref=x", "d", "../d?x", "./", "..", "../../../e", "/f/../g", "?z=1&amp;y", "#top", "", "/r?u=http://k.org/", "//k.org/p", "&#x2f;n&#47;m", "a&amp;lt;b", "caf&eacute;", "&#x1F600;", "x&nope;y", "http://h.org/x#f"]
+    hrefs = [
+        "http://h/x?page=2&amp;ref=x", "d", "../d?x", "./", "..", "../../../e", "/f/../g", "?z=1&amp;y", "#top", "", "/r?u=http://k.org/",
+        "//k.org/p", "&#x2f;n&#47;m", "a&amp;lt;b", "caf&eacute;", "&#x1F600;", "x&nope;y", "http://h.org/x#f",
+    ]
     df = spark.createDataFrame([(i, page, h) for i, h in enumerate(hrefs)], "i long, url string, target string")
     got = {r["i"]: r["t"] for r in df.select("i", urls.resolved(F.col("url"), urls.unescaped(F.col("target"))).alias("t")).collect()}
     assert {h: urldefrag(got[i])[0] for i, h in enumerate(hrefs)} == {h: urldefrag(urljoin(page, unescape(h)))[0] for h in hrefs}
@@ -400,11 +445,21 @@ def test_url_targets_against_the_standard_library(spark):
 def test_blocks_reach_aliases_of_ordinary_html(spark):
     block = "http://s.net/es/"
     pages = [
-        (1, "http://h.org/x?page=2&ref=x", f'<link rel="canonical" href="{block}1">'), (2, "http://i.org/y", '<link rel="canonical" href="http://h.org/x?page=2&amp;ref=x">'),
-        (3, "http://j.org/a/b", "<link rel='nofollow Canonical' href='c'>"), (4, "http://j.org/a/c", f'<link rel="canonical" href="{block}2">'), (5, "http://j.org/c", None),
-        (6, "http://k.org/a", f"<meta http-equiv=refresh content=\"0; URL='{block}3'\">"), (7, "http://l.org/a", '<link rel="canonical" data-href="http://s.net/es/" href="mailto:x">'),
+        (1, "http://h.org/x?page=2&ref=x", f'<link rel="canonical" href="{block}1">'), (
+            2, "http://i.org/y", '<link rel="canonical" href="http://h.org/x?page=2&amp;ref=x">',
+        ),
+        (3, "http://j.org/a/b", "<link rel='nofollow Canonical' href='c'>"), (
+            4, "http://j.org/a/c", f'<link rel="canonical" href="{block}2">',
+        ), (5, "http://j.org/c", None),
+        (6, "http://k.org/a", f"<meta http-equiv=refresh content=\"0; URL='{block}3'\">"), (
+            7, "http://l.org/a", '<link rel="canonical" data-href="http://s.net/es/" href="mailto:x">',
+        ),
     ]
-    got = {r["page_id"]: (r["verdict"], r["decided_by"]) for r in urls.judge(spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES).collect()}
+    got = {
+        r["page_id"]: (r["verdict"], r["decided_by"]) for r in urls.judge(
+            spark.createDataFrame(pages, "page_id long, url string, html string"), registry.URL_RULES,
+        ).collect()
+    }
     assert got == {i: ("block", "alias") for i in (1, 2, 3, 4, 6)} | {5: ("allow", "default"), 7: ("allow", "default")}
 
 
@@ -451,7 +506,9 @@ def test_alias_sql(spark, tmp_path):
 def test_components(spark):
     rng = random.Random(7)
     chain = [(i, i + 1) for i in range(60)]
-    edges = chain + [(rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)] + [(500, 500 + i) for i in range(50)] + [(1, None), (5, 5)]
+    edges = chain + [
+        (rng.randrange(100, 160), rng.randrange(100, 160)) for _ in range(40)
+    ] + [(500, 500 + i) for i in range(50)] + [(1, None), (5, 5)]
     least = {}
 
     def root(x):
@@ -543,7 +600,9 @@ def test_pipeline_stages_on_hard_cases(spark, docs, none, cases, tmp_path):
             assert got.filter("_row_key <> 'mine' or N_LINES_REMOVED <> 5 or own <> 1 or n_lines <> 8").count() == 0
         assert stage(spark, none.withColumn("own", F.lit(1)), str(tmp_path)).count() == 0, name
     after = stages["line_dedup"](spark, clash, str(tmp_path))
-    assert rows(after.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("s")), "doc_id", "s") == sorted(((r[0], r[3]) for r in brute.op5(cases)), key=str)
+    assert rows(after.select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("s")), "doc_id", "s") == sorted(
+        ((r[0], r[3]) for r in brute.op5(cases)), key=str,
+    )
     left = stages["near_duplicates"](spark, clash, str(tmp_path))
     one = brute.op1(cases, 5, 80)
     # a document of each component, and all without words, rows alike once
@@ -565,7 +624,9 @@ def test_pipeline_stages(spark):
     failed = {r[0] for r in brute.op3(cases) if r[-1]}
     assert not failed & {r["doc_id"] for r in kept.collect()}
     after = stages["line_dedup"](spark, docs, DATA)
-    assert after.columns == docs.columns and rows(after.select("doc_id", F.sha2("text", 256).alias("s")), "doc_id", "s") == sorted(((r[0], r[3]) for r in brute.op5(cases)), key=str)
+    assert after.columns == docs.columns and rows(after.select("doc_id", F.sha2("text", 256).alias("s")), "doc_id", "s") == sorted(
+        ((r[0], r[3]) for r in brute.op5(cases)), key=str,
+    )
     left = stages["near_duplicates"](spark, docs, DATA)
     assert left.columns == docs.columns and {r["doc_id"] for r in left.collect()} == {r[0] for r in brute.op1(cases, 5, 80) if r[0] == r[2]}
     items = [(r["item_id"], r["text"]) for r in pq.read_table(f"{DATA}/benchmark.parquet").to_pylist()]
