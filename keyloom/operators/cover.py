@@ -156,3 +156,36 @@ def adopted(clusters: DataFrame, candidates: DataFrame, modifiers: tuple[str, ..
     )
     best = met.withColumn("s", score).filter("s is not null")
     return best.groupBy("id").agg(F.min_by("pillar", F.struct(-F.col("s.kind"), -F.col("s.n"), -F.col("s.v"), F.col("pillar"))).alias("pillar"))
+
+
+def merge_targets(rows: DataFrame) -> DataFrame:
+    """(id, target, how): the kept post of its pillar that a merged cluster becomes a section of.
+
+    Columns id, pillar, core (words), volume, kept, hub.  A post whose whole core
+    the cluster's holds is nearest (the largest core, then volume), else the one
+    with most words in common, else the pillar's hub; none without one of these.
+    Only rows that share a word meet.
+    """
+    loose = rows.filter("not kept").select("id", "pillar", "core")
+    posts = rows.filter("kept").select(F.col("id").alias("target"), "pillar", F.col("core").alias("own"), "volume", "hub")
+    words = posts.select("target", "pillar", "own", "volume", F.explode(F.array_distinct("own")).alias("word"))
+    met = loose.withColumn("word", F.explode(F.array_distinct("core"))).join(words, ["pillar", "word"])
+    pairs = met.groupBy("id", "target").agg(F.first("own").alias("own"), F.first("volume").alias("volume"), F.count("*").alias("shared"))
+    held = F.col("shared") == F.size(F.array_distinct("own"))
+    score = F.struct(held.cast("int").alias("held"), "shared", "volume", (-F.col("target")).alias("t"))
+    best = pairs.groupBy("id").agg(F.max_by(F.struct("target", held.alias("held")), score).alias("b"))
+    hubs = posts.filter("hub").groupBy("pillar").agg(F.min("target").alias("hub_id"))
+    x = loose.join(best, "id", "left").join(hubs, "pillar", "left")
+    how = F.when(F.col("b.held"), "contained").when(F.col("b").isNotNull(), "overlap").when(F.col("hub_id").isNotNull(), "hub").otherwise("none")
+    return x.select("id", F.coalesce("b.target", "hub_id").alias("target"), how.alias("how"))
+
+
+def misplaced(posts: DataFrame) -> DataFrame:
+    """(slug, pillar, other): posts whose word set is that of another pillar's name, and the least such pillar.
+
+    Columns market, slug, pillar, words and, of pillars, is_pillar.
+    """
+    same = F.array_join(F.array_sort(F.array_distinct("words")), " ")
+    hubs = posts.filter("is_pillar").select("market", same.alias("set"), F.col("pillar").alias("other")).filter("`set` <> ''")
+    found = posts.filter("not is_pillar").withColumn("set", same).join(hubs, ["market", "set"]).filter("pillar <> other")
+    return found.groupBy("slug", "pillar").agg(F.min("other").alias("other"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import cover as V
 from ..operators import links as L
 from ..operators import planning as P
 from ..operators import review as R
@@ -338,11 +339,41 @@ BACKLINK_QUEUE = _POSTS + """, p AS (SELECT n.market, o.slug AS source, n.slug A
   FROM po n JOIN po o ON o.market = n.market AND (o.interest = n.interest OR o.occasion = n.occasion) WHERE n.id % 4 <> 0 AND o.id % 4 = 0 AND o.id + 1 <> n.id),
 k AS (SELECT *, row_number() OVER (PARTITION BY market, target ORDER BY shared DESC, is_pillar DESC, volume DESC, source) AS place FROM p2) SELECT market, source, target, place FROM k WHERE place + CAST(had AS INT) <= 3""".replace(", p AS (", ", p2 AS (")
 
+def section_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The post that each merged part becomes a section of, within its type; every fifth part is a post, the first one the hub."""
+    kw = _phrases(spark, sf_dir)
+    kept = F.col("id") % 5 == 0
+    hubs = kw.groupBy("type").agg(F.min(F.when(kept, F.col("id"))).alias("first"))
+    rows = kw.join(hubs, "type").select(
+        "id", F.col("type").alias("pillar"), F.col("words").alias("core"), "volume", kept.alias("kept"), (F.col("id") == F.col("first")).alias("hub"),
+    )
+    return V.merge_targets(rows)
+
+
+SECTION_TARGETS = _KW + """, pa AS (SELECT a.id, b.id AS target, len(list_intersect(a.words, b.words)) AS s, len(list_intersect(a.words, b.words)) = len(b.words) AS held, b.volume FROM kw a JOIN kw b ON a.type = b.type WHERE a.id % 5 <> 0 AND b.id % 5 = 0),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY held DESC, s DESC, volume DESC, target) AS k FROM pa WHERE s > 0), h AS (SELECT type, min(id) FILTER (id % 5 = 0) AS hub FROM kw GROUP BY type)
+SELECT kw.id, coalesce(k.target, h.hub) AS target, CASE WHEN k.held THEN 'contained' WHEN k.target IS NOT NULL THEN 'overlap' WHEN h.hub IS NOT NULL THEN 'hub' ELSE 'none' END AS how
+FROM kw LEFT JOIN k ON k.id = kw.id AND k.k = 1 JOIN h ON h.type = kw.type WHERE kw.id % 5 <> 0"""
+
+
+def misplaced_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose name is that of another type's pillar in their brand; each type's first part names its pillar."""
+    kw = _phrases(spark, sf_dir)
+    hubs = kw.groupBy("market", "type").agg(F.min("id").alias("hub"))
+    rows = kw.join(hubs, ["market", "type"]).select(
+        "market", F.col("id").cast("string").alias("slug"), F.col("type").alias("pillar"), "words", (F.col("id") == F.col("hub")).alias("is_pillar"),
+    )
+    return V.misplaced(rows)
+
+
+MISPLACED_POSTS = _KW + """, h AS (SELECT market, type, arg_min(words, id) AS w, min(id) AS hub FROM kw GROUP BY ALL)
+SELECT CAST(kw.id AS VARCHAR) AS slug, kw.type AS pillar, min(o.type) AS other FROM kw JOIN h ON h.market = kw.market AND h.type = kw.type AND h.hub <> kw.id JOIN h o ON o.market = kw.market AND o.type <> kw.type AND o.w = kw.words GROUP BY ALL"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         evidence_coverage, cluster_basis, verified_shares, excluded_reasons, node_names, pillar_hubs, cross_pillar_duplicates, one_group, post_plan, need_gaps, published_matches, given_hubs, merges_kept_apart, work_orders, theme_research, text_flags, issue_states,
-        carried_columns, cross_links, backlink_queue,
+        carried_columns, cross_links, backlink_queue, section_targets, misplaced_posts,
     )
 }
 ORACLE = {name: globals()[name.upper()] for name in QUERIES if name.upper() in globals()}
