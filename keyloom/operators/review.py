@@ -515,3 +515,31 @@ def checked_pairs(pairs: DataFrame, placed: DataFrame, least: int = 4) -> DataFr
         F.col("sa").isNull() | F.col("sb").isNull(), "not in plan",
     ).when(one == together, "yes").when(together, "no: merged").otherwise("no: apart")
     return x.select("market", "a", "b", "shared", F.when(one, "one post").otherwise("two posts").alias("verdict"), follows.alias("follows"))
+
+
+#: The order of severities.
+SEVERITIES = ("high", "medium", "low")
+
+
+def ranked_issues(issues: DataFrame, most: int = 300) -> DataFrame:
+    """The issues in order of severity, falling volume, check and id, the first of each id, at most ``most`` (a report), numbered by ``place``."""
+    rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), F.col("severity"))
+    order = [rank, F.desc(F.coalesce("volume", F.lit(0))), F.col("check"), F.col("issue_id")]
+    once = issues.withColumn("_k", F.row_number().over(Window.partitionBy("issue_id").orderBy(*order[:3], "keyword"))).filter("_k = 1").drop("_k")
+    first = once.orderBy(*order).limit(most)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(*order)))
+
+
+def need_conflicts(keywords: DataFrame) -> DataFrame:
+    """Issues of keywords whose need was settled against the rules (column ``need_conflict``: what spoke against what)."""
+    found = keywords.filter("coalesce(need_conflict, '') <> ''")
+    issues = _issue(found, "need_conflict", "low", "set_need", "need_conflict")
+    return issues.withColumn("issue_id", N.issue_id(F.col("check"), F.col("market"), F.col("keyword"), F.col("other"), T.decision_key))
+
+
+def closest_names(missing: DataFrame, members: DataFrame) -> DataFrame:
+    """(keyword, closest): for each name that is not in the data the keyword that shares most words with it; none without a shared word."""
+    words = lambda c: F.split(T.decision_key(F.col(c)), " ")
+    a = missing.select(F.col("keyword").alias("name"), F.lit("").alias("m"), words("keyword").alias("w")).dropDuplicates(["name"])
+    b = members.select(F.col("keyword").alias("known"), F.lit("").alias("m"), words("keyword").alias("w")).dropDuplicates(["known"])
+    return S.nearest(a, "name", b, "known", "w", ["m"]).select(F.col("a").alias("keyword"), F.col("b").alias("closest"))

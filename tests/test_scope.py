@@ -239,3 +239,19 @@ def test_spreadsheet_sinks(spark):
     for bad in ({"a/b": df}, {"x" * 32: df}, {"Same": df, "same": df}, {"Long": spark.createDataFrame([("y" * 40_000,)], "k string")}):
         with pytest.raises(ValueError):
             sinks.workbook(bad)
+
+
+def test_decision_files_and_ranked_issues(spark, tmp_path):
+    from keyloom.sources import decisions
+
+    (tmp_path / "d.csv").write_bytes('﻿Decision ID;Action;Keyword;Reason\r\nd1;MERGE;dad gifts;"same; words"\r\n;split;mom mugs;\r\n;;;\r\n'.encode())
+    got = [r.asDict() for r in decisions.read_decisions(spark, str(tmp_path / "d.csv")).orderBy("action").collect()]
+    assert [(r["action"], r["keyword"], r["reason"], r["target"]) for r in got] == [("merge", "dad gifts", "same; words", ""), ("split", "mom mugs", "", "")]
+    assert got[0]["decision_id"] == "d1" and got[1]["decision_id"].startswith("D-") and list(got[0]) == list(decisions.COLUMNS)
+    rows = [("a", "low", 9, "i1"), ("b", "high", 1, "i2"), ("c", "high", 5, "i3"), ("c", "high", 5, "i3"), ("d", "medium", None, "i4")]
+    issues = spark.createDataFrame([(c, s, v, i, "us", "k", "", "merge") for c, s, v, i in rows], "check string, severity string, volume long, issue_id string, market string, keyword string, other string, action string")
+    assert [(r["place"], r["issue_id"]) for r in R.ranked_issues(issues, 3).orderBy("place").collect()] == [(1, "i3"), (2, "i2"), (3, "i4")]
+    kw = spark.createDataFrame([("us", "mugs", 5, "shop, but questions in results"), ("us", "x", 1, None)], "market string, keyword string, volume long, need_conflict string")
+    assert [(r["check"], r["keyword"], r["other"]) for r in R.need_conflicts(kw).collect()] == [("need_conflict", "mugs", "shop, but questions in results")]
+    near = R.closest_names(spark.createDataFrame([("dad gift ideas",), ("zzz",)], "keyword string"), spark.createDataFrame([("gift ideas",), ("dad mugs",)], "keyword string"))
+    assert [tuple(r) for r in near.collect()] == [("dad gift ideas", "gift ideas")]
