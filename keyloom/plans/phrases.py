@@ -293,6 +293,20 @@ def leader_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.leaders(ranks, edges)
 
 
+LEADER_CLUSTER = (
+    "WITH RECURSIVE"
+    + (_NAMES + _PAIRS).lstrip().removeprefix("WITH")
+    + """, rk AS (SELECT id, row_number() OVER (ORDER BY volume DESC, id) AS rank FROM nm),
+eg AS (SELECT CASE WHEN x.rank < y.rank THEN pr.a ELSE pr.b END AS a, CASE WHEN x.rank < y.rank THEN pr.b ELSE pr.a END AS b, round(similarity, 6) AS score FROM pr JOIN rk x ON x.id = pr.a JOIN rk y ON y.id = pr.b WHERE similarity >= 0.45),
+nb AS (SELECT rk.id, rk.rank, coalesce(list(eg.a) FILTER (eg.a IS NOT NULL), []) AS l FROM rk LEFT JOIN eg ON eg.b = rk.id GROUP BY ALL),
+st(i, seeds) AS (SELECT CAST(0 AS BIGINT), CAST([] AS VARCHAR[]) UNION ALL SELECT st.i + 1, CASE WHEN list_has_any(nb.l, st.seeds) THEN st.seeds ELSE list_append(st.seeds, nb.id) END FROM st JOIN nb ON nb.rank = st.i + 1),
+sd AS (SELECT unnest(seeds) AS id FROM st WHERE i = (SELECT max(i) FROM st)),
+bs AS (SELECT eg.b AS id, eg.a AS seed, score, row_number() OVER (PARTITION BY eg.b ORDER BY score DESC, rk.rank) AS k FROM eg JOIN sd ON sd.id = eg.a JOIN rk ON rk.id = eg.a)
+SELECT id, id AS seed, 9 AS tier, CAST(1 AS DOUBLE) AS score FROM sd UNION ALL SELECT id, seed, 1, score FROM bs WHERE k = 1 AND id NOT IN (SELECT id FROM sd)
+"""
+)
+
+
 def question_consolidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters by brand, type and core words: the greatest one absorbs the others."""
     kw = _phrases(spark, sf_dir).withColumn("core", F.array_join(C.core_names(F.col("words"), WEAK), " "))
