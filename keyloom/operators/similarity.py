@@ -102,11 +102,14 @@ def cosine_top(bags: DataFrame, row_id: str, word: str, count: str, keys: list[s
     norm = bags.groupBy(row_id).agg(F.sqrt(F.sum(F.col(count) * F.col(count))).alias("norm"))
     a = bags.select(F.col(row_id).alias("a"), *keys, word, F.col(count).alias("x"))
     b = bags.select(F.col(row_id).alias("b"), *keys, word, F.col(count).alias("y"))
-    dots = a.join(b, [*keys, word]).filter("a <> b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    # each pair once, then both ways
+    dots = a.join(b, [*keys, word]).filter("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     scored = dots.join(norm.select(F.col(row_id).alias("a"), F.col("norm").alias("na")), "a").join(
         norm.select(F.col(row_id).alias("b"), F.col("norm").alias("nb")), "b",
     )
     cosine = scored.select("a", "b", F.round(F.col("dot") / (F.col("na") * F.col("nb")), 9).alias("cosine")).filter(F.col("cosine") >= least)
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    cosine = cosine.select(ways.alias("p"), "cosine").select("p.a", "p.b", "cosine")
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cosine"), "b"))
     return cosine.withColumn("rank", rank).filter(F.col("rank") <= k)
 
