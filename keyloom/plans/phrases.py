@@ -474,6 +474,16 @@ def typo_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return close.withColumn("k", best).filter("k = 1").select("lang", "rare", "rare_df", "common", "common_df")
 
 
+#: Words without their accents' bytes: letters beyond ASCII are renamed to one byte each, so that the byte-wise distance counts letters.
+TYPO_CANDIDATES = r"""
+WITH d AS (SELECT lang, word, count(*) AS df FROM (SELECT lang, unnest(list_distinct(regexp_extract_all(lower(text), '\p{L}{6,}'))) AS word FROM documents) GROUP BY 1, 2),
+t AS (SELECT *, translate(word, 'áàâäãåéèêëíìîïóòôöõúùûüñçßœæøÿ', '0123456789!#$%&()*+,-./:;<=>?@[]') AS w FROM d),
+p AS (SELECT r.lang, r.word AS rare, r.df AS rare_df, c.word AS common, c.df AS common_df, damerau_levenshtein(r.w, c.w) AS distance FROM t r JOIN t c ON r.lang IS NOT DISTINCT FROM c.lang AND r.word <> c.word AND c.df >= 30 AND c.df >= 10 * r.df AND abs(length(r.word) - length(c.word)) <= 1),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang, rare ORDER BY distance, common_df DESC, common) AS k FROM p WHERE distance <= 1 AND (rare[1] = common[1] OR rare[-1] = common[-1]))
+SELECT lang, rare, rare_df, common, common_df FROM k WHERE k = 1
+"""
+
+
 def issue_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stable identifiers of findings over part names."""
     p = table(spark, sf_dir, "part")
