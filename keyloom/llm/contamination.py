@@ -241,8 +241,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rules: Windows | None = None)
     last = lambda out: F.element_at(out, -1)
     meet = lambda out, x: F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(last(out)["start"].alias("start"), F.greatest(last(out)["end"], x["end"]).alias("end"))))
     spans = F.aggregate(
-        F.array_sort("s"), none, lambda out,
-        x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]), meet(out, x)).otherwise(F.concat(out, F.array(x))),
+        F.array_sort("s"), none, lambda out, x: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= x["start"]), meet(out, x)).otherwise(F.concat(out, F.array(x))),
     )
     joined = rows.join(by_row.withColumn("spans", spans), ["doc_id", "key"], "left")
     return joined.select(own, "n_words", F.coalesce("spans", none).alias("spans"), F.coalesce("items", no_items).alias("items"))

@@ -128,8 +128,7 @@ def without_dots(path: Column) -> Column:
     parts = F.split(path, "/", -1)
     none = F.array().cast("array<string>")
     kept = F.aggregate(
-        F.slice(parts, F.lit(2), F.size(parts)), none, lambda out,
-        x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
+        F.slice(parts, F.lit(2), F.size(parts)), none, lambda out, x: F.when(x == "..", F.slice(out, F.lit(1), F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.concat(out, F.array(x))),
     )
     # a dot segment at the end stands for the folder
     return F.concat(
