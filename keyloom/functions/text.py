@@ -242,8 +242,7 @@ def front_matter(text: Column) -> Column:
     )
     return F.map_from_entries(
         F.aggregate(
-            pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda seen,
-            p: F.when(F.exists(seen, lambda q: q["key"] == p["key"]), seen).otherwise(F.concat(seen, F.array(p))),
+            pairs, F.array().cast("array<struct<key:string,value:string>>"), lambda seen, p: F.when(F.exists(seen, lambda q: q["key"] == p["key"]), seen).otherwise(F.concat(seen, F.array(p))),
         )
     )
 

@@ -47,8 +47,7 @@ def review(docs: DataFrame, keyword: str | None = None) -> DataFrame:
         F.size(
             F.filter(
                 F.zip_with(
-                    F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0))), lambda b,
-                    a: b - a,
+                    F.slice("_l", 2, F.greatest(F.size("_l") - 1, F.lit(0))), F.slice("_l", 1, F.greatest(F.size("_l") - 1, F.lit(0))), lambda b, a: b - a,
                 ),
                 lambda d: d > 1,
             )
@@ -88,8 +87,7 @@ def review(docs: DataFrame, keyword: str | None = None) -> DataFrame:
         lambda f: f.isNotNull(),
     )
     cost = F.aggregate(
-        F.col("findings"), F.lit(0.0), lambda a,
-        f: a + F.when(f["severity"] == "high", COST["high"]).when(f["severity"] == "medium", COST["medium"]).otherwise(COST["low"]),
+        F.col("findings"), F.lit(0.0), lambda a, f: a + F.when(f["severity"] == "high", COST["high"]).when(f["severity"] == "medium", COST["medium"]).otherwise(COST["low"]),
     )
     x = x.withColumn("findings", found).withColumn("score", F.greatest(F.lit(0.0), 100.0 - cost))
     x = x.withColumn("band", F.when(F.col("score") >= 85, "ready").when(F.col("score") >= 70, "revise").otherwise("rework"))

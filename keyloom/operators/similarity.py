@@ -39,8 +39,7 @@ def prefixes(rows: DataFrame, row_id: str, words: str, keys: list[str], least: f
     )
     x = ordered.withColumn("total", total).withColumn("upto", before).withColumn("ids", F.transform("e", lambda v: v["id"]))
     places = F.transform(
-        "e", lambda v,
-        i: F.struct(
+        "e", lambda v, i: F.struct(
             v["word"].alias("word"), (F.col("total") - F.element_at("upto", i + 1) + v["w"]).alias("rest"), F.slice("ids", F.lit(1), i).alias("seen"),
         ),
     )

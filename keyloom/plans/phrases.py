@@ -442,8 +442,7 @@ def term_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two hundred commonest words and word pairs of part names by volume, with their counts (a top-k report)."""
     kw = _phrases(spark, sf_dir).withColumn("t", T.tokens(F.col("norm")))
     pairs = F.zip_with(
-        F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a,
-        b: F.concat_ws(" ", a, b),
+        F.slice("t", F.lit(1), F.greatest(F.size("t") - 1, F.lit(0))), F.slice("t", F.lit(2), F.greatest(F.size("t") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b),
     )
     each = kw.select("volume", F.explode(F.array_distinct(F.concat("t", pairs))).alias("term"))
     return each.groupBy("term").agg(
