@@ -604,6 +604,7 @@ def near_duplicates(docs: DataFrame, join: Join | None = None) -> DataFrame:
         "fp", "class_id", F.coalesce("component_id", "class_id").alias("component_id"),
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
     )
+    ids = written(ids, "ids")  # a table, so that the join may be split at a class of very many copies
     out = rows.join(ids, "fp", "left")
     known = lambda c: F.nullif(F.coalesce(F.col(c), F.col("doc_id")), F.lit(NO_ID))
     n_links = F.coalesce("n_links", F.lit(0)) if join.count_links else F.lit(None)
