@@ -84,7 +84,7 @@ class Rules:
     bands: dict[str, Band] = field(default_factory=lambda: dict(BANDS))
     language_bands: dict[str, Band] = field(default_factory=lambda: dict(LANGUAGE_BANDS))
     #: Distinct words whose tokens a worker remembers before it starts afresh.
-    remembered: int = 400_000
+    remembered: int = 150_000
 
 
 SCHEMA = (
@@ -269,6 +269,7 @@ def measurer(rules: Rules) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.R
                 got = measure(chunk, rules, vocab, batch.column("lang").slice(chunk.first, chunk.n).to_pylist())
                 ids = batch.column("doc_id").slice(chunk.first, chunk.n)
                 yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(v) for v in got.values())], ["doc_id", *got])
+        vocab.coder.forget()  # later stages run in the same worker
 
     return run
 
@@ -291,6 +292,7 @@ def kept_rows(docs: DataFrame, rules: Rules | None = None) -> DataFrame:
                 part = batch.slice(chunk.first, chunk.n)
                 langs = part.column("lang").to_pylist() if "lang" in part.schema.names else None
                 yield part.filter(pa.array(measure(chunk, rules, vocab, langs)["kept"]))
+        vocab.coder.forget()  # later stages run in the same worker
 
     return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(run, docs.withColumn("text", F.col("text").cast("string")).schema)
 
