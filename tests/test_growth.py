@@ -6,6 +6,7 @@ import random
 
 from keyloom.operators import cover as V
 from keyloom.operators import links as L
+from keyloom.operators import similarity as S
 
 
 def most_joined(df) -> int:
@@ -60,3 +61,21 @@ def test_merge_targets_by_word_sets(spark):
         want.add((i, -best[4], "contained" if best[0] else "overlap") if best else (i, hub, "none" if hub is None else "hub"))
     assert got == want
     assert most_joined(df) < 20 * len(rows)
+
+
+def test_cosine_top_by_blocks_of_classes(spark, monkeypatch):
+    rnd = random.Random(5)
+    bags = {i: {w: rnd.randint(1, 3) for w in rnd.sample(["x", "y", "z", *(f"w{n}" for n in range(30))], rnd.randint(1, 6))} for i in range(150)}
+    bags |= {i: bags[i % 20] for i in range(150, 400)}
+    rows = [(i, w, n, i % 2) for i, bag in bags.items() for w, n in bag.items()]
+    monkeypatch.setattr(S, "BLOCK", 40, raising=False)
+    monkeypatch.setattr(S, "SLICE", 16, raising=False)
+    df = S.cosine_top(spark.createDataFrame(rows, "id long, word string, n long, g int"), "id", "word", "n", ["g"], 0.2, 3)
+    got = {tuple(r) for r in df.collect()}
+    norm = {i: sum(n * n for n in bag.values()) ** 0.5 for i, bag in bags.items()}
+    want = set()
+    for a in bags:
+        scored = [(round(sum(n * bags[b].get(w, 0) for w, n in bags[a].items()) / (norm[a] * norm[b]), 9), b) for b in bags if b != a and b % 2 == a % 2]
+        want |= {(a, b, c, k) for k, (c, b) in enumerate(sorted((x for x in scored if x[0] >= 0.2), key=lambda x: (-x[0], x[1]))[:3], 1)}
+    assert got == want
+    assert most_joined(df) < 10 * len(bags)
