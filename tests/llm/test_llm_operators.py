@@ -364,6 +364,21 @@ def test_weighted_shards(spark):
     assert 0.73 < n[1] / 20_000 < 0.77
 
 
+def test_suffixes_in_several_passes(spark, docs):
+    from keyloom.llm.repeats import Sketch
+
+    rnd = np.random.default_rng(6)
+    text = ["".join(chr(97 + c) for c in rnd.integers(0, 26, 400)) for _ in range(300)]
+    rows = [(i, t) for i, t in enumerate(text)] + [(300 + i, t[:150]) for i, t in enumerate(text[:20])]
+    some = spark.createDataFrame(rows, "doc_id long, text string")
+    small = suffixes.Factors(sketch=Sketch(rows=2, most_bits=12))
+    runs = [suffixes.candidates(some, f)[0].selectExpr("sum(length(many))").first()[0] for f in (suffixes.Factors(), small)]
+    assert runs[1] < 2 * runs[0]  # one sketch of that size fills up and sends nearly all
+    for df in (some, docs):
+        got = [sorted(tuple(r) for r in suffixes.without_substrings(df, f).select("doc_id", "n_removed", "n_spans", "kept_sha256").na.fill(-1).collect()) for f in (None, small)]
+        assert got[0] == got[1]
+
+
 def test_substrings(docs, cases, none):
     got = substrings.without_passages(docs)
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op9(cases)
